@@ -120,19 +120,19 @@ def j14(spark, d):
 
 
 @query("j15_find_zone", sql("zone", """
-SELECT sector_id, sector_name FROM zone WHERE lower(trim(sector_name)) = 'france' OR CAST(sector_id AS VARCHAR) = 'france'
-UNION ALL SELECT sector_id, sector_name FROM zone WHERE CAST(sector_id AS VARCHAR) = '7'"""))
+SELECT sector_id, sector_name FROM zone WHERE lower(trim(sector_name)) = 'nation_7' OR CAST(sector_id AS VARCHAR) = 'nation_7'
+UNION ALL SELECT sector_id, sector_name FROM zone WHERE CAST(sector_id AS VARCHAR) = '9'"""))
 def j15(spark, d):
     z = V.zones(spark, d).select("sector_id", "sector_name")
-    return TB.find_zone(z, "  France ", "sector_id", "sector_name").unionByName(TB.find_zone(z, "7", "sector_id", "sector_name"))
+    return TB.find_zone(z, "  Nation_7 ", "sector_id", "sector_name").unionByName(TB.find_zone(z, "9", "sector_id", "sector_name"))
 
 
 @query("j16_key_agreement", """
-SELECT s_suppkey AS key, 'right' AS missing_in FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49.5)
-UNION ALL SELECT DISTINCT l_suppkey, 'left' FROM lineitem WHERE l_quantity > 49.5 AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier)""")
+SELECT s_suppkey AS key, 'right' AS missing_in FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_extendedprice > 99000)
+UNION ALL SELECT DISTINCT l_suppkey, 'left' FROM lineitem WHERE l_extendedprice > 99000 AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier)""")
 def j16(spark, d):
     return TB.unmatched_keys(V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("key")),
-                             V.table(spark, d, "lineitem").where("l_quantity > 49.5").select(F.col("l_suppkey").alias("key")), "key")
+                             V.table(spark, d, "lineitem").where("l_extendedprice > 99000").select(F.col("l_suppkey").alias("key")), "key")
 
 
 SCOPED = """SELECT scope, sum(area_m2) AS area_m2 FROM (
@@ -183,12 +183,12 @@ def u03b(spark, d):
 
 @query("u04_missing_keys", """
 SELECT c_nationkey, c_mktsegment FROM (SELECT DISTINCT c_nationkey, s.seg AS c_mktsegment FROM customer, (SELECT DISTINCT c_mktsegment AS seg FROM customer) s)
-EXCEPT SELECT c_nationkey, c_mktsegment FROM customer WHERE c_acctbal > 6000""")
+EXCEPT SELECT c_nationkey, c_mktsegment FROM customer WHERE c_acctbal > 9500""")
 def u04(spark, d):
     c = V.table(spark, d, "customer")
-    segments = c.select("c_mktsegment").distinct()
-    expected = c.select("c_nationkey").distinct().join(segments, F.lit(True))
-    return TB.missing_keys(expected, c.where("c_acctbal > 6000"), ["c_nationkey", "c_mktsegment"])
+    segments = F.array(*map(F.lit, ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]))
+    expected = c.select("c_nationkey").distinct().select("c_nationkey", F.explode(segments).alias("c_mktsegment"))
+    return TB.missing_keys(expected, c.where("c_acctbal > 9500"), ["c_nationkey", "c_mktsegment"])
 
 
 @query("u05_overlapping_codes", """
