@@ -85,21 +85,21 @@ def _scope(df: DataFrame) -> DataFrame:
     return df.withColumn("scope", F.explode(F.array(F.lit("region:all"), F.concat(F.lit("municipality:"), "municipality"))))
 
 
-def rollup_land_cover(stats: DataFrame) -> DataFrame:
+def rollup_land_cover(stats: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Land-cover totals per municipality and region; shares of the classified area, 0 without any."""
     sums = ["total_ha", "classified_ha", "unclassifiable_ha", "vegetation_ha", "built_up_ha"]
-    out = _scope(stats).groupBy("scope").agg(*[F.sum(c).alias(c) for c in sums])
+    out = _scope(stats).groupBy(*keys, "scope").agg(*[F.sum(c).alias(c) for c in sums])
     return (out.withColumn("vegetation_pct", percentage(F.col("vegetation_ha"), F.col("classified_ha")))
             .withColumn("built_up_pct", percentage(F.col("built_up_ha"), F.col("classified_ha"))))
 
 
-def rollup_vegetation(stats: DataFrame) -> DataFrame:
+def rollup_vegetation(stats: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Vegetation totals; the median is the valid-area weighted mean of the medians, marked as approximate."""
     parts = ["total_ha", "valid_ha", "likely_ha", "below_ha", "cropland_ha", "water_ha", "missing_ha"]
     weighted = F.sum(F.coalesce("median_ndvi", F.lit(0.0)) * F.col("valid_ha"))
-    out = _scope(stats).groupBy("scope").agg(*[F.sum(c).alias(c) for c in parts], weighted.alias("mv"))
+    out = _scope(stats).groupBy(*keys, "scope").agg(*[F.sum(c).alias(c) for c in parts], weighted.alias("mv"))
     shares = [percentage(F.col(c), F.col("total_ha")).alias(c.replace("_ha", "_pct")) for c in parts[2:6]]
-    return out.select("scope", *parts, *shares, F.when(F.col("valid_ha") > 0, F.col("mv") / F.col("valid_ha")).alias("median_ndvi"),
+    return out.select(*keys, "scope", *parts, *shares, F.when(F.col("valid_ha") > 0, F.col("mv") / F.col("valid_ha")).alias("median_ndvi"),
                       F.lit(True).alias("median_is_approximate"))
 
 

@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from zonemill.functions import space as S
-from zonemill.model import Grid
 from zonemill.operators import geometry as GE
 from zonemill.operators import raster as RA
 from zonemill.operators import zonal as Z
@@ -38,11 +37,13 @@ SELECT id, {r6('lon')} AS lon_back, {r6('lat')} AS lat_back, true AS plausible F
 def g02(spark, d):
     """UTM there and back; the equal-area and conformal coordinates must lie in their national ranges."""
     x, y = S.utm(F.col("lon"), F.col("lat"), 31)
-    lon, lat = S.from_utm(x, y, 31)
     ex, ey = S.equal_area_europe(F.col("lon"), F.col("lat"))
     bx, by = S.lambert_belgium(F.col("lon"), F.col("lat"))
-    ok = ex.between(3.7e6, 4.1e6) & ey.between(2.9e6, 3.2e6) & bx.between(5e5, 8.5e5) & by.between(5e5, 8e5)
-    return lonlat(spark, d).select("id", lon.alias("lon_back"), lat.alias("lat_back"), ok.alias("plausible"))
+    there = lonlat(spark, d).select("id", x.alias("x"), y.alias("y"), ex.alias("ex"), ey.alias("ey"), bx.alias("bx"), by.alias("by"))
+    lon, lat = S.from_utm(F.col("x"), F.col("y"), 31)
+    ok = (F.col("ex").between(3.7e6, 4.1e6) & F.col("ey").between(2.9e6, 3.2e6)
+          & F.col("bx").between(5e5, 8.5e5) & F.col("by").between(5e5, 8e5))
+    return there.select("id", lon.alias("lon_back"), lat.alias("lat_back"), ok.alias("plausible"))
 
 
 @query("g03_normalise_geom", sql("poly", "SELECT poly_id, 1 AS n_polygons, 5 AS n_vertices, 2.0E0 * r * r AS area FROM poly"))
@@ -174,7 +175,7 @@ def j07(spark, d):
     return located.groupBy("obs_id", "poly_id").agg(F.count("*").alias("n"), F.sum("code").alias("code_sum"))
 
 
-POINTS = "SELECT o_orderkey AS id, o_totalprice / 5000.0E0 AS x, (o_custkey % 1000) / 10.0E0 + 0.03E0 AS y FROM orders"
+POINTS = "SELECT o_orderkey AS id, CAST(floor(o_orderkey / 10000.0E0) AS BIGINT) AS obs_id, o_totalprice / 5000.0E0 AS x, (o_custkey % 1000) / 10.0E0 + 0.03E0 AS y FROM orders"
 
 
 def points(spark, d):
@@ -218,19 +219,16 @@ def j09b(spark, d):
             .agg(F.sum("area").alias("area_m2"), F.count("*").alias("n_fragments")))
 
 
-SAMPLE_GRID = Grid(0.0, 0.0, 1.0, 1.0, V.SIDE, V.SIDE)
-
-
 @query("j12_sample_points", sql("px", f"""
 WITH p AS ({POINTS.replace('5000.0E0', '4000.0E0')}), c AS (SELECT *, CASE WHEN x < 100 AND y < 100 THEN CAST(floor(y) AS BIGINT) END AS row_i,
   CASE WHEN x < 100 AND y < 100 THEN CAST(floor(x) AS BIGINT) END AS col_i FROM p)
 SELECT id, CASE WHEN row_i IS NULL THEN 'outside' WHEN status = 1 THEN 'clear' WHEN status = 2 THEN 'cloud' ELSE 'missing' END AS status,
-  {r6('CASE WHEN status = 1 THEN temp_c END')} AS value FROM c LEFT JOIN (SELECT * FROM px WHERE obs_id = 0) q USING (row_i, col_i)"""))
+  {r6('CASE WHEN status = 1 THEN temp_c END')} AS value FROM c LEFT JOIN px q USING (obs_id, row_i, col_i)"""))
 def j12(spark, d):
     from zonemill.operators.sampling import sample_points
-    pts = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 4000.0).alias("x"),
+    pts = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.floor(F.col("o_orderkey") / 10000.0).alias("obs_id"), (F.col("o_totalprice") / 4000.0).alias("x"),
                                              ((F.col("o_custkey") % 1000) / 10.0 + 0.03).alias("y"))
-    return sample_points(pts, V.pixels(spark, d).where("obs_id = 0"), SAMPLE_GRID, "temp_c").select("id", "status", "value")
+    return sample_points(pts, V.pixels(spark, d), V.GRID, "temp_c", keys=("obs_id",)).select("id", "status", "value")
 
 
 @query("w07_dominant_subpixel", sql("poly", f"""

@@ -178,7 +178,7 @@ def a05b(spark, d):
     return Z.land_cover_classes(land_cover(spark, d), ["obs_id", "sector_id"])
 
 
-PAIRS = f"""SELECT pz.obs_id, sector_id, row_i, {BEFORE_CODE} AS b, {COVER_CODE} AS a, {MERC_HA} AS ha FROM pz JOIN px0 USING (row_i, col_i) WHERE px0.obs_id = 0"""
+PAIRS = f"""SELECT pz.obs_id, sector_id, row_i, {BEFORE_CODE} AS b, {COVER_CODE} AS a, {MERC_HA} AS ha FROM pz JOIN px0 USING (obs_id, row_i, col_i)"""
 
 
 @query("a06_change_stats", sql("pz px0", f"""
@@ -190,8 +190,8 @@ SELECT obs_id, sector_id, {r6('c')} AS compared_ha, {r6('g')} AS gained_ha, {r6(
   {r6('l / c * 100')} AS lost_pct, {r6('g - l')} AS net_ha FROM s"""))
 def a06(spark, d):
     before = F.array(*map(F.lit, [90, 10, 30, 254, 40]))
-    then = V.baseline(spark, d).where("obs_id = 0").select("row_i", "col_i", F.element_at(before, (1 + F.col("code0")).cast("int")).alias("before"))
-    pairs = TB.align(coded(zoned(spark, d)).withColumnRenamed("code", "after"), then, V.GRID, V.GRID)
+    then = V.baseline(spark, d).select("obs_id", "row_i", "col_i", F.element_at(before, (1 + F.col("code0")).cast("int")).alias("before"))
+    pairs = TB.align(coded(zoned(spark, d)).withColumnRenamed("code", "after"), then, V.GRID, V.GRID, ("obs_id", "row_i", "col_i"))
     return Z.change_stats(pairs, G.mercator_cell_ha(F.col("row_i"), MERCATOR), ["obs_id", "sector_id"])
 
 
@@ -250,13 +250,13 @@ def a08(spark, d):
 
 @query("a09_rollup_land_cover", sql("pz zone", f"""
 WITH lc AS ({LC_AREAS}), s AS ({LC_STATS}),
-t AS (SELECT CASE WHEN GROUPING(municipality) = 1 THEN 'region:all' ELSE 'municipality:' || municipality END AS scope, sum(total_ha) AS a, sum(classified_ha) AS b,
-  sum(unclassifiable_ha) AS c, sum(vegetation_ha) AS e, sum(built_up_ha) AS f FROM s JOIN zone USING (sector_id) WHERE obs_id = 0 GROUP BY ROLLUP (municipality))
-SELECT scope, {r6('a')} AS total_ha, {r6('b')} AS classified_ha, {r6('c')} AS unclassifiable_ha, {r6('e')} AS vegetation_ha, {r6('f')} AS built_up_ha,
+t AS (SELECT obs_id, CASE WHEN GROUPING(municipality) = 1 THEN 'region:all' ELSE 'municipality:' || municipality END AS scope, sum(total_ha) AS a, sum(classified_ha) AS b,
+  sum(unclassifiable_ha) AS c, sum(vegetation_ha) AS e, sum(built_up_ha) AS f FROM s JOIN zone USING (sector_id) GROUP BY obs_id, ROLLUP (municipality))
+SELECT obs_id, scope, {r6('a')} AS total_ha, {r6('b')} AS classified_ha, {r6('c')} AS unclassifiable_ha, {r6('e')} AS vegetation_ha, {r6('f')} AS built_up_ha,
   {r6('CASE WHEN b > 0 THEN e / b * 100 ELSE 0 END')} AS vegetation_pct, {r6('CASE WHEN b > 0 THEN f / b * 100 ELSE 0 END')} AS built_up_pct FROM t"""))
 def a09(spark, d):
-    stats = Z.land_cover_stats(land_cover(spark, d), ["obs_id", "sector_id"]).where("obs_id = 0")
-    return R.rollup_land_cover(TB.with_municipality(stats, V.zones(spark, d)))
+    stats = Z.land_cover_stats(land_cover(spark, d), ["obs_id", "sector_id"])
+    return R.rollup_land_cover(TB.with_municipality(stats, V.zones(spark, d)), ("obs_id",))
 
 
 @query("a11_region_surface_stats", sql("pz", f"""

@@ -14,7 +14,7 @@ from zonemill.plans import standins as V
 from zonemill.plans.registry import query
 from zonemill.plans.standins import r6, sql
 
-YEARS = [2019, 2020, 2021, 2022, 2023]
+YEARS = [2019, 2020, 2021, 2022, 2023, 2024]
 
 
 @query("j01_join_complete", """
@@ -50,18 +50,18 @@ def j02(spark, d):
 FISCAL = """
 SELECT sector_id, year, CASE WHEN count(v) = 0 THEN 'not-published' ELSE 'available' END AS source_status, sum(v) AS total
 FROM (SELECT sector_id, year, CASE WHEN raw_value IN ('', '.', 'C') THEN NULL ELSE TRY_CAST(raw_value AS DOUBLE) END AS v
-      FROM fiscal WHERE sector_id % 6 <> 0) GROUP BY sector_id, year"""
+      FROM fiscal) GROUP BY sector_id, year"""
 
 
 def fiscal_facts(spark, d):
     v = S.official_number(F.col("raw_value"))
-    return (V.fiscal(spark, d).where("sector_id % 6 <> 0").withColumn("v", v).groupBy("sector_id", "year")
+    return (V.fiscal(spark, d).withColumn("v", v).groupBy("sector_id", "year")
             .agg(F.when(F.count("v") == 0, "not-published").otherwise("available").alias("source_status"), F.sum("v").alias("total")))
 
 
 @query("j03_densify", sql("fiscal zone", f"""
 SELECT z.sector_id, CAST(y.year AS BIGINT) AS year, coalesce(f.source_status, 'sector-unmatched') AS source_status, {r6('f.total')} AS total
-FROM zone z CROSS JOIN (VALUES (2019), (2020), (2021), (2022), (2023)) y(year)
+FROM zone z CROSS JOIN (VALUES (2019), (2020), (2021), (2022), (2023), (2024)) y(year)
 LEFT JOIN ({FISCAL}) f ON f.sector_id = z.sector_id AND f.year = y.year"""))
 def j03(spark, d):
     return TB.densify(fiscal_facts(spark, d), V.zones(spark, d), YEARS).withColumn("year", F.col("year").cast("bigint"))
@@ -84,10 +84,10 @@ def j05(spark, d):
 
 
 @query("j06_align", sql("px px0", """
-SELECT px.obs_id, row_i, col_i, code, code0 FROM px JOIN px0 USING (row_i, col_i) WHERE px0.obs_id = 0"""))
+SELECT obs_id, row_i, col_i, code, code0 FROM px JOIN px0 USING (obs_id, row_i, col_i)"""))
 def j06(spark, d):
-    before = V.baseline(spark, d).where("obs_id = 0").drop("obs_id")
-    return TB.align(V.pixels(spark, d).select("obs_id", "row_i", "col_i", "code"), before, V.GRID, V.GRID)
+    now = V.pixels(spark, d).select("obs_id", "row_i", "col_i", "code")
+    return TB.align(now, V.baseline(spark, d), V.GRID, V.GRID, ("obs_id", "row_i", "col_i"))
 
 
 @query("j10_with_municipality", """
