@@ -243,8 +243,9 @@ def polygon_strips(polys: DataFrame, key: str, cell: float, geom: str = "geom")
     strip = F.sequence(F.floor(F.least("y1", "y2") / cell), F.floor(F.greatest("y1", "y2") / cell))
     cut = e.withColumn("cy", F.explode(strip))
     grouped = cut.groupBy(key, "cy").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("strip_edges"),
-                                         F.min(F.least("x1", "x2")).alias("lo"), F.max(F.greatest("x1", "x2")).alias("hi"))
-    return grouped.withColumn("cx", F.explode(F.sequence(F.floor(F.col("lo") / cell), F.floor(F.col("hi") / cell)))).drop("lo", "hi")
+                                         F.min(F.least("x1", "x2")).alias("lo"), F.max(F.greatest("x1", "x2")).alias("hi"),
+                                         F.min(F.least("y1", "y2")).alias("bottom"), F.max(F.greatest("y1", "y2")).alias("top"))
+    return grouped.withColumn("cx", F.explode(F.sequence(F.floor(F.col("lo") / cell), F.floor(F.col("hi") / cell))))
 
 
 def points_in_polygons(points: DataFrame, polys: DataFrame, key: str, cell: float, x: str = "x", y: str = "y",
@@ -259,7 +260,9 @@ def points_in_polygons(points: DataFrame, polys: DataFrame, key: str, cell: floa
     hits = F.filter("strip_edges", lambda e: ((e["y1"] > py) != (e["y2"] > py)) & (
         px < (e["x2"] - e["x1"]) * (py - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]))
     placed = points.withColumn("cx", F.floor(px / cell)).withColumn("cy", F.floor(py / cell))
-    return placed.join(strips, ["cx", "cy"]).where(F.size(hits) % 2 == 1).drop("cx", "cy", "strip_edges")
+    near = px.between(F.col("lo"), F.col("hi")) & py.between(F.col("bottom"), F.col("top"))
+    return (placed.join(strips, ["cx", "cy"]).where(near).where(F.size(hits) % 2 == 1)
+            .drop("cx", "cy", "strip_edges", "lo", "hi", "bottom", "top"))
 
 
 # --- Exact overlay areas --------------------------------------------------------------------------

@@ -62,60 +62,58 @@ def fraction_grid(px: DataFrame, codes: list[int], n: int, keys: tuple[str, ...]
 # --- Resampling -----------------------------------------------------------------------------------
 
 
-def _targets_nearest(index: Column, s0: float, ds: float, d0: float, dd: float, n: int) -> Column:
-    """Target indices whose centre lies in a source cell (lower edge included)."""
-    a, b = (s0 + index * ds - d0) / dd - 0.5, (s0 + (index + 1) * ds - d0) / dd - 0.5
+def _range(a: Column, b: Column, n: int) -> Column:
+    """Whole numbers from a to b inside 0 … n − 1; empty when there are none."""
     low, high = F.greatest(F.lit(0), F.floor(F.least(a, b))), F.least(F.lit(n - 1), F.ceil(F.greatest(a, b)))
-    around = F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<bigint>"))
-    return F.filter(around, lambda j: F.floor((d0 + (j + 0.5) * dd - s0) / ds) == index)
+    return F.when(low <= high, F.sequence(low, F.greatest(low, high)))
+
+
+def _axes(src: Grid, dst: Grid) -> tuple[tuple, tuple]:
+    return ("row_i", src.y0, src.dy, dst.y0, dst.dy, dst.height), ("col_i", src.x0, src.dx, dst.x0, dst.dx, dst.width)
 
 
 def resample_nearest(px: DataFrame, src: Grid, dst: Grid) -> DataFrame:
     """Value of the source cell under each target centre. A narrow transformation: no shuffle, no join."""
+    out = px
+    for name, s0, ds, d0, dd, n in _axes(src, dst):
+        index = F.col(name)
+        around = _range((s0 + index * ds - d0) / dd - 0.5, (s0 + (index + 1) * ds - d0) / dd - 0.5, n)
+        out = out.withColumn(f"to_{name}", F.explode(around)).where(F.floor((d0 + (F.col(f"to_{name}") + 0.5) * dd - s0) / ds) == index)
     others = [c for c in px.columns if c not in ("row_i", "col_i")]
-    rows = px.withColumn("dst_row", F.explode(_targets_nearest(F.col("row_i"), src.y0, src.dy, dst.y0, dst.dy, dst.height)))
-    cells = rows.withColumn("dst_col", F.explode(_targets_nearest(F.col("col_i"), src.x0, src.dx, dst.x0, dst.dx, dst.width)))
-    return cells.select(*others, F.col("dst_row").alias("row_i"), F.col("dst_col").alias("col_i"))
-
+    return out.select(*others, F.col("to_row_i").alias("row_i"), F.col("to_col_i").alias("col_i"))
 
-def _overlaps(index: Column, s0: float, ds: float, d0: float, dd: float, n: int) -> Column:
-    """(target index, overlap in target cells) of a source cell along one axis."""
-    a, b = (s0 + index * ds - d0) / dd, (s0 + (index + 1) * ds - d0) / dd
-    lo, hi = F.least(a, b), F.greatest(a, b)
-    first, last = F.greatest(F.lit(0), F.floor(lo)), F.least(F.lit(n - 1), F.ceil(hi) - 1)
-    around = F.when(first <= last, F.sequence(first, F.greatest(first, last))).otherwise(F.array().cast("array<bigint>"))
-    shares = F.transform(around, lambda j: F.struct(j.alias("j"), (F.least(hi, j + 1) - F.greatest(lo, j)).alias("w")))
-    return F.filter(shares, lambda s: s["w"] > 0)
 
+def _scatter(px: DataFrame, src: Grid, dst: Grid, linear: bool) -> DataFrame:
+    """Source cells sent to the target cells they feed, with their weight w.
 
-def _bilinear(index: Column, s0: float, ds: float, d0: float, dd: float, n: int) -> Column:
-    """(target index, linear weight) of the target centres less than one source cell from a source centre."""
-    centre = s0 + (index + 0.5) * ds
-    a, b = (centre - ds - d0) / dd - 0.5, (centre + ds - d0) / dd - 0.5
-    first, last = F.greatest(F.lit(0), F.floor(F.least(a, b))), F.least(F.lit(n - 1), F.ceil(F.greatest(a, b)))
-    around = F.when(first <= last, F.sequence(first, F.greatest(first, last))).otherwise(F.array().cast("array<bigint>"))
-    shares = F.transform(around, lambda j: F.struct(j.alias("j"), (1.0 - F.abs((d0 + (j + 0.5) * dd - centre) / ds)).alias("w")))
-    return F.filter(shares, lambda s: s["w"] > 0)
-
-
-def _scatter(px: DataFrame, rows: Column, cols: Column) -> DataFrame:
-    out = px.withColumn("r", F.explode(rows)).withColumn("c", F.explode(cols))
-    return (out.withColumn("w", F.col("r.w") * F.col("c.w")).withColumn("row_i", F.col("r.j")).withColumn("col_i", F.col("c.j")).drop("r", "c"))
+    Area weights are overlaps in target cells; linear weights fall from the source centre to the next centres.
+    Each axis is one generator with plain arithmetic, all of it inside generated code.
+    """
+    out = px
+    for name, s0, ds, d0, dd, n in _axes(src, dst):
+        to = F.col(f"to_{name}")
+        if linear:
+            centre = s0 + (F.col(name) + 0.5) * ds
+            around = _range((centre - ds - d0) / dd - 0.5, (centre + ds - d0) / dd - 0.5, n)
+            weight = 1.0 - F.abs((d0 + (to + 0.5) * dd - centre) / ds)
+        else:
+            a, b = (s0 + F.col(name) * ds - d0) / dd, (s0 + (F.col(name) + 1) * ds - d0) / dd
+            around = _range(a, b, n)
+            weight = F.least(F.greatest(a, b), to + 1) - F.greatest(F.least(a, b), to)
+        out = out.withColumn(f"to_{name}", F.explode(around)).withColumn(f"w_{name}", weight).where(F.col(f"w_{name}") > 0)
+    others = [c for c in px.columns if c not in ("row_i", "col_i")]
+    return out.select(*others, F.col("to_row_i").alias("row_i"), F.col("to_col_i").alias("col_i"), (F.col("w_row_i") * F.col("w_col_i")).alias("w"))
 
 
 def resample_average(px: DataFrame, src: Grid, dst: Grid, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Area mean of the valid part and the valid share of each target cell."""
-    rows = _overlaps(F.col("row_i"), src.y0, src.dy, dst.y0, dst.dy, dst.height)
-    cols = _overlaps(F.col("col_i"), src.x0, src.dx, dst.x0, dst.dx, dst.width)
-    parts = _scatter(px.select(*keys, "row_i", "col_i", value).where(F.col(value).isNotNull()), rows, cols)
+    parts = _scatter(px.select(*keys, "row_i", "col_i", value).where(F.col(value).isNotNull()), src, dst, linear=False)
     return parts.groupBy(*keys, "row_i", "col_i").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias(value), F.sum("w").alias("coverage"))
 
 
 def resample_bilinear(px: DataFrame, src: Grid, dst: Grid, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Linear interpolation between the nearest source centres that have a value."""
-    rows = _bilinear(F.col("row_i"), src.y0, src.dy, dst.y0, dst.dy, dst.height)
-    cols = _bilinear(F.col("col_i"), src.x0, src.dx, dst.x0, dst.dx, dst.width)
-    parts = _scatter(px.select(*keys, "row_i", "col_i", value).where(F.col(value).isNotNull()), rows, cols)
+    parts = _scatter(px.select(*keys, "row_i", "col_i", value).where(F.col(value).isNotNull()), src, dst, linear=True)
     return parts.groupBy(*keys, "row_i", "col_i").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias(value))
 
 
@@ -131,16 +129,17 @@ def circular_kernel(radius: float, res: float, samples: int) -> np.ndarray:
     return inside.reshape(side, samples, side, samples).mean(axis=(1, 3))
 
 
-def kernel_offsets(spark, radius: float, res: float, samples: int) -> DataFrame:
-    """The same kernel as a table (dr, dc, w) of its non-zero cells, computed by Spark."""
-    reach = math.ceil(radius / res)
-    n = (2 * reach + 1) * samples
-    point = F.struct(*[(((c + 0.5) / samples - 0.5 - reach) * res).alias(a) for a, c in (
-        ("y", F.floor(F.col("id") / n)), ("x", F.col("id") % n))])
-    rows = spark.range(n * n).select(
-        (F.floor(F.floor(F.col("id") / n) / samples) - reach).alias("dr"), (F.floor((F.col("id") % n) / samples) - reach).alias("dc"), point.alias("p"))
-    inside = F.col("p.x") * F.col("p.x") + F.col("p.y") * F.col("p.y") <= radius * radius
-    return rows.groupBy("dr", "dc").agg((F.count_if(inside) / float(samples * samples)).alias("w")).where("w > 0")
+def kernel_cells(circles: DataFrame, radius: str, res: float, samples: int) -> DataFrame:
+    """The same kernel for every radius of a table: its non-zero cells (dr, dc, w), one row per cell."""
+    reach = F.ceil(F.col(radius) / res)
+    cells = circles.withColumn("dr", F.explode(F.sequence(-reach, reach))).withColumn("dc", F.explode(F.sequence(-reach, reach)))
+
+    def offsets(c: str) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda i: (F.col(c) + (i + 0.5) / samples - 0.5) * res)
+
+    limit = F.col(radius) * F.col(radius)
+    hits = F.aggregate(offsets("dr"), F.lit(0), lambda n, y: n + F.size(F.filter(offsets("dc"), lambda x: x * x + y * y <= limit)))
+    return cells.withColumn("w", hits / float(samples * samples)).where("w > 0")
 
 
 def with_halo(px: DataFrame, reach: int, tile: int = TILE) -> DataFrame:

@@ -10,6 +10,7 @@ that holds a third of all pixels sends one row per task, not its pixels.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from zonemill import model as M
@@ -79,10 +80,13 @@ def density_stats(px: DataFrame, zones: DataFrame, unit_ha: float, zone: str = "
     v, w = F.col(value), F.col(weight)
     group = [*keys, zone]
     usable = px.where(finite(v.cast("double")) & v.between(0, 100) & (w > 0))
-    sums = usable.groupBy(*group).agg(
-        F.sum(w).alias("w"), F.sum(v * w).alias("vw"), _sum_if(v > 0, w).alias("pw"),
-        *[_sum_if(v.between(a, b), w).alias(f"w_{a}_{b}") for a, b in M.DENSITY_CLASSES])
-    median = Q.weighted_quantiles(usable, group, v, w, {"median_density": 0.5})
+    # Percentages take few values: everything is derived from (group, value) → weight.
+    combined = usable.groupBy(*group, v.alias("v")).agg(F.sum(w).alias("w"))
+    cv, cw = F.col("v"), F.col("w")
+    sums = combined.groupBy(*group).agg(
+        F.sum(cw).alias("w"), F.sum(cv * cw).alias("vw"), _sum_if(cv > 0, cw).alias("pw"),
+        *[_sum_if(cv.between(a, b), cw).alias(f"w_{a}_{b}") for a, b in M.DENSITY_CLASSES])
+    median = Q.weighted_summary(combined, group, cv, cw, {"median_density": 0.5}, combined=True).select(*group, "median_density")
     rows = sums.join(median, group)
     rows = zones.select(zone, "complete_ha").join(rows, zone, "inner" if keys else "left")
     whole = F.col("complete_ha")
@@ -108,15 +112,22 @@ def temperature_stats(px: DataFrame, zones: DataFrame, unit_ha: float, zone: str
     """
     t, u, w = F.col("temp_c"), F.col("uncertainty"), F.col("w")
     group = [*keys, zone]
-    rows = px.where(w > 0)
     clear = (F.col("status") == 1) & finite(t)
-    known = clear & finite(u)
-    sums = rows.groupBy(*group).agg(
-        _sum_if(clear, w).alias("clear_w"), _sum_if(F.col("status") == 2, w).alias("cloud_w"), F.count_if(clear).alias("pixel_count"),
-        F.sum(F.when(clear, t * w)).alias("tw"), F.sum(F.when(known, u * w)).alias("uw"), F.sum(F.when(known, w)).alias("uw_w"))
-    temps = Q.weighted_quantiles(rows.where(clear), group, t, w, {"p10_c": 0.1, "median_c": 0.5, "p90_c": 0.9})
-    doubt = Q.weighted_quantiles(rows.where(known), group, u, w, {"median_uncertainty_k": 0.5})
-    joined = sums.join(temps, group, "left").join(doubt, group, "left")
+    # Three measures of a pixel in one summary, so that the input is read and shuffled once.
+    measures = F.array(
+        F.struct(F.lit("t").alias("m"), F.when(clear, t.cast("double")).alias("v")),
+        F.struct(F.lit("u").alias("m"), F.when(clear & finite(u), u.cast("double")).alias("v")),
+        F.struct(F.lit("cloud").alias("m"), F.when(F.col("status") == 2, 0.0).alias("v")))
+    rows = px.where(w > 0).select(*group, w, F.inline(measures)).where("v IS NOT NULL")
+    found = Q.weighted_summary(rows, [*group, "m"], F.col("v"), w, {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+
+    def of(measure: str, column: str) -> Column:
+        return F.max(F.when(F.col("m") == measure, F.col(column)))
+
+    joined = found.groupBy(*group).agg(
+        of("t", "w").alias("clear_w"), of("cloud", "w").alias("cloud_w"), of("t", "n").alias("pixel_count"), of("t", "vw").alias("tw"),
+        of("u", "vw").alias("uw"), of("u", "w").alias("uw_w"), of("t", "p10").alias("p10_c"), of("t", "p50").alias("median_c"),
+        of("t", "p90").alias("p90_c"), of("u", "p50").alias("median_uncertainty_k"))
     joined = zones.select(zone, "complete_ha").join(joined, zone, "inner" if keys else "left")
     whole = F.col("complete_ha")
     clear_ha, cloud_ha = (F.coalesce(c, F.lit(0.0)) * unit_ha for c in (F.col("clear_w"), F.col("cloud_w")))
@@ -195,13 +206,17 @@ def vegetation_stats(px: DataFrame, combos: DataFrame, zones: DataFrame, thresho
     rows = px.join(combos, ["row_i", "col_i"]).withColumn("reason", reason)
     counted = valid & finite(index)
     free = counted & F.col("reason").isNull()
-    sums = rows.groupBy(*group).agg(
+    # One pass: sums per index bin (at most 2001 and one without a value), from which the totals and the median follow.
+    bins = rows.groupBy(*group, F.when(counted, P.ndvi_bin(index)).alias("b")).agg(
         F.sum(n).alias("total"), _sum_if(counted, n).alias("valid"), _sum_if(free & (index >= threshold), n).alias("likely"),
         _sum_if(free & (index < threshold), n).alias("below"), _sum_if(counted & (F.col("reason") == "cropland"), n).alias("cropland"),
         _sum_if(counted & (F.col("reason") == "water"), n).alias("water"), _sum_if(~counted, n).alias("missing"))
-    histogram = rows.where(counted).groupBy(*group, P.ndvi_bin(index).alias("b")).agg(F.sum(n).alias("n"))
-    median = Q.histogram_quantiles(histogram, group, "b", "n", {"b50": 0.5}).select(*group, "b50")
-    joined = sums.join(median, group, "left").join(zones.select(zone, "exact_m2"), zone)
+    whole = W.partitionBy(*group)
+    upto = F.sum("valid").over(whole.orderBy(F.asc_nulls_last("b")).rowsBetween(W.unboundedPreceding, 0))
+    half = F.greatest(F.lit(1.0), F.ceil(F.sum("valid").over(whole) * 0.5))
+    marked = bins.withColumn("reached", F.when((upto >= half) & F.col("b").isNotNull(), F.col("b")))
+    joined = (marked.groupBy(*group).agg(*[F.sum(p).alias(p) for p in ("total", "valid", "likely", "below", "cropland", "water", "missing")],
+                                         F.min("reached").alias("b50")).join(zones.select(zone, "exact_m2"), zone))
     factor = F.col("exact_m2") / (F.col("total") * unit_m2)
     parts = ["total", "valid", "likely", "below", "cropland", "water", "missing"]
     return joined.select(*group, factor.alias("factor"), *[(F.col(p) * unit_m2 * factor / 10_000.0).alias(f"{p}_ha") for p in parts],
@@ -227,8 +242,6 @@ def calibrate_threshold(samples: DataFrame, keys: tuple[str, ...] = ()) -> DataF
     Works on the two histograms (at most 2001 bins). The best J is taken with a 1e-12 tolerance; the
     lower middle one of the tied bins wins. AUC counts ties half.
     """
-    from pyspark.sql import Window as W
-
     key_list = list(keys) or ["all_rows"]
     rows = samples if keys else samples.withColumn("all_rows", F.lit(1))
     counted = rows.groupBy(*key_list, P.ndvi_bin(F.col("ndvi")).alias("b")).agg(
@@ -277,12 +290,11 @@ def scope_distributions(px: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     rows = (combined.withColumn("scope", F.explode(scopes)).groupBy(*group, "kind", "t").agg(F.sum("n").alias("n")))
     t, n = F.col("t"), F.col("n")
     sums = rows.groupBy(*group).agg(
-        _sum_if(F.col("kind") == "clear", n).cast("bigint").alias("clear_n"), _sum_if(F.col("kind") == "cloud", n).cast("bigint").alias("cloud_n"),
-        _sum_if(F.col("kind") == "missing", n).cast("bigint").alias("missing_n"),
-        _sum_if(t < M.TEMPERATURE_MIN, n).cast("bigint").alias("underflow_n"), _sum_if(t > M.TEMPERATURE_MAX, n).cast("bigint").alias("overflow_n"),
-        (F.sum(t * n) / F.sum(F.when(t.isNotNull(), n))).alias("mean_c"))
-    spread = Q.interpolated_quantiles(rows.where("t IS NOT NULL"), group, t, {"p10_c": 0.1, "median_c": 0.5, "p90_c": 0.9}, n)
-    return sums.join(spread, group, "left")
+        *[_sum_if(condition, n).cast("bigint").alias(name) for name, condition in (
+            ("clear_n", F.col("kind") == "clear"), ("cloud_n", F.col("kind") == "cloud"), ("missing_n", F.col("kind") == "missing"),
+            ("underflow_n", t < M.TEMPERATURE_MIN), ("overflow_n", t > M.TEMPERATURE_MAX))])
+    spread = Q.interpolated_summary(rows, group, t, {"p10_c": 0.1, "median_c": 0.5, "p90_c": 0.9}, n, combined=True)
+    return sums.join(spread.withColumn("mean_c", F.col("vw") / F.col("w")).select(*group, "mean_c", "p10_c", "median_c", "p90_c"), group, "left")
 
 
 def histogram(px: DataFrame, keys: list[str], value: str = "temp_c") -> DataFrame:
@@ -308,11 +320,11 @@ def user_layer_stats(px: DataFrame, value: Column, zones: DataFrame, cell_ha: fl
                      keys: tuple[str, ...] = ()) -> DataFrame:
     """Range, mean and median of any expression over the pixels, valid area and zone area."""
     group = [*keys, zone]
-    rows = px.withColumn("v", F.when(finite(value.cast("double")), value.cast("double"))).where("v IS NOT NULL")
-    sums = rows.groupBy(*group).agg(F.min("v").alias("minimum"), F.max("v").alias("maximum"), F.avg("v").alias("mean"),
-                                    (F.count("*") * cell_ha).alias("valid_ha"))
-    median = Q.interpolated_quantiles(rows, group, F.col("v"), {"median": 0.5})
-    return zones.select(zone, F.col("complete_ha").alias("zone_ha")).join(sums.join(median, group), zone, "inner" if keys else "left")
+    v = value.cast("double")
+    found = Q.interpolated_summary(px, group, F.when(finite(v), v), {"median": 0.5})
+    stats = found.select(*group, F.col("lo").alias("minimum"), F.col("hi").alias("maximum"), (F.col("vw") / F.col("w")).alias("mean"), "median",
+                         (F.col("w") * cell_ha).alias("valid_ha"))
+    return zones.select(zone, F.col("complete_ha").alias("zone_ha")).join(stats, zone, "inner" if keys else "left")
 
 
 def user_class_stats(px: DataFrame, value: Column, classes: list[int], cell_ha: float, zone: str = "sector_id",
@@ -344,14 +356,12 @@ def observation_profile(px: DataFrame, value: str, valid: Column, n_bins: int, k
     """Valid share, median of the valid values and their density histogram with equal bins, one row per bin."""
     v = F.when(valid & finite(F.col(value)), F.col(value))
     rows = px.withColumn("v", v)
-    spread = rows.groupBy(*keys).agg(F.avg(v.isNotNull().cast("double")).alias("valid_share"), F.min("v").alias("lo"),
-                                     F.max("v").alias("hi"), F.count("v").alias("total"))
-    median = Q.interpolated_quantiles(rows.where("v IS NOT NULL"), keys, F.col("v"), {"median": 0.5})
+    share = rows.groupBy(*keys).agg(F.avg(v.isNotNull().cast("double")).alias("valid_share"))
+    spread = Q.interpolated_summary(rows, keys, F.col("v"), {"median": 0.5}).join(share, keys)
     width = (F.col("hi") - F.col("lo")) / n_bins
     b = F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(n_bins - 1)).cast("int")
-    counts = (rows.where("v IS NOT NULL").join(spread, keys).groupBy(*keys, b.alias("bin")).agg(F.count("*").alias("n")))
-    return (counts.join(spread, keys).join(median, keys)
-            .select(*keys, "bin", "n", "valid_share", "median", (F.col("n") / (F.col("total") * width)).alias("density")))
+    counts = rows.where("v IS NOT NULL").join(spread.select(*keys, "lo", "hi"), keys).groupBy(*keys, b.alias("bin")).agg(F.count("*").alias("n"))
+    return counts.join(spread, keys).select(*keys, "bin", "n", "valid_share", "median", (F.col("n") / (F.col("w") * width)).alias("density"))
 
 
 def composition(stats: DataFrame, keys: list[str], classes: list, total: str, code: str = "code", area: str = "area_ha") -> DataFrame:

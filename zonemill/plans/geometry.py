@@ -10,6 +10,7 @@ from zonemill.operators import geometry as GE
 from zonemill.operators import raster as RA
 from zonemill.operators import zonal as Z
 from zonemill.plans import standins as V
+from zonemill.session import spread
 from zonemill.plans.pixels import sub, weights_sql
 from zonemill.plans.registry import query
 from zonemill.plans.standins import r6, sql
@@ -113,15 +114,15 @@ def g08(spark, d):
                                                F.size(GE.subset_rings(F.col("geom"), 20.0, 10.0, 50.0, 60.0)).alias("kept"))
 
 
-@query("g12_circular_kernel", """
-WITH k AS (SELECT i AS dr, j AS dc FROM generate_series(-3, 3) a(i), generate_series(-3, 3) b(j)),
-s AS (SELECT dr, dc, ((dr + (p + 0.5E0) / 8 - 0.5E0) * 10) AS y, ((dc + (q + 0.5E0) / 8 - 0.5E0) * 10) AS x FROM k, generate_series(0, 7) c(p), generate_series(0, 7) e(q)),
-w AS (SELECT dr, dc, count(*) FILTER (x * x + y * y <= 900) / 64.0E0 AS w FROM s GROUP BY dr, dc)
-SELECT dr, dc, w * n AS w FROM w, (SELECT count(*) AS n FROM region) WHERE w > 0""")
+@query("g12_circular_kernel", sql("poly", """
+WITH k AS (SELECT poly_id, r * 5.0E0 AS radius, i AS dr, j AS dc FROM poly, unnest(generate_series(-CAST(ceil(r / 2.0E0) AS BIGINT), CAST(ceil(r / 2.0E0) AS BIGINT))) a(i),
+  unnest(generate_series(-CAST(ceil(r / 2.0E0) AS BIGINT), CAST(ceil(r / 2.0E0) AS BIGINT))) b(j)),
+s AS (SELECT poly_id, radius, dr, dc, (dr + (p + 0.5E0) / 4 - 0.5E0) * 10 AS y, (dc + (q + 0.5E0) / 4 - 0.5E0) * 10 AS x FROM k, generate_series(0, 3) c(p), generate_series(0, 3) e(q))
+SELECT poly_id, dr, dc, count(*) FILTER (x * x + y * y <= radius * radius) / 16.0E0 AS w FROM s GROUP BY poly_id, dr, dc HAVING w > 0"""))
 def g12(spark, d):
-    regions = V.table(spark, d, "region").agg(F.count("*").alias("n"))
-    kernel = RA.kernel_offsets(spark, 30.0, 10.0, 8)
-    return kernel.join(F.broadcast(regions)).select("dr", "dc", (F.col("w") * F.col("n")).alias("w"))
+    """A kernel per polygon: the circle of half its radius on 10 m cells."""
+    circles = V.diamonds(spark, d).select("poly_id", (F.col("r") * 5.0).alias("radius"))
+    return RA.kernel_cells(circles, "radius", 10.0, 4).select("poly_id", "dr", "dc", "w")
 
 
 @query("g13_circle_polygon", f"""
@@ -188,7 +189,7 @@ WITH p AS ({POINTS}), e AS (SELECT poly_id, cx + r AS x1, cy AS y1, cx AS x2, cy
   UNION ALL SELECT poly_id, cx - r, cy, cx, cy - r FROM poly UNION ALL SELECT poly_id, cx, cy - r, cx + r, cy FROM poly)
 SELECT id, poly_id FROM p JOIN e ON (y1 > y) <> (y2 > y) AND x < CAST(x2 - x1 AS DOUBLE) * (y - y1) / (y2 - y1) + x1 GROUP BY id, poly_id HAVING count(*) % 2 = 1"""))
 def j08(spark, d):
-    return GE.points_in_polygons(points(spark, d), V.diamond_polygons(spark, d), "poly_id", 5.0).select("id", "poly_id")
+    return GE.points_in_polygons(spread(points(spark, d)), V.diamond_polygons(spark, d), "poly_id", 5.0).select("id", "poly_id")
 
 
 OVERLAY = """e1 AS (SELECT poly_id, cx + r AS x1, cy AS y1, cx AS x2, cy + r AS y2 FROM poly UNION ALL SELECT poly_id, cx, cy + r, cx - r, cy FROM poly

@@ -11,6 +11,7 @@ from zonemill.operators import scenes as SC
 from zonemill.operators import tables as TB
 from zonemill.operators import zonal as Z
 from zonemill.plans import standins as V
+from zonemill.session import spread
 from zonemill.plans.registry import query
 from zonemill.plans.standins import CELL_HA, r6, sql
 from zonemill.plans.scalars import MERC_HA, MERCATOR
@@ -88,7 +89,7 @@ def weights_sql(scale):
 
 def weighted_pixels(spark, d, scale=10):
     weights = GE.fractional_weights(V.diamond_polygons(spark, d), ["poly_id"], V.GRID, scale)
-    return V.pixels(spark, d).join(weights, ["row_i", "col_i"])
+    return spread(V.pixels(spark, d)).join(weights, ["row_i", "col_i"])
 
 
 def diamond_zones(spark, d):
@@ -271,7 +272,7 @@ def a11(spark, d):
 
 
 def series(spark, d):
-    return TB.with_series(zoned(spark, d), "code", {"low": ["1", "2"], "high": ["3", "4"]})
+    return TB.with_series(zoned(spark, d, spread(V.pixels(spark, d))), "code", {"low": ["1", "2"], "high": ["3", "4"]})
 
 
 BRIDGE = """(VALUES (1, 'family:low'), (2, 'family:low'), (3, 'family:high'), (4, 'family:high'), (1, 'class:1'), (2, 'class:2'), (3, 'class:3'),

@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zonemill.functions.numbers import half_up
-
 Plan = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Plan] = {}
 ORACLES: dict[str, str] = {}
@@ -29,9 +27,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
 
 
 def present(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Presentation rounding, once, at the very end: operators return unrounded doubles."""
+    """Presentation rounding, once, at the very end: operators return unrounded doubles.
+
+    The half is nudged up a little, so that a decimal tie rounds the same way whatever the order of a sum was.
+    """
+    scale = float(10**digits)
     return df.select([
-        half_up(F.col(f"`{f.name}`").cast("double"), digits).alias(f.name)
+        (F.floor(F.col(f"`{f.name}`").cast("double") * scale + 0.50137).cast("double") / scale).alias(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`")
         for f in df.schema.fields
     ])

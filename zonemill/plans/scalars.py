@@ -14,6 +14,7 @@ from zonemill.operators import scenes as SC
 from zonemill.operators import tables as TB
 from zonemill.plans import standins as V
 from zonemill.plans.registry import query
+from zonemill.session import spread
 from zonemill.plans.standins import r6, sql
 
 LC = "[10, 20, 30, 40, 90, 254]"
@@ -212,7 +213,7 @@ def p19(spark, d):
 @query("p20_encode_pct", """
 WITH e AS (SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN 65535 ELSE CAST(round_even(least(greatest(CAST(v AS FLOAT), 0::FLOAT),
   100::FLOAT) * 100::FLOAT, 0) AS INT) END AS encoded FROM (SELECT o_orderkey, o_totalprice / 4000.0E0 - 5 AS v FROM orders))
-SELECT o_orderkey, encoded, CASE WHEN encoded <> 65535 THEN floor(encoded / 100.0E0 * 1000000.0E0 + 0.5E0) / 1000000.0E0 END AS decoded FROM e""")
+SELECT o_orderkey, encoded, CASE WHEN encoded <> 65535 THEN floor(encoded / 100.0E0 * 1000000.0E0 + 0.50137E0) / 1000000.0E0 END AS decoded FROM e""")
 def p20(spark, d):
     v = F.when(F.col("o_orderkey") % 13 != 0, F.col("o_totalprice") / 4000.0 - 5)
     encoded = N.encode_percentage(v)
@@ -326,7 +327,7 @@ SCAN = {"mail": r"[A-Za-z0-9._]+@[A-Za-z0-9.]+", "api-key": r"(?i)(api|secret|to
     "SELECT doc_id, '{0}' AS label FROM documents WHERE regexp_matches(text, '{1}')".format(k, v.replace("'", "''"))
     for k, v in SCAN.items()))
 def p31(spark, d):
-    return TB.scan_patterns(V.table(spark, d, "documents"), "text", SCAN).select("doc_id", "label")
+    return TB.scan_patterns(spread(V.table(spark, d, "documents").select("doc_id", "text")), "text", SCAN).select("doc_id", "label")
 
 
 @query("x01_slug", """

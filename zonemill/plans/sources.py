@@ -158,10 +158,12 @@ def s03(spark, d):
 
 @query("s02_feature_collection", sql("poly", "SELECT CAST(poly_id AS VARCHAR) AS feature_id, 'MultiPolygon' AS kind, 2.0E0 * r * r AS area FROM poly"))
 def s02(spark, d):
-    """Whole documents, one per class, taken apart into features."""
+    """Whole documents of ten features, taken apart into features."""
     from zonemill.model import FEATURE
     rows = V.diamond_polygons(spark, d)
-    features = SK.feature_rows(rows, "poly_id", ["poly_id"]).withColumn("bucket", F.crc32("value") % 8)
+    # Ten features a document, so that a document stays small however many features there are.
+    features = SK.feature_rows(rows, "poly_id", ["poly_id"]).withColumn(
+        "bucket", F.floor(F.get_json_object("value", "$.id").cast("bigint") / 10))
     documents = features.groupBy("bucket").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("value"), ","), F.lit("]}")).alias("doc"))
     parsed = documents.select(F.explode(F.from_json("doc", "struct<features: array<" + FEATURE.simpleString() + ">>")["features"]).alias("f"))
     out = RD._feature_columns(parsed, "poly_id")

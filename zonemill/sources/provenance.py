@@ -31,7 +31,9 @@ def pending_partitions(wanted: DataFrame, stored: DataFrame, keys: tuple[str, ..
     return wanted.join(done, [*keys, "source_hash", "n_expected"], "left_anti")
 
 
-def over_budget(files: DataFrame, group: str, budgets: dict[str, int]) -> DataFrame:
-    """Groups of files larger than their budget in bytes."""
-    limit = F.create_map(*[F.lit(x) for pair in budgets.items() for x in pair])[F.col(group)]
+def over_budget(files: DataFrame, group: str, budgets: dict[str, int], default: int | None = None) -> DataFrame:
+    """Groups of files larger than their budget in bytes; groups without a budget have the default one."""
+    limit = F.lit(default)
+    for name, size in budgets.items():
+        limit = F.when(F.col(group) == name, F.lit(size)).otherwise(limit)
     return files.groupBy(group).agg(F.sum("length").alias("n_bytes")).withColumn("budget", limit.cast("bigint")).where(F.col("n_bytes") > F.col("budget"))
