@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from zonemill import model as M
 from zonemill.functions import space as S
 from zonemill.model import Grid
+from zonemill.session import sized
 
 # --- Geometry columns -----------------------------------------------------------------------------
 
@@ -225,7 +226,7 @@ def grid_majority(polys: DataFrame, grid: Grid, value: str, order: str, scale: i
 
 def cell_combos(zone_subcells: DataFrame, class_subcells: DataFrame, scale: int) -> DataFrame:
     """Sub-cell counts per cell, zone and class: the grid-level table all observations share."""
-    both = zone_subcells.join(class_subcells, ["sub_row", "sub_col"], "left")
+    both = zone_subcells.join(class_subcells.hint("merge"), ["sub_row", "sub_col"], "left")
     others = [c for c in both.columns if c not in ("sub_row", "sub_col")]
     return (both.groupBy(F.floor(F.col("sub_row") / scale).alias("row_i"), F.floor(F.col("sub_col") / scale).alias("col_i"), *others)
             .agg(F.count("*").alias("n")))
@@ -259,6 +260,7 @@ def points_in_polygons(points: DataFrame, polys: DataFrame, key: str, cell: floa
     px, py = F.col(x), F.col(y)
     hits = F.filter("strip_edges", lambda e: ((e["y1"] > py) != (e["y2"] > py)) & (
         px < (e["x2"] - e["x1"]) * (py - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]))
+    strips = sized(strips)
     placed = points.withColumn("cx", F.floor(px / cell)).withColumn("cy", F.floor(py / cell))
     near = px.between(F.col("lo"), F.col("hi")) & py.between(F.col("bottom"), F.col("top"))
     return (placed.join(strips, ["cx", "cy"]).where(near).where(F.size(hits) % 2 == 1)
@@ -277,7 +279,8 @@ def candidate_pairs(a: DataFrame, b: DataFrame, a_key: str, b_key: str, cell: fl
         ys = F.sequence(F.floor(F.col(f"{p}y0") / cell), F.floor(F.col(f"{p}y1") / cell))
         return box.withColumn("cx", F.explode(xs)).withColumn("cy", F.explode(ys))
 
-    both = boxes(a, a_key, "a").join(boxes(b, b_key, "b"), ["cx", "cy"])
+    # After the explode the planner cannot tell the sizes: no broadcast, skewed cells are split at run time.
+    both = boxes(a, a_key, "a").join(boxes(b, b_key, "b").hint("merge"), ["cx", "cy"])
     touch = S.boxes_touch(*[F.col(f"a{c}") for c in ("x0", "y0", "x1", "y1")], *[F.col(f"b{c}") for c in ("x0", "y0", "x1", "y1")])
     home = ((F.col("cx") == F.floor(F.greatest("ax0", "bx0") / cell)) & (F.col("cy") == F.floor(F.greatest("ay0", "by0") / cell)))
     return both.where(touch & home).select(a_key, b_key)
@@ -307,7 +310,7 @@ def overlay_area(a: DataFrame, b: DataFrame, a_key: str, b_key: str, cell: float
     strip = strip or cell
     pairs = candidate_pairs(a, b, a_key, b_key, cell, geom)
     ea, eb = _strip_edges(a, a_key, strip, "a_", geom), _strip_edges(b, b_key, strip, "b_", geom)
-    joined = pairs.join(ea, a_key).join(eb, [b_key, "strip"])
+    joined = pairs.join(ea.hint("merge"), a_key).join(eb.hint("merge"), [b_key, "strip"])
     lo, hi = F.greatest("a_lo", "b_lo"), F.least("a_hi", "b_hi")
     both = joined.where(lo < hi).withColumn("lo", lo).withColumn("w", hi - lo)
     at_lo = (F.col("a_y") + (F.col("lo") - F.col("a_lo")) * F.col("a_m")) - (F.col("b_y") + (F.col("lo") - F.col("b_lo")) * F.col("b_m"))

@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from zonemill.functions import pixels as P
 from zonemill.model import FOCAL_COVERAGE, Grid
+from zonemill.session import sized
 
 TILE = 256
 
@@ -213,16 +215,15 @@ def focal_density(fractions: DataFrame, codes: list[int], kernel: np.ndarray, ti
     return out.select("obs_id", "row_i", "col_i", *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in (*[f"pct_{k}" for k in codes], "coverage_pct")])
 
 
-def mask_to_municipality(px: DataFrame, index: DataFrame) -> DataFrame:
+def mask_to_municipality(px: DataFrame, index: DataFrame, grid: Grid) -> DataFrame:
     """Classified pixels inside a municipality, with its key: the copy that is stored per municipality."""
-    return px.join(index, ["row_i", "col_i"])
+    return px.join(sized(index, grid.width * grid.height), ["row_i", "col_i"])
 
 
-def vegetation_mask(px: DataFrame, sector_votes: DataFrame, classes: DataFrame, threshold: float, min_votes: int = 5) -> DataFrame:
+def vegetation_mask(px: DataFrame, sector_votes: DataFrame, classes: DataFrame, threshold: float, grid: Grid, min_votes: int = 5) -> DataFrame:
     """Display pixels: valid, clearly inside a sector, not excluded by the dominant class, index above the threshold."""
-    from zonemill.functions import pixels as P
-
     clear = sector_votes.where(F.col("votes") >= min_votes).select("row_i", "col_i", "sector_id")
-    rows = px.where(F.col("valid") & (F.col("ndvi") >= threshold)).join(clear, ["row_i", "col_i"])
-    judged = rows.join(classes.select("row_i", "col_i", "use"), ["row_i", "col_i"], "left")
+    cells = grid.width * grid.height
+    rows = px.where(F.col("valid") & (F.col("ndvi") >= threshold)).join(sized(clear, cells), ["row_i", "col_i"])
+    judged = rows.join(sized(classes.select("row_i", "col_i", "use"), cells), ["row_i", "col_i"], "left")
     return judged.where(P.exclusion_reason(F.col("cover"), F.col("use")).isNull())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from zonemill.functions import space as S
 from zonemill.model import Grid
+from zonemill.session import sized
 
 
 def sample_points(points: DataFrame, px: DataFrame, grid: Grid, value: str, x: Column | None = None,
@@ -33,7 +34,7 @@ def sample_density(points: DataFrame, density: DataFrame, scope: DataFrame, code
     bands = [F.col(f"pct_{c}") for c in codes]
     total = F.least(F.lit(100.0), sum(bands[1:], bands[0]))
     found = (points.withColumn("row_i", row).withColumn("col_i", col)
-             .join(inside.select("row_i", "col_i", F.lit(True).alias("in_scope")), ["row_i", "col_i"], "left")
+             .join(sized(inside.select("row_i", "col_i", F.lit(True).alias("in_scope")), grid.width * grid.height), ["row_i", "col_i"], "left")
              .join(density, [*keys, "row_i", "col_i"], "left"))
     known = F.col("coverage_pct").isNotNull()
     for band in bands:

@@ -51,9 +51,10 @@ def component_groups(df: DataFrame, column: str, definition: list[tuple[str, str
 
 def unmatched_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Keys that only one side has, with the side that lacks them. Empty means a complete join."""
-    only_left = left.join(right.select(key), key, "left_anti").select(key, F.lit("right").alias("missing_in"))
-    only_right = right.join(left.select(key), key, "left_anti").select(key, F.lit("left").alias("missing_in"))
-    return only_left.unionByName(only_right).distinct()
+    # Distinct first: a key that fills one side becomes one row before it is shuffled.
+    a, b = left.select(key).distinct(), right.select(key).distinct()
+    only_left = a.join(b, key, "left_anti").withColumn("missing_in", F.lit("right"))
+    return only_left.unionByName(b.join(a, key, "left_anti").withColumn("missing_in", F.lit("left")))
 
 
 def join_complete(left: DataFrame, right: DataFrame, key: str, check: bool = True) -> DataFrame:

@@ -17,22 +17,29 @@ from zonemill import model as M
 from zonemill.functions import pixels as P
 from zonemill.functions.numbers import finite, percentage
 from zonemill.operators import quantiles as Q
-from zonemill.operators.tables import literal_map
+from zonemill.operators.tables import literal_map, with_series
+from zonemill.session import sized
 
 BLOCK = 64
 
 
-def assign_zone(px: DataFrame, spans: DataFrame, block: int = BLOCK) -> DataFrame:
+def assign_zone(px: DataFrame, spans: DataFrame, block: int = BLOCK, bound: int | None = None) -> DataFrame:
     """Pixels joined to the zone whose span covers them (cell centre rule).
 
     Spans (row_i, c0, c1 inclusive, zone columns) are cut into column blocks, so the join is an
-    equi-join on (row, block) with a small residual test, and no cell list is ever materialised.
+    equi-join on (row, block) with a small residual test, and no cell list is ever materialised. The spans
+    are broadcast only when they are few (``bound`` or a count); a larger set is shuffled with the pixels.
     """
     first, last = F.floor(F.col("c0") / block), F.floor(F.col("c1") / block)
     cut = spans.withColumn("blk", F.explode(F.sequence(first, last))).withColumnRenamed("row_i", "span_row")
     cond = ((F.col("row_i") == F.col("span_row")) & (F.floor(F.col("col_i") / block) == F.col("blk"))
             & F.col("col_i").between(F.col("c0"), F.col("c1")))
-    return px.join(cut, cond).drop("span_row", "blk", "c0", "c1")
+    return px.join(sized(cut, bound), cond).drop("span_row", "blk", "c0", "c1")
+
+
+def with_weights(px: DataFrame, weights: DataFrame, bound: int | None = None) -> DataFrame:
+    """Pixels × the zones that cover part of them, with the covered sub-cells w."""
+    return px.join(sized(weights, bound), ["row_i", "col_i"])
 
 
 def _sum_if(condition: Column, value: Column | float = 1) -> Column:
@@ -193,7 +200,7 @@ def change_stats(pairs: DataFrame, area_ha: Column, keys: list[str], before: str
 
 
 def vegetation_stats(px: DataFrame, combos: DataFrame, zones: DataFrame, threshold: float, unit_m2: float,
-                     zone: str = "sector_id", keys: tuple[str, ...] = ()) -> DataFrame:
+                     zone: str = "sector_id", keys: tuple[str, ...] = (), bound: int | None = None) -> DataFrame:
     """Vegetation areas from pixels × (cell, zone, land use, n sub-cells).
 
     Raster areas are scaled so that their total is the exact zone area (``zones.exact_m2``); shares use
@@ -203,7 +210,7 @@ def vegetation_stats(px: DataFrame, combos: DataFrame, zones: DataFrame, thresho
     index = F.col("ndvi")
     reason = P.exclusion_reason(F.col("cover"), F.col("use"))
     group = [*keys, zone]
-    rows = px.join(combos, ["row_i", "col_i"]).withColumn("reason", reason)
+    rows = px.join(sized(combos, bound), ["row_i", "col_i"]).withColumn("reason", reason)
     counted = valid & finite(index)
     free = counted & F.col("reason").isNull()
     # One pass: sums per index bin (at most 2001 and one without a value), from which the totals and the median follow.
@@ -229,11 +236,11 @@ def overlap_counts(cells: DataFrame, pairs: dict[str, tuple[int, str]]) -> DataF
     return cells.agg(*[F.count_if((F.col("cover") == c) & (F.col("use") == u)).alias(name) for name, (c, u) in pairs.items()])
 
 
-def calibration_samples(px: DataFrame, dominant: DataFrame, min_votes: int = 8) -> DataFrame:
+def calibration_samples(px: DataFrame, dominant: DataFrame, min_votes: int = 8, bound: int | None = None) -> DataFrame:
     """Valid pixels of cells with a clear land use, labelled positive or negative."""
     sample = (F.when(F.col("use").isin(M.VEGETATION_POSITIVE), "positive").when(F.col("use").isin(M.VEGETATION_NEGATIVE), "negative"))
     cells = dominant.where(F.col("votes") >= min_votes).withColumn("sample", sample).where("sample IS NOT NULL")
-    return px.where("valid AND ndvi IS NOT NULL").join(cells.select("row_i", "col_i", "sample"), ["row_i", "col_i"])
+    return px.where("valid AND ndvi IS NOT NULL").join(sized(cells.select("row_i", "col_i", "sample"), bound), ["row_i", "col_i"])
 
 
 def calibrate_threshold(samples: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -273,17 +280,19 @@ def calibrate_threshold(samples: DataFrame, keys: tuple[str, ...] = ()) -> DataF
 # --- Distributions by scope -----------------------------------------------------------------------
 
 
-def scope_distributions(px: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def scope_distributions(px: DataFrame, keys: tuple[str, ...] = (), families: dict[str, list[str]] | None = None, code: str = "code") -> DataFrame:
     """Temperature distribution per scope (region, municipality, sector) and series.
 
-    ``px`` brings sector_id, municipality, series, status, temp_c. Pixels are first combined per sector,
-    series, status and value; scopes are expanded on that, not on pixels. Percentiles use all clear
-    values, also those outside the bins.
+    ``px`` brings sector_id, municipality, status, temp_c and either a series or, with ``families``, a class
+    code. Pixels are first combined per sector, class, status and value; series and scopes are expanded on
+    that, not on pixels. Percentiles use all clear values, also those outside the bins.
     """
     clear = (F.col("status") == 1) & finite(F.col("temp_c"))
     combined = (px.withColumn("t", F.when(clear, F.col("temp_c")))
                 .withColumn("kind", F.when(clear, "clear").when(F.col("status") == 2, "cloud").when(F.col("status") == 0, "missing"))
-                .groupBy(*keys, "sector_id", "municipality", "series", "kind", "t").agg(F.count("*").alias("n")))
+                .groupBy(*keys, "sector_id", "municipality", "series" if families is None else code, "kind", "t").agg(F.count("*").alias("n")))
+    if families is not None:
+        combined = with_series(combined, code, families)
     scopes = F.array(F.lit("region:all"), F.concat(F.lit("municipality:"), "municipality"),
                      F.concat(F.lit("sector:"), F.col("sector_id").cast("string")))
     group = [*keys, "scope", "series"]

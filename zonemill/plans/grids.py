@@ -18,6 +18,7 @@ from zonemill.plans.geometry import cell_votes, votes
 from zonemill.plans.pixels import NDVI, sub
 from zonemill.plans.registry import query
 from zonemill.plans.standins import r6, sql
+from zonemill.session import sized
 
 
 @query("s05_explode_tiles", sql("px", "SELECT obs_id, row_i, col_i, code FROM px"))
@@ -149,7 +150,7 @@ def g16(spark, d):
 @query("g18_mask_to_municipality", sql("pz", "SELECT obs_id, municipality, code, count(*) AS n FROM pz WHERE code <> 0 GROUP BY obs_id, municipality, code"))
 def g18(spark, d):
     index = GE.scope_index(V.zone_polygons(spark, d), V.GRID, ["municipality", "sector_id"]).drop("sector_id")
-    masked = RA.mask_to_municipality(V.pixels(spark, d).where("code <> 0"), index)
+    masked = RA.mask_to_municipality(V.pixels(spark, d).where("code <> 0"), index, V.GRID)
     return masked.groupBy("obs_id", "municipality", "code").agg(F.count("*").alias("n"))
 
 
@@ -193,7 +194,7 @@ def vegetation(spark, d):
         F.col("row_i").alias("sub_row"), F.col("col_i").alias("sub_col"), "sector_id")
     combos = GE.cell_combos(zone_cells, GE.last_feature(used(spark, d), V.GRID, 3, "use", "poly_id"), 3)
     zones = V.zones(spark, d).select("sector_id", F.lit(39960.0).alias("exact_m2"))
-    return Z.vegetation_stats(vegetation_px(spark, d), combos, zones, 0.1, 11.0, keys=("obs_id",))
+    return Z.vegetation_stats(vegetation_px(spark, d), combos, zones, 0.1, 11.0, keys=("obs_id",), bound=9 * V.SIDE * V.SIDE)
 
 
 @query("a12_vegetation_stats", sql("px poly zone", f"""
@@ -225,7 +226,7 @@ def dominant_use(spark, d):
 WITH {VEG_PX}, {USE_VOTES} SELECT count(*) FILTER (cover = 40 AND use = '23000') AS cropland_pasture, count(*) FILTER (cover = 30 AND use = '21000') AS grassland_arable
 FROM vp JOIN ud USING (row_i, col_i)"""))
 def a13(spark, d):
-    cells = vegetation_px(spark, d).join(dominant_use(spark, d), ["row_i", "col_i"])
+    cells = vegetation_px(spark, d).join(sized(dominant_use(spark, d), V.SIDE * V.SIDE), ["row_i", "col_i"])
     return Z.overlap_counts(cells, {"cropland_pasture": (40, "23000"), "grassland_arable": (30, "21000")})
 
 
@@ -235,7 +236,7 @@ SAMPLES = f"""{VEG_PX}, {USE_VOTES}, sm AS (SELECT vp.*, CASE WHEN use IN ('1411
 
 @query("a27_calibration_samples", sql("px poly", f"WITH {SAMPLES} SELECT obs_id, row_i, col_i, sample, {r6('ndvi')} AS ndvi FROM sm"))
 def a27(spark, d):
-    return Z.calibration_samples(vegetation_px(spark, d), dominant_use(spark, d)).select("obs_id", "row_i", "col_i", "sample", "ndvi")
+    return Z.calibration_samples(vegetation_px(spark, d), dominant_use(spark, d), bound=V.SIDE * V.SIDE).select("obs_id", "row_i", "col_i", "sample", "ndvi")
 
 
 @query("g19_vegetation_mask", sql("px poly zone", f"""
@@ -245,7 +246,7 @@ SELECT obs_id, row_i, col_i, sector_id FROM k WHERE reason IS NULL"""))
 def g19(spark, d):
     zone_votes = GE.fractional_weights(V.zone_polygons(spark, d), ["sector_id"], V.GRID, 3).withColumnRenamed("w", "votes")
     sectors = GE.dominant_subpixel(zone_votes, "sector_id")
-    return RA.vegetation_mask(vegetation_px(spark, d), sectors, dominant_use(spark, d), 0.1).select("obs_id", "row_i", "col_i", "sector_id")
+    return RA.vegetation_mask(vegetation_px(spark, d), sectors, dominant_use(spark, d), 0.1, V.GRID).select("obs_id", "row_i", "col_i", "sector_id")
 
 
 # --- Surface comparison: majority class of each pixel against temperature --------------------------
@@ -257,7 +258,7 @@ m AS (SELECT row_i, col_i, CASE WHEN max(top) >= 5 AND count(*) FILTER (votes =
 SELECT obs_id, CAST(v AS VARCHAR) AS class_code, count(*) AS n, {r6('avg(temp_c)')} AS mean_c FROM px JOIN m USING (row_i, col_i) WHERE v <> 0 AND status = 1 GROUP BY obs_id, v"""))
 def g06b(spark, d):
     majority = GE.unique_majority(cell_votes(spark, d, 3), "v", 5).where("v <> 0")
-    rows = V.pixels(spark, d).where("status = 1").join(majority, ["row_i", "col_i"])
+    rows = V.pixels(spark, d).where("status = 1").join(sized(majority, V.SIDE * V.SIDE), ["row_i", "col_i"])
     return (rows.groupBy("obs_id", F.col("v").cast("string").alias("class_code"))
             .agg(F.count("*").alias("n"), F.avg("temp_c").alias("mean_c")))
 

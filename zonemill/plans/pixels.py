@@ -32,7 +32,8 @@ def zones(spark, d):
 
 
 def zoned(spark, d, px=None):
-    return Z.assign_zone(V.pixels(spark, d) if px is None else px, zone_spans(spark, d))
+    # Zones do not overlap, so there cannot be more spans than cells.
+    return Z.assign_zone(V.pixels(spark, d) if px is None else px, zone_spans(spark, d), bound=V.SIDE * V.SIDE)
 
 
 CAT = f"""SELECT obs_id, sector_id, {COMPLETE} AS complete_ha, k.code, count(*) FILTER (pz.code = k.code) * {HA} AS area_ha,
@@ -45,7 +46,7 @@ SELECT obs_id, sector_id, complete_ha, code, area_ha, valid_ha, {r6('area_ha / c
 def a01(spark, d):
     """The whole chain: zone polygons → spans → pixels in zones → class areas."""
     polygons = V.zone_polygons(spark, d)
-    located = Z.assign_zone(V.pixels(spark, d).select("obs_id", "row_i", "col_i", "code"), GE.rasterize(polygons, ["sector_id"], V.GRID))
+    located = Z.assign_zone(V.pixels(spark, d).select("obs_id", "row_i", "col_i", "code"), GE.rasterize(polygons, ["sector_id"], V.GRID), bound=V.SIDE * V.SIDE)
     return Z.categorical_stats(located, zones(spark, d), [1, 2, 3, 4], CELL_HA, keys=("obs_id",))
 
 
@@ -89,7 +90,7 @@ def weights_sql(scale):
 
 def weighted_pixels(spark, d, scale=10):
     weights = GE.fractional_weights(V.diamond_polygons(spark, d), ["poly_id"], V.GRID, scale)
-    return spread(V.pixels(spark, d)).join(weights, ["row_i", "col_i"])
+    return Z.with_weights(spread(V.pixels(spark, d)), weights)
 
 
 def diamond_zones(spark, d):
@@ -271,10 +272,6 @@ def a11(spark, d):
 # --- Distributions --------------------------------------------------------------------------------
 
 
-def series(spark, d):
-    return TB.with_series(zoned(spark, d, spread(V.pixels(spark, d))), "code", {"low": ["1", "2"], "high": ["3", "4"]})
-
-
 BRIDGE = """(VALUES (1, 'family:low'), (2, 'family:low'), (3, 'family:high'), (4, 'family:high'), (1, 'class:1'), (2, 'class:2'), (3, 'class:3'),
   (4, 'class:4')) s(code, series) ON s.code = pz.code"""
 SCOPES = "unnest(['region:all', 'municipality:' || municipality, 'sector:' || sector_id]) AS scope"
@@ -287,7 +284,7 @@ SELECT obs_id, scope, series, count(*) FILTER (status = 1) AS clear_n, count(*)
   {r6('quantile_cont(t, 0.1) FILTER (status = 1)')} AS p10_c, {r6('quantile_cont(t, 0.5) FILTER (status = 1)')} AS median_c,
   {r6('quantile_cont(t, 0.9) FILTER (status = 1)')} AS p90_c FROM ({DIST}) GROUP BY obs_id, scope, series"""))
 def a14(spark, d):
-    return Z.scope_distributions(series(spark, d), ("obs_id",))
+    return Z.scope_distributions(zoned(spark, d, spread(V.pixels(spark, d))), ("obs_id",), {"low": ["1", "2"], "high": ["3", "4"]})
 
 
 @query("a14_assigned_pixels", sql("pz", f"SELECT obs_id, scope, count(*) AS n FROM (SELECT obs_id, {SCOPES} FROM pz) GROUP BY obs_id, scope"))

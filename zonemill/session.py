@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Adaptive execution decides broadcast or sort-merge, splits skewed join partitions and
 # coalesces small ones at run time; nothing below depends on the data volume.
@@ -60,3 +61,17 @@ def spread(df: DataFrame, limit: int = SMALL_INPUT) -> DataFrame:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if size <= limit and cores > 1 else df
+
+
+BROADCAST_ROWS = 2_000_000
+
+
+def sized(df: DataFrame, bound: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Join side that comes out of a generator: broadcast if it is small for certain, else sort-merge.
+
+    The planner does not see how many rows an explode makes, so its own choice would rest on the size of the
+    file underneath. ``bound`` is a row count that cannot be exceeded (the cells of a grid); without one the
+    rows are counted. Beyond the limit the join shuffles, where adaptive execution splits skewed partitions.
+    """
+    n = df.count() if bound is None else bound
+    return F.broadcast(df) if n <= limit else df.hint("merge")
