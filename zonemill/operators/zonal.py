@@ -18,7 +18,7 @@ from zonemill.functions import pixels as P
 from zonemill.functions.numbers import finite, percentage
 from zonemill.operators import quantiles as Q
 from zonemill.operators.tables import literal_map, with_series
-from zonemill.session import sized
+from zonemill.session import checkpointed, sized
 
 BLOCK = 64
 
@@ -87,13 +87,10 @@ def density_stats(px: DataFrame, zones: DataFrame, unit_ha: float, zone: str = "
     v, w = F.col(value), F.col(weight)
     group = [*keys, zone]
     usable = px.where(finite(v.cast("double")) & v.between(0, 100) & (w > 0))
-    # Percentages take few values: everything is derived from (group, value) → weight.
-    combined = usable.groupBy(*group, v.alias("v")).agg(F.sum(w).alias("w"))
-    cv, cw = F.col("v"), F.col("w")
-    sums = combined.groupBy(*group).agg(
-        F.sum(cw).alias("w"), F.sum(cv * cw).alias("vw"), _sum_if(cv > 0, cw).alias("pw"),
-        *[_sum_if(cv.between(a, b), cw).alias(f"w_{a}_{b}") for a, b in M.DENSITY_CLASSES])
-    median = Q.weighted_summary(combined, group, cv, cw, {"median_density": 0.5}, combined=True).select(*group, "median_density")
+    sums = usable.groupBy(*group).agg(
+        F.sum(w).alias("w"), F.sum(v * w).alias("vw"), _sum_if(v > 0, w).alias("pw"),
+        *[_sum_if(v.between(a, b), w).alias(f"w_{a}_{b}") for a, b in M.DENSITY_CLASSES])
+    median = Q.weighted_quantiles(usable, group, v, w, {"median_density": 0.5})
     rows = sums.join(median, group)
     rows = zones.select(zone, "complete_ha").join(rows, zone, "inner" if keys else "left")
     whole = F.col("complete_ha")
@@ -291,18 +288,20 @@ def scope_distributions(px: DataFrame, keys: tuple[str, ...] = (), families: dic
     combined = (px.withColumn("t", F.when(clear, F.col("temp_c")))
                 .withColumn("kind", F.when(clear, "clear").when(F.col("status") == 2, "cloud").when(F.col("status") == 0, "missing"))
                 .groupBy(*keys, "sector_id", "municipality", "series" if families is None else code, "kind", "t").agg(F.count("*").alias("n")))
+    # Temperatures come from 16-bit numbers, so this table is far smaller than the pixels; it is read three times.
+    combined = checkpointed(combined)
     if families is not None:
         combined = with_series(combined, code, families)
     scopes = F.array(F.lit("region:all"), F.concat(F.lit("municipality:"), "municipality"),
                      F.concat(F.lit("sector:"), F.col("sector_id").cast("string")))
     group = [*keys, "scope", "series"]
-    rows = (combined.withColumn("scope", F.explode(scopes)).groupBy(*group, "kind", "t").agg(F.sum("n").alias("n")))
+    rows = combined.withColumn("scope", F.explode(scopes))
     t, n = F.col("t"), F.col("n")
     sums = rows.groupBy(*group).agg(
         *[_sum_if(condition, n).cast("bigint").alias(name) for name, condition in (
             ("clear_n", F.col("kind") == "clear"), ("cloud_n", F.col("kind") == "cloud"), ("missing_n", F.col("kind") == "missing"),
             ("underflow_n", t < M.TEMPERATURE_MIN), ("overflow_n", t > M.TEMPERATURE_MAX))])
-    spread = Q.interpolated_summary(rows, group, t, {"p10_c": 0.1, "median_c": 0.5, "p90_c": 0.9}, n, combined=True)
+    spread = Q.interpolated_summary(rows, group, t, {"p10_c": 0.1, "median_c": 0.5, "p90_c": 0.9}, n)
     return sums.join(spread.withColumn("mean_c", F.col("vw") / F.col("w")).select(*group, "mean_c", "p10_c", "median_c", "p90_c"), group, "left")
 
 

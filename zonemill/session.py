@@ -36,12 +36,14 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder named by ``spark.checkpoint.dir``.
 
-    The folder of the session is used as it is. A temporary one is set only where none is
-    configured, which is the case in tests on one machine.
+    The folder of the session is used as it is. Only a local session, as in tests, gets a temporary one
+    where none is configured; a cluster has to name a folder that all machines see.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="zonemill-checkpoint-"))
     return df.checkpoint(eager=True)
 
@@ -71,7 +73,9 @@ def sized(df: DataFrame, bound: int | None = None, limit: int = BROADCAST_ROWS)
 
     The planner does not see how many rows an explode makes, so its own choice would rest on the size of the
     file underneath. ``bound`` is a row count that cannot be exceeded (the cells of a grid); without one the
-    rows are counted. Beyond the limit the join shuffles, where adaptive execution splits skewed partitions.
+    side is checkpointed, so that it is computed once, and counted. Beyond the limit the join shuffles, where adaptive execution splits skewed partitions.
     """
-    n = df.count() if bound is None else bound
-    return F.broadcast(df) if n <= limit else df.hint("merge")
+    if bound is None:
+        df = checkpointed(df)
+        bound = df.count()
+    return F.broadcast(df) if bound <= limit else df.hint("merge")
