@@ -349,3 +349,18 @@ def test_vegetation_statistics_reconcile(spark):
     s = Z.vegetation_stats(px, combos, zones, 0.1, 100 / 9).collect()[0]
     assert s["total_ha"] == pytest.approx(0.04) and s["likely_ha"] == pytest.approx(0.01) and s["cropland_ha"] == pytest.approx(0.01)
     assert s["likely_ha"] + s["below_ha"] + s["cropland_ha"] + s["water_ha"] == pytest.approx(s["valid_ha"]) and s["median_ndvi"] == 0.5
+
+
+def test_every_expected_record_exists(spark, rows):
+    px = spark.createDataFrame([("A", 2019, 1, 1, 20.0, .1, 2)], "sector_id string, year int, code int, status int, temp_c double, uncertainty double, w int")
+    zones = spark.createDataFrame([("A", 1.0), ("B", 2.0)], "sector_id string, complete_ha double")
+    years = {"year": [2019, 2020]}
+    out = rows(Z.binary_stats(px, zones, 0.25, keys=("year",), expected=years), "sector_id", "year")
+    assert len(out) == 4 and out[("A", 2019)]["sealed_pct"] == 25 and out[("B", 2020)]["no_data_pct"] == 100
+    out = rows(Z.categorical_stats(px, zones, [1, 2], 0.25, keys=("year",), expected=years), "sector_id", "year", "code")
+    assert len(out) == 8 and out[("B", 2019, 1)]["area_ha"] == 0
+    out = rows(Z.temperature_stats(px, zones, 0.25, keys=("year",), expected=years), "sector_id", "year")
+    assert out[("A", 2019)]["median_c"] == 20.0 and out[("A", 2019)]["clear_ha"] == 0.5 and out[("A", 2020)]["missing_pct"] == 100 and out[("B", 2019)]["pixel_count"] == 0
+    out = rows(Z.user_layer_stats(px, F.col("temp_c"), zones, 0.25, keys=("year",), expected=years), "sector_id", "year")
+    assert out[("A", 2019)]["mean"] == 20.0 and out[("B", 2020)]["valid_ha"] == 0.0 and out[("B", 2020)]["mean"] is None
+    assert Z.binary_stats(px, zones, 0.25, keys=("year",)).count() == 2 - 1

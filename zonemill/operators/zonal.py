@@ -46,15 +46,31 @@ def _sum_if(condition: Column, value: Column | float = 1) -> Column:
     return F.coalesce(F.sum(F.when(condition, value)), F.lit(0.0))
 
 
-def categorical_stats(px: DataFrame, zones: DataFrame, codes: list[int], cell_ha: float,
-                      zone: str = "sector_id", code: str = "code", keys: tuple[str, ...] = ()) -> DataFrame:
+def _records(zones: DataFrame, columns: list[str], rows: DataFrame, zone: str, keys: tuple[str, ...],
+             expected: dict[str, list] | None) -> DataFrame:
+    """Zone columns joined to their sums, keeping zones without pixels.
+
+    With ``keys`` (observation, year …) the expected key values say which records must exist; without them only
+    the (key, zone) pairs that have pixels are known.
+    """
+    frame = zones.select(zone, *columns)
+    if keys and expected is None:
+        return frame.join(rows, zone)
+    for key, values in (expected or {}).items():
+        listed = F.array(*[F.lit(v).cast(rows.schema[key].dataType) for v in values])
+        frame = frame.withColumn(key, F.explode(listed))
+    return frame.join(rows, [*keys, zone], "left")
+
+
+def categorical_stats(px: DataFrame, zones: DataFrame, codes: list[int], cell_ha: float, zone: str = "sector_id", code: str = "code",
+                      keys: tuple[str, ...] = (), expected: dict[str, list] | None = None) -> DataFrame:
     """Area and share of every listed class per zone, over the complete zone area.
 
-    ``zones`` brings (zone, complete_ha). Without ``keys`` also zones without pixels are reported.
+    ``zones`` brings (zone, complete_ha). ``expected`` lists the key values for which every zone gets a record.
     """
     counts = [F.count_if(F.col(code) == c).alias(f"n_{c}") for c in codes]
     wide = px.groupBy(*keys, zone).agg(*counts)
-    wide = zones.select(zone, "complete_ha").join(wide, zone, "inner" if keys else "left")
+    wide = _records(zones, ["complete_ha"], wide, zone, keys, expected)
     classes = F.array(*[F.struct(F.lit(c).alias("code"), (F.coalesce(f"n_{c}", F.lit(0)) * cell_ha).alias("area_ha")) for c in codes])
     total = sum(F.coalesce(f"n_{c}", F.lit(0)) for c in codes) * cell_ha
     whole = F.col("complete_ha")
@@ -65,11 +81,11 @@ def categorical_stats(px: DataFrame, zones: DataFrame, codes: list[int], cell_ha
 
 
 def binary_stats(px: DataFrame, zones: DataFrame, cell_ha: float, zone: str = "sector_id", code: str = "code",
-                 keys: tuple[str, ...] = ()) -> DataFrame:
+                 keys: tuple[str, ...] = (), expected: dict[str, list] | None = None) -> DataFrame:
     """Sealed (1) and unsealed (0) areas and shares of the complete zone area, one row per zone."""
     wide = px.groupBy(*keys, zone).agg((F.count_if(F.col(code) == 1) * cell_ha).alias("sealed_ha"),
                                        (F.count_if(F.col(code) == 0) * cell_ha).alias("unsealed_ha"))
-    wide = zones.select(zone, "complete_ha").join(wide, zone, "inner" if keys else "left").na.fill(0.0, ["sealed_ha", "unsealed_ha"])
+    wide = _records(zones, ["complete_ha"], wide, zone, keys, expected).na.fill(0.0, ["sealed_ha", "unsealed_ha"])
     whole = F.col("complete_ha")
     valid = F.col("sealed_ha") + F.col("unsealed_ha")
     rest = F.greatest(F.lit(0.0), whole - valid)
@@ -79,7 +95,7 @@ def binary_stats(px: DataFrame, zones: DataFrame, cell_ha: float, zone: str = "s
 
 
 def density_stats(px: DataFrame, zones: DataFrame, unit_ha: float, zone: str = "sector_id", value: str = "value",
-                  weight: str = "w", keys: tuple[str, ...] = ()) -> DataFrame:
+                  weight: str = "w", keys: tuple[str, ...] = (), expected: dict[str, list] | None = None) -> DataFrame:
     """Density (0–100) per zone with whole-number weights of ``unit_ha`` each.
 
     Shares use the complete zone area, density classes also the area where something is present.
@@ -92,7 +108,7 @@ def density_stats(px: DataFrame, zones: DataFrame, unit_ha: float, zone: str = "
         *[_sum_if(v.between(a, b), w).alias(f"w_{a}_{b}") for a, b in M.DENSITY_CLASSES])
     median = Q.weighted_quantiles(usable, group, v, w, {"median_density": 0.5})
     rows = sums.join(median, group)
-    rows = zones.select(zone, "complete_ha").join(rows, zone, "inner" if keys else "left")
+    rows = _records(zones, ["complete_ha"], rows, zone, keys, expected)
     whole = F.col("complete_ha")
     valid, present = (F.coalesce(c, F.lit(0)) * unit_ha for c in (F.col("w"), F.col("pw")))
     empty, rest = F.greatest(F.lit(0.0), valid - present), F.greatest(F.lit(0.0), whole - valid)
@@ -109,7 +125,7 @@ def density_stats(px: DataFrame, zones: DataFrame, unit_ha: float, zone: str = "
 
 
 def temperature_stats(px: DataFrame, zones: DataFrame, unit_ha: float, zone: str = "sector_id",
-                      keys: tuple[str, ...] = ()) -> DataFrame:
+                      keys: tuple[str, ...] = (), expected: dict[str, list] | None = None) -> DataFrame:
     """Clear, cloud and missing areas of the complete zone area; weighted temperature figures of the clear part.
 
     ``px`` brings status, temp_c, uncertainty and a whole-number weight w.
@@ -132,7 +148,7 @@ def temperature_stats(px: DataFrame, zones: DataFrame, unit_ha: float, zone: str
         of("t", "w").alias("clear_w"), of("cloud", "w").alias("cloud_w"), of("t", "n").alias("pixel_count"), of("t", "vw").alias("tw"),
         of("u", "vw").alias("uw"), of("u", "w").alias("uw_w"), of("t", "p10").alias("p10_c"), of("t", "p50").alias("median_c"),
         of("t", "p90").alias("p90_c"), of("u", "p50").alias("median_uncertainty_k"))
-    joined = zones.select(zone, "complete_ha").join(joined, zone, "inner" if keys else "left")
+    joined = _records(zones, ["complete_ha"], joined, zone, keys, expected)
     whole = F.col("complete_ha")
     clear_ha, cloud_ha = (F.coalesce(c, F.lit(0.0)) * unit_ha for c in (F.col("clear_w"), F.col("cloud_w")))
     missing = F.greatest(F.lit(0.0), whole - clear_ha - cloud_ha)
@@ -325,14 +341,15 @@ def normalise_histogram(bins: DataFrame, totals: DataFrame, keys: list[str], min
 
 
 def user_layer_stats(px: DataFrame, value: Column, zones: DataFrame, cell_ha: float, zone: str = "sector_id",
-                     keys: tuple[str, ...] = ()) -> DataFrame:
+                     keys: tuple[str, ...] = (), expected: dict[str, list] | None = None) -> DataFrame:
     """Range, mean and median of any expression over the pixels, valid area and zone area."""
     group = [*keys, zone]
     v = value.cast("double")
     found = Q.interpolated_summary(px, group, F.when(finite(v), v), {"median": 0.5})
     stats = found.select(*group, F.col("lo").alias("minimum"), F.col("hi").alias("maximum"), (F.col("vw") / F.col("w")).alias("mean"), "median",
                          (F.col("w") * cell_ha).alias("valid_ha"))
-    return zones.select(zone, F.col("complete_ha").alias("zone_ha")).join(stats, zone, "inner" if keys else "left")
+    out = _records(zones.withColumnRenamed("complete_ha", "zone_ha"), ["zone_ha"], stats, zone, keys, expected)
+    return out.withColumn("valid_ha", F.coalesce("valid_ha", F.lit(0.0)))
 
 
 def user_class_stats(px: DataFrame, value: Column, classes: list[int], cell_ha: float, zone: str = "sector_id",

@@ -33,18 +33,24 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder named by ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and intermediate tables, shared by all machines.
 
     The folder of the session is used as it is. Only a local session, as in tests, gets a temporary one
     where none is configured; a cluster has to name a folder that all machines see.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="zonemill-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder: computed once, and safe when an executor is lost."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
