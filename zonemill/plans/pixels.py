@@ -315,13 +315,13 @@ def a16(spark, d):
 # --- Parcels --------------------------------------------------------------------------------------
 
 FRAGMENTS = """SELECT c_nationkey AS sector_id, o_custkey AS parcel_id, CASE WHEN c_custkey % 4 = 0 THEN '  ' WHEN c_custkey % 4 = 1 THEN NULL ELSE c_mktsegment END AS crop_group,
-  o_totalprice / 100000.0E0 AS area_ha FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey <> 3"""
+  o_totalprice / 100000.0E0 AS area_ha FROM orders JOIN customer ON o_custkey = c_custkey"""
 
 
 def fragments(spark, d):
     k = F.col("c_custkey") % 4
     group = F.when(k == 0, "  ").when(k != 1, F.col("c_mktsegment"))
-    return (V.table(spark, d, "orders").join(V.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).where("c_nationkey <> 3")
+    return (V.table(spark, d, "orders").join(V.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
             .select(F.col("c_nationkey").alias("sector_id"), F.col("o_custkey").alias("parcel_id"), group.alias("crop_group"),
                     (F.col("o_totalprice") / 100000.0).alias("area_ha")))
 

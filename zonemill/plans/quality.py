@@ -129,14 +129,14 @@ def q09(spark, d):
 
 
 @query("q10_dictionary", """
-WITH a AS (SELECT DISTINCT p_size AS code, 'c' || p_size % 4 AS color FROM part WHERE p_size < 40),
+WITH a AS (SELECT DISTINCT p_size + 5 AS code, 'c' || (p_size + 5) % 4 AS color FROM part),
 b AS (SELECT DISTINCT CAST(l_quantity AS INT) AS code, 'C' || CAST(l_quantity AS INT) % 4 + CASE WHEN CAST(l_quantity AS INT) = 7 THEN 1 ELSE 0 END AS color FROM lineitem)
 SELECT coalesce(a.code, b.code) AS code, CASE WHEN a.code IS NULL THEN 'missing' WHEN b.code IS NULL THEN 'unknown' ELSE 'different' END AS difference
 FROM a FULL JOIN b ON a.code = b.code WHERE a.code IS NULL OR b.code IS NULL OR lower(a.color) <> lower(b.color)""".replace(
     "'C' || CAST(l_quantity AS INT) % 4 + CASE", "'C' || (CAST(l_quantity AS INT) % 4 + CASE").replace("ELSE 0 END AS color FROM lineitem", "ELSE 0 END) AS color FROM lineitem"))
 def q10(spark, d):
-    ours = V.table(spark, d, "part").where("p_size < 40").select(
-        F.col("p_size").alias("code"), F.concat(F.lit("c"), (F.col("p_size") % 4).cast("string")).alias("color")).distinct()
+    ours = V.table(spark, d, "part").select(
+        (F.col("p_size") + 5).alias("code"), F.concat(F.lit("c"), ((F.col("p_size") + 5) % 4).cast("string")).alias("color")).distinct()
     q = F.col("l_quantity").cast("int")
     official = V.table(spark, d, "lineitem").select(q.alias("code"), F.concat(F.lit("C"), (q % 4 + F.when(q == 7, 1).otherwise(0)).cast("string")).alias("color")).distinct()
     return QU.dictionary_differences(ours, official)

@@ -128,11 +128,11 @@ def j15(spark, d):
 
 
 @query("j16_key_agreement", """
-SELECT s_suppkey AS key, 'right' AS missing_in FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_extendedprice > 99000)
-UNION ALL SELECT DISTINCT l_suppkey, 'left' FROM lineitem WHERE l_extendedprice > 99000 AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier)""")
+SELECT s_suppkey AS key, 'right' AS missing_in FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_extendedprice > 104500)
+UNION ALL SELECT DISTINCT l_suppkey, 'left' FROM lineitem WHERE l_extendedprice > 104500 AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier)""")
 def j16(spark, d):
     return TB.unmatched_keys(V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("key")),
-                             V.table(spark, d, "lineitem").where("l_extendedprice > 99000").select(F.col("l_suppkey").alias("key")), "key")
+                             V.table(spark, d, "lineitem").where("l_extendedprice > 104500").select(F.col("l_suppkey").alias("key")), "key")
 
 
 SCOPED = """SELECT scope, sum(area_m2) AS area_m2 FROM (

@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.parquet.filterPushdown": "true",
+    # Checkpoint files go when their plan is no longer referenced.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Call sites of every column expression cost a round trip each while plans are built.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
