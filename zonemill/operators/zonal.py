@@ -23,6 +23,11 @@ from zonemill.session import checkpointed, sized
 BLOCK = 64
 
 
+def cell_key(row: Column, col: Column) -> Column:
+    """Row and column in one whole number: joins on it use the compact hash table for long keys."""
+    return row.cast("bigint") * (1 << 32) + col
+
+
 def assign_zone(px: DataFrame, spans: DataFrame, block: int = BLOCK, bound: int | None = None) -> DataFrame:
     """Pixels joined to the zone whose span covers them (cell centre rule).
 
@@ -30,16 +35,19 @@ def assign_zone(px: DataFrame, spans: DataFrame, block: int = BLOCK, bound: int
     equi-join on (row, block) with a small residual test, and no cell list is ever materialised. The spans
     are broadcast only when they are few (``bound`` or a count); a larger set is shuffled with the pixels.
     """
-    first, last = F.floor(F.col("c0") / block), F.floor(F.col("c1") / block)
-    cut = spans.withColumn("blk", F.explode(F.sequence(first, last))).withColumnRenamed("row_i", "span_row")
-    cond = ((F.col("row_i") == F.col("span_row")) & (F.floor(F.col("col_i") / block) == F.col("blk"))
-            & F.col("col_i").between(F.col("c0"), F.col("c1")))
-    return px.join(sized(cut, bound), cond).drop("span_row", "blk", "c0", "c1")
+    def start(c: str) -> Column:
+        return F.col(c) - F.col(c) % block
+
+    cut = spans.withColumn("blk", F.explode(F.sequence(start("c0"), start("c1"), F.lit(block).cast("bigint"))))
+    cut = cut.withColumn("key", cell_key(F.col("row_i"), F.col("blk"))).drop("row_i", "blk")
+    cond = (cell_key(F.col("row_i"), start("col_i")) == F.col("key")) & F.col("col_i").between(F.col("c0"), F.col("c1"))
+    return px.join(sized(cut, bound), cond).drop("key", "c0", "c1")
 
 
 def with_weights(px: DataFrame, weights: DataFrame, bound: int | None = None) -> DataFrame:
     """Pixels × the zones that cover part of them, with the covered sub-cells w."""
-    return px.join(sized(weights, bound), ["row_i", "col_i"])
+    keyed = weights.withColumn("key", cell_key(F.col("row_i"), F.col("col_i"))).drop("row_i", "col_i")
+    return px.join(sized(keyed, bound), cell_key(F.col("row_i"), F.col("col_i")) == F.col("key")).drop("key")
 
 
 def _sum_if(condition: Column, value: Column | float = 1) -> Column:

@@ -23,7 +23,8 @@ COMPLETE = f"(400 * {HA} + (sector_id % 5) * 0.5E0)"
 
 def zone_spans(spark, d):
     rows = F.explode(F.sequence("r0", F.col("r1") - 1))
-    return V.zones(spark, d).select("sector_id", "municipality", rows.alias("row_i"), "c0", (F.col("c1") - 1).alias("c1"))
+    return V.zones(spark, d).select("sector_id", "municipality", rows.alias("row_i"), F.col("c0").cast("bigint").alias("c0"),
+                                    (F.col("c1") - 1).cast("bigint").alias("c1"))
 
 
 def zones(spark, d):
