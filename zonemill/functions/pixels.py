@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from zonemill import model as M
-from zonemill.functions.numbers import clamp, finite, finite_or_null
+from zonemill.functions.numbers import clamp, finite
 
 
 def classify_quality(dn: Column, qa_pixel: Column, qa_radsat: Column) -> Column:
