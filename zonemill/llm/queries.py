@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from zonemill.llm import neardup
+from zonemill.llm import langid, neardup, packing, pii, quality, simple8b, warc, winnow
+from zonemill.llm.store import place
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,3 +45,59 @@ SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_
 FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id""")
 def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"), percent=85)
+
+
+def _remainder(divisor: int):
+    return F.crc32(F.col("doc_id").cast("string")) % divisor
+
+
+@query("op1_quality_classifier")
+def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, folder, "labels"), _remainder(3) != 1)
+    score = F.col("quality_score")
+    return quality.scored(docs, model).select("doc_id", (_remainder(3) == 1).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op2_packing")
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=2, length=4096)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "window")
+
+
+@query("op3_token_files")
+def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = place(spark, "simple8b")
+    simple8b.write(table(spark, folder, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end=0)
+    return simple8b.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op4_personal_data")
+def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.report(table(spark, folder, "documents"))
+
+
+@query("op6_fingerprints")
+def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return winnow.fingerprint_report(table(spark, folder, "documents"))
+
+
+@query("op7_warc", """
+WITH payload AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+marked AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM payload)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM marked""")
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    arcs, warcs = place(spark, "arc"), place(spark, "warc")
+    warc.pages_to_arc(table(spark, folder, "pages"), arcs)
+    warc.convert(spark, arcs, warcs, warc.page_of())
+    return warc.page_digests(warc.read_warc(spark, warcs))
+
+
+@query("op8_language")
+def op8_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs, _remainder(4) != 2)
+    return langid.identified(docs.select("doc_id", "text"), model).select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
