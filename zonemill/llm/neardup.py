@@ -5,8 +5,9 @@ a node with few classes is compared exhaustively, a large one chooses further to
 them on average, so that a pair at the threshold keeps its expected number of common nodes. Independent trees make a
 miss at the threshold less likely than 0.15**trees where nodes are small at once.
 
-Only connectivity is needed, so a node first compares its classes with its least one (linear in the node), and a second
-round compares the classes of a node that still lie in different components. Links are confirmed on whole shingle sets.
+Signatures first leave out what has no likely partner in its node. The rest is compared on whole shingle sets, all pairs of
+a node by products of its incidence matrix, and a node reports a spanning forest of its links: linear in its classes, and
+enough for the groups. A node that stays large to the last level is compared in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -24,19 +25,14 @@ from zonemill.llm.store import stored
 from zonemill.session import checkpointed
 
 TOKENS = 64  # minwise functions of a signature
-TREES = 12
-NODE = 48  # classes that a node compares exhaustively
-LEVELS = 4
+TREES = 10
+NODE = 512  # classes that a node compares exhaustively
+LEVELS = 3
 BLOCK = 512  # classes of a block where a node stays large to the last level
 SIGNED = "doc_id long, n_shingles long, class binary, roots array<long>, sig binary"
 _FACTORS = kernel.mix(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def _reduce(op: np.ufunc, values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """``op`` over consecutive runs; runs are not empty."""
-    return op.reduceat(values, first)
-
-
 def _signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("doc_id")
@@ -50,9 +46,9 @@ def _signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
             digest = np.zeros((rows, 2), np.uint64)
             if rows:
                 for k in range(TOKENS):
-                    tokens[:, k] = _reduce(np.minimum, values * _FACTORS[k], at)
+                    tokens[:, k] = np.minimum.reduceat(values * _FACTORS[k], at)
                 for k in range(2):
-                    digest[:, k] = _reduce(np.add, kernel.mix(values + np.uint64(k + 1)), at)
+                    digest[:, k] = np.add.reduceat(kernel.mix(values + np.uint64(k + 1)), at)
             roots = kernel.mix(tokens[:, :TREES] + np.arange(1, TREES + 1, dtype=np.uint64)).view(np.int64)
             low16 = (kernel.mix(tokens) & np.uint64(0xFFFF)).astype("<u2")
             where = np.cumsum(full) - 1
@@ -91,44 +87,87 @@ def _alike(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent
     return ((a == b).sum(axis=-1) >= least) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
 
 
-def _stars(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, TOKENS) for c in ("sig", "centre_sig"))
-        keep = pa.array(_alike(a, b, batch.column("n").to_numpy(), batch.column("centre_n").to_numpy(), percent))
-        yield pa.RecordBatch.from_arrays([batch.column("class").filter(keep), batch.column("centre").filter(keep)], ["a", "b"])
-
-
-def _within(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by node and side → pairs of one node that lie in different components.
+def _candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by node → the rows that have a partner in their node whose signature leaves room for the threshold.
 
     A node has a bounded number of rows (``NODE``, or two blocks); it may reach over batches.
     """
-    held: list[tuple] = []
-    node = None
-
-    def pairs() -> pa.RecordBatch:
-        sig = np.frombuffer(b"".join(r[3] for r in held), "<u2").reshape(-1, TOKENS)
-        n, comp, side = np.array([r[2] for r in held]), np.array([r[4] for r in held], object), np.array([r[5] for r in held])
-        left, right = [], []
-        for i in range(len(held) - 1):
-            j = np.arange(i + 1, len(held))
-            j = j[(comp[j] != comp[i]) & ((side[j] != side[i]) | (side[i] < 0))]
+    for node, (classes, n, sig, side) in _nodes(batches, ("class", "n", "sig", "side")):
+        sig, n, side = np.frombuffer(b"".join(sig), "<u2").reshape(-1, TOKENS), np.array(n), np.array(side)
+        keep = np.zeros(len(n), bool)
+        for i in range(len(n) - 1):
+            j = np.arange(i + 1, len(n))
+            j = j[(side[j] != side[i]) | (side[i] < 0)]
             j = j[_alike(sig[j], sig[i], n[j], n[i], percent)] if len(j) else j
-            left += [held[i][1]] * len(j)
-            right += [held[k][1] for k in j]
-        return pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+            keep[j] = True
+            keep[i] |= len(j) > 0
+        at = np.flatnonzero(keep)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array([node] * len(at), pa.int64()), pa.array([classes[k] for k in at], pa.binary())], ["node", "class"])
+
 
+def _nodes(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[int, list[list]]]:
+    """Consecutive rows of one node, of two rows or more, column by column."""
+    node, held = None, [[] for _ in columns]
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("node", "class", "n", "sig", "comp", "side"))):
-            if row[0] != node:
-                if len(held) > 1:
-                    yield pairs()
-                held, node = [], row[0]
-            held.append(row)
-    if len(held) > 1:
-        yield pairs()
+        nodes = batch.column("node").to_numpy()
+        if not len(nodes):
+            continue
+        borders = np.concatenate([[0], np.flatnonzero(nodes[1:] != nodes[:-1]) + 1, [len(nodes)]])
+        values = [batch.column(c).to_pylist() for c in columns]
+        for low, high in zip(borders[:-1], borders[1:]):
+            if nodes[low] != node:
+                if len(held[0]) > 1:
+                    yield node, held
+                node, held = int(nodes[low]), [[] for _ in columns]
+            for h, v in zip(held, values):
+                h += v[low:high]
+    if len(held[0]) > 1:
+        yield node, held
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, by products of the incidence matrix in blocks of columns."""
+    size = np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(len(sets)), size)
+    value, column = np.unique(np.concatenate(sets), return_inverse=True)
+    shared = np.bincount(column, minlength=len(value)) > 1  # the others are in one set only
+    place = np.cumsum(shared) - 1
+    row, column = row[shared[column]], place[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(sets), len(sets)))
+    for low in range(0, int(shared.sum()), 4096):
+        a, b = np.searchsorted(column, [low, low + 4096])
+        block = np.zeros((len(sets), min(4096, int(shared.sum()) - low)), np.float32)
+        block[row[a:b], column[a:b] - low] = 1
+        common += block @ block.T
+    return common
+
+
+def _forest(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by node → links that span what hangs together in the node, confirmed on whole shingle sets."""
+    for _, (classes, sets) in _nodes(batches, ("class", "set")):
+        sets = [np.frombuffer(x, np.uint64) for x in sets]
+        size = np.array([len(x) for x in sets])
+        common = _common(sets)
+        linked = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+        left, right, new = [], [], np.ones(len(sets), bool)
+        while new.any():
+            front = [int(np.flatnonzero(new)[0])]
+            new[front] = False
+            while front:
+                i = front.pop()
+                for j in np.flatnonzero(linked[i] & new):
+                    left.append(classes[i])
+                    right.append(classes[j])
+                    new[j] = False
+                    front.append(int(j))
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+
+
+def _digest(values: np.ndarray) -> bytes:
+    return b"".join(kernel.mix(values + np.uint64(k + 1)).sum(dtype=np.uint64).tobytes() for k in range(2))
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -136,30 +175,26 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
         data, offsets = kernel.buffers(batch.column("text"))
         for low, high in kernel.slices(offsets):
             values, first = kernel.Slice(data, offsets, low, high).shingles(width)
-            yield pa.RecordBatch.from_arrays([batch.column("class").slice(low, high - low), pa.array([values[i:j].tobytes() for i, j in zip(first[:-1], first[1:])], pa.binary())], ["class", "set"])
+            sets = [values[i:j] for i, j in zip(first[:-1], first[1:])]
+            classes = batch.column("class").slice(low, high - low)
+            keep = pa.array([_digest(x) == c for x, c in zip(sets, classes.to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([classes.filter(keep), pa.array([x.tobytes() for x in sets], pa.binary()).filter(keep)], ["class", "set"])
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * common >= percent * (len(x) + len(y) - common))
-        mask = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
-
-
-def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, width: int) -> DataFrame:
-    """The pairs whose whole shingle sets reach the threshold."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    texts = classes.join(wanted, "class", "left_semi").select("class", F.col("first_id").alias("doc_id"))
-    # a repeated doc_id may bring other texts along; the set's own digest drops them below
-    sets = docs.select(F.col("doc_id").cast("long"), F.col("text")).join(texts, "doc_id").select("class", "text").mapInArrow(lambda b: _sets(b, width), "class binary, set binary")
-    sets = stored(sets, "shingles")
-    return (pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a")
-            .join(sets.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b")
-            .mapInArrow(lambda b: _confirmed(b, percent), "a binary, b binary").distinct())
+def _shingles(docs: DataFrame, classes: DataFrame, near: DataFrame, width: int) -> DataFrame:
+    """Whole shingle sets of the classes in ``near``; of repeated doc_ids the text is found by its own digest."""
+    wanted = classes.join(near.select("class").distinct(), "class", "left_semi").select("class", F.col("first_id").alias("doc_id"))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text")).join(wanted, "doc_id").select("class", "text")
+    return stored(texts.mapInArrow(lambda b: _sets(b, width), "class binary, set binary").dropDuplicates(["class"]), "shingles")
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """A node that is large to the last level, as pairs of blocks of about ``BLOCK`` classes."""
+    cut = F.ceil(F.col("count") / BLOCK)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("class"), cut)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), cut - 1)))
+    pair = F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"))
+    side = F.when(F.col("block") == F.col("other"), F.lit(-1)).otherwise((F.col("block") < F.col("other")).cast("int"))
+    return rows.select(pair.alias("node"), "class", "n", "sig", side.alias("side"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
@@ -177,49 +212,29 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     keys = classes.select(F.explode("roots").alias("node"), "class")
     live = keys.join(keys.groupBy("node").count().where("count > 1"), "node")
     rows = live.join(classes.select("class", "n", "sig"), "class")
-    nodes: list[DataFrame] = []
+    leaves = []
     for level in range(LEVELS):
         rows = checkpointed(rows.select("node", "class", "n", "sig", "count"))
-        nodes.append(rows.where(F.col("count") <= NODE) if level < LEVELS - 1 else rows)
+        leaves.append(rows.where(F.col("count") <= NODE).select("node", "class", "n", "sig", F.lit(-1).alias("side")))
         if level == LEVELS - 1:
+            leaves.append(_blocks(rows.where(F.col("count") > NODE)))
             break
         below = rows.where(F.col("count") > NODE).select("node", "class", "n", "sig").mapInArrow(
             lambda b: _children(b, 100 / percent), "node long, class binary, n long, sig binary")
-        if level == 0:
-            nodes.append(rows.where(F.col("count") > NODE))  # its star links what hangs together, before the tokens split it
         rows = below.join(below.groupBy("node").count().where("count > 1"), "node")
-    everywhere = nodes[0]
-    for part in nodes[1:]:
-        everywhere = everywhere.unionByName(part)
-
-    centre = everywhere.groupBy("node").agg(F.min(F.struct("class", "n", "sig")).alias("c"))
-    stars = (everywhere.join(centre, "node").where("class != c.class")
-             .select("class", "n", "sig", F.col("c.class").alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.sig").alias("centre_sig"))
-             .mapInArrow(lambda b: _stars(b, percent), "a binary, b binary").distinct())
-    links = checkpointed(_links(docs, classes, checkpointed(stars), percent, width))
+    every = leaves[0]
+    for part in leaves[1:]:
+        every = every.unionByName(part)
+    near = checkpointed(every.repartition("node").sortWithinPartitions("node").mapInArrow(lambda b: _candidates(b, percent), "node long, class binary"))
+
+    # the same classes met in several trees are compared once
+    met = near.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.xxhash64("class").cast("decimal(30,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "class")).alias("x"))
+    once = met.groupBy("n", "s", "x").agg(F.min("node").alias("node")).select("node")
+    sets = _shingles(docs, classes, near, width)
+    links = (near.join(once, "node").join(sets, "class").repartition("node").sortWithinPartitions("node")
+             .mapInArrow(lambda b: _forest(b, percent), "a binary, b binary").distinct())
     roots = components(links)
 
-    leaves = nodes[0]
-    for part in nodes[2:]:
-        leaves = leaves.unionByName(part)
-    leaves = leaves.join(roots.withColumnRenamed("a", "class"), "class", "left").withColumn("comp", F.coalesce("root", "class")).drop("root")
-    mixed = leaves.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("node")
-    leaves = leaves.join(mixed, "node")
-    small = leaves.where(F.col("count") <= NODE).select("node", "class", "n", "sig", "comp", F.lit(-1).alias("side"))
-    # a node that is large to the last level is compared block by block
-    cut = F.ceil(F.col("count") / BLOCK)
-    block = F.pmod(F.xxhash64("class"), cut)
-    other = F.explode(F.sequence(F.lit(0).cast("long"), cut - 1))
-    large = (leaves.where(F.col("count") > NODE).withColumn("block", block).withColumn("other", other)
-             .select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("node"), "class", "n", "sig", "comp",
-                     F.when(F.col("block") == F.col("other"), F.lit(-1)).otherwise((F.col("block") < F.col("other")).cast("int")).alias("side")))
-    rest = (small.unionByName(large).repartition("node").sortWithinPartitions("node", "side")
-            .mapInArrow(lambda b: _within(b, percent), "a binary, b binary")
-            .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    rest = checkpointed(rest)
-    if not rest.isEmpty():
-        roots = components(links.unionByName(_links(docs, classes, rest, percent, width)))
-
     labels = classes.select("class", "first_id").join(roots.withColumnRenamed("a", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = labels.groupBy("root").agg(F.min("first_id").alias("component_id"))
     labels = labels.join(least, "root").select("class", "component_id")
