@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonemill.llm import langid, neardup, packing, pii, quality, simple8b, warc, winnow
+from zonemill.llm import langid, lattice, mih, neardup, packing, pii, quality, simple8b, warc, winnow
 from zonemill.llm.store import place
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,15 @@ def op8_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     model = langid.train(docs, _remainder(4) != 2)
     return langid.identified(docs.select("doc_id", "text"), model).select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+@query("op9_nearest")
+def op9_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return mih.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query("op10_sentencepiece")
+def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = lattice.encode(table(spark, folder, "documents"), model)
+    return lattice.decode(coded, model).select("doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"), F.length("decoded").cast("long").alias("n_chars"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
