@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonemill.llm import text as kernel
+from zonemill.llm.store import extended
 
 SAMPLE = 500  # documents a language that the machines are fitted on, at most
 SLOTS = 1 << 14
@@ -166,11 +167,11 @@ def _identified(batches: Iterator[pa.RecordBatch], model: Machines | None) -> It
                     found[i], score[i] = "und", 0.0
             names += found
             scores.append(score)
-        keep = [i for i, name in enumerate(batch.schema.names) if name != "__text"]
+        keep = [i for i, name in enumerate(batch.schema.names) if name not in ("__text", "lang_pred", "lang_score")]
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(names, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())], [*(batch.schema.names[i] for i in keep), "lang_pred", "lang_score"])
 
 
 def identified(docs: DataFrame, model: Machines | None) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``lang_score``; ``und`` with score 0 for null texts, texts without letters, or without a model."""
-    schema = docs.schema.add("lang_pred", "string").add("lang_score", "double")
+    schema = extended(docs, lang_pred="string", lang_score="double")
     return docs.withColumn("__text", F.col("text")).mapInArrow(lambda b: _identified(b, model), schema)

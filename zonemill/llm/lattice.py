@@ -27,8 +27,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from zonemill.llm.store import extended
+
 MARK = "▁"
-UNIT = re.compile(f"{MARK}*[^{MARK}\n\r\t]+|{MARK}+|[\n\r\t]")
+UNIT = re.compile(f"{MARK}*[^{MARK}\n\t]+|{MARK}+|[\n\t]")
 CHUNK = 8192  # documents (range of doc_ids) that share a dictionary
 SHORT = 62  # characters of a unit whose borders fit into one long
 EDGE = "struct<key:long,from:int,to:int,id:int>"
@@ -65,7 +67,7 @@ def load(path: str) -> Model:
     plain = {spm.id_to_piece(i): i for i in ids if not (spm.is_control(i) or spm.is_unknown(i) or spm.is_byte(i) or spm.is_unused(i))}
     scores = {s: k for k, s in enumerate(sorted({spm.get_score(i) for i in plain.values()}, reverse=True))}
     ranks = {p: scores[spm.get_score(i)] for p, i in plain.items() if len(p) > 1}
-    if any(MARK in p.lstrip(MARK) or re.search("[\n\r\t]", p) and len(p) > 1 for p in plain):
+    if any(MARK in p.lstrip(MARK) or re.search("[\n\t]", p) and len(p) > 1 for p in plain):
         raise ValueError("a piece reaches over the borders of units")
     rows = []
     for piece, i in plain.items():
@@ -222,4 +224,4 @@ def _texts(batches: Iterator[pa.RecordBatch], shown: list[bytes]) -> Iterator[pa
 def decode(coded: DataFrame, path: str) -> DataFrame:
     """Adds ``decoded``: the text of ``ids`` (space marks are spaces, the leading one goes, byte pieces are bytes)."""
     shown = load(path).shown
-    return coded.mapInArrow(lambda b: _texts(b, shown), coded.schema.add("decoded", "string"))
+    return coded.mapInArrow(lambda b: _texts(b, shown), extended(coded, decoded="string"))

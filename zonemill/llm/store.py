@@ -6,6 +6,7 @@ import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from zonemill.session import shared_folder
 
@@ -19,6 +20,11 @@ def place(spark: SparkSession, name: str) -> str:
     return path
 
 
+def extended(df: DataFrame, **more: str) -> StructType:
+    """The schema of ``df`` with further columns; those replace columns of the same name."""
+    return StructType([f for f in df.schema.fields if f.name not in more] + [StructField(n, {"string": StringType(), "double": DoubleType()}[t]) for n, t in more.items()])
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Written once as Parquet and read back: cuts the lineage, survives lost executors, keeps only compressed columns."""
     path = place(df.sparkSession, name)
