@@ -26,10 +26,10 @@ def ids_of(path, text):
 
 @pytest.mark.parametrize("path", [WORDS, BYTES])
 def test_cached_ids_are_the_tokenizers_own(path):
-    texts = ["", " ", "a", "A  b\n\n c\t\td  ", "it's  we'll x　y ", "é ́x ΑΣ Σ", "a\x1cb \x1d c", "12  345\r\n6 <|endoftext|>", "x" * 300 + " " * 50 + "é" * 100, "!? ... -- 😀😀"]
+    texts = ["", " ", "a", "A  b\n\n c\t\td  ", "it's  we'll x　y ", "é ́x ΑΣ Σ", "a\x1cb \x1d c", "12  345\r\n6 <|endoftext|>", "x" * 300 + " " * 50 + "é" * 100, "!? ... -- 😀😀", "a\0b \0", "tail ", "\n", " x\n y", "a\u2003 b", "one\ntwo three\n"]
     encoder = tokens.Encoder(path)
     for _ in range(2):
-        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [ids_of(path, t) for t in texts]
+        assert encoder.encode_each([*texts, None]) == [ids_of(path, t) for t in [*texts, ""]]
 
 
 def test_simple8b_round_trip():

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonemill.llm.store import stored
-from zonemill.llm.tokens import encoder, grouped
+from zonemill.llm.tokens import encoder, parts, with_end
 
 TOKENISED = "task int, queue string, before long, doc_id long, doc_tokens long, ids binary"
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, window long, ids binary"
@@ -31,24 +31,20 @@ PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id lon
 def _tokenise(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
     """Ids of every document and its place in its source's queue within this task."""
     task, served = TaskContext.get().partitionId(), {}
-    tail = np.array([end], "<u4").tobytes()
     for batch in batches:
-        low = 0
-        for texts in grouped(batch.column("text").to_pylist()):
-            part = batch.slice(low, len(texts))
-            low += len(texts)
-            ids = [x + tail for x in encoder(path).encode(texts)]
-            sizes, before = [len(x) // 4 for x in ids], []
-            for queue, n in zip(part.column("queue").to_pylist(), sizes):
+        for part in parts(batch):
+            ids, borders = with_end(*encoder(path).encode(part.column("text")), end)
+            sizes, before = np.diff(borders), []
+            for queue, n in zip(part.column("queue").to_pylist(), sizes.tolist()):
                 before.append(served.get(queue, 0))
                 served[queue] = before[-1] + n
-            yield pa.RecordBatch.from_pydict({"task": pa.array([task] * len(ids), pa.int32()), "queue": part.column("queue"), "before": pa.array(before, pa.int64()), "doc_id": part.column("doc_id"), "doc_tokens": pa.array(sizes, pa.int64()), "ids": pa.array([_narrow(x) for x in ids], pa.binary())})
+            coded = pa.array([_narrow(ids[i:j]) for i, j in zip(borders[:-1], borders[1:])], pa.binary())
+            yield pa.RecordBatch.from_pydict({"task": pa.array([task] * len(sizes), pa.int32()), "queue": part.column("queue"), "before": pa.array(before, pa.int64()), "doc_id": part.column("doc_id"), "doc_tokens": pa.array(sizes, pa.int64()), "ids": coded})
 
 
-def _narrow(ids: bytes) -> bytes:
+def _narrow(ids: np.ndarray) -> bytes:
     """Ids of small vocabularies in two bytes; the leading byte says which."""
-    wide = np.frombuffer(ids, "<u4")
-    return b"\x02" + wide.astype("<u2").tobytes() if not len(wide) or wide.max() < 65536 else b"\x04" + ids
+    return b"\x02" + ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 65536 else b"\x04" + ids.astype("<u4").tobytes()
 
 
 def _wide(data: bytes) -> np.ndarray:

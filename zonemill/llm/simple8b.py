@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from zonemill.llm.tokens import encoder, grouped
+from zonemill.llm.tokens import encoder, parts, with_end
 
 BLOCK = 512
 # ids per word and bits per id by selector: fixed values of the format
@@ -118,16 +118,11 @@ def decode(words: np.ndarray, blocks: np.ndarray, n: int) -> np.ndarray:
 
 def _rows(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
     shard, part, before = TaskContext.get().partitionId(), 0, 0
-    tail = np.array([end], "<u4").tobytes()
     for batch in batches:
-        low = 0
-        for texts in grouped(batch.column("text").to_pylist()):
-            docs = batch.column("doc_id").slice(low, len(texts))
-            low += len(texts)
-            coded = [x + tail for x in encoder(path).encode(texts)]
-            ids = np.frombuffer(b"".join(coded), "<u4")
+        for rows in parts(batch, 1 << 20):
+            ids, borders = with_end(*encoder(path).encode(rows.column("text")), end)
             words, blocks = encode(ids)
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "part": pa.array([part], pa.int64()), "before": pa.array([before], pa.int64()), "doc_ids": pa.array([docs.to_pylist()], pa.list_(pa.int64())), "lengths": pa.array([[len(x) // 4 for x in coded]], pa.list_(pa.int64())), "blocks": pa.array([blocks], pa.list_(pa.int64())), "words": pa.array([words.astype("<u8").tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "part": pa.array([part], pa.int64()), "before": pa.array([before], pa.int64()), "doc_ids": pa.array([rows.column("doc_id").to_pylist()], pa.list_(pa.int64())), "lengths": pa.array([np.diff(borders)], pa.list_(pa.int64())), "blocks": pa.array([blocks], pa.list_(pa.int64())), "words": pa.array([words.astype("<u8").tobytes()], pa.binary())})
             part, before = part + 1, before + len(ids)
 
 

@@ -1,57 +1,122 @@
 """Token ids of whole texts, word by word through a bounded cache.
 
-Both public BPE vocabularies cut at every border between a non-space character and a following white-space character,
-so a text's ids are those of its pieces ``white space + word`` one after the other; equal pieces are encoded once.
+Both public BPE vocabularies cut between a character that is no white space and a space after it, so the ids of a text
+are those of its words (each with its space) one after the other. Words are split and numbered by Arrow kernels, only
+distinct ones are encoded, many in one text with a mark between them, and ids are put together by array indexing. Texts
+for which the rule may not hold (white space before a space, the mark itself) are encoded whole.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-PIECE = re.compile(r"\s*\S+|\s+")
-# Python counts these separators as white space, the tokenizers don't: such a text is encoded whole
-ODD = re.compile(r"[\x1c-\x1f᠎]")
-CACHED = 250_000  # pieces a worker remembers
-LONGEST = 80  # longer pieces are not remembered
+MARK = "\0"
+# white space of Unicode before a space
+ODD = r"[\s\x0b\x85\pZ\x{180e}] |\x00"
+CACHED = 1_100_000  # words that a worker remembers
+CACHED_CHARACTERS = 40_000_000
+TOGETHER = 128  # words encoded in one text
 
 
 class Encoder:
-    """Texts → ids as little-endian unsigned 32-bit integers."""
+    """Texts → ids as one array of unsigned 32-bit integers, and the borders of the texts."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        odd = [i for i, t in enumerate(texts) if ODD.search(t)]
-        pieces = [PIECE.findall(t) for t in texts]
-        for i in odd:
-            pieces[i] = []
-        wanted = list(set().union(*pieces) - self.known.keys())
-        long = {}
-        for low in range(0, len(wanted), 4096):
-            part = wanted[low:low + 4096]
-            for piece, ids in zip(part, self._ids(part)):
-                (self.known if len(piece) <= LONGEST else long)[piece] = ids
-        if long:
-            out = [b"".join([long[p] if p in long else self.known[p] for p in row]) for row in pieces]
+        self.blind = self._plain(" a\nb") == self._plain("a b")  # white space leaves no trace in the ids
+        self.mark = self._plain(f" {MARK}")
+        self._forget()
+
+    def _plain(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _batch(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.size, self.characters = 0, 0
+        self.pool = np.zeros(1 << 20, np.uint32)
+        self.first = np.zeros(1 << 16, np.int64)
+        self.first_at = 0
+
+    def _learn(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Append the ids of new words, one after the other in ``ids``, to the pool."""
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        self.characters += len("".join(words))
+        count, total = len(self.known), self.size + len(ids)
+        if total > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(total, len(self.pool)), np.uint32)])
+        if count + 1 > len(self.first):
+            self.first = np.concatenate([self.first, np.zeros(max(count, len(self.first)), np.int64)])
+        self.pool[self.size:total] = ids
+        self.first[count - len(words) + 1:count + 1] = self.size + np.cumsum(sizes)
+        self.size = total
+
+    def _encode_words(self, words: list[str]) -> None:
+        """Ids of new words: those that begin with a space (or any, where spaces leave no trace) many in one text."""
+        if self.blind:
+            joined, alone = words, []
         else:
-            known = self.known.__getitem__
-            out = [b"".join(map(known, row)) for row in pieces]
-        for i, ids in zip(odd, self._ids([texts[i] for i in odd]) if odd else []):
-            out[i] = ids
-        if len(self.known) > CACHED:
-            self.known.clear()
-        return out
+            joined, alone = [w for w in words if w.startswith(" ")], [w for w in words if not w.startswith(" ")]
+        glue = f" {MARK} " if self.blind else f" {MARK}"
+        for low in range(0, len(joined), TOGETHER * 64):
+            part = joined[low:low + TOGETHER * 64]
+            rows = self._batch([glue.join(part[i:i + TOGETHER]) + glue for i in range(0, len(part), TOGETHER)])
+            ids = np.fromiter(chain.from_iterable(rows), np.uint32, sum(map(len, rows)))
+            ends = np.flatnonzero(ids == self.mark[-1])
+            own = np.ones(len(ids), bool)
+            for k in range(len(self.mark)):
+                own[ends - k] = False
+            self._learn(part, ids[own], np.diff(ends, prepend=-1) - len(self.mark))
+        for low in range(0, len(alone), 4096):
+            part = alone[low:low + 4096]
+            rows = self._batch(part)
+            self._learn(part, np.fromiter(chain.from_iterable(rows), np.uint32, sum(map(len, rows))), np.array(list(map(len, rows))))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text's begin (one border more than texts)."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        n = len(texts)
+        odd = pc.match_substring(texts, MARK) if self.blind else pc.match_substring_regex(texts, ODD)
+        regular = pc.if_else(odd, "", texts)
+        if self.blind:
+            words = pc.split_pattern(pc.replace_substring(regular, "\n", " "), " ")
+        else:
+            words = pc.split_pattern(pc.replace_substring(regular, " ", f"{MARK} "), MARK)
+        numbered = words.flatten().dictionary_encode()
+        distinct = numbered.dictionary.to_pylist()
+        known = self.known
+        new = [w for w in distinct if w not in known]
+        if len(known) + len(new) > CACHED or self.characters > CACHED_CHARACTERS:
+            self._forget()
+            known, new = self.known, distinct
+        self._encode_words(new)
+        own = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
+        word = own[numbered.indices.to_numpy()] if len(distinct) else np.zeros(0, np.int64)
+        begin, size = self.first[word], self.first[word + 1] - self.first[word]
+        place = np.concatenate([[0], np.cumsum(size)])
+        ids = self.pool[np.repeat(begin - place[:-1], size) + np.arange(place[-1])]
+        borders = place[words.offsets.to_numpy()]
+        if not pc.any(odd).as_py():
+            return ids, borders
+        parts, sizes = [ids[a:b] for a, b in zip(borders[:-1], borders[1:])], np.diff(borders)
+        at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        for i, x in zip(at, self._batch(texts.take(pa.array(at)).to_pylist())):
+            parts[i], sizes[i] = np.array(x, np.uint32), len(x)
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)])
+
+    def encode_each(self, texts: list[str | None]) -> list[list[int]]:
+        ids, borders = self.encode(pa.array(texts, pa.string()))
+        return [ids[a:b].tolist() for a, b in zip(borders[:-1], borders[1:])]
 
 
 @lru_cache(maxsize=2)
@@ -59,14 +124,23 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def grouped(texts: Iterable[str | None], size: int = 1 << 20) -> Iterator[list[str]]:
-    """Consecutive texts of about ``size`` characters together; null is empty."""
-    held, n = [], 0
-    for t in texts:
-        held.append(t or "")
-        n += len(held[-1])
-        if n >= size:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
+def with_end(ids: np.ndarray, borders: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every text's ids followed by ``end``."""
+    n = len(borders) - 1
+    more = borders + np.arange(n + 1)
+    out = np.full(more[-1], end, np.uint32)
+    keep = np.ones(len(out), bool)
+    keep[more[1:] - 1] = False
+    out[keep] = ids
+    return out, more
+
+
+def parts(batch: pa.RecordBatch, size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows whose texts have about ``size`` bytes together, one row at least."""
+    length = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total = np.concatenate([[0], np.cumsum(length)])
+    low = 0
+    while low < batch.num_rows:
+        high = min(batch.num_rows, max(low + 1, int(np.searchsorted(total, total[low] + size, "right")) - 1))
+        yield batch.slice(low, high - low)
+        low = high
