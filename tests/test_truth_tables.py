@@ -327,7 +327,7 @@ def test_user_layer(spark):
     zones = spark.createDataFrame([("Z", 0.12)], "sector_id string, complete_ha double")
     out = Z.user_layer_stats(px, F.col("v"), zones, 0.01).collect()[0]
     assert out["median"] == 0.5 and out["minimum"] == 0.0 and out["maximum"] == 1.0 and out["valid_ha"] == pytest.approx(0.11)
-    classes = Z.user_class_stats(px, (F.col("v") >= 0.5).cast("int"), [0, 1], 0.01).collect()
+    classes = Z.user_class_stats(px, (F.col("v") >= 0.5).cast("int"), [0, 1], 0.01, zones).collect()
     assert sum(r["area_ha"] for r in classes) == pytest.approx(0.11) and sum(r["pct"] for r in classes) == pytest.approx(100)
 
 
@@ -363,4 +363,28 @@ def test_every_expected_record_exists(spark, rows):
     assert out[("A", 2019)]["median_c"] == 20.0 and out[("A", 2019)]["clear_ha"] == 0.5 and out[("A", 2020)]["missing_pct"] == 100 and out[("B", 2019)]["pixel_count"] == 0
     out = rows(Z.user_layer_stats(px, F.col("temp_c"), zones, 0.25, keys=("year",), expected=years), "sector_id", "year")
     assert out[("A", 2019)]["mean"] == 20.0 and out[("B", 2020)]["valid_ha"] == 0.0 and out[("B", 2020)]["mean"] is None
-    assert Z.binary_stats(px, zones, 0.25, keys=("year",)).count() == 2 - 1
+    assert Z.binary_stats(px, zones, 0.25, keys=("year",)).count() == 2  # every zone, in every year that occurs
+
+
+def test_unweighted_density_median(spark):
+    px = spark.createDataFrame([(1, v) for v in (0, 25, 50, 100, 255)], "sector_id int, value int")
+    zones = spark.createDataFrame([(1, 1.0), (2, 1.0)], "sector_id int, complete_ha double")
+    got = {r.sector_id: r for r in Z.density_stats(px, zones, 0.2, weight=None).collect()}
+    assert got[1].median_density == 37.5 and got[1].mean_density == 43.75 and got[2].valid_ha == 0 and got[2].no_data_pct == 100
+
+
+def test_rounding_leaves_what_is_not_finite(spark):
+    from zonemill.functions.numbers import half_up
+    from zonemill.plans.registry import present
+    values = [float("nan"), float("inf"), 3e13, 0.123456499, -2.5, None]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = [r.v for r in present(rows).orderBy("i").collect()]
+    assert str(got[0]) == "nan" and got[1:] == [float("inf"), 3e13, 0.123456, -2.5, None]
+    assert str(rows.where("i = 0").select(half_up(F.col("v"), 2)).first()[0]) == "nan"
+
+
+def test_too_few_samples_are_an_error(spark):
+    rows = spark.createDataFrame([("positive", 0.5)] * 3 + [("negative", 0.1)] * 2, "sample string, ndvi double")
+    assert Z.calibrate_threshold(rows, minimum=2).first().n_neg == 2
+    with pytest.raises(Exception, match="fewer than 3 samples"):
+        Z.calibrate_threshold(rows, minimum=3).collect()

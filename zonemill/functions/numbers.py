@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 INF = float("inf")
+LARGE = 2.0**52  # from here on doubles have no half
 
 
 def as_column(value: Column | str | float) -> Column:
@@ -36,9 +37,9 @@ def percentage(part: Column, whole: Column, default: float | None = 0.0) -> Colu
 
 
 def half_up(c: Column, digits: int = 0) -> Column:
-    """floor(x·10ᵈ + ½)/10ᵈ, the same in every IEEE engine."""
+    """floor(x·10ᵈ + ½)/10ᵈ, the same in every IEEE engine; NaN, infinities and numbers too large for a fraction stay."""
     scale = float(10**digits)
-    return F.floor(c * scale + 0.5).cast("double") / scale
+    return F.when(F.abs(c) < LARGE / scale, F.floor(c * scale + 0.5).cast("double") / scale).otherwise(c.cast("double"))
 
 
 def half_even(c: Column, digits: int = 0) -> Column:

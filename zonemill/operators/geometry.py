@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from zonemill import model as M
 from zonemill.functions import space as S
 from zonemill.model import Grid
-from zonemill.session import sized
 
 # --- Geometry columns -----------------------------------------------------------------------------
 
@@ -158,10 +157,35 @@ def rasterize(polys: DataFrame, keys: list[str], grid: Grid, scale: int = 1, geo
     crossing = rows.where(((F.col("y1") <= scan) & (F.col("y2") > scan)) | ((F.col("y2") <= scan) & (F.col("y1") > scan))).select(
         *keys, "part", "row_i", (F.col("x1") + (scan - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))).alias("x"))
     order = W.partitionBy(*keys, "part", "row_i").orderBy("x")
-    paired = crossing.withColumn("n", F.row_number().over(order)).withColumn("x_end", F.lead("x").over(order))
+    # one exchange serves both the pairing and the merging below
+    paired = crossing.repartition(*keys, "row_i").withColumn("n", F.row_number().over(order)).withColumn("x_end", F.lead("x").over(order))
     c0 = F.greatest(F.lit(0), F.ceil(F.col("x") - 0.5))
     c1 = F.least(F.lit(fine.width - 1), F.floor(F.col("x_end") - 0.5))
-    return (paired.where("n % 2 = 1 AND x_end IS NOT NULL").select(*keys, "row_i", c0.alias("c0"), c1.alias("c1")).where("c0 <= c1"))
+    return merged_spans(paired.where("n % 2 = 1 AND x_end IS NOT NULL").select(*keys, "row_i", c0.alias("c0"), c1.alias("c1")).where("c0 <= c1"), keys)
+
+
+def merged_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Spans of one feature and row that share cells or touch become one: parts that share a border count a cell once."""
+    order = W.partitionBy(*keys, "row_i").orderBy("c0", "c1")
+    before = F.max("c1").over(order.rowsBetween(W.unboundedPreceding, -1))
+    runs = spans.withColumn("new", (F.coalesce(before, F.lit(-2)) < F.col("c0") - 1).cast("int"))
+    runs = runs.withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return runs.groupBy(*keys, "row_i", "run").agg(F.min("c0").alias("c0"), F.max("c1").alias("c1")).drop("run")
+
+
+def one_feature(spans: DataFrame, order: str | None = None) -> DataFrame:
+    """Spans of several features without a cell twice: the last feature by ``order`` (default: all its columns) keeps a cell.
+
+    Only spans that overlap another one in their row are taken apart into cells.
+    """
+    columns = [c for c in spans.columns if c not in ("row_i", "c0", "c1")]
+    by_start = W.partitionBy("row_i").orderBy("c0", "c1")
+    before, after = F.max("c1").over(by_start.rowsBetween(W.unboundedPreceding, -1)), F.lead("c0").over(by_start)
+    marked = spans.withColumn("shared", (F.coalesce(before, F.lit(-1)) >= F.col("c0")) | (F.coalesce(after, F.col("c1") + 1) <= F.col("c1")))
+    rank = F.struct(*([order] if order else []), *columns)
+    cells = marked.where("shared").select(*columns, "row_i", F.explode(F.sequence("c0", "c1")).alias("c0"))
+    won = cells.groupBy("row_i", "c0").agg(F.max_by(F.struct(*columns), rank).alias("f")).select("f.*", "row_i", "c0", F.col("c0").alias("c1"))
+    return marked.where("not shared").select(*columns, "row_i", "c0", "c1").unionByName(won.select(*columns, "row_i", "c0", "c1"))
 
 
 def span_cells(spans: DataFrame) -> DataFrame:
@@ -260,7 +284,6 @@ def points_in_polygons(points: DataFrame, polys: DataFrame, key: str, cell: floa
     px, py = F.col(x), F.col(y)
     hits = F.filter("strip_edges", lambda e: ((e["y1"] > py) != (e["y2"] > py)) & (
         px < (e["x2"] - e["x1"]) * (py - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]))
-    strips = sized(strips)
     placed = points.withColumn("cx", F.floor(px / cell)).withColumn("cy", F.floor(py / cell))
     near = px.between(F.col("lo"), F.col("hi")) & py.between(F.col("bottom"), F.col("top"))
     return (placed.join(strips, ["cx", "cy"]).where(near).where(F.size(hits) % 2 == 1)
@@ -325,9 +348,9 @@ def overlay_area(a: DataFrame, b: DataFrame, a_key: str, b_key: str, cell: float
 # --- Scope index ----------------------------------------------------------------------------------
 
 
-def scope_index(zones: DataFrame, grid: Grid, keys: list[str]) -> DataFrame:
-    """Cell → zone keys, by cell centre; cells outside all zones have no row."""
-    return span_cells(rasterize(zones, keys, grid))
+def scope_index(zones: DataFrame, grid: Grid, keys: list[str], order: str | None = None) -> DataFrame:
+    """Cell → zone keys, by cell centre, each cell once (the last zone by ``order``); cells outside all zones have no row."""
+    return span_cells(one_feature(rasterize(zones, keys, grid), order))
 
 
 def grid_cells(spark: SparkSession, grid: Grid) -> DataFrame:

@@ -93,6 +93,21 @@ def rollup_land_cover(stats: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame
             .withColumn("built_up_pct", percentage(F.col("built_up_ha"), F.col("classified_ha"))))
 
 
+def rollup_breakdown(facts: DataFrame, rollup: DataFrame, zones: DataFrame, groups: dict[str, tuple[list, bool]], no_data: list | None = None) -> DataFrame:
+    """Green, artificial and other class rows per municipality and region, with the share of group and valid area of the scope.
+
+    ``rollup`` is :func:`rollup_class_stats`; ``facts`` are reduced to municipalities before the scopes are expanded.
+    """
+    per_class = (facts.join(zones.select("sector_id", "municipality"), "sector_id")
+                 .groupBy("municipality", "class_code").agg(F.sum("area_m2").alias("area_m2")))
+    return class_breakdown(_scope(per_class), rollup, groups, ["scope"], no_data)
+
+
+def scope_areas(areas: DataFrame, keys: tuple[str, ...] = (), code: str = "code") -> DataFrame:
+    """Land-cover areas (with a municipality) added up to municipalities and the region: input of the land-cover class rows."""
+    return _scope(areas).groupBy(*keys, "scope", code).agg(F.sum("area_ha").alias("area_ha"))
+
+
 def rollup_vegetation(stats: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Vegetation totals; the median is the valid-area weighted mean of the medians, marked as approximate."""
     parts = ["total_ha", "valid_ha", "likely_ha", "below_ha", "cropland_ha", "water_ha", "missing_ha"]

@@ -17,8 +17,9 @@ from zonemill import model as M
 from zonemill.functions import pixels as P
 from zonemill.functions.numbers import finite, percentage
 from zonemill.operators import quantiles as Q
-from zonemill.operators.tables import literal_map, with_series
-from zonemill.session import checkpointed, sized
+from zonemill.operators.geometry import one_feature
+from zonemill.operators.tables import with_series
+from zonemill.session import checkpointed
 
 BLOCK = 64
 
@@ -28,26 +29,25 @@ def cell_key(row: Column, col: Column) -> Column:
     return row.cast("bigint") * (1 << 32) + col
 
 
-def assign_zone(px: DataFrame, spans: DataFrame, block: int = BLOCK, bound: int | None = None) -> DataFrame:
-    """Pixels joined to the zone whose span covers them (cell centre rule).
+def assign_zone(px: DataFrame, spans: DataFrame, block: int = BLOCK, order: str | None = None) -> DataFrame:
+    """Pixels joined to the one zone whose span covers them (cell centre rule; the last by ``order`` where spans overlap).
 
     Spans (row_i, c0, c1 inclusive, zone columns) are cut into column blocks, so the join is an
-    equi-join on (row, block) with a small residual test, and no cell list is ever materialised. The spans
-    are broadcast only when they are few (``bound`` or a count); a larger set is shuffled with the pixels.
+    equi-join on (row, block) with a small residual test, and no cell list is ever materialised.
     """
     def start(c: str) -> Column:
         return F.col(c) - F.col(c) % block
 
-    cut = spans.withColumn("blk", F.explode(F.sequence(start("c0"), start("c1"), F.lit(block).cast("bigint"))))
+    cut = one_feature(spans, order).withColumn("blk", F.explode(F.sequence(start("c0"), start("c1"), F.lit(block).cast("bigint"))))
     cut = cut.withColumn("key", cell_key(F.col("row_i"), F.col("blk"))).drop("row_i", "blk")
     cond = (cell_key(F.col("row_i"), start("col_i")) == F.col("key")) & F.col("col_i").between(F.col("c0"), F.col("c1"))
-    return px.join(sized(cut, bound), cond).drop("key", "c0", "c1")
+    return px.join(cut, cond).drop("key", "c0", "c1")
 
 
-def with_weights(px: DataFrame, weights: DataFrame, bound: int | None = None) -> DataFrame:
+def with_weights(px: DataFrame, weights: DataFrame) -> DataFrame:
     """Pixels × the zones that cover part of them, with the covered sub-cells w."""
     keyed = weights.withColumn("key", cell_key(F.col("row_i"), F.col("col_i"))).drop("row_i", "col_i")
-    return px.join(sized(keyed, bound), cell_key(F.col("row_i"), F.col("col_i")) == F.col("key")).drop("key")
+    return px.join(keyed, cell_key(F.col("row_i"), F.col("col_i")) == F.col("key")).drop("key")
 
 
 def _sum_if(condition: Column, value: Column | float = 1) -> Column:
@@ -56,14 +56,15 @@ def _sum_if(condition: Column, value: Column | float = 1) -> Column:
 
 def _records(zones: DataFrame, columns: list[str], rows: DataFrame, zone: str, keys: tuple[str, ...],
              expected: dict[str, list] | None) -> DataFrame:
-    """Zone columns joined to their sums, keeping zones without pixels.
+    """Zone columns joined to their sums: a record for every zone and key, also without pixels.
 
-    With ``keys`` (observation, year …) the expected key values say which records must exist; without them only
-    the (key, zone) pairs that have pixels are known.
+    ``keys`` (observation, year …) are those that occur anywhere in ``rows``, or the ``expected`` values of each key.
     """
     frame = zones.select(zone, *columns)
     if keys and expected is None:
-        return frame.join(rows, zone)
+        # as many entries as observations; looked up once, before the zones are expanded
+        seen = rows.agg(F.collect_set(F.struct(*keys)).alias("seen"))
+        frame = frame.withColumn("seen", seen.scalar()).select(zone, *columns, F.explode("seen").alias("seen")).select(zone, *columns, "seen.*")
     for key, values in (expected or {}).items():
         listed = F.array(*[F.lit(v).cast(rows.schema[key].dataType) for v in values])
         frame = frame.withColumn(key, F.explode(listed))
@@ -103,18 +104,22 @@ def binary_stats(px: DataFrame, zones: DataFrame, cell_ha: float, zone: str = "s
 
 
 def density_stats(px: DataFrame, zones: DataFrame, unit_ha: float, zone: str = "sector_id", value: str = "value",
-                  weight: str = "w", keys: tuple[str, ...] = (), expected: dict[str, list] | None = None) -> DataFrame:
+                  weight: str | None = "w", keys: tuple[str, ...] = (), expected: dict[str, list] | None = None) -> DataFrame:
     """Density (0–100) per zone with whole-number weights of ``unit_ha`` each.
 
-    Shares use the complete zone area, density classes also the area where something is present.
+    Shares use the complete zone area, density classes also the area where something is present. Without a weight
+    column every pixel counts one and the median lies between the two middle values.
     """
-    v, w = F.col(value), F.col(weight)
+    v, w = F.col(value), F.col(weight) if weight else F.lit(1)
     group = [*keys, zone]
     usable = px.where(finite(v.cast("double")) & v.between(0, 100) & (w > 0))
     sums = usable.groupBy(*group).agg(
         F.sum(w).alias("w"), F.sum(v * w).alias("vw"), _sum_if(v > 0, w).alias("pw"),
         *[_sum_if(v.between(a, b), w).alias(f"w_{a}_{b}") for a, b in M.DENSITY_CLASSES])
-    median = Q.weighted_quantiles(usable, group, v, w, {"median_density": 0.5})
+    if weight:
+        median = Q.weighted_quantiles(usable, group, v, w, {"median_density": 0.5})
+    else:
+        median = Q.interpolated_summary(usable, group, v, {"median_density": 0.5}).select(*group, "median_density")
     rows = sums.join(median, group)
     rows = _records(zones, ["complete_ha"], rows, zone, keys, expected)
     whole = F.col("complete_ha")
@@ -182,8 +187,11 @@ def unknown_codes(px: DataFrame, code: str = "code") -> DataFrame:
     return px.where(~F.col(code).isin(known)).groupBy(code).agg(F.count("*").alias("n"))
 
 
-def land_cover_stats(areas: DataFrame, keys: list[str], code: str = "code") -> DataFrame:
-    """Totals per zone; shares of the classified area; the dominant class is the largest, lowest code on ties."""
+def land_cover_stats(areas: DataFrame, keys: list[str], code: str = "code", zones: DataFrame | None = None, zone: str = "sector_id") -> DataFrame:
+    """Totals per zone; shares of the classified area; the dominant class is the largest, lowest code on ties.
+
+    With ``zones`` every zone has a record for every other key, with zero areas where it has no pixel.
+    """
     c, a = F.col(code), F.col("area_ha")
     classified = ~c.isin(0, M.LAND_COVER_UNCLASSIFIABLE)
     best = F.max(F.when(classified, F.struct(a.alias("a"), (-c).alias("o"), c.alias("c"))))
@@ -192,6 +200,8 @@ def land_cover_stats(areas: DataFrame, keys: list[str], code: str = "code") -> D
         _sum_if(c == M.LAND_COVER_UNCLASSIFIABLE, a).alias("unclassifiable_ha"),
         _sum_if(c.isin(M.LAND_COVER_VEGETATION), a).alias("vegetation_ha"), _sum_if(c.isin(M.LAND_COVER_BUILT_UP), a).alias("built_up_ha"),
         best["c"].alias("dominant_code"))
+    if zones is not None:
+        sums = _records(zones, [], sums, zone, tuple(k for k in keys if k != zone), None).na.fill(0.0, [c for c in sums.columns if c.endswith("_ha")])
     return (sums.withColumn("vegetation_pct", percentage(F.col("vegetation_ha"), F.col("classified_ha"), None))
             .withColumn("built_up_pct", percentage(F.col("built_up_ha"), F.col("classified_ha"), None)))
 
@@ -203,8 +213,12 @@ def land_cover_classes(areas: DataFrame, keys: list[str], code: str = "code") ->
     return rows.join(whole, keys).withColumn("pct", percentage(F.col("area_ha"), F.col("classified_ha"))).drop("classified_ha")
 
 
-def change_stats(pairs: DataFrame, area_ha: Column, keys: list[str], before: str = "before", after: str = "after") -> DataFrame:
-    """Compared, gained, lost and unchanged vegetation area per zone; shares of the compared area."""
+def change_stats(pairs: DataFrame, area_ha: Column, keys: list[str], before: str = "before", after: str = "after",
+                 zones: DataFrame | None = None, zone: str = "sector_id") -> DataFrame:
+    """Compared, gained, lost and unchanged vegetation area per zone; shares of the compared area.
+
+    With ``zones`` every zone has a record for every other key.
+    """
     known = [c for c, *_ in M.LAND_COVER]
     b, a = F.col(before), F.col(after)
     usable = P.comparable(b, a, known)
@@ -212,6 +226,8 @@ def change_stats(pairs: DataFrame, area_ha: Column, keys: list[str], before: str
     kept = usable & b.isin(M.LAND_COVER_VEGETATION) & a.isin(M.LAND_COVER_VEGETATION)
     sums = pairs.groupBy(*keys).agg(_sum_if(usable, area_ha).alias("compared_ha"), _sum_if(state == 1, area_ha).alias("gained_ha"),
                                     _sum_if(state == 2, area_ha).alias("lost_ha"), _sum_if(kept, area_ha).alias("unchanged_ha"))
+    if zones is not None:
+        sums = _records(zones, [], sums, zone, tuple(k for k in keys if k != zone), None).na.fill(0.0)
     return (sums.withColumn("gained_pct", percentage(F.col("gained_ha"), F.col("compared_ha"), None))
             .withColumn("lost_pct", percentage(F.col("lost_ha"), F.col("compared_ha"), None))
             .withColumn("net_ha", F.col("gained_ha") - F.col("lost_ha")))
@@ -221,7 +237,7 @@ def change_stats(pairs: DataFrame, area_ha: Column, keys: list[str], before: str
 
 
 def vegetation_stats(px: DataFrame, combos: DataFrame, zones: DataFrame, threshold: float, unit_m2: float,
-                     zone: str = "sector_id", keys: tuple[str, ...] = (), bound: int | None = None) -> DataFrame:
+                     zone: str = "sector_id", keys: tuple[str, ...] = ()) -> DataFrame:
     """Vegetation areas from pixels × (cell, zone, land use, n sub-cells).
 
     Raster areas are scaled so that their total is the exact zone area (``zones.exact_m2``); shares use
@@ -231,7 +247,7 @@ def vegetation_stats(px: DataFrame, combos: DataFrame, zones: DataFrame, thresho
     index = F.col("ndvi")
     reason = P.exclusion_reason(F.col("cover"), F.col("use"))
     group = [*keys, zone]
-    rows = px.join(sized(combos, bound), ["row_i", "col_i"]).withColumn("reason", reason)
+    rows = px.join(combos, ["row_i", "col_i"]).withColumn("reason", reason)
     counted = valid & finite(index)
     free = counted & F.col("reason").isNull()
     # One pass: sums per index bin (at most 2001 and one without a value), from which the totals and the median follow.
@@ -257,16 +273,18 @@ def overlap_counts(cells: DataFrame, pairs: dict[str, tuple[int, str]]) -> DataF
     return cells.agg(*[F.count_if((F.col("cover") == c) & (F.col("use") == u)).alias(name) for name, (c, u) in pairs.items()])
 
 
-def calibration_samples(px: DataFrame, dominant: DataFrame, min_votes: int = 8, bound: int | None = None) -> DataFrame:
+def calibration_samples(px: DataFrame, dominant: DataFrame, min_votes: int = 8) -> DataFrame:
     """Valid pixels of cells with a clear land use, labelled positive or negative."""
     sample = (F.when(F.col("use").isin(M.VEGETATION_POSITIVE), "positive").when(F.col("use").isin(M.VEGETATION_NEGATIVE), "negative"))
     cells = dominant.where(F.col("votes") >= min_votes).withColumn("sample", sample).where("sample IS NOT NULL")
-    return px.where("valid AND ndvi IS NOT NULL").join(sized(cells.select("row_i", "col_i", "sample"), bound), ["row_i", "col_i"])
+    return px.where("valid AND ndvi IS NOT NULL").join(cells.select("row_i", "col_i", "sample"), ["row_i", "col_i"])
 
 
-def calibrate_threshold(samples: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def calibrate_threshold(samples: DataFrame, keys: tuple[str, ...] = (), minimum: int = 0) -> DataFrame:
     """Youden threshold between positive and negative samples on 0.001 bins.
 
+    Fewer than ``minimum`` samples of a label are an error when the result is read.
+
     Works on the two histograms (at most 2001 bins). The best J is taken with a 1e-12 tolerance; the
     lower middle one of the tied bins wins. AUC counts ties half.
     """
@@ -291,7 +309,9 @@ def calibrate_threshold(samples: DataFrame, keys: tuple[str, ...] = ()) -> DataF
         F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") * 0.5)).alias("pairs"))
     best = out.withColumn("pick", F.element_at("tied", (F.floor((F.size("tied") - 1) / 2) + 1).cast("int")))
     auc = F.col("pairs") / (F.col("n_pos") * F.col("n_neg"))
-    return best.select(*keys, "n_pos", "n_neg", P.bin_value(F.col("pick.b")).alias("threshold"), "youden_j",
+    few = F.raise_error(F.concat(F.lit(f"fewer than {minimum} samples: "), F.col("n_pos").cast("string"), F.lit(" positive, "), F.col("n_neg").cast("string"), F.lit(" negative")))
+    n_pos = F.when(F.least("n_pos", "n_neg") < minimum, few.cast("bigint")).otherwise(F.col("n_pos")).alias("n_pos") if minimum else F.col("n_pos")
+    return best.select(*keys, n_pos, "n_neg", P.bin_value(F.col("pick.b")).alias("threshold"), "youden_j",
                        F.col("pick.sens").alias("sensitivity"), F.col("pick.spec").alias("specificity"),
                        ((F.col("pick.sens") + F.col("pick.spec")) / 2).alias("balanced_accuracy"),
                        (1 - F.col("pick.spec")).alias("false_positive_rate"), auc.alias("auc"),
@@ -360,11 +380,12 @@ def user_layer_stats(px: DataFrame, value: Column, zones: DataFrame, cell_ha: fl
     return out.withColumn("valid_ha", F.coalesce("valid_ha", F.lit(0.0)))
 
 
-def user_class_stats(px: DataFrame, value: Column, classes: list[int], cell_ha: float, zone: str = "sector_id",
-                     keys: tuple[str, ...] = ()) -> DataFrame:
-    """Class areas with their share of the **valid** pixels."""
+def user_class_stats(px: DataFrame, value: Column, classes: list[int], cell_ha: float, zones: DataFrame, zone: str = "sector_id",
+                     keys: tuple[str, ...] = (), expected: dict[str, list] | None = None) -> DataFrame:
+    """Class areas with their share of the **valid** pixels, zeros for zones without any."""
     rows = px.withColumn("v", value).where("v IS NOT NULL")
     counts = rows.groupBy(*keys, zone).agg(F.count("*").alias("n_valid"), *[F.count_if(F.col("v") == c).alias(f"n_{c}") for c in classes])
+    counts = _records(zones, [], counts, zone, keys, expected).na.fill(0)
     items = F.array(*[F.struct(F.lit(c).alias("value"), (F.col(f"n_{c}") * cell_ha).alias("area_ha"),
                                percentage(F.col(f"n_{c}"), F.col("n_valid")).alias("pct")) for c in classes])
     return counts.select(*keys, zone, F.inline(items))
@@ -411,8 +432,3 @@ def present_classes(stats: DataFrame, dimension: DataFrame, code: str = "code",
     seen = stats.where(F.col(area) > 0).select(code).distinct().withColumn("seen", F.lit(True))
     return dimension.join(seen, code, "left").withColumn("present", F.coalesce("seen", F.lit(False))).drop("seen")
 
-
-def land_use_groups(stats: DataFrame, keys: list[str], code: str = "code", area: str = "area_ha") -> DataFrame:
-    """Areas of the 19-class land-use map per class group."""
-    group = literal_map(M.LAND_USE_GROUPS)[F.col(code)]
-    return stats.groupBy(*keys, group.alias("grp")).agg(F.sum(area).alias("area_ha"))

@@ -169,13 +169,29 @@ def g17(spark, d):
 
 
 @query("j07_assign_zone", sql("px poly", """
-SELECT obs_id, poly_id, count(*) AS n, CAST(sum(code) AS BIGINT) AS code_sum FROM px JOIN poly ON abs(col_i + 0.5E0 - cx) + abs(row_i + 0.5E0 - cy) <= r GROUP BY obs_id, poly_id"""))
+SELECT obs_id, poly_id, count(*) AS n, CAST(sum(code) AS BIGINT) AS code_sum FROM (SELECT obs_id, row_i, col_i, code, max(poly_id) AS poly_id
+  FROM px JOIN poly ON abs(col_i + 0.5E0 - cx) + abs(row_i + 0.5E0 - cy) <= r GROUP BY obs_id, row_i, col_i, code) GROUP BY obs_id, poly_id"""))
 def j07(spark, d):
+    """Overlapping diamonds: a pixel belongs to the last one that covers its centre."""
     spans = GE.rasterize(V.diamond_polygons(spark, d), ["poly_id"], V.GRID)
     located = Z.assign_zone(V.pixels(spark, d).select("obs_id", "row_i", "col_i", "code"), spans)
     return located.groupBy("obs_id", "poly_id").agg(F.count("*").alias("n"), F.sum("code").alias("code_sum"))
 
 
+@query("j07_shared_borders", sql("px zone", """
+SELECT obs_id, sector_id, count(*) AS n FROM (SELECT obs_id, row_i, col_i, max(sector_id) AS sector_id FROM px JOIN zone ON row_i >= r0 AND row_i < r1 AND col_i >= c0 AND col_i <= c1
+  GROUP BY obs_id, row_i, col_i) GROUP BY obs_id, sector_id"""))
+def j07b(spark, d):
+    """Zones of two parts each whose borders run through cell centres: every pixel counts once."""
+    def part(left, right):
+        ring = F.array(*[F.struct(x.cast("double").alias("x"), F.col(y).cast("double").alias("y")) for x, y in ((left, "r0"), (right, "r0"), (right, "r1"), (left, "r1"), (left, "r0"))])
+        return F.array(ring)
+    low, middle, high = F.col("c0") + 0.5, F.col("c0") + 10.5, F.col("c1") + 0.5
+    zones = V.zones(spark, d).select("sector_id", F.array(part(low, middle), part(middle, high)).alias("geom"))
+    located = Z.assign_zone(V.pixels(spark, d).select("obs_id", "row_i", "col_i"), GE.rasterize(zones, ["sector_id"], V.GRID))
+    return located.groupBy("obs_id", "sector_id").agg(F.count("*").alias("n"))
+
+
 POINTS = "SELECT o_orderkey AS id, CAST(floor(o_orderkey / 10000.0E0) AS BIGINT) AS obs_id, o_totalprice / 5000.0E0 AS x, (o_custkey % 1000) / 10.0E0 + 0.03E0 AS y FROM orders"
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from zonemill import model as M
 from zonemill.functions import pixels as P
+from zonemill.functions.numbers import half_up
 from zonemill.operators import geometry as GE
 from zonemill.operators import rollups as R
 from zonemill.operators import scenes as SC
@@ -33,21 +35,20 @@ def zones(spark, d):
 
 
 def zoned(spark, d, px=None):
-    # Zones do not overlap, so there cannot be more spans than cells.
-    return Z.assign_zone(V.pixels(spark, d) if px is None else px, zone_spans(spark, d), bound=V.SIDE * V.SIDE)
+    return Z.assign_zone(V.pixels(spark, d) if px is None else px, zone_spans(spark, d))
 
 
-CAT = f"""SELECT obs_id, sector_id, {COMPLETE} AS complete_ha, k.code, count(*) FILTER (pz.code = k.code) * {HA} AS area_ha,
-  count(*) FILTER (pz.code IN (1, 2, 3, 4)) * {HA} AS valid_ha FROM pz, (VALUES (1), (2), (3), (4)) k(code) GROUP BY obs_id, sector_id, k.code"""
+CAT = f"""SELECT obs_id, sector_id, {COMPLETE} AS complete_ha, k.code, count(*) FILTER (zpx.code = k.code) * {HA} AS area_ha,
+  count(*) FILTER (zpx.code IN (1, 2, 3, 4)) * {HA} AS valid_ha FROM zpx, (VALUES (1), (2), (3), (4)) k(code) GROUP BY obs_id, sector_id, k.code"""
 
 
-@query("a01_categorical_stats", sql("pz", f"""
+@query("a01_categorical_stats", sql("zpx", f"""
 SELECT obs_id, sector_id, complete_ha, code, area_ha, valid_ha, {r6('area_ha / complete_ha * 100')} AS pct, {r6('valid_ha / complete_ha * 100')} AS valid_pct,
   greatest(0, complete_ha - valid_ha) AS no_data_ha, {r6('greatest(0, complete_ha - valid_ha) / complete_ha * 100')} AS no_data_pct FROM ({CAT})"""))
 def a01(spark, d):
     """The whole chain: zone polygons → spans → pixels in zones → class areas."""
     polygons = V.zone_polygons(spark, d)
-    located = Z.assign_zone(V.pixels(spark, d).select("obs_id", "row_i", "col_i", "code"), GE.rasterize(polygons, ["sector_id"], V.GRID), bound=V.SIDE * V.SIDE)
+    located = Z.assign_zone(V.pixels(spark, d).select("obs_id", "row_i", "col_i", "code"), GE.rasterize(polygons, ["sector_id"], V.GRID))
     return Z.categorical_stats(located, zones(spark, d), [1, 2, 3, 4], CELL_HA, keys=("obs_id",))
 
 
@@ -61,11 +62,11 @@ def a01b(spark, d):
 
 
 BINARY = f"""SELECT obs_id, sector_id, municipality, {COMPLETE} AS complete_ha, count(*) FILTER (code = 1) * {HA} AS sealed_ha,
-  count(*) FILTER (code = 0) * {HA} AS unsealed_ha FROM pz GROUP BY obs_id, sector_id, municipality"""
+  count(*) FILTER (code = 0) * {HA} AS unsealed_ha FROM zpx GROUP BY obs_id, sector_id, municipality"""
 BINARY_SUMS = f"""SELECT *, sealed_ha + unsealed_ha AS valid_ha, greatest(0, complete_ha - sealed_ha - unsealed_ha) AS no_data_ha FROM ({BINARY})"""
 
 
-@query("a02_binary_stats", sql("pz", f"""
+@query("a02_binary_stats", sql("zpx", f"""
 SELECT obs_id, sector_id, complete_ha, sealed_ha, unsealed_ha, valid_ha, no_data_ha, {r6('sealed_ha / complete_ha * 100')} AS sealed_pct,
   {r6('unsealed_ha / complete_ha * 100')} AS unsealed_pct, {r6('valid_ha / complete_ha * 100')} AS valid_pct,
   {r6('no_data_ha / complete_ha * 100')} AS no_data_pct FROM ({BINARY_SUMS})"""))
@@ -99,25 +100,29 @@ def diamond_zones(spark, d):
 
 
 DENSITY = f"""WITH w AS ({weights_sql(10)}), x AS (SELECT obs_id, poly_id, dn % 128 AS v, w FROM px JOIN w USING (row_i, col_i) WHERE dn % 128 <= 100),
-s AS (SELECT obs_id, poly_id, sum(w) AS w, sum(v * w) AS vw, coalesce(sum(w) FILTER (v > 0), 0) AS pw, coalesce(sum(w) FILTER (v BETWEEN 1 AND 20), 0) AS w1,
-  coalesce(sum(w) FILTER (v BETWEEN 81 AND 100), 0) AS w5 FROM x GROUP BY obs_id, poly_id),
+s AS (SELECT obs_id, poly_id, sum(w) AS w, sum(v * w) AS vw, coalesce(sum(w) FILTER (v > 0), 0) AS pw, {', '.join(f"coalesce(sum(w) FILTER (v BETWEEN {a} AND {b}), 0) AS w{a}" for a, b in M.DENSITY_CLASSES)}
+  FROM x GROUP BY obs_id, poly_id),
 m AS (SELECT obs_id, poly_id, min(v) AS median FROM (SELECT *, sum(w) OVER (PARTITION BY obs_id, poly_id ORDER BY v) AS upto,
   sum(w) OVER (PARTITION BY obs_id, poly_id) AS total FROM x) WHERE upto >= total * 0.5E0 GROUP BY obs_id, poly_id),
-a AS (SELECT s.*, median, 2.0E0 * r * r * {HA} AS whole, w * 0.0025E0 AS valid, pw * 0.0025E0 AS present, w1 * 0.0025E0 AS c1, w5 * 0.0025E0 AS c5
-  FROM s JOIN m USING (obs_id, poly_id) JOIN poly USING (poly_id))"""
+k AS (SELECT obs_id, poly_id, r FROM (SELECT DISTINCT obs_id FROM x) CROSS JOIN poly),
+a AS (SELECT k.obs_id, k.poly_id, w, coalesce(vw, 0) AS vw, pw, median, 2.0E0 * r * r * {HA} AS whole, coalesce(w, 0) * 0.0025E0 AS valid, coalesce(pw, 0) * 0.0025E0 AS present,
+  {', '.join(f"coalesce(w{a}, 0) * 0.0025E0 AS c{a}" for a, _ in M.DENSITY_CLASSES)}
+  FROM k LEFT JOIN s USING (obs_id, poly_id) LEFT JOIN m USING (obs_id, poly_id))"""
+
+
+DENSITY_COLUMNS = ",\n  ".join(
+    f"{r6(f'c{a}')} AS class_{a}_{b}_ha, {r6(f'c{a} / whole * 100')} AS class_{a}_{b}_pct, {r6(f'CASE WHEN present > 0 THEN c{a} / present * 100 ELSE 0 END')} AS class_{a}_{b}_present_pct"
+    for a, b in M.DENSITY_CLASSES)
 
 
 @query("a03_density_stats", sql("px poly", f"""{DENSITY}
-SELECT obs_id, poly_id, {r6('whole')} AS complete_ha, {r6('valid')} AS valid_ha, {r6('greatest(0, whole - valid)')} AS no_data_ha,
-  {r6('CAST(vw AS DOUBLE) / w')} AS mean_density, CAST(median AS DOUBLE) AS median_density, {r6('valid - present')} AS zero_ha, {r6('present')} AS presence_ha,
-  {r6('CASE WHEN pw > 0 THEN CAST(vw AS DOUBLE) / pw END')} AS mean_present, {r6('CAST(vw AS DOUBLE) / 100 * 0.0025E0')} AS crown_ha,
-  {r6('c1')} AS class_1_20_ha, {r6('c1 / whole * 100')} AS class_1_20_pct, {r6('CASE WHEN present > 0 THEN c1 / present * 100 ELSE 0 END')} AS class_1_20_present_pct,
-  {r6('c5')} AS class_81_100_ha, {r6('c5 / whole * 100')} AS class_81_100_pct FROM a"""))
+SELECT obs_id, poly_id, {r6('whole')} AS complete_ha, {r6('valid')} AS valid_ha, {r6('valid / whole * 100')} AS valid_pct, {r6('greatest(0, whole - valid)')} AS no_data_ha,
+  {r6('greatest(0, whole - valid) / whole * 100')} AS no_data_pct, {r6('CAST(vw AS DOUBLE) / w')} AS mean_density, CAST(median AS DOUBLE) AS median_density,
+  {r6('greatest(0, valid - present)')} AS zero_ha, {r6('greatest(0, valid - present) / whole * 100')} AS zero_pct, {r6('present')} AS presence_ha, {r6('present / whole * 100')} AS presence_pct,
+  {r6('CASE WHEN pw > 0 THEN CAST(vw AS DOUBLE) / pw END')} AS mean_present, {r6('CAST(vw AS DOUBLE) / 100 * 0.0025E0')} AS crown_ha, {DENSITY_COLUMNS} FROM a"""))
 def a03(spark, d):
     px = weighted_pixels(spark, d).withColumn("value", F.col("dn") % 128)
-    out = Z.density_stats(px, diamond_zones(spark, d), CELL_HA / 100, zone="poly_id", keys=("obs_id",))
-    return out.select("obs_id", "poly_id", "complete_ha", "valid_ha", "no_data_ha", "mean_density", "median_density", "zero_ha", "presence_ha",
-                      "mean_present", "crown_ha", "class_1_20_ha", "class_1_20_pct", "class_1_20_present_pct", "class_81_100_ha", "class_81_100_pct")
+    return Z.density_stats(px, diamond_zones(spark, d), CELL_HA / 100, zone="poly_id", keys=("obs_id",))
 
 
 def _wq(value, cond, p, alias):
@@ -130,16 +135,15 @@ WITH w AS ({weights_sql(10)}), x AS (SELECT obs_id, poly_id, status, temp_c AS t
 s AS (SELECT obs_id, poly_id, coalesce(sum(w) FILTER (status = 1), 0) AS cw, coalesce(sum(w) FILTER (status = 2), 0) AS ow, count(*) FILTER (status = 1) AS n,
   sum(t * w) FILTER (status = 1) AS tw, sum(u * w) FILTER (status = 1) AS uw FROM x GROUP BY obs_id, poly_id),
 {_wq('t', 'status = 1', 0.1, 'p1')}, {_wq('t', 'status = 1', 0.5, 'p5')}, {_wq('t', 'status = 1', 0.9, 'p9')}, {_wq('u', 'status = 1', 0.5, 'pu')},
-a AS (SELECT s.*, 2.0E0 * r * r * {HA} AS whole, cw * 0.0025E0 AS c, ow * 0.0025E0 AS o FROM s JOIN poly USING (poly_id))
-SELECT a.obs_id, a.poly_id, {r6('c')} AS clear_ha, {r6('c / whole * 100')} AS clear_pct, {r6('o')} AS cloud_ha, {r6('greatest(0, whole - c - o)')} AS missing_ha,
-  n AS pixel_count, {r6('tw / cw')} AS mean_c, {r6('p1.q')} AS p10_c, {r6('p5.q')} AS median_c, {r6('p9.q')} AS p90_c, {r6('uw / cw')} AS mean_uncertainty_k,
+k AS (SELECT obs_id, poly_id, r FROM (SELECT DISTINCT obs_id FROM s WHERE cw + ow > 0) CROSS JOIN poly),
+a AS (SELECT k.obs_id, k.poly_id, coalesce(n, 0) AS n, tw, uw, cw, 2.0E0 * r * r * {HA} AS whole, coalesce(cw, 0) * 0.0025E0 AS c, coalesce(ow, 0) * 0.0025E0 AS o FROM k LEFT JOIN s USING (obs_id, poly_id))
+SELECT a.obs_id, a.poly_id, {r6('whole')} AS complete_ha, {r6('c')} AS clear_ha, {r6('c / whole * 100')} AS clear_pct, {r6('o')} AS cloud_ha, {r6('o / whole * 100')} AS cloud_pct,
+  {r6('greatest(0, whole - c - o)')} AS missing_ha, {r6('greatest(0, whole - c - o) / whole * 100')} AS missing_pct, n AS pixel_count, {r6('CASE WHEN cw > 0 THEN tw / cw END')} AS mean_c, {r6('p1.q')} AS p10_c, {r6('p5.q')} AS median_c, {r6('p9.q')} AS p90_c, {r6('CASE WHEN cw > 0 THEN uw / cw END')} AS mean_uncertainty_k,
   {r6('pu.q')} AS median_uncertainty_k FROM a LEFT JOIN p1 USING (obs_id, poly_id) LEFT JOIN p5 USING (obs_id, poly_id) LEFT JOIN p9 USING (obs_id, poly_id)
   LEFT JOIN pu USING (obs_id, poly_id)"""))
 def a04(spark, d):
     px = weighted_pixels(spark, d).withColumn("uncertainty", F.col("dn") * 0.01)
-    out = Z.temperature_stats(px, diamond_zones(spark, d), CELL_HA / 100, zone="poly_id", keys=("obs_id",))
-    return out.select("obs_id", "poly_id", "clear_ha", "clear_pct", "cloud_ha", "missing_ha", "pixel_count", "mean_c", "p10_c", "median_c", "p90_c",
-                      "mean_uncertainty_k", "median_uncertainty_k")
+    return Z.temperature_stats(px, diamond_zones(spark, d), CELL_HA / 100, zone="poly_id", keys=("obs_id",))
 
 
 # --- Land cover on the Mercator grid --------------------------------------------------------------
@@ -163,15 +167,24 @@ LC_STATS = f"""SELECT obs_id, sector_id, sum(area_ha) AS total_ha, coalesce(sum(
   coalesce(sum(area_ha) FILTER (code = 90), 0) AS built_up_ha FROM lc GROUP BY obs_id, sector_id"""
 
 
-@query("a05_land_cover_stats", sql("pz", f"""
-WITH lc AS ({LC_AREAS}), s AS ({LC_STATS}), k AS (SELECT obs_id, sector_id, code, row_number() OVER (PARTITION BY obs_id, sector_id ORDER BY area_ha DESC, code) AS rn
+def every_zone(columns, rows):
+    """SQL: (observation, zone) records with zeros where a zone has no pixel."""
+    return f"""SELECT z.obs_id, z.sector_id, {', '.join(f'coalesce({c}, 0) AS {c}' for c in columns)} FROM (SELECT obs_id, sector_id FROM (SELECT DISTINCT obs_id FROM {rows})
+  CROSS JOIN zone) z LEFT JOIN {rows} USING (obs_id, sector_id)"""
+
+
+LC_COLUMNS = ["total_ha", "classified_ha", "unclassifiable_ha", "vegetation_ha", "built_up_ha"]
+
+
+@query("a05_land_cover_stats", sql("pz zone", f"""
+WITH lc AS ({LC_AREAS}), s0 AS ({LC_STATS}), s AS ({every_zone(LC_COLUMNS, 's0')}), k AS (SELECT obs_id, sector_id, code, row_number() OVER (PARTITION BY obs_id, sector_id ORDER BY area_ha DESC, code) AS rn
   FROM lc WHERE code NOT IN (0, 254))
 SELECT s.obs_id, s.sector_id, {r6('total_ha')} AS total_ha, {r6('classified_ha')} AS classified_ha, {r6('unclassifiable_ha')} AS unclassifiable_ha,
   {r6('vegetation_ha')} AS vegetation_ha, {r6('built_up_ha')} AS built_up_ha, k.code AS dominant_code,
-  {r6('vegetation_ha / classified_ha * 100')} AS vegetation_pct, {r6('built_up_ha / classified_ha * 100')} AS built_up_pct
-FROM s LEFT JOIN k ON k.obs_id = s.obs_id AND k.sector_id = s.sector_id AND rn = 1"""))
+  {r6('CASE WHEN classified_ha > 0 THEN vegetation_ha / classified_ha * 100 END')} AS vegetation_pct,
+  {r6('CASE WHEN classified_ha > 0 THEN built_up_ha / classified_ha * 100 END')} AS built_up_pct FROM s LEFT JOIN k ON k.obs_id = s.obs_id AND k.sector_id = s.sector_id AND rn = 1"""))
 def a05(spark, d):
-    return Z.land_cover_stats(land_cover(spark, d), ["obs_id", "sector_id"])
+    return Z.land_cover_stats(land_cover(spark, d), ["obs_id", "sector_id"], zones=V.zones(spark, d))
 
 
 @query("a05_land_cover_classes", sql("pz", f"""
@@ -184,18 +197,18 @@ def a05b(spark, d):
 PAIRS = f"""SELECT pz.obs_id, sector_id, row_i, {BEFORE_CODE} AS b, {COVER_CODE} AS a, {MERC_HA} AS ha FROM pz JOIN px0 USING (obs_id, row_i, col_i)"""
 
 
-@query("a06_change_stats", sql("pz px0", f"""
+@query("a06_change_stats", sql("pz px0 zone", f"""
 WITH p AS ({PAIRS}), u AS (SELECT *, b <> 254 AND a NOT IN (0, 254) AS ok FROM p),
-s AS (SELECT obs_id, sector_id, coalesce(sum(ha) FILTER (ok), 0) AS c, coalesce(sum(ha) FILTER (ok AND b NOT IN (10, 30) AND a IN (10, 30)), 0) AS g,
+s0 AS (SELECT obs_id, sector_id, coalesce(sum(ha) FILTER (ok), 0) AS c, coalesce(sum(ha) FILTER (ok AND b NOT IN (10, 30) AND a IN (10, 30)), 0) AS g,
   coalesce(sum(ha) FILTER (ok AND b IN (10, 30) AND a NOT IN (10, 30)), 0) AS l, coalesce(sum(ha) FILTER (ok AND b IN (10, 30) AND a IN (10, 30)), 0) AS k
-  FROM u GROUP BY obs_id, sector_id)
-SELECT obs_id, sector_id, {r6('c')} AS compared_ha, {r6('g')} AS gained_ha, {r6('l')} AS lost_ha, {r6('k')} AS unchanged_ha, {r6('g / c * 100')} AS gained_pct,
-  {r6('l / c * 100')} AS lost_pct, {r6('g - l')} AS net_ha FROM s"""))
+  FROM u GROUP BY obs_id, sector_id), s AS ({every_zone('cglk', 's0')})
+SELECT obs_id, sector_id, {r6('c')} AS compared_ha, {r6('g')} AS gained_ha, {r6('l')} AS lost_ha, {r6('k')} AS unchanged_ha, {r6('CASE WHEN c > 0 THEN g / c * 100 END')} AS gained_pct,
+  {r6('CASE WHEN c > 0 THEN l / c * 100 END')} AS lost_pct, {r6('g - l')} AS net_ha FROM s"""))
 def a06(spark, d):
     before = F.array(*map(F.lit, [90, 10, 30, 254, 40]))
     then = V.baseline(spark, d).select("obs_id", "row_i", "col_i", F.element_at(before, (1 + F.col("code0")).cast("int")).alias("before"))
     pairs = TB.align(coded(zoned(spark, d)).withColumnRenamed("code", "after"), then, V.GRID, V.GRID, ("obs_id", "row_i", "col_i"))
-    return Z.change_stats(pairs, G.mercator_cell_ha(F.col("row_i"), MERCATOR), ["obs_id", "sector_id"])
+    return Z.change_stats(pairs, G.mercator_cell_ha(F.col("row_i"), MERCATOR), ["obs_id", "sector_id"], zones=V.zones(spark, d))
 
 
 # --- Class areas and their roll-ups ---------------------------------------------------------------
@@ -251,6 +264,37 @@ def a08(spark, d):
     return R.rollup_class_stats(class_stats(spark, d), V.area_facts(spark, d), V.zones(spark, d), HIDDEN)
 
 
+@query("a08_rollup_breakdown", sql("area_fact zone", f"""
+WITH s AS (SELECT *, greatest(0, processed - hidden) AS valid FROM ({CLASS_STATS})),
+t AS (SELECT CASE WHEN GROUPING(municipality) = 1 THEN 'region:all' ELSE 'municipality:' || municipality END AS scope, sum(valid) AS valid, sum(green) AS green,
+  sum(artificial) AS artificial FROM s GROUP BY ROLLUP (municipality)),
+f AS (SELECT CASE WHEN GROUPING(municipality) = 1 THEN 'region:all' ELSE 'municipality:' || municipality END AS scope, class_code, sum(area_m2) AS a
+  FROM area_fact JOIN zone USING (sector_id) GROUP BY class_code, ROLLUP (municipality)),
+r AS (SELECT t.scope, c.grp, c.class_code, coalesce(f.a, 0) AS a, CASE c.grp WHEN 'green' THEN green WHEN 'artificial' THEN artificial ELSE 0 END AS g, valid, c.keep
+  FROM t, (VALUES ('green', 1, true), ('green', 2, true), ('green', 99, true), ('artificial', 3, false), ('artificial', 4, false), ('artificial', 98, false),
+  ('other', 5, false), ('other', 6, false)) c(grp, class_code, keep) LEFT JOIN f ON f.scope = t.scope AND f.class_code = c.class_code)
+SELECT scope, grp, class_code, {r6('a / 10000')} AS area_ha, {r6('CASE WHEN g > 0 THEN a / g * 100 ELSE 0 END')} AS group_pct,
+  {r6('CASE WHEN valid > 0 THEN a / valid * 100 ELSE 0 END')} AS pct FROM r WHERE keep OR a > 0"""))
+def a08b(spark, d):
+    groups = {"green": ([1, 2, 99], True), "artificial": ([3, 4, 98], False)}
+    return R.rollup_breakdown(V.area_facts(spark, d), a08(spark, d), V.zones(spark, d), groups, HIDDEN)
+
+
+LC_SCOPES = f"""SELECT obs_id, CASE WHEN GROUPING(municipality) = 1 THEN 'region:all' ELSE 'municipality:' || municipality END AS scope, code, sum(area_ha) AS area_ha
+  FROM ({LC_AREAS}) JOIN zone USING (sector_id) GROUP BY obs_id, code, ROLLUP (municipality)"""
+
+
+@query("a09_rollup_classes", sql("pz zone", f"""
+WITH f AS ({LC_SCOPES}), c AS (SELECT *, row_number() OVER (PARTITION BY obs_id, scope ORDER BY {r6('area_ha')} DESC, code) AS rn FROM f WHERE code NOT IN (0, 254))
+SELECT obs_id, scope, code, {r6('area_ha')} AS area_ha, {r6('area_ha / sum(area_ha) OVER (PARTITION BY obs_id, scope) * 100')} AS pct,
+  first_value(code) OVER (PARTITION BY obs_id, scope ORDER BY rn) AS dominant_code FROM c"""))
+def a09b(spark, d):
+    areas = R.scope_areas(TB.with_municipality(land_cover(spark, d), V.zones(spark, d)), ("obs_id",))
+    # areas that agree to six decimals are ties, so that the order of summing does not decide
+    dominant = Z.land_cover_stats(areas.withColumn("area_ha", half_up(F.col("area_ha"), 6)), ["obs_id", "scope"]).select("obs_id", "scope", "dominant_code")
+    return Z.land_cover_classes(areas, ["obs_id", "scope"]).join(dominant, ["obs_id", "scope"])
+
+
 @query("a09_rollup_land_cover", sql("pz zone", f"""
 WITH lc AS ({LC_AREAS}), s AS ({LC_STATS}),
 t AS (SELECT obs_id, CASE WHEN GROUPING(municipality) = 1 THEN 'region:all' ELSE 'municipality:' || municipality END AS scope, sum(total_ha) AS a, sum(classified_ha) AS b,
@@ -262,7 +306,7 @@ def a09(spark, d):
     return R.rollup_land_cover(TB.with_municipality(stats, V.zones(spark, d)), ("obs_id",))
 
 
-@query("a11_region_surface_stats", sql("pz", f"""
+@query("a11_region_surface_stats", sql("zpx", f"""
 WITH b AS ({BINARY_SUMS}), t AS (SELECT obs_id, sum(complete_ha) AS c, sum(valid_ha) AS v, sum(no_data_ha) AS n, sum(sealed_ha) AS s, sum(unsealed_ha) AS u FROM b GROUP BY obs_id)
 SELECT obs_id, {r6('c')} AS complete_ha, {r6('v')} AS valid_ha, {r6('n')} AS no_data_ha, {r6('s')} AS sealed_ha, {r6('u')} AS unsealed_ha,
   {r6('v / c * 100')} AS valid_pct, {r6('n / c * 100')} AS no_data_pct, {r6('s / c * 100')} AS sealed_pct, {r6('u / c * 100')} AS unsealed_pct FROM t"""))
@@ -316,15 +360,16 @@ def a16(spark, d):
 # --- Parcels --------------------------------------------------------------------------------------
 
 FRAGMENTS = """SELECT c_nationkey AS sector_id, o_custkey AS parcel_id, CASE WHEN c_custkey % 4 = 0 THEN '  ' WHEN c_custkey % 4 = 1 THEN NULL ELSE c_mktsegment END AS crop_group,
-  o_totalprice / 100000.0E0 AS area_ha FROM orders JOIN customer ON o_custkey = c_custkey"""
+  floor(o_totalprice) / 100000.0E0 AS area_ha FROM orders JOIN customer ON o_custkey = c_custkey"""
 
 
 def fragments(spark, d):
+    """Areas in whole units of the fifth decimal, so that sums have no ties at the sixth."""
     k = F.col("c_custkey") % 4
     group = F.when(k == 0, "  ").when(k != 1, F.col("c_mktsegment"))
     return (V.table(spark, d, "orders").join(V.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
             .select(F.col("c_nationkey").alias("sector_id"), F.col("o_custkey").alias("parcel_id"), group.alias("crop_group"),
-                    (F.col("o_totalprice") / 100000.0).alias("area_ha")))
+                    (F.floor("o_totalprice") / 100000.0).alias("area_ha")))
 
 
 @query("a17_parcel_stats", sql("zone", f"""
@@ -345,19 +390,20 @@ def a17b(spark, d):
 # --- User layers, profiles, series ----------------------------------------------------------------
 
 
-@query("a18_user_layer_stats", sql("pz", f"""
+@query("a18_user_layer_stats", sql("zpx", f"""
 SELECT obs_id, sector_id, {COMPLETE} AS zone_ha, {r6('min(v)')} AS minimum, {r6('max(v)')} AS maximum, {r6('avg(v)')} AS mean, {r6('median(v)')} AS median,
-  count(*) * {HA} AS valid_ha FROM (SELECT *, temp_c * 2 - b04 AS v FROM pz WHERE status = 1) GROUP BY obs_id, sector_id"""))
+  count(v) * {HA} AS valid_ha FROM (SELECT *, CASE WHEN status = 1 THEN temp_c * 2 - b04 END AS v FROM zpx) GROUP BY obs_id, sector_id"""))
 def a18(spark, d):
     value = F.when(F.col("status") == 1, F.col("temp_c") * 2 - F.col("b04"))
     return Z.user_layer_stats(zoned(spark, d), value, zones(spark, d), CELL_HA, keys=("obs_id",))
 
 
-@query("a18_user_class_stats", sql("pz", f"""
-SELECT obs_id, sector_id, k.value, count(*) FILTER (code = k.value) * {HA} AS area_ha, {r6('count(*) FILTER (code = k.value) / CAST(count(*) AS DOUBLE) * 100')} AS pct
-FROM pz, (VALUES (1), (2), (9)) k(value) WHERE code <> 0 GROUP BY obs_id, sector_id, k.value"""))
+@query("a18_user_class_stats", sql("zpx", f"""
+SELECT obs_id, sector_id, k.value, count(*) FILTER (code = k.value) * {HA} AS area_ha,
+  {r6('CASE WHEN count(*) FILTER (code <> 0) > 0 THEN count(*) FILTER (code = k.value) / CAST(count(*) FILTER (code <> 0) AS DOUBLE) * 100 ELSE 0 END')} AS pct
+FROM zpx, (VALUES (1), (2), (9)) k(value) GROUP BY obs_id, sector_id, k.value"""))
 def a18b(spark, d):
-    return Z.user_class_stats(zoned(spark, d), F.when(F.col("code") != 0, F.col("code")), [1, 2, 9], CELL_HA, keys=("obs_id",))
+    return Z.user_class_stats(zoned(spark, d), F.when(F.col("code") != 0, F.col("code")), [1, 2, 9], CELL_HA, V.zones(spark, d), keys=("obs_id",))
 
 
 @query("a19_dissolve", sql("zone", """

@@ -19,8 +19,8 @@ def tight_zones(spark, d):
     return V.zones(spark, d).select("sector_id", (30.0 + F.col("sector_id")).alias("complete_ha"))
 
 
-@query("q01_unreconciled", sql("pz", f"""
-WITH b AS (SELECT obs_id, sector_id, 30.0E0 + sector_id AS complete_ha, count(*) FILTER (code IN (0, 1)) * {HA} AS v FROM pz GROUP BY obs_id, sector_id),
+@query("q01_unreconciled", sql("zpx", f"""
+WITH b AS (SELECT obs_id, sector_id, 30.0E0 + sector_id AS complete_ha, count(*) FILTER (code IN (0, 1)) * {HA} AS v FROM zpx GROUP BY obs_id, sector_id),
 g AS (SELECT *, v + greatest(0, complete_ha - v) - complete_ha AS gap FROM b)
 SELECT obs_id, sector_id, {r6('gap')} AS gap FROM g WHERE abs(gap) > greatest(0.01E0, complete_ha * 0.005E0)"""))
 def q01(spark, d):
@@ -39,8 +39,8 @@ def q01b(spark, d):
     return QU.density_violations(stats, ["obs_id", "poly_id"])
 
 
-@query("q02_temperature_areas", sql("pz", f"""
-WITH b AS (SELECT obs_id, sector_id, 60.0E0 + sector_id AS whole, count(*) FILTER (status = 1) * {HA} AS c, count(*) FILTER (status = 2) * {HA} AS o FROM pz GROUP BY obs_id, sector_id),
+@query("q02_temperature_areas", sql("zpx", f"""
+WITH b AS (SELECT obs_id, sector_id, 60.0E0 + sector_id AS whole, count(*) FILTER (status = 1) * {HA} AS c, count(*) FILTER (status = 2) * {HA} AS o FROM zpx GROUP BY obs_id, sector_id),
 g AS (SELECT *, c + o + greatest(0, whole - c - o) - whole AS gap FROM b)
 SELECT obs_id, sector_id, {r6('gap')} AS gap FROM g WHERE abs(gap) > greatest(0.01E0, whole * 0.005E0)"""))
 def q02(spark, d):

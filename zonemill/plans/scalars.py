@@ -319,8 +319,17 @@ def p30(spark, d):
     return TB.in_scopes(V.zones(spark, d), "municipality", ["all", "ASIA", "AFRICA"]).select("sector_id", "scope")
 
 
+# Own patterns from the published formats: RFC 6750 and RFC 7519 (three base64url parts whose first encodes a JSON
+# object, hence "ey"), file URLs of personal folders, and secrets given in URLs or settings.
+SECRETS = {
+    "bearer-credentials": r"(?i)authorization: *bearer +[a-z0-9._~+/-]+=*",
+    "signed-token": r"\bey[\w-]{10,}\.ey[\w-]{10,}\.[\w-]{8,}",
+    "home-folder": r"(?i)(/home/|/users/|[a-z]:.users.)[a-z0-9._-]+",
+    "secret-setting": r"(?i)(client|app)[_-]?secret[\"' ]*[:=]",
+    "signature-in-url": r"[?&](sig|X-Amz-Signature|Signature)=[A-Za-z0-9%/+=-]{16,}",
+}
 SCAN = {"mail": r"[A-Za-z0-9._]+@[A-Za-z0-9.]+", "api-key": r"(?i)(api|secret|token)[_ -]?key", "phone": r"\+\d{2}[ \d]{8,}",
-        **M.FORBIDDEN_PATTERNS}
+        **SECRETS}
 
 
 @query("p31_scan_forbidden", " UNION ALL ".join(

@@ -40,6 +40,9 @@ FROM nation JOIN region ON n_regionkey = r_regionkey""",
     "pz": """
 SELECT px.*, sector_id, municipality FROM px JOIN zone
   ON row_i >= r0 AND row_i < r1 AND col_i >= c0 AND col_i < c1""",
+    "zpx": """
+SELECT o.obs_id, sector_id, municipality, p.* EXCLUDE (obs_id) FROM (SELECT DISTINCT obs_id FROM px) o CROSS JOIN zone
+  LEFT JOIN px p ON p.obs_id = o.obs_id AND row_i >= r0 AND row_i < r1 AND col_i >= c0 AND col_i < c1""",
     "poly": """
 SELECT s_suppkey AS poly_id, s_nationkey AS class_code,
        (s_suppkey * 37) % 100 AS cx, (s_suppkey * 53) % 100 AS cy, 2 + s_suppkey % 7 AS r
@@ -63,7 +66,7 @@ FROM customer""",
 SELECT p_partkey AS rec_id, CASE WHEN p_size = 50 THEN 9999 WHEN p_size = 49 THEN NULL ELSE p_size % 11 END AS final_score
 FROM part""",
 }
-NEEDS = {"pz": ["px", "zone"]}
+NEEDS = {"pz": ["px", "zone"], "zpx": ["px", "zone"]}
 
 
 def sql(views: str, body: str) -> str:
@@ -82,7 +85,7 @@ def sql(views: str, body: str) -> str:
 
 def r6(expression: str) -> str:
     """SQL twin of the presentation rounding."""
-    return f"floor(({expression}) * 1000000.0E0 + 0.50137E0) / 1000000.0E0"
+    return f"floor(({expression}) * 1000000.0E0 + 0.5E0) / 1000000.0E0"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Adaptive execution decides broadcast or sort-merge, splits skewed join partitions and
 # coalesces small ones at run time; nothing below depends on the data volume.
@@ -56,34 +55,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-SMALL_INPUT = 256 * 1024 * 1024
-
-
-def spread(df: DataFrame, limit: int = SMALL_INPUT) -> DataFrame:
-    """Spread a small input that arrives in few files over all cores, ahead of an expanding step.
-
-    The size is taken from the plan's statistics. Beyond the limit a scan has enough splits of its own, and
-    the rows stay where they are; so the extra shuffle is never larger than the limit.
-    """
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except AttributeError:  # a remote session has no plan object
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if size <= limit and cores > 1 else df
-
-
-BROADCAST_ROWS = 2_000_000
-
-
-def sized(df: DataFrame, bound: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join side that comes out of a generator: broadcast if it is small for certain, else sort-merge.
-
-    The planner does not see how many rows an explode makes, so its own choice would rest on the size of the
-    file underneath. ``bound`` is a row count that cannot be exceeded (the cells of a grid); without one the
-    side is checkpointed, so that it is computed once, and counted. Beyond the limit the join shuffles, where adaptive execution splits skewed partitions.
-    """
-    if bound is None:
-        df = checkpointed(df)
-        bound = df.count()
-    return F.broadcast(df) if bound <= limit else df.hint("merge")
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out evenly over the shuffle partitions ahead of a step that expands them, whatever their number."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
