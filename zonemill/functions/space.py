@@ -136,8 +136,25 @@ def equal_area_europe(lon: Column, lat: Column) -> tuple[Column, Column]:
             b / d * (math.cos(beta0) * F.sin(beta) - math.sin(beta0) * F.cos(beta) * F.cos(dlam)) + 3_210_000.0)
 
 
-def lambert_belgium(lon: Column, lat: Column) -> tuple[Column, Column]:
-    """Lambert conformal conic, Belgian 2008 parameters (false origin 649 328, 665 262)."""
+def from_equal_area_europe(x: Column, y: Column) -> tuple[Column, Column]:
+    """Inverse of :func:`equal_area_europe`: authalic latitude by its series in the eccentricity."""
+    lat0, qp = math.radians(52.0), _q_number(1.0)
+    beta0 = math.asin(_q_number(math.sin(lat0)) / qp)
+    rq = _A * math.sqrt(qp / 2)
+    d = _A * math.cos(lat0) / math.sqrt(1 - _E2 * math.sin(lat0) ** 2) / (rq * math.cos(beta0))
+    dx, dy = (x - 4_321_000.0) / d, (y - 3_210_000.0) * d
+    rho = F.sqrt(dx * dx + dy * dy)
+    ce = 2 * F.asin(rho / (2 * rq))
+    beta = F.asin(F.when(rho == 0, math.sin(beta0)).otherwise(F.cos(ce) * math.sin(beta0) + dy * F.sin(ce) * math.cos(beta0) / rho))
+    dlam = F.atan2(dx * F.sin(ce), rho * math.cos(beta0) * F.cos(ce) - dy * math.sin(beta0) * F.sin(ce))
+    e2, e4, e6 = _E2, _E2**2, _E2**3
+    lat = (beta + (e2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040) * F.sin(2 * beta) + (23 * e4 / 360 + 251 * e6 / 3780) * F.sin(4 * beta)
+           + (761 * e6 / 45360) * F.sin(6 * beta))
+    return F.degrees(dlam) + 10.0, F.degrees(lat)
+
+
+def _belgian_cone() -> tuple[float, float, float, float]:
+    """Cone constant, scale, radius of the origin and central meridian of the Belgian 2008 system."""
     phi1, phi2 = math.radians(49 + 50 / 60), math.radians(51 + 10 / 60)
     phi0, lam0 = math.radians(50 + 47 / 60 + 52.134 / 3600), 4 + 21 / 60 + 33.177 / 3600
 
@@ -150,9 +167,26 @@ def lambert_belgium(lon: Column, lat: Column) -> tuple[Column, Column]:
 
     n = (math.log(m(phi1)) - math.log(m(phi2))) / (math.log(t(phi1)) - math.log(t(phi2)))
     f = m(phi1) / (n * t(phi1) ** n)
-    rho0 = _A * f * t(phi0) ** n
+    return n, f, _A * f * t(phi0) ** n, lam0
+
+
+def lambert_belgium(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """Lambert conformal conic, Belgian 2008 parameters (false origin 649 328, 665 262)."""
+    n, f, rho0, lam0 = _belgian_cone()
     phi = F.radians(lat)
     es = _E * F.sin(phi)
     tc = F.tan(math.pi / 4 - phi / 2) / F.pow((1 - es) / (1 + es), _E / 2)
     rho, theta = _A * f * F.pow(tc, n), n * F.radians(lon - lam0)
     return 649_328.0 + rho * F.sin(theta), 665_262.0 + rho0 - rho * F.cos(theta)
+
+
+def from_lambert_belgium(x: Column, y: Column) -> tuple[Column, Column]:
+    """Inverse of :func:`lambert_belgium`: conformal latitude by its series in the eccentricity."""
+    n, f, rho0, lam0 = _belgian_cone()
+    dx, dy = x - 649_328.0, rho0 - (y - 665_262.0)
+    t = F.pow(F.sqrt(dx * dx + dy * dy) / (_A * f), 1 / n)
+    chi = math.pi / 2 - 2 * F.atan(t)
+    e2, e4, e6, e8 = _E2, _E2**2, _E2**3, _E2**4
+    lat = (chi + (e2 / 2 + 5 * e4 / 24 + e6 / 12 + 13 * e8 / 360) * F.sin(2 * chi) + (7 * e4 / 48 + 29 * e6 / 240 + 811 * e8 / 11520) * F.sin(4 * chi)
+           + (7 * e6 / 120 + 81 * e8 / 1120) * F.sin(6 * chi) + (4279 * e8 / 161280) * F.sin(8 * chi))
+    return F.degrees(F.atan2(dx, dy)) / n + lam0, F.degrees(lat)

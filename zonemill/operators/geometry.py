@@ -294,7 +294,7 @@ def points_in_polygons(points: DataFrame, polys: DataFrame, key: str, cell: floa
 
 
 def candidate_pairs(a: DataFrame, b: DataFrame, a_key: str, b_key: str, cell: float, geom: str = "geom") -> DataFrame:
-    """Pairs whose boxes touch. Each pair is reported by exactly one cell, so no distinct is needed."""
+    """Pairs whose boxes touch, with their common x range. Each pair is reported by exactly one cell, so no distinct is needed."""
     def boxes(df: DataFrame, key: str, p: str) -> DataFrame:
         box = df.select(F.col(key), geom_bounds(F.col(geom)).alias("g")).select(
             key, *[F.col(f"g.{c}").alias(f"{p}{c}") for c in ("x0", "y0", "x1", "y1")])
@@ -306,7 +306,7 @@ def candidate_pairs(a: DataFrame, b: DataFrame, a_key: str, b_key: str, cell: fl
     both = boxes(a, a_key, "a").join(boxes(b, b_key, "b").hint("merge"), ["cx", "cy"])
     touch = S.boxes_touch(*[F.col(f"a{c}") for c in ("x0", "y0", "x1", "y1")], *[F.col(f"b{c}") for c in ("x0", "y0", "x1", "y1")])
     home = ((F.col("cx") == F.floor(F.greatest("ax0", "bx0") / cell)) & (F.col("cy") == F.floor(F.greatest("ay0", "by0") / cell)))
-    return both.where(touch & home).select(a_key, b_key)
+    return both.where(touch & home).select(a_key, b_key, F.greatest("ax0", "bx0").alias("x0"), F.least("ax1", "bx1").alias("x1"))
 
 
 def _strip_edges(polys: DataFrame, key: str, width: float, p: str, geom: str) -> DataFrame:
@@ -327,13 +327,15 @@ def overlay_area(a: DataFrame, b: DataFrame, a_key: str, b_key: str, cell: float
     """Exact intersection area of every overlapping pair: a_key, b_key, area.
 
     With orientation-normalised edges, area(A∩B) = −½ Σ s_A s_B ∫|y_A − y_B| dx over the common x range of
-    each edge pair. Edges are cut at strip borders and joined per pair and strip, so the edge pairs of two
-    large polygons stay within a strip. The sum combines on the map side. Slivers up to ``minimum`` are dropped.
+    each edge pair. Edges are cut at strip borders and joined per pair and strip of the common x range, so a large
+    polygon brings only the edges near its partner. The sum combines on the map side. Slivers up to ``minimum`` are dropped.
     """
     strip = strip or cell
-    pairs = candidate_pairs(a, b, a_key, b_key, cell, geom)
+    first = F.floor(F.col("x0") / strip)
+    pairs = (candidate_pairs(a, b, a_key, b_key, cell, geom)
+             .select(a_key, b_key, F.explode(F.sequence(first, F.greatest(first, F.ceil(F.col("x1") / strip) - 1))).alias("strip")))
     ea, eb = _strip_edges(a, a_key, strip, "a_", geom), _strip_edges(b, b_key, strip, "b_", geom)
-    joined = pairs.join(ea.hint("merge"), a_key).join(eb.hint("merge"), [b_key, "strip"])
+    joined = pairs.join(ea.hint("merge"), [a_key, "strip"]).join(eb.hint("merge"), [b_key, "strip"])
     lo, hi = F.greatest("a_lo", "b_lo"), F.least("a_hi", "b_hi")
     both = joined.where(lo < hi).withColumn("lo", lo).withColumn("w", hi - lo)
     at_lo = (F.col("a_y") + (F.col("lo") - F.col("a_lo")) * F.col("a_m")) - (F.col("b_y") + (F.col("lo") - F.col("b_lo")) * F.col("b_m"))

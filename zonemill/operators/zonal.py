@@ -19,7 +19,6 @@ from zonemill.functions.numbers import finite, percentage
 from zonemill.operators import quantiles as Q
 from zonemill.operators.geometry import one_feature
 from zonemill.operators.tables import with_series
-from zonemill.session import checkpointed
 
 BLOCK = 64
 
@@ -332,14 +331,11 @@ def scope_distributions(px: DataFrame, keys: tuple[str, ...] = (), families: dic
     combined = (px.withColumn("t", F.when(clear, F.col("temp_c")))
                 .withColumn("kind", F.when(clear, "clear").when(F.col("status") == 2, "cloud").when(F.col("status") == 0, "missing"))
                 .groupBy(*keys, "sector_id", "municipality", "series" if families is None else code, "kind", "t").agg(F.count("*").alias("n")))
-    # Temperatures come from 16-bit numbers, so this table is far smaller than the pixels; it is read three times.
-    combined = checkpointed(combined)
+    # Its shuffle is written once and read by the sums and both steps of the quantiles.
     if families is not None:
         combined = with_series(combined, code, families)
-    scopes = F.array(F.lit("region:all"), F.concat(F.lit("municipality:"), "municipality"),
-                     F.concat(F.lit("sector:"), F.col("sector_id").cast("string")))
     group = [*keys, "scope", "series"]
-    rows = combined.withColumn("scope", F.explode(scopes))
+    rows = combined.withColumn("scope", F.explode(_all_scopes()))
     t, n = F.col("t"), F.col("n")
     sums = rows.groupBy(*group).agg(
         *[_sum_if(condition, n).cast("bigint").alias(name) for name, condition in (
@@ -349,6 +345,30 @@ def scope_distributions(px: DataFrame, keys: tuple[str, ...] = (), families: dic
     return sums.join(spread.withColumn("mean_c", F.col("vw") / F.col("w")).select(*group, "mean_c", "p10_c", "median_c", "p90_c"), group, "left")
 
 
+def _all_scopes() -> Column:
+    return F.array(F.lit("region:all"), F.concat(F.lit("municipality:"), "municipality"), F.concat(F.lit("sector:"), F.col("sector_id").cast("string")))
+
+
+def scope_bins(px: DataFrame, zones: DataFrame, families: dict[str, list[str]], keys: tuple[str, ...] = (), code: str = "code") -> DataFrame:
+    """Counts of clear pixels in all 0.5 °C bins, zeros included, per scope of ``zones`` and every series, also without a pixel.
+
+    Pixels are counted per sector, class and bin; series and scopes are expanded on that small table.
+    """
+    group = [*keys, "scope", "series"]
+    clear = (F.col("status") == 1) & finite(F.col("temp_c"))
+    per_sector = px.where(clear).groupBy(*keys, "sector_id", "municipality", code, P.temperature_bin(F.col("temp_c")).alias("bin")).agg(F.count("*").alias("n"))
+    counts = (with_series(per_sector.where("bin IS NOT NULL"), code, families).withColumn("scope", F.explode(_all_scopes()))
+              .groupBy(*group, "bin").agg(F.sum("n").alias("n")))
+    series = [f"family:{f}" for f in families] + [f"class:{c}" for codes in families.values() for c in codes]
+    frame = zones.select(F.explode(_all_scopes()).alias("scope")).distinct()
+    if keys:
+        seen = px.agg(F.collect_set(F.struct(*keys)).alias("seen"))
+        frame = frame.withColumn("seen", seen.scalar()).select("scope", F.explode("seen").alias("seen")).select("scope", "seen.*")
+    frame = (frame.withColumn("series", F.explode(F.array(*map(F.lit, series))))
+             .withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(int((M.TEMPERATURE_MAX - M.TEMPERATURE_MIN) / M.TEMPERATURE_BIN) - 1)))))
+    return frame.join(counts, [*group, "bin"], "left").na.fill(0, ["n"]).select(*group, "bin", "n")
+
+
 def histogram(px: DataFrame, keys: list[str], value: str = "temp_c") -> DataFrame:
     """Counts per 0.5 °C bin; values outside 15–50 °C are in no bin, 50 °C is in the last one."""
     b = P.temperature_bin(F.col(value))

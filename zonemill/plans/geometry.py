@@ -47,6 +47,43 @@ def g02(spark, d):
     return there.select("id", lon.alias("lon_back"), lat.alias("lat_back"), ok.alias("plausible"))
 
 
+def g02_sql() -> str:
+    """The closed forward formulas of both national systems in SQL, with the constants worked out here."""
+    import math
+    e2 = (1 / 298.257222101) * (2 - 1 / 298.257222101)
+    e, a, lat0 = math.sqrt(e2), 6378137.0, math.radians(52)
+    qn = lambda s: (1 - e2) * (s / (1 - e2 * s * s) - math.log((1 - e * s) / (1 + e * s)) / (2 * e))
+    qp = qn(1.0)
+    b0, rq = math.asin(qn(math.sin(lat0)) / qp), a * math.sqrt(qp / 2)
+    d = a * math.cos(lat0) / math.sqrt(1 - e2 * math.sin(lat0) ** 2) / (rq * math.cos(b0))
+    m = lambda p: math.cos(p) / math.sqrt(1 - e2 * math.sin(p) ** 2)
+    t = lambda p: math.tan(math.pi / 4 - p / 2) / ((1 - e * math.sin(p)) / (1 + e * math.sin(p))) ** (e / 2)
+    p1, p2, p0, l0 = math.radians(49 + 50 / 60), math.radians(51 + 10 / 60), math.radians(50 + 47 / 60 + 52.134 / 3600), 4 + 21 / 60 + 33.177 / 3600
+    n = (math.log(m(p1)) - math.log(m(p2))) / (math.log(t(p1)) - math.log(t(p2)))
+    f = m(p1) / (n * t(p1) ** n)
+    num = lambda v: f"{v!r}::DOUBLE"
+    mm = lambda x: f"floor(({x}) * 1000.0E0 + 0.5E0) / 1000.0E0"
+    return f"""WITH p AS ({LONLAT}), s AS (SELECT *, sin(radians(lat)) AS s, radians(lon - 10) AS dl, radians(lon - {num(l0)}) AS db FROM p),
+q AS (SELECT *, asin({num((1 - e2) / qp)} * (s / (1 - {num(e2)} * s * s) - ln((1 - {num(e)} * s) / (1 + {num(e)} * s)) / {num(2 * e)})) AS be,
+  {num(a * f)} * pow(tan(pi() / 4 - radians(lat) / 2) / pow((1 - {num(e)} * s) / (1 + {num(e)} * s), {num(e / 2)}), {num(n)}) AS rho FROM s),
+k AS (SELECT *, {num(rq)} * sqrt(2 / (1 + {num(math.sin(b0))} * sin(be) + {num(math.cos(b0))} * cos(be) * cos(dl))) AS b FROM q)
+SELECT id, {mm(f"b * {num(d)} * cos(be) * sin(dl) + 4321000")} AS ex, {mm(f"b / {num(d)} * ({num(math.cos(b0))} * sin(be) - {num(math.sin(b0))} * cos(be) * cos(dl)) + 3210000")} AS ey,
+  {mm(f"649328 + rho * sin({num(n)} * db)")} AS bx, {mm(f"665262 + {num(a * f * t(p0) ** n)} - rho * cos({num(n)} * db)")} AS by,
+  {r6('lon')} AS lon_e, {r6('lat')} AS lat_e, {r6('lon')} AS lon_b, {r6('lat')} AS lat_b FROM k"""
+
+
+@query("g02_national_systems", g02_sql())
+def g02b(spark, d):
+    """Equal-area and Belgian coordinates to the millimetre, and back to degrees."""
+    from zonemill.functions.numbers import half_up
+    ex, ey = S.equal_area_europe(F.col("lon"), F.col("lat"))
+    bx, by = S.lambert_belgium(F.col("lon"), F.col("lat"))
+    there = lonlat(spark, d).select("id", ex.alias("ex"), ey.alias("ey"), bx.alias("bx"), by.alias("by"))
+    (lon_e, lat_e), (lon_b, lat_b) = S.from_equal_area_europe(F.col("ex"), F.col("ey")), S.from_lambert_belgium(F.col("bx"), F.col("by"))
+    return there.select("id", *[half_up(F.col(c), 3).alias(c) for c in ("ex", "ey", "bx", "by")], lon_e.alias("lon_e"), lat_e.alias("lat_e"),
+                        lon_b.alias("lon_b"), lat_b.alias("lat_b"))
+
+
 @query("g03_normalise_geom", sql("poly", "SELECT poly_id, 1 AS n_polygons, 5 AS n_vertices, 2.0E0 * r * r AS area FROM poly"))
 def g03(spark, d):
     """Diamonds with an open ring, a degenerate hole and a degenerate second polygon come out clean."""

@@ -332,6 +332,16 @@ def a14(spark, d):
     return Z.scope_distributions(zoned(spark, d, spread(V.pixels(spark, d))), ("obs_id",), {"low": ["1", "2"], "high": ["3", "4"]})
 
 
+@query("a14_scope_bins", sql("pz px zone", f"""
+WITH h AS (SELECT obs_id, scope, series, CAST(least(floor((t - 15.0E0) / 0.5E0), 69) AS INT) AS bin, count(*) AS n FROM ({DIST}) WHERE status = 1 AND t BETWEEN 15 AND 50 GROUP BY ALL),
+k AS (SELECT o.obs_id, scope, series, CAST(i AS INT) AS bin FROM (SELECT DISTINCT obs_id FROM px) o, (SELECT DISTINCT {SCOPES} FROM zone) z,
+  (VALUES ('family:low'), ('family:high'), ('family:none'), ('class:1'), ('class:2'), ('class:3'), ('class:4'), ('class:9')) s(series), generate_series(0, 69) t(i))
+SELECT obs_id, scope, series, bin, coalesce(n, 0) AS n FROM k LEFT JOIN h USING (obs_id, scope, series, bin)"""))
+def a14c(spark, d):
+    """Series and scopes without a pixel have bins too."""
+    return Z.scope_bins(zoned(spark, d), V.zones(spark, d), {"low": ["1", "2"], "high": ["3", "4"], "none": ["9"]}, ("obs_id",))
+
+
 @query("a14_assigned_pixels", sql("pz", f"SELECT obs_id, scope, count(*) AS n FROM (SELECT obs_id, {SCOPES} FROM pz) GROUP BY obs_id, scope"))
 def a14b(spark, d):
     counts = zoned(spark, d).groupBy("obs_id", "municipality", "sector_id").agg(F.count("*").alias("n"))
