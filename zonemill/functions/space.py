@@ -54,6 +54,13 @@ def mercator_cell_ha(row: Column, grid: Grid) -> Column:
     return abs(grid.dx * grid.dy) * F.cos(latitude) * F.cos(latitude) / 10_000.0
 
 
+def mercator_grid_size(west: Column, south: Column, east: Column, north: Column, res_m: float) -> tuple[Column, Column]:
+    """Width and height of :func:`mercator_grid` for bounds that are columns."""
+    (x0, y0), (x1, y1) = to_mercator(west, south), to_mercator(east, north)
+    step = res_m / F.cos(F.radians((south + north) / 2))
+    return F.ceil((x1 - x0) / step), F.ceil((y1 - y0) / step)
+
+
 def mercator_grid(west: float, south: float, east: float, north: float, res_m: float) -> Grid:
     """Mercator grid whose cells measure ``res_m`` on the ground at the middle latitude."""
     def forward(lon: float, lat: float) -> tuple[float, float]:

@@ -143,12 +143,12 @@ def with_quality(obs: DataFrame, sidecars: DataFrame, keys: list[str]) -> DataFr
 # --- Sets ----------------------------------------------------------------------------------------
 
 
-def union_by_id(parts: list[DataFrame], key: str) -> DataFrame:
-    """Union of tables; the last table that has a key provides its record."""
+def union_by_id(parts: list[DataFrame], key: str, order: str | None = None) -> DataFrame:
+    """Union of tables; the last table that has a key provides its record, in it the last row by ``order``."""
     marked = [df.withColumn("part_no", F.lit(i)) for i, df in enumerate(parts)]
     everything = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), marked)
     columns = [c for c in everything.columns if c not in (key, "part_no")]
-    best = everything.groupBy(key).agg(F.max_by(F.struct(*columns), F.col("part_no")).alias("record"))
+    best = everything.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct("part_no", *([order] if order else []))).alias("record"))
     return best.select(key, *[F.col(f"record.{c}").alias(c) for c in columns])
 
 

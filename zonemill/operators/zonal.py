@@ -419,7 +419,7 @@ def profile(px: DataFrame, value: str, keys: tuple[str, ...] = (), minimum_pct:
     return out.withColumn("usable", F.col("valid_pct") >= minimum_pct)
 
 
-def complete_series(px: DataFrame, n_dates: int, value: str, time: str = "obs_id") -> DataFrame:
+def complete_series(px: DataFrame, n_dates: int | Column, value: str, time: str = "obs_id") -> DataFrame:
     """Cells valid at every date, with their values in time order (as many as there are dates)."""
     values = F.transform(F.array_sort(F.collect_list(F.struct(F.col(time), F.col(value)))), lambda s: s[value])
     return (px.where(F.col(value).isNotNull()).groupBy("row_i", "col_i").agg(F.count("*").alias("n"), values.alias("series"))

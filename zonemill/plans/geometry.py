@@ -179,9 +179,9 @@ m AS (SELECT 6378137.0E0 * radians(w) AS x0, 6378137.0E0 * radians(e) AS x1, 637
   6378137.0E0 * ln(tan(pi() / 4 + radians(n) / 2)) AS y1, 30.0E0 / cos(radians((s + n) / 2)) AS step FROM b)
 SELECT CAST(ceil((x1 - x0) / step) AS BIGINT) AS width, CAST(ceil((y1 - y0) / step) AS BIGINT) AS height FROM m""")
 def g14(spark, d):
-    b = lonlat(spark, d).agg(F.min("lon"), F.min("lat"), F.max("lon"), F.max("lat")).collect()[0]
-    grid = S.mercator_grid(*b, 30.0)
-    return spark.range(1).select(F.lit(grid.width).cast("bigint").alias("width"), F.lit(grid.height).cast("bigint").alias("height"))
+    b = lonlat(spark, d).agg(F.min("lon").alias("w"), F.min("lat").alias("s"), F.max("lon").alias("e"), F.max("lat").alias("n"))
+    width, height = S.mercator_grid_size(F.col("w"), F.col("s"), F.col("e"), F.col("n"), 30.0)
+    return b.select(width.alias("width"), height.alias("height"))
 
 
 @query("g15_missing_rectangles", sql("poly", """

@@ -507,7 +507,7 @@ WITH v AS (SELECT row_i, col_i, obs_id, code0 FROM px0 WHERE code0 <> 2)
 SELECT row_i, col_i, string_agg(code0::VARCHAR, ',' ORDER BY obs_id) AS series FROM v GROUP BY row_i, col_i HAVING count(*) = (SELECT max(obs_id) + 1 FROM px0)"""))
 def a29(spark, d):
     base = V.baseline(spark, d)
-    n_dates = base.agg((F.max("obs_id") + 1).alias("n")).collect()[0]["n"]
+    n_dates = base.agg((F.max("obs_id") + 1).alias("n")).scalar()
     px = base.withColumn("v", F.when(F.col("code0") != 2, F.col("code0")))
     return Z.complete_series(px, n_dates, "v").withColumn("series", F.array_join(F.col("series").cast("array<string>"), ","))
 
