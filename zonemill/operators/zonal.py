@@ -21,6 +21,7 @@ from zonemill.operators.geometry import one_feature
 from zonemill.operators.tables import with_series
 
 BLOCK = 64
+Expected = dict[str, list] | DataFrame | None  # key values for which every zone has a record
 
 
 def cell_key(row: Column, col: Column) -> Column:
@@ -54,15 +55,17 @@ def _sum_if(condition: Column, value: Column | float = 1) -> Column:
 
 
 def _records(zones: DataFrame, columns: list[str], rows: DataFrame, zone: str, keys: tuple[str, ...],
-             expected: dict[str, list] | None) -> DataFrame:
+             expected: Expected) -> DataFrame:
     """Zone columns joined to their sums: a record for every zone and key, also without pixels.
 
-    ``keys`` (observation, year …) are those that occur anywhere in ``rows``, or the ``expected`` values of each key.
+    ``keys`` (observation, year …) are the ``expected`` ones: a table with the key columns, such as an inventory, or lists
+    of values. Without them they are those that occur in ``rows``, which computes these a second time.
     """
     frame = zones.select(zone, *columns)
-    if keys and expected is None:
+    if keys and (expected is None or isinstance(expected, DataFrame)):
         # as many entries as observations; looked up once, before the zones are expanded
-        seen = rows.agg(F.collect_set(F.struct(*keys)).alias("seen"))
+        seen = (rows if expected is None else expected).agg(F.collect_set(F.struct(*keys)).alias("seen"))
+        expected = None
         frame = frame.withColumn("seen", seen.scalar()).select(zone, *columns, F.explode("seen").alias("seen")).select(zone, *columns, "seen.*")
     for key, values in (expected or {}).items():
         listed = F.array(*[F.lit(v).cast(rows.schema[key].dataType) for v in values])
@@ -71,7 +74,7 @@ def _records(zones: DataFrame, columns: list[str], rows: DataFrame, zone: str, k
 
 
 def categorical_stats(px: DataFrame, zones: DataFrame, codes: list[int], cell_ha: float, zone: str = "sector_id", code: str = "code",
-                      keys: tuple[str, ...] = (), expected: dict[str, list] | None = None) -> DataFrame:
+                      keys: tuple[str, ...] = (), expected: Expected = None) -> DataFrame:
     """Area and share of every listed class per zone, over the complete zone area.
 
     ``zones`` brings (zone, complete_ha). ``expected`` lists the key values for which every zone gets a record.
@@ -89,7 +92,7 @@ def categorical_stats(px: DataFrame, zones: DataFrame, codes: list[int], cell_ha
 
 
 def binary_stats(px: DataFrame, zones: DataFrame, cell_ha: float, zone: str = "sector_id", code: str = "code",
-                 keys: tuple[str, ...] = (), expected: dict[str, list] | None = None) -> DataFrame:
+                 keys: tuple[str, ...] = (), expected: Expected = None) -> DataFrame:
     """Sealed (1) and unsealed (0) areas and shares of the complete zone area, one row per zone."""
     wide = px.groupBy(*keys, zone).agg((F.count_if(F.col(code) == 1) * cell_ha).alias("sealed_ha"),
                                        (F.count_if(F.col(code) == 0) * cell_ha).alias("unsealed_ha"))
@@ -103,7 +106,7 @@ def binary_stats(px: DataFrame, zones: DataFrame, cell_ha: float, zone: str = "s
 
 
 def density_stats(px: DataFrame, zones: DataFrame, unit_ha: float, zone: str = "sector_id", value: str = "value",
-                  weight: str | None = "w", keys: tuple[str, ...] = (), expected: dict[str, list] | None = None) -> DataFrame:
+                  weight: str | None = "w", keys: tuple[str, ...] = (), expected: Expected = None) -> DataFrame:
     """Density (0–100) per zone with whole-number weights of ``unit_ha`` each.
 
     Shares use the complete zone area, density classes also the area where something is present. Without a weight
@@ -137,7 +140,7 @@ def density_stats(px: DataFrame, zones: DataFrame, unit_ha: float, zone: str = "
 
 
 def temperature_stats(px: DataFrame, zones: DataFrame, unit_ha: float, zone: str = "sector_id",
-                      keys: tuple[str, ...] = (), expected: dict[str, list] | None = None) -> DataFrame:
+                      keys: tuple[str, ...] = (), expected: Expected = None) -> DataFrame:
     """Clear, cloud and missing areas of the complete zone area; weighted temperature figures of the clear part.
 
     ``px`` brings status, temp_c, uncertainty and a whole-number weight w.
@@ -186,7 +189,8 @@ def unknown_codes(px: DataFrame, code: str = "code") -> DataFrame:
     return px.where(~F.col(code).isin(known)).groupBy(code).agg(F.count("*").alias("n"))
 
 
-def land_cover_stats(areas: DataFrame, keys: list[str], code: str = "code", zones: DataFrame | None = None, zone: str = "sector_id") -> DataFrame:
+def land_cover_stats(areas: DataFrame, keys: list[str], code: str = "code", zones: DataFrame | None = None, zone: str = "sector_id",
+                     expected: Expected = None) -> DataFrame:
     """Totals per zone; shares of the classified area; the dominant class is the largest, lowest code on ties.
 
     With ``zones`` every zone has a record for every other key, with zero areas where it has no pixel.
@@ -200,7 +204,7 @@ def land_cover_stats(areas: DataFrame, keys: list[str], code: str = "code", zone
         _sum_if(c.isin(M.LAND_COVER_VEGETATION), a).alias("vegetation_ha"), _sum_if(c.isin(M.LAND_COVER_BUILT_UP), a).alias("built_up_ha"),
         best["c"].alias("dominant_code"))
     if zones is not None:
-        sums = _records(zones, [], sums, zone, tuple(k for k in keys if k != zone), None).na.fill(0.0, [c for c in sums.columns if c.endswith("_ha")])
+        sums = _records(zones, [], sums, zone, tuple(k for k in keys if k != zone), expected).na.fill(0.0, [c for c in sums.columns if c.endswith("_ha")])
     return (sums.withColumn("vegetation_pct", percentage(F.col("vegetation_ha"), F.col("classified_ha"), None))
             .withColumn("built_up_pct", percentage(F.col("built_up_ha"), F.col("classified_ha"), None)))
 
@@ -213,7 +217,7 @@ def land_cover_classes(areas: DataFrame, keys: list[str], code: str = "code") ->
 
 
 def change_stats(pairs: DataFrame, area_ha: Column, keys: list[str], before: str = "before", after: str = "after",
-                 zones: DataFrame | None = None, zone: str = "sector_id") -> DataFrame:
+                 zones: DataFrame | None = None, zone: str = "sector_id", expected: Expected = None) -> DataFrame:
     """Compared, gained, lost and unchanged vegetation area per zone; shares of the compared area.
 
     With ``zones`` every zone has a record for every other key.
@@ -226,7 +230,7 @@ def change_stats(pairs: DataFrame, area_ha: Column, keys: list[str], before: str
     sums = pairs.groupBy(*keys).agg(_sum_if(usable, area_ha).alias("compared_ha"), _sum_if(state == 1, area_ha).alias("gained_ha"),
                                     _sum_if(state == 2, area_ha).alias("lost_ha"), _sum_if(kept, area_ha).alias("unchanged_ha"))
     if zones is not None:
-        sums = _records(zones, [], sums, zone, tuple(k for k in keys if k != zone), None).na.fill(0.0)
+        sums = _records(zones, [], sums, zone, tuple(k for k in keys if k != zone), expected).na.fill(0.0)
     return (sums.withColumn("gained_pct", percentage(F.col("gained_ha"), F.col("compared_ha"), None))
             .withColumn("lost_pct", percentage(F.col("lost_ha"), F.col("compared_ha"), None))
             .withColumn("net_ha", F.col("gained_ha") - F.col("lost_ha")))
@@ -236,11 +240,12 @@ def change_stats(pairs: DataFrame, area_ha: Column, keys: list[str], before: str
 
 
 def vegetation_stats(px: DataFrame, combos: DataFrame, zones: DataFrame, threshold: float, unit_m2: float,
-                     zone: str = "sector_id", keys: tuple[str, ...] = ()) -> DataFrame:
+                     zone: str = "sector_id", keys: tuple[str, ...] = (),
+                     expected: Expected = None) -> DataFrame:
     """Vegetation areas from pixels × (cell, zone, land use, n sub-cells).
 
     Raster areas are scaled so that their total is the exact zone area (``zones.exact_m2``); shares use
-    the raster total. ``combos`` depends on the grid only and is shared by all observations.
+    the raster total. Zones without pixels have zero areas and no factor. ``combos`` depends on the grid only and is shared by all observations.
     """
     n, valid = F.col("n"), F.coalesce("valid", F.lit(False))
     index = F.col("ndvi")
@@ -258,11 +263,11 @@ def vegetation_stats(px: DataFrame, combos: DataFrame, zones: DataFrame, thresho
     upto = F.sum("valid").over(whole.orderBy(F.asc_nulls_last("b")).rowsBetween(W.unboundedPreceding, 0))
     half = F.greatest(F.lit(1.0), F.ceil(F.sum("valid").over(whole) * 0.5))
     marked = bins.withColumn("reached", F.when((upto >= half) & F.col("b").isNotNull(), F.col("b")))
-    joined = (marked.groupBy(*group).agg(*[F.sum(p).alias(p) for p in ("total", "valid", "likely", "below", "cropland", "water", "missing")],
-                                         F.min("reached").alias("b50")).join(zones.select(zone, "exact_m2"), zone))
-    factor = F.col("exact_m2") / (F.col("total") * unit_m2)
     parts = ["total", "valid", "likely", "below", "cropland", "water", "missing"]
-    return joined.select(*group, factor.alias("factor"), *[(F.col(p) * unit_m2 * factor / 10_000.0).alias(f"{p}_ha") for p in parts],
+    joined = marked.groupBy(*group).agg(*[F.sum(p).alias(p) for p in parts], F.min("reached").alias("b50"))
+    joined = _records(zones, ["exact_m2"], joined, zone, keys, expected).na.fill(0, parts)
+    factor = F.when(F.col("total") > 0, F.col("exact_m2") / (F.col("total") * unit_m2))
+    return joined.select(*group, factor.alias("factor"), *[(F.col(p) * unit_m2 * F.coalesce(factor, F.lit(0.0)) / 10_000.0).alias(f"{p}_ha") for p in parts],
                          *[percentage(F.col(p), F.col("total")).alias(f"{p}_pct") for p in parts[2:6]],
                          P.bin_value(F.col("b50")).alias("median_ndvi"))
 
@@ -389,7 +394,7 @@ def normalise_histogram(bins: DataFrame, totals: DataFrame, keys: list[str], min
 
 
 def user_layer_stats(px: DataFrame, value: Column, zones: DataFrame, cell_ha: float, zone: str = "sector_id",
-                     keys: tuple[str, ...] = (), expected: dict[str, list] | None = None) -> DataFrame:
+                     keys: tuple[str, ...] = (), expected: Expected = None) -> DataFrame:
     """Range, mean and median of any expression over the pixels, valid area and zone area."""
     group = [*keys, zone]
     v = value.cast("double")
@@ -401,7 +406,7 @@ def user_layer_stats(px: DataFrame, value: Column, zones: DataFrame, cell_ha: fl
 
 
 def user_class_stats(px: DataFrame, value: Column, classes: list[int], cell_ha: float, zones: DataFrame, zone: str = "sector_id",
-                     keys: tuple[str, ...] = (), expected: dict[str, list] | None = None) -> DataFrame:
+                     keys: tuple[str, ...] = (), expected: Expected = None) -> DataFrame:
     """Class areas with their share of the **valid** pixels, zeros for zones without any."""
     rows = px.withColumn("v", value).where("v IS NOT NULL")
     counts = rows.groupBy(*keys, zone).agg(F.count("*").alias("n_valid"), *[F.count_if(F.col("v") == c).alias(f"n_{c}") for c in classes])

@@ -15,7 +15,7 @@ from zonemill.operators import tables as TB
 from zonemill.operators import zonal as Z
 from zonemill.plans import standins as V
 from zonemill.plans.geometry import cell_votes, votes
-from zonemill.plans.pixels import NDVI, sub
+from zonemill.plans.pixels import NDVI, sub, observations
 from zonemill.plans.registry import query
 from zonemill.plans.standins import r6, sql
 
@@ -165,6 +165,7 @@ SUB_USE = f"su AS (SELECT sub_row, sub_col, arg_max({USE_OF}, poly_id) AS use FR
 SUB_ZONE = """sz AS (SELECT CAST(i AS BIGINT) AS sub_row, CAST(j AS BIGINT) AS sub_col, sector_id FROM zone, unnest(generate_series(3 * r0, 3 * r1 - 1)) a(i), unnest(generate_series(3 * c0, 3 * c1 - 1)) b(j))"""
 COMBOS = f"""{SUB_USE}, {SUB_ZONE}, cb AS (SELECT CAST(floor(sub_row / 3.0E0) AS BIGINT) AS row_i, CAST(floor(sub_col / 3.0E0) AS BIGINT) AS col_i, sector_id, use, count(*) AS n
   FROM sz LEFT JOIN su USING (sub_row, sub_col) GROUP BY ALL)"""
+PARTS = ["total", "valid", "likely", "below", "cropland", "water", "missing"]
 VEG = f"""{VEG_PX}, {COMBOS}, x AS (SELECT *, {REASON} AS reason, valid AND ndvi IS NOT NULL AS ok FROM vp JOIN cb USING (row_i, col_i)),
 h AS (SELECT obs_id, sector_id, CAST(floor((ndvi + 1.0E0) / 0.001E0 + 0.5E0) AS INT) AS b, sum(n) AS n FROM x WHERE ok GROUP BY ALL),
 hc AS (SELECT *, sum(n) OVER (PARTITION BY obs_id, sector_id ORDER BY b) AS upto, sum(n) OVER (PARTITION BY obs_id, sector_id) AS total FROM h),
@@ -172,8 +173,9 @@ hm AS (SELECT obs_id, sector_id, min(b) AS b50 FROM hc WHERE upto >= ceil(total
 s AS (SELECT obs_id, sector_id, sum(n) AS total, coalesce(sum(n) FILTER (ok), 0) AS valid, coalesce(sum(n) FILTER (ok AND reason IS NULL AND ndvi >= 0.1E0), 0) AS likely,
   coalesce(sum(n) FILTER (ok AND reason IS NULL AND ndvi < 0.1E0), 0) AS below, coalesce(sum(n) FILTER (ok AND reason = 'cropland'), 0) AS cropland,
   coalesce(sum(n) FILTER (ok AND reason = 'water'), 0) AS water, coalesce(sum(n) FILTER (NOT ok), 0) AS missing FROM x GROUP BY obs_id, sector_id),
-vs AS (SELECT s.*, 39960.0E0 / (total * 11.0E0) AS factor, floor((b50 * 0.001E0 - 1) * 1000.0E0 + 0.5E0) / 1000.0E0 AS median_ndvi FROM s LEFT JOIN hm USING (obs_id, sector_id))"""
-PARTS = ["total", "valid", "likely", "below", "cropland", "water", "missing"]
+vs AS (SELECT k.obs_id, k.sector_id, {', '.join(f'coalesce({p}, 0) AS {p}' for p in PARTS)}, CASE WHEN total > 0 THEN 39960.0E0 / (total * 11.0E0) END AS factor,
+  floor((b50 * 0.001E0 - 1) * 1000.0E0 + 0.5E0) / 1000.0E0 AS median_ndvi FROM (SELECT obs_id, sector_id FROM (SELECT DISTINCT obs_id FROM s) CROSS JOIN zone) k
+  LEFT JOIN s USING (obs_id, sector_id) LEFT JOIN hm USING (obs_id, sector_id))"""
 
 
 def vegetation_px(spark, d):
@@ -193,21 +195,21 @@ def vegetation(spark, d):
         F.col("row_i").alias("sub_row"), F.col("col_i").alias("sub_col"), "sector_id")
     combos = GE.cell_combos(zone_cells, GE.last_feature(used(spark, d), V.GRID, 3, "use", "poly_id"), 3)
     zones = V.zones(spark, d).select("sector_id", F.lit(39960.0).alias("exact_m2"))
-    return Z.vegetation_stats(vegetation_px(spark, d), combos, zones, 0.1, 11.0, keys=("obs_id",))
+    return Z.vegetation_stats(vegetation_px(spark, d), combos, zones, 0.1, 11.0, keys=("obs_id",), expected=observations(spark, d))
 
 
 @query("a12_vegetation_stats", sql("px poly zone", f"""
-WITH {VEG} SELECT obs_id, sector_id, {r6('factor')} AS factor, {', '.join(f"{r6(f'{p} * 11.0E0 * factor / 10000.0E0')} AS {p}_ha" for p in PARTS)},
-  {', '.join(f"{r6(f'{p} / CAST(total AS DOUBLE) * 100')} AS {p}_pct" for p in PARTS[2:6])}, {r6('median_ndvi')} AS median_ndvi FROM vs"""))
+WITH {VEG} SELECT obs_id, sector_id, {r6('factor')} AS factor, {', '.join(f"{r6(f'{p} * 11.0E0 * coalesce(factor, 0) / 10000.0E0')} AS {p}_ha" for p in PARTS)},
+  {', '.join(f"{r6(f'CASE WHEN total > 0 THEN {p} / CAST(total AS DOUBLE) * 100 ELSE 0 END')} AS {p}_pct" for p in PARTS[2:6])}, {r6('median_ndvi')} AS median_ndvi FROM vs"""))
 def a12(spark, d):
     return vegetation(spark, d)
 
 
 @query("a10_rollup_vegetation", sql("px poly zone", f"""
-WITH {VEG}, a AS (SELECT obs_id, municipality, {', '.join(f'{p} * 11.0E0 * factor / 10000.0E0 AS {p}' for p in PARTS)}, median_ndvi FROM vs JOIN zone USING (sector_id)),
+WITH {VEG}, a AS (SELECT obs_id, municipality, {', '.join(f'{p} * 11.0E0 * coalesce(factor, 0) / 10000.0E0 AS {p}' for p in PARTS)}, median_ndvi FROM vs JOIN zone USING (sector_id)),
 t AS (SELECT obs_id, CASE WHEN GROUPING(municipality) = 1 THEN 'region:all' ELSE 'municipality:' || municipality END AS scope, {', '.join(f'sum({p}) AS {p}' for p in PARTS)},
   sum(coalesce(median_ndvi, 0) * valid) AS mv FROM a GROUP BY obs_id, ROLLUP (municipality))
-SELECT obs_id, scope, {', '.join(f"{r6(p)} AS {p}_ha" for p in PARTS)}, {', '.join(f"{r6(f'{p} / total * 100')} AS {p}_pct" for p in PARTS[2:6])}, {r6('mv / valid')} AS median_ndvi,
+SELECT obs_id, scope, {', '.join(f"{r6(p)} AS {p}_ha" for p in PARTS)}, {', '.join(f"{r6(f'CASE WHEN total > 0 THEN {p} / total * 100 ELSE 0 END')} AS {p}_pct" for p in PARTS[2:6])}, {r6('CASE WHEN valid > 0 THEN mv / valid END')} AS median_ndvi,
   true AS median_is_approximate FROM t"""))
 def a10(spark, d):
     return R.rollup_vegetation(TB.with_municipality(vegetation(spark, d), V.zones(spark, d)), ("obs_id",))

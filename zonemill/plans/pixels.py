@@ -34,6 +34,11 @@ def zones(spark, d):
     return V.zones(spark, d).select("sector_id", "municipality", (400 * CELL_HA + (F.col("sector_id") % 5) * 0.5).alias("complete_ha"))
 
 
+def observations(spark, d):
+    """The inventory of observations, for which every zone has a record."""
+    return V.pixels(spark, d).select("obs_id")
+
+
 def zoned(spark, d, px=None):
     return Z.assign_zone(V.pixels(spark, d) if px is None else px, zone_spans(spark, d))
 
@@ -49,7 +54,7 @@ def a01(spark, d):
     """The whole chain: zone polygons → spans → pixels in zones → class areas."""
     polygons = V.zone_polygons(spark, d)
     located = Z.assign_zone(V.pixels(spark, d).select("obs_id", "row_i", "col_i", "code"), GE.rasterize(polygons, ["sector_id"], V.GRID))
-    return Z.categorical_stats(located, zones(spark, d), [1, 2, 3, 4], CELL_HA, keys=("obs_id",))
+    return Z.categorical_stats(located, zones(spark, d), [1, 2, 3, 4], CELL_HA, keys=("obs_id",), expected=observations(spark, d))
 
 
 @query("a01_scope_rollup", sql("pz", f"""
@@ -71,7 +76,7 @@ SELECT obs_id, sector_id, complete_ha, sealed_ha, unsealed_ha, valid_ha, no_data
   {r6('unsealed_ha / complete_ha * 100')} AS unsealed_pct, {r6('valid_ha / complete_ha * 100')} AS valid_pct,
   {r6('no_data_ha / complete_ha * 100')} AS no_data_pct FROM ({BINARY_SUMS})"""))
 def a02(spark, d):
-    return Z.binary_stats(zoned(spark, d), zones(spark, d), CELL_HA, keys=("obs_id",))
+    return Z.binary_stats(zoned(spark, d), zones(spark, d), CELL_HA, keys=("obs_id",), expected=observations(spark, d))
 
 
 # --- Fractional weights: diamonds as zones, sub-cells counted by the closed form of a diamond ------
@@ -122,7 +127,7 @@ SELECT obs_id, poly_id, {r6('whole')} AS complete_ha, {r6('valid')} AS valid_ha,
   {r6('CASE WHEN pw > 0 THEN CAST(vw AS DOUBLE) / pw END')} AS mean_present, {r6('CAST(vw AS DOUBLE) / 100 * 0.0025E0')} AS crown_ha, {DENSITY_COLUMNS} FROM a"""))
 def a03(spark, d):
     px = weighted_pixels(spark, d).withColumn("value", F.col("dn") % 128)
-    return Z.density_stats(px, diamond_zones(spark, d), CELL_HA / 100, zone="poly_id", keys=("obs_id",))
+    return Z.density_stats(px, diamond_zones(spark, d), CELL_HA / 100, zone="poly_id", keys=("obs_id",), expected=observations(spark, d))
 
 
 def _wq(value, cond, p, alias):
@@ -143,7 +148,7 @@ SELECT a.obs_id, a.poly_id, {r6('whole')} AS complete_ha, {r6('c')} AS clear_ha,
   LEFT JOIN pu USING (obs_id, poly_id)"""))
 def a04(spark, d):
     px = weighted_pixels(spark, d).withColumn("uncertainty", F.col("dn") * 0.01)
-    return Z.temperature_stats(px, diamond_zones(spark, d), CELL_HA / 100, zone="poly_id", keys=("obs_id",))
+    return Z.temperature_stats(px, diamond_zones(spark, d), CELL_HA / 100, zone="poly_id", keys=("obs_id",), expected=observations(spark, d))
 
 
 # --- Land cover on the Mercator grid --------------------------------------------------------------
@@ -184,7 +189,7 @@ SELECT s.obs_id, s.sector_id, {r6('total_ha')} AS total_ha, {r6('classified_ha')
   {r6('CASE WHEN classified_ha > 0 THEN vegetation_ha / classified_ha * 100 END')} AS vegetation_pct,
   {r6('CASE WHEN classified_ha > 0 THEN built_up_ha / classified_ha * 100 END')} AS built_up_pct FROM s LEFT JOIN k ON k.obs_id = s.obs_id AND k.sector_id = s.sector_id AND rn = 1"""))
 def a05(spark, d):
-    return Z.land_cover_stats(land_cover(spark, d), ["obs_id", "sector_id"], zones=V.zones(spark, d))
+    return Z.land_cover_stats(land_cover(spark, d), ["obs_id", "sector_id"], zones=V.zones(spark, d), expected=observations(spark, d))
 
 
 @query("a05_land_cover_classes", sql("pz", f"""
@@ -208,7 +213,7 @@ def a06(spark, d):
     before = F.array(*map(F.lit, [90, 10, 30, 254, 40]))
     then = V.baseline(spark, d).select("obs_id", "row_i", "col_i", F.element_at(before, (1 + F.col("code0")).cast("int")).alias("before"))
     pairs = TB.align(coded(zoned(spark, d)).withColumnRenamed("code", "after"), then, V.GRID, V.GRID, ("obs_id", "row_i", "col_i"))
-    return Z.change_stats(pairs, G.mercator_cell_ha(F.col("row_i"), MERCATOR), ["obs_id", "sector_id"], zones=V.zones(spark, d))
+    return Z.change_stats(pairs, G.mercator_cell_ha(F.col("row_i"), MERCATOR), ["obs_id", "sector_id"], zones=V.zones(spark, d), expected=observations(spark, d))
 
 
 # --- Class areas and their roll-ups ---------------------------------------------------------------
@@ -311,7 +316,7 @@ WITH b AS ({BINARY_SUMS}), t AS (SELECT obs_id, sum(complete_ha) AS c, sum(valid
 SELECT obs_id, {r6('c')} AS complete_ha, {r6('v')} AS valid_ha, {r6('n')} AS no_data_ha, {r6('s')} AS sealed_ha, {r6('u')} AS unsealed_ha,
   {r6('v / c * 100')} AS valid_pct, {r6('n / c * 100')} AS no_data_pct, {r6('s / c * 100')} AS sealed_pct, {r6('u / c * 100')} AS unsealed_pct FROM t"""))
 def a11(spark, d):
-    return R.region_surface_stats(Z.binary_stats(zoned(spark, d), zones(spark, d), CELL_HA, keys=("obs_id",)), ("obs_id",))
+    return R.region_surface_stats(Z.binary_stats(zoned(spark, d), zones(spark, d), CELL_HA, keys=("obs_id",), expected=observations(spark, d)), ("obs_id",))
 
 
 # --- Distributions --------------------------------------------------------------------------------
@@ -405,7 +410,7 @@ SELECT obs_id, sector_id, {COMPLETE} AS zone_ha, {r6('min(v)')} AS minimum, {r6(
   count(v) * {HA} AS valid_ha FROM (SELECT *, CASE WHEN status = 1 THEN temp_c * 2 - b04 END AS v FROM zpx) GROUP BY obs_id, sector_id"""))
 def a18(spark, d):
     value = F.when(F.col("status") == 1, F.col("temp_c") * 2 - F.col("b04"))
-    return Z.user_layer_stats(zoned(spark, d), value, zones(spark, d), CELL_HA, keys=("obs_id",))
+    return Z.user_layer_stats(zoned(spark, d), value, zones(spark, d), CELL_HA, keys=("obs_id",), expected=observations(spark, d))
 
 
 @query("a18_user_class_stats", sql("zpx", f"""
@@ -413,7 +418,7 @@ SELECT obs_id, sector_id, k.value, count(*) FILTER (code = k.value) * {HA} AS ar
   {r6('CASE WHEN count(*) FILTER (code <> 0) > 0 THEN count(*) FILTER (code = k.value) / CAST(count(*) FILTER (code <> 0) AS DOUBLE) * 100 ELSE 0 END')} AS pct
 FROM zpx, (VALUES (1), (2), (9)) k(value) GROUP BY obs_id, sector_id, k.value"""))
 def a18b(spark, d):
-    return Z.user_class_stats(zoned(spark, d), F.when(F.col("code") != 0, F.col("code")), [1, 2, 9], CELL_HA, V.zones(spark, d), keys=("obs_id",))
+    return Z.user_class_stats(zoned(spark, d), F.when(F.col("code") != 0, F.col("code")), [1, 2, 9], CELL_HA, V.zones(spark, d), keys=("obs_id",), expected=observations(spark, d))
 
 
 @query("a19_dissolve", sql("zone", """

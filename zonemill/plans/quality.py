@@ -9,7 +9,7 @@ from zonemill.operators import geometry as GE
 from zonemill.operators import quality as QU
 from zonemill.operators import zonal as Z
 from zonemill.plans import standins as V
-from zonemill.plans.pixels import DENSITY, HA, class_stats, CLASS_STATS, diamond_zones, fragments, FRAGMENTS, weighted_pixels, zoned
+from zonemill.plans.pixels import DENSITY, HA, class_stats, CLASS_STATS, diamond_zones, fragments, FRAGMENTS, observations, weighted_pixels, zoned
 from zonemill.plans.registry import query
 from zonemill.plans.standins import CELL_HA, r6, sql
 from zonemill.sources import provenance as PR
@@ -24,7 +24,7 @@ WITH b AS (SELECT obs_id, sector_id, 30.0E0 + sector_id AS complete_ha, count(*)
 g AS (SELECT *, v + greatest(0, complete_ha - v) - complete_ha AS gap FROM b)
 SELECT obs_id, sector_id, {r6('gap')} AS gap FROM g WHERE abs(gap) > greatest(0.01E0, complete_ha * 0.005E0)"""))
 def q01(spark, d):
-    stats = Z.binary_stats(zoned(spark, d), tight_zones(spark, d), CELL_HA, keys=("obs_id",))
+    stats = Z.binary_stats(zoned(spark, d), tight_zones(spark, d), CELL_HA, keys=("obs_id",), expected=observations(spark, d))
     return QU.unreconciled(stats, ["sealed_ha", "unsealed_ha", "no_data_ha"], "complete_ha").select("obs_id", "sector_id", "gap")
 
 
@@ -35,7 +35,7 @@ UNION ALL SELECT obs_id, poly_id, 'crown' FROM t WHERE NOT vw / 100.0E0 * 0.0025
 def q01b(spark, d):
     px = weighted_pixels(spark, d).withColumn("value", F.col("dn") % 128)
     zones = diamond_zones(spark, d).withColumn("complete_ha", F.col("complete_ha") / 2)
-    stats = Z.density_stats(px, zones, CELL_HA / 100, zone="poly_id", keys=("obs_id",))
+    stats = Z.density_stats(px, zones, CELL_HA / 100, zone="poly_id", keys=("obs_id",), expected=observations(spark, d))
     return QU.density_violations(stats, ["obs_id", "poly_id"])
 
 
@@ -46,7 +46,7 @@ SELECT obs_id, sector_id, {r6('gap')} AS gap FROM g WHERE abs(gap) > greatest(0.
 def q02(spark, d):
     zones = V.zones(spark, d).select("sector_id", (60.0 + F.col("sector_id")).alias("complete_ha"))
     px = zoned(spark, d).withColumn("w", F.lit(1)).withColumn("uncertainty", F.col("dn") * 0.01)
-    stats = Z.temperature_stats(px, zones, CELL_HA, keys=("obs_id",))
+    stats = Z.temperature_stats(px, zones, CELL_HA, keys=("obs_id",), expected=observations(spark, d))
     return QU.unreconciled(stats, ["clear_ha", "cloud_ha", "missing_ha"], "complete_ha").select("obs_id", "sector_id", "gap")
 
 
