@@ -26,7 +26,7 @@ def ids_of(path, text):
 
 @pytest.mark.parametrize("path", [WORDS, BYTES])
 def test_cached_ids_are_the_tokenizers_own(path):
-    texts = ["", " ", "a", "A  b\n\n c\t\td  ", "it's  we'll x　y ", "é ́x ΑΣ Σ", "a\x1cb \x1d c", "12  345\r\n6 <|endoftext|>", "x" * 300 + " " * 50 + "é" * 100, "!? ... -- 😀😀", "a\0b \0", "tail ", "\n", " x\n y", "a\u2003 b", "one\ntwo three\n"]
+    texts = ["", " ", "a", "A  b\n\n c\t\td  ", "it's  we'll x　y ", "é ́x ΑΣ Σ", "a\x1cb \x1d c", "12  345\r\n6 <|endoftext|>", "x" * 300 + " " * 50 + "é" * 100, "!? ... -- 😀😀", "a\0b \0", "tail ", "\n", " x\n y", "a\u2003 b", "one\ntwo three\n", "a.\nB c\n\nd", "a.\nB c\nD", "x \ny"]
     encoder = tokens.Encoder(path)
     for _ in range(2):
         assert encoder.encode_each([*texts, None]) == [ids_of(path, t) for t in [*texts, ""]]
@@ -153,6 +153,8 @@ def test_personal_data_spans(spark, odd, empty):
         want = plain_spans(text or "")
         assert got[i].spans == ",".join(want) and got[i].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
         assert [got[i][f"n_{k}"] for k in BASE] == [sum(w.startswith(k) for w in want) for k in BASE]
+    strange = odd.withColumns({"base": F.lit(1), "extra": F.lit(2), "key": F.lit(3), "base_spans": F.lit(4), "term": F.lit(5)})
+    assert pii.sanitised(strange).where("base_spans = 4 and base = 1 and extra = 2").count() == odd.count() == pii.spans(strange).count()
     clean = pii.sanitised(odd)
     assert clean.columns == odd.columns and clean.count() == odd.count() and pii.sanitised(empty).count() == 0
     assert clean.where("doc_id is null").first().text == "no key here, mail <email>"

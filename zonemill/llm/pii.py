@@ -118,13 +118,8 @@ def disclosing_terms(docs: DataFrame, hits: DataFrame, support: int, generalise:
     return pairs.join(spread, "term").select("entity", "term", ratio.alias("ratio")).where(F.col("ratio") >= generalise)
 
 
-def spans(docs: DataFrame, support: int = 3, generalise: float = 0.85, remove: float = 0.95) -> DataFrame:
-    """``docs`` with ``base`` (pattern spans) and ``extra`` (terms to be generalised or removed), code points, end exclusive.
-
-    Kinds of extra spans are ``term`` and ``removed``; those that touch a base span are left out. Null texts are empty
-    and have no spans; repeated rows keep their number; other columns stay as they are, also when they are called like
-    those used inside.
-    """
+def _marked(docs: DataFrame, support: int = 3, generalise: float = 0.85, remove: float = 0.95) -> DataFrame:
+    """Rows as a struct ``doc``, with ``base`` (pattern spans) and ``extra`` (terms to be generalised or removed)."""
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("doc", "text", base_spans(F.col("text")).alias("base"))
@@ -144,7 +139,18 @@ def spans(docs: DataFrame, support: int = 3, generalise: float = 0.85, remove: f
         F.when(ratio(w) >= remove, "removed").otherwise("term").alias("kind"), w["from"].alias("from"), w["to"].alias("to"), w["value"].alias("value")))
     extra = F.when(F.col("terms").isNull(), none).otherwise(F.array_sort(extra))
     marked = hits.join(by_doc, "key", "left").select("doc", "base", extra.alias("extra"))
-    return clean.unionByName(marked).select("doc.*", F.col("base").alias("base_spans"), F.col("extra").alias("extra_spans"))
+    return clean.unionByName(marked)
+
+
+def spans(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with ``base_spans`` (patterns) and ``extra_spans`` (disclosing terms), in code points, end exclusive.
+
+    Options are ``support``, ``generalise`` and ``remove``. Kinds of extra spans are ``term`` and ``removed``; those that
+    touch a base span are left out. Null texts are empty and have no spans; repeated rows keep their number; other
+    columns stay as they are, but for columns with the two new names, which are replaced.
+    """
+    kept = [F.col("doc").getField(c).alias(c) for c in docs.columns if c not in ("base_spans", "extra_spans")]
+    return _marked(docs, **options).select(*kept, F.col("base").alias("base_spans"), F.col("extra").alias("extra_spans"))
 
 
 def sanitised(docs: DataFrame, **options) -> DataFrame:
@@ -152,17 +158,17 @@ def sanitised(docs: DataFrame, **options) -> DataFrame:
 
     ``n_chars`` follows the new text. A null text stays null.
     """
-    names = docs.columns
-    marks = F.array_sort(F.concat(*[F.transform(c, lambda s: F.struct(s["from"].alias("from"), s["to"].alias("to"), s["kind"].alias("kind"))) for c in ("base_spans", "extra_spans")]))
+    whole = F.col("doc").getField("text")
+    marks = F.array_sort(F.concat(*[F.transform(c, lambda s: F.struct(s["from"].alias("from"), s["to"].alias("to"), s["kind"].alias("kind"))) for c in ("base", "extra")]))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     def step(s: Column, m: Column) -> Column:
         shown = F.when(m["kind"] == "removed", F.lit("")).otherwise(F.concat(F.lit("<"), m["kind"], F.lit(">")))
-        ahead = F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, m["from"] - s["at"]), shown)
+        ahead = F.concat(s["out"], F.substring(whole, s["at"] + 1, m["from"] - s["at"]), shown)
         return F.when(m["from"] >= s["at"], F.struct(m["to"].alias("at"), ahead.alias("out"))).otherwise(
             F.struct(F.greatest(s["at"], m["to"]).alias("at"), s["out"].alias("out")))
-    text = F.when(F.size(marks) > 0, F.aggregate(marks, start, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))).otherwise(F.col("text"))
-    out = spans(docs, **options).withColumn("__text", text)
-    return out.select([F.col("__text").alias(c) if c == "text" else F.length("__text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in names])
+    text = F.when(F.size(marks) > 0, F.aggregate(marks, start, step, lambda s: F.concat(s["out"], F.substring(whole, s["at"] + 1, F.length(whole))))).otherwise(whole)
+    out = _marked(docs, **options).select("doc", text.alias("clean"))
+    return out.select([F.col("clean").alias(c) if c == "text" else F.length("clean").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
