@@ -221,3 +221,11 @@ def test_pieces_equal_the_library(spark, odd, empty):
     got = sorted((str(r.doc_id), np.frombuffer(r.ids, "<u4").tolist(), r.decoded) for r in lattice.decode(lattice.encode(docs, PIECES), PIECES).collect())
     assert got == want
     assert lattice.encode(empty, PIECES).count() == 0
+
+
+def test_small_cache_keeps_ids_right(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHED", 6)
+    encoder = tokens.Encoder(BYTES)
+    for texts in (["a b c d e", "a b c"], ["a f g h i j k", "b c"], ["a b", "x y z q w e r t"], ["a b c"]):
+        assert encoder.encode_each(texts) == [ids_of(BYTES, t) for t in texts]
+        assert len(encoder.known) <= 16

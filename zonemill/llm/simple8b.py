@@ -27,7 +27,7 @@ FILES = "shard int, part long, before long, doc_ids array<long>, lengths array<l
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Unsigned 64-bit ids → words, and the place of every block's first word."""
     ids = np.ascontiguousarray(ids, np.uint64)
-    n = len(ids)
+    n, narrow = len(ids), ids.astype(np.uint32) if len(ids) and ids.max() < 1 << 32 else ids
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     at = np.arange(n)
@@ -40,7 +40,7 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if top < limit:
             fits = open_
         else:
-            over = np.concatenate([[0], np.cumsum(ids >= np.uint64(limit), dtype=np.int32)])
+            over = np.concatenate([np.zeros(1, np.int32), np.cumsum(narrow >= narrow.dtype.type(limit), dtype=np.int32)])
             fits = open_ & (over[np.minimum(at + COUNTS[selector], end)] == over[:-1])
         if selector == 1:  # a short rest is no run
             fits = fits & (at + COUNTS[selector] <= end)
@@ -119,7 +119,7 @@ def decode(words: np.ndarray, blocks: np.ndarray, n: int) -> np.ndarray:
 def _rows(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
     shard, part, before = TaskContext.get().partitionId(), 0, 0
     for batch in batches:
-        for rows in parts(batch, 1 << 20):
+        for rows in parts(batch, 1 << 22):
             ids, borders = with_end(*encoder(path).encode(rows.column("text")), end)
             words, blocks = encode(ids)
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "part": pa.array([part], pa.int64()), "before": pa.array([before], pa.int64()), "doc_ids": pa.array([rows.column("doc_id").to_pylist()], pa.list_(pa.int64())), "lengths": pa.array([np.diff(borders)], pa.list_(pa.int64())), "blocks": pa.array([blocks], pa.list_(pa.int64())), "words": pa.array([words.astype("<u8").tobytes()], pa.binary())})
@@ -150,4 +150,5 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     sizes = files.groupBy("shard").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
     base = sizes.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     docs = files.mapInArrow(_documents, "shard int, doc_id long, start long, n_tokens long, ids binary")
-    return docs.join(base, "shard").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids")
+    # one row for each file of the table, whose list the driver holds anyway
+    return docs.join(F.broadcast(base), "shard").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids")

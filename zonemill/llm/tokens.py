@@ -1,6 +1,6 @@
 """Token ids of whole texts, word by word through a bounded cache.
 
-Both public BPE vocabularies cut between a character that is no white space and a space after it, so the ids of a text
+Both public BPE vocabularies cut between a character that is no white space and a space or line end after it, so the ids of a text
 are those of its words (each with its space) one after the other. Words are split and numbered by Arrow kernels, only
 distinct ones are encoded, many in one text with a mark between them, and ids are put together by array indexing. Texts
 for which the rule may not hold (white space before a space, the mark itself) are encoded whole.
@@ -20,8 +20,10 @@ from tokenizers import Tokenizer
 MARK = "\0"
 # white space of Unicode before a space
 ODD = r"[\s\x0b\x85\pZ\x{180e}] |\x00"
-CACHED = 1_100_000  # words that a worker remembers
-CACHED_CHARACTERS = 40_000_000
+# ... before a line end: such texts are not cut at line ends
+ODD_LINE = r"[\s\x0b\x85\pZ\x{180e}]\n"
+CACHED = 600_000  # words that a worker remembers
+CACHED_CHARACTERS = 24_000_000
 TOGETHER = 128  # words encoded in one text
 
 
@@ -46,7 +48,22 @@ class Encoder:
         self.size, self.characters = 0, 0
         self.pool = np.zeros(1 << 20, np.uint32)
         self.first = np.zeros(1 << 16, np.int64)
-        self.first_at = 0
+        self.hits = np.zeros(1 << 16, np.int32)
+
+    def _trim(self) -> None:
+        """Keep the words that came up more than once, at most half of the limit, and halve their counts."""
+        hits, least = self.hits[:len(self.known)], 2
+        while np.count_nonzero(hits >= least) > CACHED // 2:
+            least *= 2
+        index = np.flatnonzero(hits >= least)
+        words = list(self.known)
+        size = self.first[index + 1] - self.first[index]
+        place = np.concatenate([[0], np.cumsum(size)])
+        ids = self.pool[np.repeat(self.first[index] - place[:-1], size) + np.arange(place[-1])]
+        hits = hits[index] // 2
+        self._forget()
+        self._learn([words[i] for i in index], ids, size)
+        self.hits[:len(hits)] = hits
 
     def _learn(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         """Append the ids of new words, one after the other in ``ids``, to the pool."""
@@ -56,7 +73,9 @@ class Encoder:
         if total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(max(total, len(self.pool)), np.uint32)])
         if count + 1 > len(self.first):
-            self.first = np.concatenate([self.first, np.zeros(max(count, len(self.first)), np.int64)])
+            more = max(count, len(self.first))
+            self.first = np.concatenate([self.first, np.zeros(more, np.int64)])
+            self.hits = np.concatenate([self.hits, np.zeros(more, np.int32)])
         self.pool[self.size:total] = ids
         self.first[count - len(words) + 1:count + 1] = self.size + np.cumsum(sizes)
         self.size = total
@@ -66,7 +85,7 @@ class Encoder:
         if self.blind:
             joined, alone = words, []
         else:
-            joined, alone = [w for w in words if w.startswith(" ")], [w for w in words if not w.startswith(" ")]
+            joined, alone = [w for w in words if w.startswith((" ", "\n"))], [w for w in words if not w.startswith((" ", "\n"))]
         glue = f" {MARK} " if self.blind else f" {MARK}"
         for low in range(0, len(joined), TOGETHER * 64):
             part = joined[low:low + TOGETHER * 64]
@@ -91,16 +110,22 @@ class Encoder:
         if self.blind:
             words = pc.split_pattern(pc.replace_substring(regular, "\n", " "), " ")
         else:
+            lines = pc.replace_substring(regular, "\n", f"{MARK}\n")
+            regular = pc.if_else(pc.match_substring_regex(regular, ODD_LINE), regular, lines)
             words = pc.split_pattern(pc.replace_substring(regular, " ", f"{MARK} "), MARK)
         numbered = words.flatten().dictionary_encode()
         distinct = numbered.dictionary.to_pylist()
         known = self.known
         new = [w for w in distinct if w not in known]
         if len(known) + len(new) > CACHED or self.characters > CACHED_CHARACTERS:
-            self._forget()
-            known, new = self.known, distinct
+            self._trim()
+            if self.characters > CACHED_CHARACTERS // 2:
+                self._forget()  # few but very long words
+            known = self.known
+            new = [w for w in distinct if w not in known]
         self._encode_words(new)
         own = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
+        self.hits[own] += 1
         word = own[numbered.indices.to_numpy()] if len(distinct) else np.zeros(0, np.int64)
         begin, size = self.first[word], self.first[word + 1] - self.first[word]
         place = np.concatenate([[0], np.cumsum(size)])
