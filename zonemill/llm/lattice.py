@@ -10,12 +10,15 @@ edge if it joins exactly two of the segments that are left. An edge that fails a
 as no piece becomes available later than its own score says; the few that do are known from the model (``late``) and are
 visited when their later part is made. What single characters remain without a piece become byte pieces.
 
-Units come back to the documents by chunks of documents: a chunk needs each of its units once.
+Units come back to the documents by chunks of documents: a chunk needs each of its units once, and lists of them travel
+compressed.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonemill.llm.store import extended
+from zonemill.llm.store import extended, stored
 
 MARK = "▁"
 UNIT = re.compile(f"{MARK}*[^{MARK}\n\t]+|{MARK}+|[\n\t]")
@@ -122,51 +125,81 @@ def borders(lattice: DataFrame) -> DataFrame:
     return lattice.select("unit", F.when(n <= SHORT, folded).alias("mask"), F.when(n > SHORT, F.col("edges")).alias("edges"))
 
 
-def _long_borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same fold for units whose borders do not fit into a long; borders as bytes."""
+def _all_borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same fold for units whose borders do not fit into a long; borders as bytes. Other rows pass."""
     for batch in batches:
         out = []
         for unit, steps in zip(batch.column("unit").to_pylist(), batch.column("edges").to_pylist()):
+            if steps is None:
+                out.append(None)
+                continue
             at = bytearray(b"\x01") * (len(unit) + 1)
             for e in steps:
                 low, high = e["from"], e["to"]
                 if high - low > 1 and at[low] and at[high] and sum(at[low + 1:high]) == 1:
                     at[low + 1:high] = bytes(high - low - 1)
             out.append(bytes(at))
-        yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array([None] * len(out), pa.int64()), pa.array(out, pa.binary())], ["unit", "mask", "wide"])
+        yield pa.RecordBatch.from_arrays([batch.column("unit"), batch.column("mask"), pa.array(out, pa.binary())], ["unit", "mask", "wide"])
 
 
 def segmented(words: DataFrame, model: Model) -> DataFrame:
     """Distinct units → (unit, mask, wide): where their segments lie."""
-    folded = borders(edges(words, model))
-    short = folded.where("mask is not null").select("unit", "mask", F.lit(None).cast("binary").alias("wide"))
-    long = folded.where("mask is null").select("unit", "edges").mapInArrow(_long_borders, "unit string, mask long, wide binary")
-    return short.unionByName(long)
+    return borders(edges(words, model)).mapInArrow(_all_borders, "unit string, mask long, wide binary")
 
 
 # ---- documents ----
+# Units travel as compressed lists, one for a chunk of documents and a bucket of units. Units of one character need no
+# lattice; the others hold no line end, which separates them in a list.
 
-def _units_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct units of every chunk, as far as this task sees it."""
+def _pack(units_: list[str]) -> bytes:
+    return zstandard.compress("\n".join(sorted(units_)).encode(), 3)
+
+
+def _unpack(data: bytes) -> list[str]:
+    return zstandard.decompress(data).decode().split("\n")
+
+
+def _units_of(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """The distinct units of every chunk, as far as this task sees it, by bucket."""
     seen: dict[int, set[str]] = {}
 
     def out() -> Iterator[pa.RecordBatch]:
+        rows = []
         for chunk, words in seen.items():
-            words = list(words)
-            for low in range(0, len(words), 20_000):
-                part = words[low:low + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int64()), pa.array(part, pa.string())], ["chunk", "unit"])
+            lists: dict[int, list[str]] = {}
+            for word in words:
+                if len(word) > 1:
+                    lists.setdefault(zlib.crc32(word.encode()) % buckets, []).append(word)
+            rows += [(chunk, bucket, _pack(part)) for bucket, part in lists.items()]
         seen.clear()
+        columns = list(zip(*rows)) if rows else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], ["chunk", "bucket", "units"])
     for batch in batches:
         for chunk, text in zip(batch.column("chunk").to_pylist(), batch.column("text").to_pylist()):
             seen.setdefault(chunk, set()).update(units(text or ""))
-        if sum(map(len, seen.values())) > 600_000:
+        if sum(map(len, seen.values())) > 800_000:
             yield from out()
     yield from out()
 
 
+def _distinct(lists: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"unit": sorted(set().union(*map(_unpack, lists["units"])))})
+
+
+def _attach(lists: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+    """Lists of units with the masks of their units; what is too long for a mask is listed beside."""
+    place = dict(zip(words["unit"], range(len(words))))
+    mask, wide = words["mask"].to_numpy("int64"), words["wide"].to_list()
+    out = []
+    for chunk, data in zip(lists["chunk"], lists["units"]):
+        own = [place[u] for u in _unpack(data)]
+        more = {i: bytes(wide[k]) for i, k in enumerate(own) if wide[k] is not None}
+        out.append((chunk, data, zstandard.compress(pickle.dumps((mask[own].tobytes(), more)), 3)))
+    return pd.DataFrame(out, columns=["chunk", "units", "masks"])
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    press = zstandard.ZstdCompressor(level=1)
+    press = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("doc_id"), pa.array([press.compress((t or "").encode()) for t in batch.column("text").to_pylist()], pa.binary())], ["chunk", "doc_id", "text"])
 
@@ -180,17 +213,21 @@ def _ids(unit: str, at: list[int], piece_ids: dict[str, int], bytes_from: list[i
     return out
 
 
-def _assemble(docs: pd.DataFrame, words: pd.DataFrame, piece_ids: dict[str, int], bytes_from: list[int]) -> pd.DataFrame:
-    known: dict[str, bytes] = {}
-    for unit, mask, wide in zip(words["unit"], words["mask"], words["wide"]):
-        if wide is None:
-            bits = bin(int(mask))[:1:-1]
-        else:
-            bits = "".join(map(str, wide))
-        at = [i for i, c in enumerate(bits) if c == "1"]
-        known[unit] = np.array(_ids(unit, at, piece_ids, bytes_from), "<u4").tobytes()
-    expand = zstandard.ZstdDecompressor()
-    ids = [b"".join(map(known.__getitem__, units(expand.decompress(t).decode()))) for t in docs["text"]]
+def _assemble(docs: pd.DataFrame, lists: pd.DataFrame, piece_ids: dict[str, int], bytes_from: list[int]) -> pd.DataFrame:
+    class Known(dict):
+        def __missing__(self, unit: str) -> bytes:
+            if len(unit) > 1:
+                raise KeyError(unit)
+            self[unit] = np.array(_ids(unit, [0, 1], piece_ids, bytes_from), "<u4").tobytes()
+            return self[unit]
+    known = Known()
+    for data, masks in zip(lists["units"], lists["masks"]):
+        flat, wide = pickle.loads(zstandard.decompress(masks))
+        for i, (unit, mask) in enumerate(zip(_unpack(data), np.frombuffer(flat, "<i8").tolist())):
+            if unit not in known:
+                bits = "".join(map(str, wide[i])) if i in wide else bin(mask)[:1:-1]
+                known[unit] = np.array(_ids(unit, [k for k, c in enumerate(bits) if c == "1"], piece_ids, bytes_from), "<u4").tobytes()
+    ids = [b"".join(map(known.__getitem__, units(zstandard.decompress(t).decode()))) for t in docs["text"]]
     return pd.DataFrame({"doc_id": docs["doc_id"], "n_pieces": [len(x) // 4 for x in ids], "ids": ids})
 
 
@@ -204,9 +241,12 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     piece_ids = {p: i for p, i, *_ in model.pieces}
     bytes_from = model.bytes_from
     rows = docs.select(F.coalesce(F.floor(F.col("doc_id") / CHUNK).cast("long"), F.lit(-1).cast("long")).alias("chunk"), F.col("doc_id").cast("long"), F.col("text"))
-    needed = rows.select("chunk", "text").mapInArrow(_units_of, "chunk long, unit string").repartition("unit")
-    words = segmented(needed.select("unit").distinct(), model)
-    given = needed.distinct().join(words, "unit").select("chunk", "unit", "mask", "wide")
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = rows.select("chunk", "text").mapInArrow(lambda b: _units_of(b, buckets), "chunk long, bucket long, units binary")
+    lists = stored(lists, "units")
+    words = segmented(lists.groupBy("bucket").applyInPandas(_distinct, "unit string").repartition("unit"), model)
+    words = words.withColumn("mask", F.coalesce("mask", F.lit(0).cast("long"))).withColumn("bucket", F.crc32(F.col("unit").cast("binary")) % buckets)
+    given = lists.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInPandas(_attach, "chunk long, units binary, masks binary")
     packed = rows.mapInArrow(_packed, "chunk long, doc_id long, text binary")
     return (packed.groupBy("chunk").cogroup(given.groupBy("chunk"))
             .applyInPandas(lambda d, w: _assemble(d, w, piece_ids, bytes_from), "doc_id long, n_pieces long, ids binary"))
