@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonemill.llm import text as kernel
-from zonemill.llm.store import extended
+from zonemill.llm.store import extended, small_batches
 
-SAMPLE = 500  # documents a language that the machines are fitted on, at most
-SLOTS = 1 << 14
+SAMPLE = 400  # documents a language that the machines are fitted on, at most
+SLOTS = 1 << 13
 COST = 10.0
 LETTER = regex.compile(r"\p{L}")
 # families of languages by ISO 639-1 code: fixed values; other codes are families of their own
@@ -41,7 +41,7 @@ def trigrams(data: np.ndarray, offsets: np.ndarray, low: int, high: int) -> tupl
     joined = b"  " + b"  ".join(raw[i:j] for i, j in zip(at[:-1], at[1:])) + b"  "
     b = _SHAPE[np.frombuffer(joined, np.uint8)].astype(np.uint32)
     code = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]
-    slot = ((code * np.uint32(2654435761)) >> np.uint32(18)).astype(np.int32)
+    slot = ((code * np.uint32(2654435761)) >> np.uint32(19)).astype(np.int32)
     # a text of n bytes has n + 2 trigrams, whose middle is one of its bytes or a space beside it
     return slot, at + 2 * np.arange(len(at))
 
@@ -57,7 +57,6 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def machine(gram: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
     """Dual coordinate descent for a linear SVM with bias, from inner products; returns the weight of every row."""
-    gram = gram + 1.0
     a, f = np.zeros(len(y)), np.zeros(len(y))
     for _ in range(rounds):
         moved = 0.0
@@ -125,11 +124,11 @@ def train(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Machines | No
     for i, r in enumerate(rows):
         count = np.frombuffer(r["counts"], "<i4")
         x[i, np.frombuffer(r["slots"], "<i4")] = count / count.sum()
-    scale = 1 / np.sqrt((x**2).mean(axis=0) + 1e-7)
+    scale = 1 / np.sqrt(np.einsum("ij,ij->j", x, x) / len(x) + 1e-7)
     x *= scale
-    size = np.sqrt((x**2).sum(axis=1).mean())
+    size = np.sqrt(np.einsum("ij,ij->", x, x) / len(x))
     x /= size
-    gram = (x @ x.T).astype(np.float64)
+    gram = (x @ x.T).astype(np.float64) + 1.0  # with a constant column for the bias
     labels = np.array([r["lang"] for r in rows])
     kin = np.array([FAMILY.get(v, v) for v in labels])
     families = sorted({str(k) for k in kin})
@@ -148,7 +147,7 @@ def _identified(batches: Iterator[pa.RecordBatch], model: Machines | None) -> It
     ascii_letters = np.zeros(256, bool)
     ascii_letters[[*range(65, 91), *range(97, 123)]] = True
     for batch in batches:
-        column = batch.column("__text")
+        column = batch.column("text")
         data, offsets = kernel.buffers(column)
         names: list[str] = []
         scores: list[np.ndarray] = []
@@ -167,11 +166,11 @@ def _identified(batches: Iterator[pa.RecordBatch], model: Machines | None) -> It
                     found[i], score[i] = "und", 0.0
             names += found
             scores.append(score)
-        keep = [i for i, name in enumerate(batch.schema.names) if name not in ("__text", "lang_pred", "lang_score")]
+        keep = [i for i, name in enumerate(batch.schema.names) if name not in ("lang_pred", "lang_score")]
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(names, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())], [*(batch.schema.names[i] for i in keep), "lang_pred", "lang_score"])
 
 
 def identified(docs: DataFrame, model: Machines | None) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``lang_score``; ``und`` with score 0 for null texts, texts without letters, or without a model."""
     schema = extended(docs, lang_pred="string", lang_score="double")
-    return docs.withColumn("__text", F.col("text")).mapInArrow(lambda b: _identified(b, model), schema)
+    return small_batches(docs).mapInArrow(lambda b: _identified(b, model), schema)

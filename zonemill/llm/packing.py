@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from zonemill.llm.store import stored
+from zonemill.llm.store import small_batches, stored
 from zonemill.llm.tokens import encoder, parts, with_end
 
 TOKENISED = "task int, queue string, before long, doc_id long, doc_tokens long, ids binary"
@@ -133,7 +133,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 2, length: int = 4096, wind
     often as they occur, an empty table gives no pieces. Other columns are ignored.
     """
     queue = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("queue")
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text"), queue).mapInArrow(lambda b: _tokenise(b, tokenizer, end), TOKENISED)
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text"), queue).mapInArrow(lambda b: _tokenise(b, tokenizer, end), TOKENISED)
     rows = stored(rows, "tokenised")
     shares = rows.groupBy("task", "queue").agg(F.sum("doc_tokens").alias("n"))
     totals = {r["queue"]: r["n"] for r in shares.groupBy("queue").agg(F.sum("n").alias("n")).collect()}

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonemill.llm import text as kernel
-from zonemill.llm.store import extended
+from zonemill.llm.store import extended, small_batches
 
 SAMPLE = 12_000  # labelled rows that a model is fitted on, at most (about)
 BINS = 64
@@ -193,14 +193,14 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Trees) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = kernel.buffers(batch.column("__text"))
+        data, offsets = kernel.buffers(batch.column("text"))
         scores = [model.score(statistics(data, offsets, low, high)) for low, high in kernel.slices(offsets)]
         score = pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())
-        keep = [i for i, name in enumerate(batch.schema.names) if name not in ("__text", "quality_score")]
+        keep = [i for i, name in enumerate(batch.schema.names) if name != "quality_score"]
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), score], [*(batch.schema.names[i] for i in keep), "quality_score"])
 
 
 def scored(docs: DataFrame, model: Trees) -> DataFrame:
     """``docs`` with ``quality_score`` (0 to 1, higher is better). Null and empty texts are scored by zero statistics."""
     schema = extended(docs, quality_score="double")
-    return docs.withColumn("__text", F.col("text")).mapInArrow(lambda b: _scored(b, model), schema)
+    return small_batches(docs).mapInArrow(lambda b: _scored(b, model), schema)

@@ -25,6 +25,14 @@ def extended(df: DataFrame, **more: str) -> StructType:
     return StructType([f for f in df.schema.fields if f.name not in more] + [StructField(n, {"string": StringType(), "double": DoubleType()}[t]) for n, t in more.items()])
 
 
+def small_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
+    """``df`` itself, after lowering the session's Arrow batch size: rows that carry whole texts are large."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+    return df
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Written once as Parquet and read back: cuts the lineage, survives lost executors, keeps only compressed columns."""
     path = place(df.sparkSession, name)
