@@ -170,6 +170,16 @@ def test_disclosing_terms_go(spark):
     assert all(got[i].text == dict(rows)[i] for i in range(60))
 
 
+def test_disclosing_terms_far_short_and_with_digits(spark):
+    common = "some plain words that everybody writes every day about nothing special"
+    rows = [(i, f"{common} number {'abcdefghij'[i % 10]}") for i in range(60)]
+    rows += [(100 + i, f"Zanzibar Qi K4711 {f'{common} ' * 40}{'kilo lima mike nova oscar'.split()[i]} {f'{common} ' * 40}boat@sea.org") for i in range(5)]
+    rows += [(200 + i, f"Copied {common} ship@sea.org") for i in range(5)]
+    got = {r.doc_id: r.text for r in pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(not set(got[100 + i].split()) & {"Zanzibar", "Qi", "K4711"} and got[100 + i].count(common) == 80 and got[100 + i].endswith("<email>") for i in range(5))
+    assert all(got[i] == dict(rows)[i] for i in range(60)) and all(got[200 + i] == f"Copied {common} <email>" for i in range(5))
+
+
 def test_language(spark, odd, empty):
     words = {"en": "the and of with was", "de": "der und die nicht ein", "fr": "le et les dans une", "es": "el y los para una"}
     rows = [(i, " ".join(words[lang].split()[(i + k) % 5] for k in range(12)), lang) for i in range(160) for lang in [list(words)[i % 4]]]

@@ -1,10 +1,11 @@
 """Personal data and the terms that give it away, in Spark expressions only.
 
-Pattern finds are protected entities. A term near occurrences of an entity discloses it as far as it narrows it down:
+Pattern finds are protected entities. A term of the documents of an entity discloses it as far as it narrows it down:
 PMI(term; entity) = log2(P(entity | term) / P(entity)), over documents, against the entity's information content
 -log2 P(entity) (C-sanitisation, Sánchez and Batet 2016). The ratio is 1 where the term occurs with the entity only.
 Terms from ``generalise`` up become a class name in the documents that hold the entity, from ``remove`` up they go.
-Evidence needs ``support`` documents and two different contexts: copies of one passage prove nothing.
+Evidence needs ``support`` documents of different words: copies of one document prove nothing. Terms are runs of letters and
+digits of any length; the documents are counted whole, however far the term is from the entity.
 """
 
 from __future__ import annotations
@@ -23,10 +24,9 @@ PATTERNS = {
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-WORD = r"\p{L}[\p{L}\p{M}]{2,63}+"
+WORD = r"[\p{L}\p{N}][\p{L}\p{M}\p{N}]{0,63}+"
 SPAN = "struct<kind:string,from:int,to:int,value:string>"
-NEAR = 8  # words on each side of an entity that count as its context
-REACH = 240  # code points in which they are looked for
+EVIDENCE = 6.6  # bits: by chance, fewer than one in a hundred terms stands in documents of the entity only
 
 
 def _apply(value: Column, use) -> Column:
@@ -91,31 +91,39 @@ def base_spans(text: Column) -> Column:
     return F.concat(*parts)
 
 
-def _context(text: Column, start: Column, end: Column) -> Column:
-    """Terms around a span, at most ``NEAR`` on either side; a word cut by the reach is no term."""
-    words = lambda t: F.regexp_extract_all(F.lower(t), F.lit(WORD), F.lit(0))
-    left = words(F.regexp_replace(F.substring(text, F.greatest(start - REACH + 1, F.lit(1)), F.least(start, F.lit(REACH))), r"^[\p{L}\p{M}]*", ""))
-    left_all = F.when(start <= REACH, words(F.substring(text, F.lit(1), start))).otherwise(left)
-    right_text = F.substring(text, end + 1, F.lit(REACH))
-    right = words(F.when(F.length(right_text) < REACH, right_text).otherwise(F.regexp_replace(right_text, r"[\p{L}\p{M}]*$", "")))
-    return F.concat(F.slice(left_all, F.greatest(F.size(left_all) - (NEAR - 1), F.lit(1)), NEAR), F.slice(right, 1, NEAR))
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
+
+
+def _entities(base: Column) -> Column:
+    """Distinct entities of a document's spans, in order."""
+    def named(s: Column) -> Column:
+        return F.concat_ws(":", s["kind"], F.when(s["kind"].isin("card", "phone"), _digits(s["value"])).otherwise(F.lower(s["value"])))
+    return F.array_sort(F.array_distinct(F.transform(base, named)))
 
 
 def disclosing_terms(docs: DataFrame, hits: DataFrame, support: int, generalise: float) -> DataFrame:
-    """(entity, term, ratio): co-occurrence over all documents. ``hits`` has the documents with spans."""
-    total = docs.count()
-    at = hits.select("key", "text", F.explode("base").alias("s"))
-    value = F.when(F.col("s.kind").isin("card", "phone"), _digits(F.col("s.value"))).otherwise(F.lower("s.value"))
-    near = at.select("key", F.concat_ws(":", F.col("s.kind"), value).alias("entity"), _context(F.col("text"), F.col("s.from"), F.col("s.to")).alias("terms"))
-    frequent = near.groupBy("entity").agg(F.countDistinct("key").alias("n_e")).where(F.col("n_e") >= support)
-    pairs = (near.select("key", "entity", F.xxhash64("terms").alias("context"), F.explode(F.array_distinct("terms")).alias("term"))
-             .groupBy("entity", "term").agg(F.countDistinct("key").alias("n_te"), F.countDistinct("context").alias("contexts"))
-             .where((F.col("n_te") >= support) & (F.col("contexts") > 1)).join(frequent, "entity"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
-    spread = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    p_e = F.col("n_e") / F.lit(float(max(total, 1)))
-    ratio = F.when(p_e >= 1, F.lit(0.0)).otherwise(F.log2(F.col("n_te") / F.col("n_t") / p_e) / -F.log2(p_e))
-    return pairs.join(spread, "term").select("entity", "term", ratio.alias("ratio")).where(F.col("ratio") >= generalise)
+    """(group, term, ratio): the terms that disclose an entity of the group, by co-occurrence in whole documents.
+
+    ``hits`` has the documents with spans; those of the same words and entities (copies) are one ``group`` and one piece of evidence.
+    """
+    total = float(max(docs.count(), 1))
+    groups = stored(hits.groupBy("group").agg(F.count("*").alias("copies"), F.first(_entities(F.col("base"))).alias("entities"), F.first(_terms(F.col("text"))).alias("terms")), "groups")
+    holders = groups.select("group", "copies", F.explode("entities").alias("entity"))
+    p_e = F.col("n_e") / F.lit(total)
+    frequent = (holders.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("groups")).where(F.col("groups") >= support)
+                .select("entity", "n_e", p_e.alias("p_e")).where(F.col("p_e") < 1))
+    spread = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= support)
+    words = groups.select("group", F.explode("terms").alias("term")).join(spread, "term")
+    # P(entity | term) is at most n_e / n_t: a term too common for the threshold makes no pair
+    reach = F.col("n_e") / F.col("n_t") >= F.pow("p_e", F.lit(1.0 - generalise)) * (1 - 1e-9)
+    holders = holders.join(frequent, "entity")
+    pairs = stored(holders.join(words, (holders["group"] == words["group"]) & reach).select(holders["group"], "copies", "entity", "n_e", "p_e", "term", "n_t"), "pairs")
+    told = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.count("*").alias("groups"), F.first("n_t").alias("n_t"), F.first("p_e").alias("p_e"))
+    bits = -F.log2("p_e")
+    ratio = F.log2(F.col("n_te") / F.col("n_t") / F.col("p_e")) / bits
+    told = told.where((F.col("groups") >= support) & (F.col("groups") * bits >= EVIDENCE)).select("entity", "term", ratio.alias("ratio")).where(F.col("ratio") >= generalise)
+    return pairs.join(told, ["entity", "term"]).groupBy("group", "term").agg(F.max("ratio").alias("ratio"))
 
 
 def _marked(docs: DataFrame, support: int = 3, generalise: float = 0.85, remove: float = 0.95) -> DataFrame:
@@ -125,20 +133,16 @@ def _marked(docs: DataFrame, support: int = 3, generalise: float = 0.85, remove:
     rows = rows.select("doc", "text", base_spans(F.col("text")).alias("base"))
     none = F.array().cast(f"array<{SPAN}>")
     clean = rows.where(F.size("base") == 0).select("doc", "base", none.alias("extra"))
-    hits = stored(rows.where(F.size("base") > 0).withColumn("key", F.xxhash64(F.col("doc.doc_id"), "text")), "personal")
-    terms = disclosing_terms(rows, hits, support, generalise)
-    at = hits.select("key", F.explode("base").alias("s"))
-    value = F.when(F.col("s.kind").isin("card", "phone"), _digits(F.col("s.value"))).otherwise(F.lower("s.value"))
-    by_doc = (at.select("key", F.concat_ws(":", F.col("s.kind"), value).alias("entity")).distinct().join(terms, "entity")
-              .groupBy("key", "term").agg(F.max("ratio").alias("ratio"))
-              .groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "ratio"))).alias("terms")))
+    group = F.xxhash64(F.array_sort(_terms(F.col("text"))), _entities(F.col("base")))
+    hits = stored(rows.where(F.size("base") > 0).withColumn("group", group), "personal")
+    by_doc = disclosing_terms(rows, hits, support, generalise).groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("term", "ratio"))).alias("terms"))
     words = found(F.col("text"), WORD)
     ratio = lambda w: F.try_element_at(F.col("terms"), F.lower(w["value"]))
     free = lambda w: ~F.exists("base", lambda b: (b["from"] < w["to"]) & (w["from"] < b["to"]))
     extra = F.transform(F.filter(words, lambda w: ratio(w).isNotNull() & free(w)), lambda w: F.struct(
         F.when(ratio(w) >= remove, "removed").otherwise("term").alias("kind"), w["from"].alias("from"), w["to"].alias("to"), w["value"].alias("value")))
     extra = F.when(F.col("terms").isNull(), none).otherwise(F.array_sort(extra))
-    marked = hits.join(by_doc, "key", "left").select("doc", "base", extra.alias("extra"))
+    marked = hits.join(by_doc, "group", "left").select("doc", "base", extra.alias("extra"))
     return clean.unionByName(marked)
 
 
