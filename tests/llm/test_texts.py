@@ -180,6 +180,19 @@ def test_disclosing_terms_far_short_and_with_digits(spark):
     assert all(got[i] == dict(rows)[i] for i in range(60)) and all(got[200 + i] == f"Copied {common} <email>" for i in range(5))
 
 
+def test_disclosing_terms_of_rare_entities(spark):
+    common = "some plain words that everybody writes every day about nothing special"
+    rows = [(i, f"{common} number {'abcdefghij'[i % 10]}") for i in range(200)]
+    values = {"Zanzibar": [f"{n}@sea.org" for n in "kilo lima mike".split()], "Qi": ["10.1.2.3", "10.1.2.4", "10.1.2.5"], "Kovac": ["+1 (555) 123-4567", "+1 (555) 123-8901", "+1 (555) 123-2345"]}
+    rows += [(1000 + 10 * k + i, f"{name} {common} {'papa quebec romeo'.split()[i]} {v}") for k, (name, vs) in enumerate(values.items()) for i, v in enumerate(vs)]
+    rows += [(2000 + i, f"Twice {common} {'sierra tango'.split()[i]} ship@lake.org") for i in range(2)] + [(3000, f"Once {common} uniform boat@river.org")]
+    got = {r.doc_id: r.text for r in pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, name in enumerate(values):
+        assert all(name not in got[1000 + 10 * k + i] and common in got[1000 + 10 * k + i] for i in range(3))
+    assert all("Twice" not in got[2000 + i] and "<term>" in got[2000 + i] for i in range(2))
+    assert got[3000] == f"Once {common} uniform <email>" and all(got[i] == dict(rows)[i] for i in range(200))
+
+
 def test_language(spark, odd, empty):
     words = {"en": "the and of with was", "de": "der und die nicht ein", "fr": "le et les dans une", "es": "el y los para una"}
     rows = [(i, " ".join(words[lang].split()[(i + k) % 5] for k in range(12)), lang) for i in range(160) for lang in [list(words)[i % 4]]]

@@ -4,7 +4,9 @@ Pattern finds are protected entities. A term of the documents of an entity discl
 PMI(term; entity) = log2(P(entity | term) / P(entity)), over documents, against the entity's information content
 -log2 P(entity) (C-sanitisation, Sánchez and Batet 2016). The ratio is 1 where the term occurs with the entity only.
 Terms from ``generalise`` up become a class name in the documents that hold the entity, from ``remove`` up they go.
-Evidence needs ``support`` documents of different words: copies of one document prove nothing. Terms are runs of letters and
+Evidence needs two documents of different words: copies of one document prove nothing. Where fewer than ``support`` prove it,
+P(entity | term) is smoothed by one document against it. Entities are also pooled by what they share (mail domain or local
+part, network, issuer, number range): a pool is an entity like others, so one that occurs once is reached by its pools. Terms are runs of letters and
 digits of any length; the documents are counted whole, however far the term is from the entity.
 """
 
@@ -26,6 +28,9 @@ PATTERNS = {
 }
 WORD = r"[\p{L}\p{N}][\p{L}\p{M}\p{N}]{0,63}+"
 SPAN = "struct<kind:string,from:int,to:int,value:string>"
+ISSUER = 6  # leading digits of a card that name its issuer
+LINE = 4  # last digits of a phone number, without which it is a number range
+LEAST = 2  # documents of different words without which nothing is told from chance
 EVIDENCE = 6.6  # bits: by chance, fewer than one in a hundred terms stands in documents of the entity only
 
 
@@ -96,10 +101,15 @@ def _terms(text: Column) -> Column:
 
 
 def _entities(base: Column) -> Column:
-    """Distinct entities of a document's spans, in order."""
+    """Distinct entities of a document's spans and their pools, in order."""
     def named(s: Column) -> Column:
-        return F.concat_ws(":", s["kind"], F.when(s["kind"].isin("card", "phone"), _digits(s["value"])).otherwise(F.lower(s["value"])))
-    return F.array_sort(F.array_distinct(F.transform(base, named)))
+        value = F.when(s["kind"].isin("card", "phone"), _digits(s["value"])).otherwise(F.lower(s["value"]))
+        pools = (F.when(s["kind"] == "email", F.array(F.regexp_extract(value, "@.*", 0), F.regexp_extract(value, "^[^@]*@", 0)))
+                 .when(s["kind"] == "ip", F.array(F.regexp_extract(value, r"^[0-9]+\.[0-9]+\.[0-9]+\.", 0)))
+                 .when(s["kind"] == "card", F.array(F.substring(value, 1, ISSUER)))
+                 .otherwise(F.array(F.regexp_extract(value, f"^(.*).{{{LINE}}}$", 1))))
+        return F.concat(F.array(F.concat_ws(":", s["kind"], value)), F.transform(pools, lambda v: F.concat_ws("~", s["kind"], v)))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(base, named))))
 
 
 def disclosing_terms(docs: DataFrame, hits: DataFrame, support: int, generalise: float) -> DataFrame:
@@ -111,9 +121,9 @@ def disclosing_terms(docs: DataFrame, hits: DataFrame, support: int, generalise:
     groups = stored(hits.groupBy("group").agg(F.count("*").alias("copies"), F.first(_entities(F.col("base"))).alias("entities"), F.first(_terms(F.col("text"))).alias("terms")), "groups")
     holders = groups.select("group", "copies", F.explode("entities").alias("entity"))
     p_e = F.col("n_e") / F.lit(total)
-    frequent = (holders.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("groups")).where(F.col("groups") >= support)
+    frequent = (holders.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("groups")).where(F.col("groups") >= LEAST)
                 .select("entity", "n_e", p_e.alias("p_e")).where(F.col("p_e") < 1))
-    spread = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= support)
+    spread = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= LEAST)
     words = groups.select("group", F.explode("terms").alias("term")).join(spread, "term")
     # P(entity | term) is at most n_e / n_t: a term too common for the threshold makes no pair
     reach = F.col("n_e") / F.col("n_t") >= F.pow("p_e", F.lit(1.0 - generalise)) * (1 - 1e-9)
@@ -121,8 +131,9 @@ def disclosing_terms(docs: DataFrame, hits: DataFrame, support: int, generalise:
     pairs = stored(holders.join(words, (holders["group"] == words["group"]) & reach).select(holders["group"], "copies", "entity", "n_e", "p_e", "term", "n_t"), "pairs")
     told = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.count("*").alias("groups"), F.first("n_t").alias("n_t"), F.first("p_e").alias("p_e"))
     bits = -F.log2("p_e")
-    ratio = F.log2(F.col("n_te") / F.col("n_t") / F.col("p_e")) / bits
-    told = told.where((F.col("groups") >= support) & (F.col("groups") * bits >= EVIDENCE)).select("entity", "term", ratio.alias("ratio")).where(F.col("ratio") >= generalise)
+    against = F.when(F.col("groups") < support, 1).otherwise(0)
+    ratio = F.log2(F.col("n_te") / (F.col("n_t") + against) / F.col("p_e")) / bits
+    told = told.where((F.col("groups") >= LEAST) & (F.col("groups") * bits >= EVIDENCE)).select("entity", "term", ratio.alias("ratio")).where(F.col("ratio") >= generalise)
     return pairs.join(told, ["entity", "term"]).groupBy("group", "term").agg(F.max("ratio").alias("ratio"))
 
 
