@@ -34,10 +34,18 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, similarity 0.8) the document with the smallest doc_id stays. Rows
-    without doc_id and rows that share one stay together with the group's first."""
-    dropped = neardup.near_duplicates(docs, percent=80).where("not kept").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near copies (five words, similarity 0.8) one row stays: of the smallest doc_id, and of several
+    texts with that the one of the smallest hash. Rows without doc_id or without words are in no group and stay."""
+    found = stored(neardup.near_duplicates(docs, percent=80, keyed=True).where("doc_id is not null and n_shingles > 0"), "near_dedup")
+    row = ["doc_id", "text_key"]
+    firsts = found.where("kept").groupBy(*row).count()  # rows of the group's smallest doc_id
+    several = firsts.groupBy("doc_id").agg(F.min("text_key").alias("first_key"), F.count("*").alias("texts")).where("texts > 1")
+    others = firsts.join(several, "doc_id").where("text_key <> first_key").select(*row)
+    dropped = found.where("not kept").select(*row).distinct().unionByName(others)
+    repeated = firsts.where("count > 1").select(*row)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key")).join(dropped, row, "left_anti")
+    one = rows.join(repeated, row, "left_semi").dropDuplicates(row)
+    return rows.join(repeated, row, "left_anti").unionByName(one).select([F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,3 +33,13 @@ def test_stages(spark):
     before = {r.doc_id: r.text for r in rows["near_dedup"]}
     assert all(not plain_spans(r.text) and (r.text == before[r.doc_id] or "<" in r.text) and r.n_chars == len(r.text) for r in rows["personal_data"])
     check_pieces(rows["packing"], [(r.doc_id, r.text) for r in rows["personal_data"]], 4096)
+
+
+def test_near_copies_go_by_row(spark):
+    x, y, z = ("".join(f"{w}{i} " for i in range(40)) for w in ("ab", "cd", "ef"))
+    rows = [(3, x), (5, x), (5, y), (7, z), (7, z), (9, z + "more"), (1, ""), (1, ""), (None, x), (None, x)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()), key=str)
+    assert got == sorted([(3, x), (5, y), (7, z), (1, ""), (1, ""), (None, x), (None, x)], key=str)
+    both = spark.createDataFrame([(2, x), (2, x + "more"), (4, x)], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, both, "").collect()] == [2]

@@ -29,7 +29,7 @@ TREES = 10
 NODE = 512  # classes that a node compares exhaustively
 LEVELS = 3
 BLOCK = 512  # classes of a block where a node stays large to the last level
-SIGNED = "doc_id long, n_shingles long, class binary, roots array<long>, sig binary"
+SIGNED = "doc_id long, text_key long, n_shingles long, class binary, roots array<long>, sig binary"
 _FACTORS = kernel.mix(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -53,15 +53,15 @@ def _signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
             low16 = (kernel.mix(tokens) & np.uint64(0xFFFF)).astype("<u2")
             where = np.cumsum(full) - 1
             yield pa.RecordBatch.from_pydict({
-                "doc_id": ids.slice(low, high - low), "n_shingles": pa.array(n, pa.int64()),
+                "doc_id": ids.slice(low, high - low), "text_key": batch.column("text_key").slice(low, high - low), "n_shingles": pa.array(n, pa.int64()),
                 "class": pa.array([digest[w].tobytes() if f else None for f, w in zip(full, where)], pa.binary()),
                 "roots": pa.array([roots[w] if f else None for f, w in zip(full, where)], pa.list_(pa.int64())),
                 "sig": pa.array([low16[w].tobytes() if f else None for f, w in zip(full, where)], pa.binary())})
 
 
 def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
-    """Per document: size of its shingle set, a digest of the set (null if empty), minwise tokens."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(lambda b: _signed(b, width), SIGNED)
+    """Per document: a hash of its text, size of its shingle set, a digest of the set (null if empty), minwise tokens."""
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.col("text")).mapInArrow(lambda b: _signed(b, width), SIGNED)
 
 
 def _children(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
@@ -197,12 +197,13 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return rows.select(pair.alias("node"), "class", "n", "sig", side.alias("side"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, keyed: bool = False) -> DataFrame:
     """Per document ``doc_id``, ``n_shingles``, ``component_id``, ``kept``: groups of ``percent`` % similar shingle sets.
 
     Similar means 100·|A∩B| ≥ percent·|A∪B|. Texts without words are linked with nothing and are their own group. Rows
     without a doc_id are never linked (``component_id`` null, kept). Of repeated doc_ids each row counts with its own
     text. The input needs ``doc_id`` and ``text``; other columns are ignored. An empty table gives an empty table.
+    With ``keyed`` the row's ``text_key`` (``xxhash64`` of its text) comes too.
     """
     signed = stored(signatures(docs, width), "signatures")
     classes = (signed.where("class is not null and doc_id is not null").groupBy("class")
@@ -239,5 +240,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     least = labels.groupBy("root").agg(F.min("first_id").alias("component_id"))
     labels = labels.join(least, "root").select("class", "component_id")
     own = F.coalesce("component_id", "doc_id")
-    return (signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("class")).join(labels, "class", "left")
-            .select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept")))
+    names = ["doc_id", *(["text_key"] if keyed else []), "n_shingles"]
+    return (signed.select(*names, F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("class")).join(labels, "class", "left")
+            .select(*names, own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept")))
