@@ -193,6 +193,12 @@ def test_disclosing_terms_of_rare_entities(spark):
     assert got[3000] == f"Once {common} uniform <email>" and all(got[i] == dict(rows)[i] for i in range(200))
 
 
+def test_language_slots():
+    data = np.random.default_rng(1).integers(97, 123, 200_000).astype(np.uint8)
+    slot, _ = langid.trigrams(data, np.array([0, len(data)]), 0, 1)
+    assert langid.SAMPLE == 500 and langid.SLOTS == 1 << 14 and (1 << 13) <= slot.max() < langid.SLOTS
+
+
 def test_language(spark, odd, empty):
     words = {"en": "the and of with was", "de": "der und die nicht ein", "fr": "le et les dans une", "es": "el y los para una"}
     rows = [(i, " ".join(words[lang].split()[(i + k) % 5] for k in range(12)), lang) for i in range(160) for lang in [list(words)[i % 4]]]
