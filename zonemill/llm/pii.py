@@ -38,8 +38,11 @@ def _apply(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def found(text: Column, pattern: str) -> Column:
-    """All matches with code-point positions: what lies between them, by ``split``, gives where they are."""
+def found(text: Column, pattern: str, wanted=lambda v: F.lit(True)) -> Column:
+    """All matches that are ``wanted``, with code-point positions: what lies between them, by ``split``, gives where they are.
+
+    Every result copies the list, so among many matches (words) few should be wanted.
+    """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
 
@@ -48,7 +51,7 @@ def found(text: Column, pattern: str) -> Column:
         ends = F.aggregate(F.zip_with(g, h, lambda a, b: F.struct(a.alias("g"), F.length(b).alias("n"), b.alias("v"))),
                            F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<from:int,to:int,value:string>>").alias("out")),
                            lambda s, x: F.struct((s["at"] + x["g"] + F.coalesce(x["n"], F.lit(0))).alias("at"),
-                                                 F.when(x["v"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(F.struct((s["at"] + x["g"]).alias("from"), (s["at"] + x["g"] + x["n"]).alias("to"), x["v"].alias("value"))))).alias("out")),
+                                                 F.when(x["v"].isNull() | ~wanted(x["v"]), s["out"]).otherwise(F.concat(s["out"], F.array(F.struct((s["at"] + x["g"]).alias("from"), (s["at"] + x["g"] + x["n"]).alias("to"), x["v"].alias("value"))))).alias("out")),
                            lambda s: s["out"])
         return F.when(F.size(h) > 0, ends)
     empty = F.array().cast("array<struct<from:int,to:int,value:string>>")
@@ -144,13 +147,13 @@ def _marked(docs: DataFrame, support: int = 3, generalise: float = 0.85, remove:
     rows = rows.select("doc", "text", base_spans(F.col("text")).alias("base"))
     none = F.array().cast(f"array<{SPAN}>")
     clean = rows.where(F.size("base") == 0).select("doc", "base", none.alias("extra"))
-    group = F.xxhash64(F.array_sort(_terms(F.col("text"))), _entities(F.col("base")))
+    group = F.xxhash64(F.sort_array(_terms(F.col("text"))), _entities(F.col("base")))
     hits = stored(rows.where(F.size("base") > 0).withColumn("group", group), "personal")
     by_doc = disclosing_terms(rows, hits, support, generalise).groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("term", "ratio"))).alias("terms"))
-    words = found(F.col("text"), WORD)
     ratio = lambda w: F.try_element_at(F.col("terms"), F.lower(w["value"]))
+    words = found(F.col("text"), WORD, lambda v: F.try_element_at(F.col("terms"), F.lower(v)).isNotNull())
     free = lambda w: ~F.exists("base", lambda b: (b["from"] < w["to"]) & (w["from"] < b["to"]))
-    extra = F.transform(F.filter(words, lambda w: ratio(w).isNotNull() & free(w)), lambda w: F.struct(
+    extra = F.transform(F.filter(words, free), lambda w: F.struct(
         F.when(ratio(w) >= remove, "removed").otherwise("term").alias("kind"), w["from"].alias("from"), w["to"].alias("to"), w["value"].alias("value")))
     extra = F.when(F.col("terms").isNull(), none).otherwise(F.array_sort(extra))
     marked = hits.join(by_doc, "group", "left").select("doc", "base", extra.alias("extra"))
