@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonemill.llm import langid, lattice, mih, neardup, packing, pii, quality, simple8b, warc, winnow
+from zonemill.llm import langid, lattice, mih, neardup, owners, packing, pii, quality, simple8b, warc, winnow
 from zonemill.llm.store import place
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,11 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     coded = lattice.encode(table(spark, folder, "documents"), model)
     return lattice.decode(coded, model).select("doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"), F.length("decoded").cast("long").alias("n_chars"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op11_exact_duplicates", r"""
+WITH normal AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+owned AS (SELECT doc_id, t, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM normal)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM owned""")
+def op11_exact_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return owners.exact_duplicates(table(spark, folder, "documents"))
