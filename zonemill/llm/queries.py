@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonemill.llm import langid, lattice, mih, neardup, owners, packing, pii, quality, simple8b, warc, winnow
+from zonemill.llm import langid, lattice, mih, neardup, owners, packing, pii, quality, runs, simple8b, warc, winnow
 from zonemill.llm.store import place
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,8 @@ owned AS (SELECT doc_id, t, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM owned""")
 def op11_exact_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return owners.exact_duplicates(table(spark, folder, "documents"))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.report(runs.periodic_runs(runs.repeated_tails(table(spark, folder, "documents"))))

@@ -119,3 +119,10 @@ class Slice:
             keep[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
         value, row = value[keep], row[keep]
         return value, np.concatenate([[0], np.cumsum(np.bincount(row, minlength=self.rows))])
+
+
+def gathered(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of ``data`` one after the other, and where each begins (one border more than pieces)."""
+    place = np.zeros(len(length) + 1, np.int64)
+    np.cumsum(length, out=place[1:])
+    return data[np.repeat(start - place[:-1], length) + np.arange(place[-1])], place
