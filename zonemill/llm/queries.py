@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonemill.llm import langid, lattice, mih, neardup, owners, packing, pii, quality, runs, simple8b, warc, winnow
+from zonemill.llm import align, langid, lattice, mih, neardup, owners, packing, pii, quality, runs, simple8b, warc, winnow
 from zonemill.llm.store import place
+from zonemill.llm.tokens import encoder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,3 +127,9 @@ def op11_exact_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_periodic_runs")
 def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return runs.report(runs.periodic_runs(runs.repeated_tails(table(spark, folder, "documents"))))
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return align.report(align.alignments(table(spark, folder, "documents"), a, b), width=len(encoder(b).pieces))

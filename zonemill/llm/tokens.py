@@ -1,6 +1,6 @@
 """Token ids of whole texts, word by word through a bounded cache.
 
-Both public BPE vocabularies cut between a character that is no white space and a space or line end after it, so the ids of a text
+Both public BPE vocabularies of the tokenizers library cut between a character that is no white space and a space or line end after it, so the ids of a text
 are those of its words (each with its space) one after the other. Words are split and numbered by Arrow kernels, only
 distinct ones are encoded, many in one text with a mark between them, and ids are put together by array indexing. Texts
 for which the rule may not hold (white space before a space, the mark itself) are encoded whole.
@@ -15,6 +15,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import sentencepiece
 from tokenizers import Tokenizer
 
 MARK = "\0"
@@ -101,18 +102,20 @@ class Encoder:
             rows = self._batch(part)
             self._learn(part, np.fromiter(chain.from_iterable(rows), np.uint32, sum(map(len, rows))), np.array(list(map(len, rows))))
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after the other, and where each text's begin (one border more than texts)."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        n = len(texts)
+    def _split(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Which texts are encoded whole, and the words of the others."""
         odd = pc.match_substring(texts, MARK) if self.blind else pc.match_substring_regex(texts, ODD)
         regular = pc.if_else(odd, "", texts)
         if self.blind:
-            words = pc.split_pattern(pc.replace_substring(regular, "\n", " "), " ")
-        else:
-            lines = pc.replace_substring(regular, "\n", f"{MARK}\n")
-            regular = pc.if_else(pc.match_substring_regex(regular, ODD_LINE), regular, lines)
-            words = pc.split_pattern(pc.replace_substring(regular, " ", f"{MARK} "), MARK)
+            return odd, pc.split_pattern(pc.replace_substring(regular, "\n", " "), " ")
+        lines = pc.replace_substring(regular, "\n", f"{MARK}\n")
+        regular = pc.if_else(pc.match_substring_regex(regular, ODD_LINE), regular, lines)
+        return odd, pc.split_pattern(pc.replace_substring(regular, " ", f"{MARK} "), MARK)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text's begin (one border more than texts)."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd, words = self._split(texts)
         numbered = words.flatten().dictionary_encode()
         distinct = numbered.dictionary.to_pylist()
         known = self.known
@@ -144,9 +147,57 @@ class Encoder:
         return [ids[a:b].tolist() for a, b in zip(borders[:-1], borders[1:])]
 
 
+class PieceEncoder(Encoder):
+    """The same for a SentencePiece model that adds a space ahead and changes nothing else in a text.
+
+    If no piece has a space after another character, no merge crosses the border between a character and a space after
+    it; a line end that no piece holds is a border as well. Models that don't meet this encode every text whole.
+    """
+
+    def __init__(self, path: str):
+        self.tokenizer = sentencepiece.SentencePieceProcessor(model_file=path)
+        model = self.tokenizer
+        self.pieces = [b"" if model.is_control(i) else bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else model.id_to_piece(i).replace("\u2581", " ").encode() for i in range(len(model))]
+        plain = [p for i, p in enumerate(self.pieces) if not model.is_byte(i)]
+        trial = "  a  \uff21\u00a0 "
+        self.cut = not any(b" " in p.lstrip(b" ") or b"\n" in p for p in plain) and b"".join(self.pieces[i] for i in model.encode(trial)) == f" {trial}".encode()
+        self._forget()
+
+    def _batch(self, texts: list[str]) -> list[list[int]]:
+        return self.tokenizer.encode(texts, num_threads=1)
+
+    def _split(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+        odd = pc.match_substring_regex(texts, r"^[ \n]|  | \n| $|\x00|\x{2581}") if self.cut else pc.greater(pc.binary_length(texts), 0)
+        regular = pc.if_else(odd, "", texts)
+        empty, space = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
+        regular = pc.binary_join_element_wise(pc.if_else(pc.equal(regular, empty), empty, space), regular, empty)
+        lines = pc.replace_substring(regular, "\n", f"{MARK}\n")
+        return odd, pc.split_pattern(pc.replace_substring(lines, " ", f"{MARK} "), MARK)
+
+    def _encode_words(self, words: list[str]) -> None:
+        for low in range(0, len(words), 8192):
+            part = words[low:low + 8192]
+            # the model adds the space ahead itself; ahead of a line end it stands alone
+            rows = [ids[1:] if w.startswith("\n") else ids for w, ids in zip(part, self._batch([w.removeprefix(" ") for w in part]))]
+            self._learn(part, np.fromiter(chain.from_iterable(rows), np.uint32, sum(map(len, rows))), np.array(list(map(len, rows))))
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return PieceEncoder(path) if path.endswith(".model") else Encoder(path)
+
+
+def byte_level(encoder: Encoder) -> list[bytes]:
+    """The bytes of every entry of a byte-level vocabulary, by id. Printable Latin-1 stands for itself, the other bytes
+    for the characters from U+0100 on."""
+    own = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255}
+    others = [b for b in range(256) if b not in own]
+    byte = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
+    vocabulary = encoder.tokenizer.get_vocab(with_added_tokens=True)
+    out = [b""] * (max(vocabulary.values()) + 1)
+    for token, i in vocabulary.items():
+        out[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
+    return out
 
 
 def with_end(ids: np.ndarray, borders: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
