@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from zonemill.functions import space as S
+from zonemill.operators import fragments as FR
 from zonemill.operators import geometry as GE
 from zonemill.operators import raster as RA
 from zonemill.operators import zonal as Z
@@ -265,6 +266,14 @@ def j09(spark, d):
     return overlay(spark, d)
 
 
+@query("j09_overlay_fragments", sql("poly zone", f"WITH {OVERLAY} SELECT poly_id, sector_id, {r6('area')} AS area, 1 AS n_polygons, 0 AS n_holes FROM o"))
+def j09c(spark, d):
+    """Areas measured on the clipped shapes; parts of convex shapes are one polygon without holes."""
+    parts = FR.overlay_fragments(V.diamond_polygons(spark, d), V.zone_polygons(spark, d), "poly_id", "sector_id", 16.0, 7.0)
+    holes = F.aggregate("geom", F.lit(0), lambda n, polygon: n + F.size(polygon) - 1)
+    return parts.select("poly_id", "sector_id", GE.polygon_area(F.col("geom")).alias("area"), F.size("geom").alias("n_polygons"), holes.alias("n_holes"))
+
+
 @query("j09_class_overlay", sql("poly zone", f"""WITH {OVERLAY}
 SELECT sector_id, class_code, {r6('sum(area)')} AS area_m2, count(*) AS n_fragments FROM o JOIN poly USING (poly_id) GROUP BY sector_id, class_code"""))
 def j09b(spark, d):
