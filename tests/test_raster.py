@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from zonemill.functions.space import mercator_grid
+from zonemill.functions.space import from_utm, mercator_grid, utm
 from zonemill.model import Grid
 from zonemill.operators import raster as RA
 
@@ -103,3 +103,115 @@ def test_fraction_grid(spark):
 def test_mercator_grid():
     g = mercator_grid(4.0, 50.0, 4.04, 50.04, 10.0)
     assert abs(g.dx * math.cos(math.radians(50.02)) - 10) < 0.05 and g.width == 287 and g.height > 400
+
+
+def utm_number(lon, lat):
+    """Transverse Mercator by the series in the third flattening, in plain numbers."""
+    f = 1 / 298.257222101
+    n = f / (2 - f)
+    a = 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240]
+    e = math.sqrt(f * (2 - f))
+    phi, lam = math.radians(lat), math.radians(lon - 3)
+    t = math.sinh(math.atanh(math.sin(phi)) - e * math.atanh(e * math.sin(phi)))
+    xi, eta = math.atan2(t, math.cos(lam)), math.atanh(math.sin(lam) / math.sqrt(1 + t * t))
+    x = eta + sum(c * math.cos(2 * (j + 1) * xi) * math.sinh(2 * (j + 1) * eta) for j, c in enumerate(alpha))
+    y = xi + sum(c * math.sin(2 * (j + 1) * xi) * math.cosh(2 * (j + 1) * eta) for j, c in enumerate(alpha))
+    return 500000 + 0.9996 * a * x, 0.9996 * a * y
+
+
+DEGREES = Grid(4.2, 50.9, 0.004, -0.003, 12, 10, "EPSG:4326")
+CORNER = utm_number(4.21, 50.885)
+METRES = Grid(CORNER[0] - 1000, CORNER[1] + 1500, 310.0, -290.0, 14, 13, "EPSG:32631")
+
+
+def clipped_area(quad, x0, y0):
+    """Part of a convex quadrilateral inside a unit cell, half-plane by half-plane."""
+    for axis, limit, sign in ((0, x0, 1), (0, x0 + 1, -1), (1, y0, 1), (1, y0 + 1, -1)):
+        out = []
+        for p, q in zip(quad, [*quad[1:], *quad[:1]]):
+            a, b = sign * (p[axis] - limit), sign * (q[axis] - limit)
+            if a >= 0:
+                out.append(p)
+            if a * b < 0:
+                t = a / (a - b)
+                out.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
+        quad = out
+        if not quad:
+            return 0.0
+    return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(quad, [*quad[1:], *quad[:1]]))) / 2
+
+
+@pytest.fixture(scope="module")
+def degrees(spark):
+    rng = np.random.default_rng(9)
+    values = rng.uniform(0, 10, (10, 12))
+    values[2, 3:6] = np.nan
+    df = plane(spark, {"v": values}).withColumn("v", F.nanvl("v", F.lit(None).cast("double")))
+    return values, df
+
+
+def test_average_through_a_projection(degrees):
+    values, df = degrees
+    got = {(r["row_i"], r["col_i"]): r for r in RA.resample_average(df, DEGREES, METRES, "v", ("obs_id",), lambda x, y: utm(x, y, 31)).collect()}
+    weight, total = np.zeros((13, 14)), np.zeros((13, 14))
+    for r in range(10):
+        for c in range(12):
+            quad = []
+            for dr, dc in ((0, 0), (0, 1), (1, 1), (1, 0)):
+                x, y = utm_number(4.2 + (c + dc) * 0.004, 50.9 - (r + dr) * 0.003)
+                quad.append(((x - METRES.x0) / METRES.dx, (y - METRES.y0) / METRES.dy))
+            for i in range(13):
+                for j in range(14):
+                    if not np.isnan(values[r, c]) and (w := clipped_area(quad, j, i)) > 0:
+                        weight[i, j] += w
+                        total[i, j] += w * values[r, c]
+    assert set(got) == {(i, j) for i, j in zip(*np.nonzero(weight > 1e-9))}
+    for (i, j), r in got.items():
+        assert r["coverage"] == pytest.approx(weight[i, j], abs=1e-5) and r["coverage"] <= 1 + 1e-9
+        assert r["v"] == pytest.approx(total[i, j] / weight[i, j], abs=1e-4 / weight[i, j])
+    assert max(r["coverage"] for r in got.values()) == pytest.approx(1.0)  # inside, the shares of a target cell add up
+
+
+def test_nearest_and_bilinear_through_a_projection(degrees):
+    values, df = degrees
+    back = lambda x, y: from_utm(x, y, 31)
+    near = {(r["row_i"], r["col_i"]): r["v"] for r in RA.resample_nearest(df.drop("obs_id"), DEGREES, METRES, back).collect()}
+    smooth = {(r["row_i"], r["col_i"]): r["v"] for r in RA.resample_bilinear(df, DEGREES, METRES, "v", ("obs_id",), back).collect()}
+
+    def inverse(x, y):
+        """Cell coordinates by Newton steps on the plain projection."""
+        lon, lat = 4.22, 50.885
+        for _ in range(20):
+            px, py = utm_number(lon, lat)
+            dx, dy = (np.array(utm_number(lon + 1e-6, lat)) - (px, py)) / 1e-6, (np.array(utm_number(lon, lat + 1e-6)) - (px, py)) / 1e-6
+            step = np.linalg.solve(np.array([dx, dy]).T, [x - px, y - py])
+            lon, lat = lon + step[0], lat + step[1]
+        return (lat - 50.9) / -0.003, (lon - 4.2) / 0.004
+    for i in range(13):
+        for j in range(14):
+            fr, fc = inverse(METRES.x0 + (j + 0.5) * 310, METRES.y0 - (i + 0.5) * 290)
+            if 0 <= fr < 10 and 0 <= fc < 12:
+                want = values[int(fr), int(fc)]
+                assert near[(i, j)] == (None if np.isnan(want) else want)
+            else:
+                assert (i, j) not in near
+            parts = [(max(0, 1 - abs(fr - r - 0.5)) * max(0, 1 - abs(fc - c - 0.5)), values[r, c]) for r in range(10) for c in range(12) if not np.isnan(values[r, c])]
+            w = sum(p for p, _ in parts)
+            assert ((i, j) in smooth) == (w > 0) and (w == 0 or smooth[(i, j)] == pytest.approx(sum(p * v for p, v in parts) / w, abs=1e-4))
+
+
+def test_unlike_systems_need_a_projection(degrees):
+    _, df = degrees
+    for call in (lambda: RA.resample_nearest(df, DEGREES, METRES), lambda: RA.resample_average(df, DEGREES, METRES, "v"), lambda: RA.resample_bilinear(df, DEGREES, METRES, "v")):
+        with pytest.raises(ValueError, match="projection"):
+            call()
+
+
+def test_identity_projection_changes_nothing(degrees):
+    values, df = degrees
+    same = lambda x, y: (x, y)
+    for rows in (RA.resample_nearest(df, DEGREES, DEGREES, same), RA.resample_bilinear(df.where("v is not null"), DEGREES, DEGREES, "v", ("obs_id",), same),
+                 RA.resample_average(df, DEGREES, DEGREES, "v", ("obs_id",), same)):
+        for r in rows.where("v is not null").collect():
+            assert r["v"] == pytest.approx(values[r["row_i"], r["col_i"]], abs=1e-9)

@@ -1,18 +1,20 @@
 """Grid operators: tiles, block fractions, resampling and focal sums.
 
-Resampling works from the source side: every source cell knows by arithmetic which target cells it
-feeds, so there is no join with a target grid. Nearest needs no shuffle at all, average and bilinear
-one aggregation with map-side combine.
+Resampling within one coordinate system works from the source side: every source cell knows by arithmetic
+which target cells it feeds, so there is no join with a target grid. Nearest needs no shuffle at all, average
+and bilinear one aggregation with map-side combine. Between coordinate systems nearest and bilinear start at
+the target cells, which Spark generates: their centres are projected back and meet the source cells in an
+equi-join. The average projects the corners of the source cells and shares each cell out by exact overlap areas.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +22,7 @@ from zonemill.functions import pixels as P
 from zonemill.model import FOCAL_COVERAGE, Grid
 
 TILE = 256
+Projector = Callable[[Column, Column], tuple[Column, Column]]
 
 
 # --- Tiles ----------------------------------------------------------------------------------------
@@ -73,14 +76,41 @@ def _axes(src: Grid, dst: Grid) -> tuple[tuple, tuple]:
     return ("row_i", src.y0, src.dy, dst.y0, dst.dy, dst.height), ("col_i", src.x0, src.dx, dst.x0, dst.dx, dst.width)
 
 
-def resample_nearest(px: DataFrame, src: Grid, dst: Grid) -> DataFrame:
-    """Value of the source cell under each target centre. A narrow transformation: no shuffle, no join."""
+def _check_systems(src: Grid, dst: Grid, project: Projector | None) -> None:
+    if src.crs != dst.crs and project is None:
+        raise ValueError(f"grids in {src.crs} and {dst.crs}: a projection between them is needed")
+
+
+def _cell(row: Column, col: Column) -> Column:
+    return row.cast("long") * (1 << 32) + col.cast("long")
+
+
+def _projected_centres(spark: SparkSession, src: Grid, dst: Grid, to_source: Projector) -> DataFrame:
+    """Target cells with the place of their centre on the source grid, in cells (fr, fc); those that miss the grid are left out."""
+    n = F.col("id")
+    cells = spark.range(dst.width * dst.height).select(F.floor(n / dst.width).alias("row_i"), (n % dst.width).alias("col_i"))
+    x, y = to_source(dst.x0 + (F.col("col_i") + 0.5) * dst.dx, dst.y0 + (F.col("row_i") + 0.5) * dst.dy)
+    placed = cells.select("row_i", "col_i", ((y - src.y0) / src.dy).alias("fr"), ((x - src.x0) / src.dx).alias("fc"))
+    return placed.where(F.col("fr").between(-0.5, src.height + 0.5) & F.col("fc").between(-0.5, src.width + 0.5))
+
+
+def resample_nearest(px: DataFrame, src: Grid, dst: Grid, to_source: Projector | None = None) -> DataFrame:
+    """Value of the source cell under each target centre. Within one system a narrow transformation: no shuffle, no join.
+
+    ``to_source`` maps target coordinates to those of the source, where the systems differ.
+    """
+    _check_systems(src, dst, to_source)
+    others = [c for c in px.columns if c not in ("row_i", "col_i")]
+    if to_source is not None:
+        centres = _projected_centres(px.sparkSession, src, dst, to_source)
+        row, col = F.floor("fr"), F.floor("fc")
+        under = centres.where(row.between(0, src.height - 1) & col.between(0, src.width - 1)).select("row_i", "col_i", _cell(row, col).alias("cell"))
+        return px.select(*others, _cell(F.col("row_i"), F.col("col_i")).alias("cell")).join(under, "cell").select(*others, "row_i", "col_i")
     out = px
     for name, s0, ds, d0, dd, n in _axes(src, dst):
         index = F.col(name)
         around = _range((s0 + index * ds - d0) / dd - 0.5, (s0 + (index + 1) * ds - d0) / dd - 0.5, n)
         out = out.withColumn(f"to_{name}", F.explode(around)).where(F.floor((d0 + (F.col(f"to_{name}") + 0.5) * dd - s0) / ds) == index)
-    others = [c for c in px.columns if c not in ("row_i", "col_i")]
     return out.select(*others, F.col("to_row_i").alias("row_i"), F.col("to_col_i").alias("col_i"))
 
 
@@ -106,15 +136,68 @@ def _scatter(px: DataFrame, src: Grid, dst: Grid, linear: bool) -> DataFrame:
     return out.select(*others, F.col("to_row_i").alias("row_i"), F.col("to_col_i").alias("col_i"), (F.col("w_row_i") * F.col("w_col_i")).alias("w"))
 
 
-def resample_average(px: DataFrame, src: Grid, dst: Grid, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Area mean of the valid part and the valid share of each target cell."""
-    parts = _scatter(px.select(*keys, "row_i", "col_i", value).where(F.col(value).isNotNull()), src, dst, linear=False)
+def _filled(t: Column) -> Column:
+    """Area under the line y = x, cut to 0 … 1, up to t."""
+    return F.when(t <= 0, 0.0).when(t >= 1, t - 0.5).otherwise(t * t / 2)
+
+
+def _under(x1: Column, y1: Column, x2: Column, y2: Column, col: Column, row: Column) -> Column:
+    """Signed area between one side of a cell and the lower border of a target cell, inside that target cell."""
+    low, high = F.greatest(F.least(x1, x2), col), F.least(F.greatest(x1, x2), col + 1)
+    slope = (y2 - y1) / (x2 - x1)
+    a, b = y1 + (low - x1) * slope - row, y1 + (high - x1) * slope - row
+    mean = F.when(F.abs(b - a) > 1e-9, (_filled(b) - _filled(a)) / (b - a)).otherwise(F.least(F.greatest((a + b) / 2, F.lit(0.0)), F.lit(1.0)))
+    return F.when((high > low) & (x1 != x2), F.signum(x1 - x2) * (high - low) * mean).otherwise(0.0)
+
+
+def _quadrilaterals(px: DataFrame, src: Grid, dst: Grid, to_target: Projector) -> DataFrame:
+    """Source cells sent to the target cells that their projected corners span, with the shared area w (in target cells).
+
+    Cells project to quadrilaterals with straight sides. Their part inside a target cell is a sum over the four sides, in
+    generated code; the sums over all source cells of a target cell add up to its covered share.
+    """
+    out = px
+    for k, (dr, dc) in enumerate(((0, 0), (0, 1), (1, 1), (1, 0))):
+        x, y = to_target(src.x0 + (F.col("col_i") + dc) * src.dx, src.y0 + (F.col("row_i") + dr) * src.dy)
+        out = out.withColumn(f"u{k}", (x - dst.x0) / dst.dx).withColumn(f"v{k}", (y - dst.y0) / dst.dy)
+    us, vs = [F.col(f"u{k}") for k in range(4)], [F.col(f"v{k}") for k in range(4)]
+    finite = ~F.isnan(sum(us) + sum(vs)) & (F.abs(sum(us) + sum(vs)) < float("inf"))
+    for name, corner, n in (("row_i", vs, dst.height), ("col_i", us, dst.width)):
+        out = out.withColumn(f"to_{name}", F.explode(F.when(finite, _range(F.least(*corner), F.greatest(*corner) - 1, n))))
+    col, row = F.col("to_col_i"), F.col("to_row_i")
+    area = F.abs(sum(_under(us[k], vs[k], us[(k + 1) % 4], vs[(k + 1) % 4], col, row) for k in range(4)))
+    others = [c for c in px.columns if c not in ("row_i", "col_i")]
+    return out.select(*others, row.alias("row_i"), col.alias("col_i"), area.alias("w")).where("w > 1e-12")
+
+
+def resample_average(px: DataFrame, src: Grid, dst: Grid, value: str, keys: tuple[str, ...] = (), to_target: Projector | None = None) -> DataFrame:
+    """Area mean of the valid part and the valid share of each target cell.
+
+    ``to_target`` maps source coordinates to those of the target, where the systems differ.
+    """
+    _check_systems(src, dst, to_target)
+    valid = px.select(*keys, "row_i", "col_i", value).where(F.col(value).isNotNull())
+    parts = _scatter(valid, src, dst, linear=False) if to_target is None else _quadrilaterals(valid, src, dst, to_target)
     return parts.groupBy(*keys, "row_i", "col_i").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias(value), F.sum("w").alias("coverage"))
 
 
-def resample_bilinear(px: DataFrame, src: Grid, dst: Grid, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Linear interpolation between the nearest source centres that have a value."""
-    parts = _scatter(px.select(*keys, "row_i", "col_i", value).where(F.col(value).isNotNull()), src, dst, linear=True)
+def resample_bilinear(px: DataFrame, src: Grid, dst: Grid, value: str, keys: tuple[str, ...] = (), to_source: Projector | None = None) -> DataFrame:
+    """Linear interpolation between the nearest source centres that have a value.
+
+    ``to_source`` maps target coordinates to those of the source, where the systems differ.
+    """
+    _check_systems(src, dst, to_source)
+    valid = px.select(*keys, "row_i", "col_i", value).where(F.col(value).isNotNull())
+    if to_source is None:
+        parts = _scatter(valid, src, dst, linear=True)
+    else:
+        around = _projected_centres(px.sparkSession, src, dst, to_source)
+        for c, n in (("fr", src.height), ("fc", src.width)):
+            first = F.floor(F.col(c) - 0.5)
+            around = around.withColumn(f"at_{c}", F.explode(F.array(first, first + 1))).where(F.col(f"at_{c}").between(0, n - 1))
+        weight = (1.0 - F.abs(F.col("fr") - F.col("at_fr") - 0.5)) * (1.0 - F.abs(F.col("fc") - F.col("at_fc") - 0.5))
+        gathered = around.select("row_i", "col_i", _cell(F.col("at_fr"), F.col("at_fc")).alias("cell"), weight.alias("w")).where("w > 1e-9")  # less is rounding
+        parts = valid.select(*keys, value, _cell(F.col("row_i"), F.col("col_i")).alias("cell")).join(gathered, "cell")
     return parts.groupBy(*keys, "row_i", "col_i").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias(value))
 
 

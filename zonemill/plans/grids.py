@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from zonemill.functions import numbers as N
 from zonemill.functions import pixels as P
-from zonemill.model import Grid
+from zonemill.functions import space as S
+from zonemill.model import EARTH_RADIUS_M, Grid
 from zonemill.operators import geometry as GE
 from zonemill.operators import raster as RA
 from zonemill.operators import rollups as R
@@ -136,6 +137,54 @@ def g11(spark, d):
     return RA.resample_bilinear(px, V.GRID, FINE, "temp_c", ("obs_id",))
 
 
+# The stand-in pixels as a grid in degrees, north up, under a spherical Mercator grid.
+DEGREES = Grid(3.0, 51.0, 0.012, -0.008, 100, 100, "EPSG:4326")
+MERCATOR = S.mercator_grid(2.95, 50.15, 4.25, 51.05, 700.0)
+LONLAT = f"""t AS (SELECT CAST(i AS BIGINT) AS row_i, CAST(j AS BIGINT) AS col_i,
+  (({MERCATOR.x0!r}::DOUBLE + (j + 0.5E0) * {MERCATOR.dx!r}::DOUBLE) / {EARTH_RADIUS_M}E0 * 180 / pi() - 3.0E0) / 0.012E0 AS fc,
+  ((2 * atan(exp(({MERCATOR.y0!r}::DOUBLE + (i + 0.5E0) * {MERCATOR.dy!r}::DOUBLE) / {EARTH_RADIUS_M}E0)) - pi() / 2) * 180 / pi() - 51.0E0) / -0.008E0 AS fr
+  FROM generate_series(0, {MERCATOR.height - 1}) a(i), generate_series(0, {MERCATOR.width - 1}) b(j))"""
+
+
+@query("g09_resample_mercator", sql("px", f"""
+WITH {LONLAT} SELECT px.obs_id, t.row_i, t.col_i, code FROM t JOIN px ON px.row_i = floor(fr) AND px.col_i = floor(fc)"""))
+def g09b(spark, d):
+    return RA.resample_nearest(V.pixels(spark, d).select("obs_id", "row_i", "col_i", "code"), DEGREES, MERCATOR, S.from_mercator)
+
+
+def r4(expression: str) -> str:
+    return f"floor(({expression}) * 10000.0E0 + 0.5E0) / 10000.0E0"
+
+
+def _four(df, *names):
+    """Four decimals: exponentials and logarithms of the two engines differ in their last bits, and cells of a degree grid
+    magnify that."""
+    return df.withColumns({n: F.floor(F.col(n) * 10000.0 + 0.5) / 10000.0 for n in names})
+
+
+@query("g10_resample_mercator", sql("px", f"""
+WITH v AS (SELECT obs_id, temp_c, (radians(3.0E0 + col_i * 0.012E0) * {EARTH_RADIUS_M}E0 - {MERCATOR.x0!r}::DOUBLE) / {MERCATOR.dx!r}::DOUBLE AS u0,
+  (radians(3.0E0 + (col_i + 1) * 0.012E0) * {EARTH_RADIUS_M}E0 - {MERCATOR.x0!r}::DOUBLE) / {MERCATOR.dx!r}::DOUBLE AS u1,
+  (ln(tan(pi() / 4 + radians(51.0E0 - row_i * 0.008E0) / 2)) * {EARTH_RADIUS_M}E0 - {MERCATOR.y0!r}::DOUBLE) / {MERCATOR.dy!r}::DOUBLE AS v0,
+  (ln(tan(pi() / 4 + radians(51.0E0 - (row_i + 1) * 0.008E0) / 2)) * {EARTH_RADIUS_M}E0 - {MERCATOR.y0!r}::DOUBLE) / {MERCATOR.dy!r}::DOUBLE AS v1 FROM px WHERE status = 1),
+c AS (SELECT obs_id, CAST(i AS BIGINT) AS row_i, CAST(j AS BIGINT) AS col_i, temp_c, (least(v1, i + 1) - greatest(v0, i)) * (least(u1, j + 1) - greatest(u0, j)) AS w
+  FROM v JOIN generate_series(0, {MERCATOR.height - 1}) a(i) ON v1 > i AND v0 < i + 1 JOIN generate_series(0, {MERCATOR.width - 1}) b(j) ON u1 > j AND u0 < j + 1)
+SELECT obs_id, row_i, col_i, {r4('sum(w * temp_c) / sum(w)')} AS temp_c, {r4('sum(w)')} AS coverage FROM c WHERE w > 1e-12 GROUP BY obs_id, row_i, col_i"""))
+def g10b(spark, d):
+    px = V.pixels(spark, d).where("status = 1")
+    return _four(RA.resample_average(px, DEGREES, MERCATOR, "temp_c", ("obs_id",), S.to_mercator), "temp_c", "coverage")
+
+
+@query("g11_resample_mercator", sql("px", f"""
+WITH v AS (SELECT obs_id, row_i AS y, col_i AS x, temp_c FROM px WHERE status = 1), {LONLAT},
+n AS (SELECT t.*, floor(fr - 0.5E0) + dy AS y, floor(fc - 0.5E0) + dx AS x FROM t, (VALUES (0), (1)) a(dy), (VALUES (0), (1)) b(dx)),
+w AS (SELECT *, (1 - abs(fr - y - 0.5E0)) * (1 - abs(fc - x - 0.5E0)) AS w FROM n)
+SELECT obs_id, row_i, col_i, {r4('sum(w * temp_c) / sum(w)')} AS temp_c FROM w JOIN v USING (y, x) WHERE w > 1e-9 GROUP BY obs_id, row_i, col_i"""))
+def g11b(spark, d):
+    px = V.pixels(spark, d).where("status = 1")
+    return _four(RA.resample_bilinear(px, DEGREES, MERCATOR, "temp_c", ("obs_id",), S.from_mercator), "temp_c")
+
+
 @query("g16_halo", sql("px", """
 SELECT obs_id, CAST(tr AS BIGINT) AS tile_row, CAST(tc AS BIGINT) AS tile_col, count(*) AS n, count(*) FILTER (row_i // 25 = tr AND col_i // 25 = tc) AS n_own FROM px
 JOIN generate_series(-1, 4) a(tr) ON row_i BETWEEN tr * 25 - 3 AND tr * 25 + 27 JOIN generate_series(-1, 4) b(tc) ON col_i BETWEEN tc * 25 - 3 AND tc * 25 + 27 GROUP BY ALL"""))
