@@ -21,6 +21,7 @@ from zonemill.operators.geometry import one_feature
 from zonemill.operators.tables import with_series
 
 BLOCK = 64
+SALTS = 16  # how often the zones are dealt out to pair them with the keys
 Expected = dict[str, list] | DataFrame | None  # key values for which every zone has a record
 
 
@@ -54,23 +55,40 @@ def _sum_if(condition: Column, value: Column | float = 1) -> Column:
     return F.coalesce(F.sum(F.when(condition, value)), F.lit(0.0))
 
 
-def _records(zones: DataFrame, columns: list[str], rows: DataFrame, zone: str, keys: tuple[str, ...],
-             expected: Expected) -> DataFrame:
-    """Zone columns joined to their sums: a record for every zone and key, also without pixels.
+def _for_every(frame: DataFrame, rows: DataFrame, on: list[str], keys: list[str], expected: Expected) -> DataFrame:
+    """``rows`` (unique by keys and ``on``) completed to every pair of a key and a row of ``frame`` (unique by ``on``).
 
-    ``keys`` (observation, year …) are the ``expected`` ones: a table with the key columns, such as an inventory, or lists
-    of values. Without them they are those that occur in ``rows``, which computes these a second time.
+    Keys are the ``expected`` ones: a table with the key columns, such as an inventory, or lists of values; without
+    them those that occur in ``rows``. One row per key goes through an equi-join on a small salt, which each row of ``frame``
+    has in all its values, and all meet in one aggregation: ``rows`` are computed once and no list of keys is ever made.
     """
+    values = [c for c in rows.columns if c not in (*keys, *on)]
+    bare = [*[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in (*on, *values)]]
+    if expected is None:
+        twice = rows.withColumn("is_key", F.explode(F.array(F.lit(False), F.lit(True))))
+        both = twice.select(*keys, *[F.when(~F.col("is_key"), F.col(c)).alias(c) for c in (*on, *values)], "is_key")
+        both = both.groupBy(*keys, *on, "is_key").agg(*[F.max(c).alias(c) for c in values])
+    else:
+        if isinstance(expected, DataFrame):
+            marks = expected.select(*keys).distinct()
+        else:
+            marks = frame.sparkSession.range(1).select(*[F.array(*[F.lit(v).cast(rows.schema[k].dataType) for v in expected[k]]).alias(k) for k in keys])
+            for key in keys:
+                marks = marks.withColumn(key, F.explode(key))
+        both = rows.withColumn("is_key", F.lit(False)).unionByName(marks.select(*keys, *bare, F.lit(True).alias("is_key")))
+    salted = frame.select(*[F.col(c).alias(f"every_{c}") for c in on], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    both = both.withColumn("salt", F.when(F.col("is_key"), F.pmod(F.hash(*keys), F.lit(SALTS)))).join(salted, "salt", "left")
+    whole = both.select(*keys, *[F.when(F.col("is_key"), F.col(f"every_{c}")).otherwise(F.col(c)).alias(c) for c in on], *values)
+    return whole.groupBy(*keys, *on).agg(*[F.max(c).alias(c) for c in values])
+
+
+def _records(zones: DataFrame, columns: list[str], rows: DataFrame, zone: str, keys: tuple[str, ...],
+             expected: Expected) -> DataFrame:
+    """Zone columns joined to their sums: a record for every zone and key (observation, year …), also without pixels."""
     frame = zones.select(zone, *columns)
-    if keys and (expected is None or isinstance(expected, DataFrame)):
-        # as many entries as observations; looked up once, before the zones are expanded
-        seen = (rows if expected is None else expected).agg(F.collect_set(F.struct(*keys)).alias("seen"))
-        expected = None
-        frame = frame.withColumn("seen", seen.scalar()).select(zone, *columns, F.explode("seen").alias("seen")).select(zone, *columns, "seen.*")
-    for key, values in (expected or {}).items():
-        listed = F.array(*[F.lit(v).cast(rows.schema[key].dataType) for v in values])
-        frame = frame.withColumn(key, F.explode(listed))
-    return frame.join(rows, [*keys, zone], "left")
+    if not keys:
+        return frame.join(rows, [zone], "left")
+    return frame.join(_for_every(frame, rows, [zone], list(keys), expected), [zone])
 
 
 def categorical_stats(px: DataFrame, zones: DataFrame, codes: list[int], cell_ha: float, zone: str = "sector_id", code: str = "code",
@@ -115,15 +133,13 @@ def density_stats(px: DataFrame, zones: DataFrame, unit_ha: float, zone: str = "
     v, w = F.col(value), F.col(weight) if weight else F.lit(1)
     group = [*keys, zone]
     usable = px.where(finite(v.cast("double")) & v.between(0, 100) & (w > 0))
-    sums = usable.groupBy(*group).agg(
-        F.sum(w).alias("w"), F.sum(v * w).alias("vw"), _sum_if(v > 0, w).alias("pw"),
-        *[_sum_if(v.between(a, b), w).alias(f"w_{a}_{b}") for a, b in M.DENSITY_CLASSES])
+    sums = {"pw": F.when(F.col("v") > 0, F.col("vw_w")).otherwise(0),
+            **{f"w_{a}_{b}": F.when(F.col("v").between(a, b), F.col("vw_w")).otherwise(0) for a, b in M.DENSITY_CLASSES}}
     if weight:
-        median = Q.weighted_quantiles(usable, group, v, w, {"median_density": 0.5})
+        rows = Q.weighted_summary(usable, group, v, w, {"median_density": 0.5}, sums)
     else:
-        median = Q.interpolated_summary(usable, group, v, {"median_density": 0.5}).select(*group, "median_density")
-    rows = sums.join(median, group)
-    rows = _records(zones, ["complete_ha"], rows, zone, keys, expected)
+        rows = Q.interpolated_summary(usable, group, v, {"median_density": 0.5}, sums=sums)
+    rows = _records(zones, ["complete_ha"], rows.select(*group, "w", "vw", *sums, "median_density"), zone, keys, expected)
     whole = F.col("complete_ha")
     valid, present = (F.coalesce(c, F.lit(0)) * unit_ha for c in (F.col("w"), F.col("pw")))
     empty, rest = F.greatest(F.lit(0.0), valid - present), F.greatest(F.lit(0.0), whole - valid)
@@ -357,21 +373,22 @@ def _all_scopes() -> Column:
 def scope_bins(px: DataFrame, zones: DataFrame, families: dict[str, list[str]], keys: tuple[str, ...] = (), code: str = "code") -> DataFrame:
     """Counts of clear pixels in all 0.5 °C bins, zeros included, per scope of ``zones`` and every series, also without a pixel.
 
-    Pixels are counted per sector, class and bin; series and scopes are expanded on that small table.
+    Pixels are counted per sector, class and bin; series and scopes are expanded on that small table. Scopes and keys are paired
+    with one list of counts each (at most series × bins entries), series and bins are expanded last.
     """
-    group = [*keys, "scope", "series"]
+    on = [*keys, "scope"]
     clear = (F.col("status") == 1) & finite(F.col("temp_c"))
-    per_sector = px.where(clear).groupBy(*keys, "sector_id", "municipality", code, P.temperature_bin(F.col("temp_c")).alias("bin")).agg(F.count("*").alias("n"))
-    counts = (with_series(per_sector.where("bin IS NOT NULL"), code, families).withColumn("scope", F.explode(_all_scopes()))
-              .groupBy(*group, "bin").agg(F.sum("n").alias("n")))
-    series = [f"family:{f}" for f in families] + [f"class:{c}" for codes in families.values() for c in codes]
+    per_sector = px.groupBy(*keys, "sector_id", "municipality", code, F.when(clear, P.temperature_bin(F.col("temp_c"))).alias("bin")).agg(F.count("*").alias("n"))
+    counts = (with_series(per_sector, code, families).withColumn("scope", F.explode(_all_scopes()))
+              .groupBy(*on, "series", "bin").agg(F.sum("n").alias("n")))
+    listed = counts.groupBy(*on).agg(F.array_sort(F.collect_list(F.when(F.col("bin").isNotNull(), F.struct(F.concat_ws(" ", "series", "bin").alias("at"), "n")))).alias("found"))
     frame = zones.select(F.explode(_all_scopes()).alias("scope")).distinct()
-    if keys:
-        seen = px.agg(F.collect_set(F.struct(*keys)).alias("seen"))
-        frame = frame.withColumn("seen", seen.scalar()).select("scope", F.explode("seen").alias("seen")).select("scope", "seen.*")
-    frame = (frame.withColumn("series", F.explode(F.array(*map(F.lit, series))))
+    whole = _for_every(frame, listed, ["scope"], list(keys), None).join(frame, "scope", "left_semi") if keys else frame.join(listed, "scope", "left")
+    series = [f"family:{f}" for f in families] + [f"class:{c}" for codes in families.values() for c in codes]
+    whole = whole.withColumn("found", F.coalesce(F.map_from_entries("found"), F.create_map().cast("map<string,bigint>")))
+    whole = (whole.withColumn("series", F.explode(F.array(*map(F.lit, series))))
              .withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(int((M.TEMPERATURE_MAX - M.TEMPERATURE_MIN) / M.TEMPERATURE_BIN) - 1)))))
-    return frame.join(counts, [*group, "bin"], "left").na.fill(0, ["n"]).select(*group, "bin", "n")
+    return whole.select(*on, "series", "bin", F.coalesce(F.col("found")[F.concat_ws(" ", "series", "bin")], F.lit(0)).alias("n"))
 
 
 def histogram(px: DataFrame, keys: list[str], value: str = "temp_c") -> DataFrame:
