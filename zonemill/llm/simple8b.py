@@ -21,47 +21,62 @@ BLOCK = 512
 # ids per word and bits per id by selector: fixed values of the format
 COUNTS = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
+SELECTOR = {int(COUNTS[s]): s for s in range(2, 16)}
+FEWER = [max([s for s in range(2, 16) if COUNTS[s] > k], default=1) + 1 for k in range(int(COUNTS[2]) + 1)]  # levels that can still be joined by more ids
 FILES = "shard int, part long, before long, doc_ids array<long>, lengths array<long>, blocks array<long>, words binary"
 
 
+def _choices(level: np.ndarray, zeros: np.ndarray | None, spot: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The selector of the word that begins at each spot: the one of most ids that all fit. A word ends at ``stop``."""
+    choice = np.zeros(len(spot), np.int8)  # escape, if nothing else fits
+    highest = np.zeros(len(spot), np.int8)
+    lane, left = np.arange(len(spot)), stop - spot
+    for k in range(int(COUNTS[2:].max()) + 1):
+        over = left[lane] <= k
+        if over.any():  # all the rest fits
+            ended = lane[over]
+            choice[ended] = np.where(highest[ended] < 16, np.maximum(highest[ended], 2), 0)
+            lane = lane[~over]
+        if not len(lane) or k == COUNTS[2]:
+            break
+        highest[lane] = np.maximum(highest[lane], level[spot[lane] + k])
+        selector = SELECTOR.get(k + 1)
+        if selector is not None:
+            fits = lane[highest[lane] <= selector]
+            choice[fits] = selector
+        lane = lane[highest[lane] < FEWER[k + 1]]
+    if zeros is not None:  # a short rest is no run
+        run = np.flatnonzero(left >= COUNTS[1])
+        choice[run[zeros[spot[run] + COUNTS[1]] == zeros[spot[run]]]] = 1
+    return choice
+
+
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Unsigned 64-bit ids → words, and the place of every block's first word."""
     ids = np.ascontiguousarray(ids, np.uint64)
-    n, narrow = len(ids), ids.astype(np.uint32) if len(ids) and ids.max() < 1 << 32 else ids
+    n = len(ids)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    at = np.arange(n)
-    end = np.minimum((at // BLOCK + 1) * BLOCK, n)
-    choice = np.zeros(n, np.int8)  # escape, if nothing else fits
-    open_ = np.ones(n, bool)
-    top = int(ids.max())
-    for selector in range(1, 16):
-        limit = 1 << int(BITS[selector])
-        if top < limit:
-            fits = open_
-        else:
-            over = np.concatenate([np.zeros(1, np.int32), np.cumsum(narrow >= narrow.dtype.type(limit), dtype=np.int32)])
-            fits = open_ & (over[np.minimum(at + COUNTS[selector], end)] == over[:-1])
-        if selector == 1:  # a short rest is no run
-            fits = fits & (at + COUNTS[selector] <= end)
-        choice[fits] = selector
-        open_ = open_ & ~fits
-        if not open_.any():
-            break
+    # the first selector whose ids are wide enough; 16 for none
+    level = (np.searchsorted(np.uint64(1) << BITS[2:].astype(np.uint64), ids, "right") + 2).astype(np.int8)
+    nothing = ids != 0
+    zeros = np.concatenate([np.zeros(1, np.int64), np.cumsum(nothing)]) if n - np.count_nonzero(nothing) >= COUNTS[1] else None
     # all blocks walk from word to word together
     spot = np.arange(0, n, BLOCK)
-    stop = np.minimum(spot + BLOCK, n)
+    end = np.minimum(spot + BLOCK, n)
     lane = np.arange(len(spot))
-    starts, lanes = [], []
+    starts, lanes, choices = [], [], []
     while len(spot):
+        choice = _choices(level, zeros, spot, end[lane])
         starts.append(spot)
         lanes.append(lane)
-        spot = spot + COUNTS[choice[spot]]
-        on = spot < stop[lane]
+        choices.append(choice)
+        spot = spot + COUNTS[choice]
+        on = spot < end[lane]
         spot, lane = spot[on], lane[on]
-    start, lane = np.concatenate(starts), np.concatenate(lanes)
-    start = start[np.argsort(start, kind="stable")]
-    picked = choice[start]
+    start, lane, picked = np.concatenate(starts), np.concatenate(lanes), np.concatenate(choices)
+    order = np.argsort(start, kind="stable")
+    start, stop, picked = start[order], end[lane[order]], picked[order]
     size = np.where(picked == 0, 2, 1)
     place = np.concatenate([[0], np.cumsum(size)])
     words = np.zeros(place[-1], np.uint64)
@@ -74,7 +89,7 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if selector > 1:
             for k in range(COUNTS[selector]):
                 source = start[mine] + k
-                inside = source < end[start[mine]]
+                inside = source < stop[mine]
                 word |= np.where(inside, ids[np.minimum(source, n - 1)], np.uint64(0)) << np.uint64(k * int(BITS[selector]))
         words[place[mine]] = word
     firsts = np.searchsorted(start, np.arange(0, n, BLOCK))
@@ -119,7 +134,7 @@ def decode(words: np.ndarray, blocks: np.ndarray, n: int) -> np.ndarray:
 def _rows(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
     shard, part, before = TaskContext.get().partitionId(), 0, 0
     for batch in batches:
-        for rows in parts(batch, 1 << 22):
+        for rows in parts(batch):
             ids, borders = with_end(*encoder(path).encode(rows.column("text")), end)
             words, blocks = encode(ids)
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "part": pa.array([part], pa.int64()), "before": pa.array([before], pa.int64()), "doc_ids": pa.array([rows.column("doc_id").to_pylist()], pa.list_(pa.int64())), "lengths": pa.array([np.diff(borders)], pa.list_(pa.int64())), "blocks": pa.array([blocks], pa.list_(pa.int64())), "words": pa.array([words.astype("<u8").tobytes()], pa.binary())})
