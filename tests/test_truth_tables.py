@@ -254,13 +254,14 @@ def samples(spark, positive, negative):
 
 
 def test_threshold_calibration(spark):
-    out = Z.calibrate_threshold(samples(spark, [.7, .75, .8, .85, .9], [.1, .15, .2, .25, .3])).collect()[0]
+    out = Z.calibrate_threshold(samples(spark, [.7, .75, .8, .85, .9], [.1, .15, .2, .25, .3]), minimum=0).collect()[0]
+    assert (out.positive["count"], out.positive.p05, out.positive.median, out.negative.p25, out.negative.p95) == pytest.approx((5, .7, .8, .15, .3))
     assert 0.3 < out["threshold"] <= 0.7 and out["youden_j"] == out["sensitivity"] == out["specificity"] == out["auc"] == 1.0
     # The tied bins run from 0.301 to 0.700; the lower middle one wins.
     assert out["threshold"] == 0.5 and not out["overlap_warning"]
-    same = Z.calibrate_threshold(samples(spark, [.1, .2, .3], [.1, .2, .3])).collect()[0]
+    same = Z.calibrate_threshold(samples(spark, [.1, .2, .3], [.1, .2, .3]), minimum=0).collect()[0]
     assert same["auc"] == pytest.approx(0.5) and same["overlap_warning"]
-    assert Z.calibrate_threshold(samples(spark, [.1], [])).collect() == []
+    assert Z.calibrate_threshold(samples(spark, [.1], []), minimum=0).collect() == []
 
 
 def test_densify_and_statuses(spark, rows):
@@ -388,3 +389,5 @@ def test_too_few_samples_are_an_error(spark):
     assert Z.calibrate_threshold(rows, minimum=2).first().n_neg == 2
     with pytest.raises(Exception, match="fewer than 3 samples"):
         Z.calibrate_threshold(rows, minimum=3).collect()
+    with pytest.raises(Exception, match="fewer than 1000 samples"):
+        Z.calibrate_threshold(rows).collect()

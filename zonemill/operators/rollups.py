@@ -127,8 +127,8 @@ def region_surface_stats(stats: DataFrame, keys: tuple[str, ...] = ()) -> DataFr
 
 
 def parcel_stats(fragments: DataFrame, zones: DataFrame, zone: str = "sector_id") -> DataFrame:
-    """Parcel area and its share of the complete zone area, number of distinct parcels; zeros without any."""
-    sums = fragments.groupBy(zone).agg(F.sum("area_ha").alias("parcel_ha"), F.count_distinct("parcel_id").alias("n_parcels"))
+    """Parcel area and its share of the complete zone area, number of distinct parcels; zeros without any. Decimal areas sum exactly."""
+    sums = fragments.groupBy(zone).agg(F.sum("area_ha").cast("double").alias("parcel_ha"), F.count_distinct("parcel_id").alias("n_parcels"))
     rows = zones.select(zone, "complete_ha").join(sums, zone, "left").na.fill(0.0, ["parcel_ha"]).na.fill(0, ["n_parcels"])
     return rows.withColumn("parcel_pct", percentage(F.col("parcel_ha"), F.col("complete_ha")))
 
@@ -138,7 +138,8 @@ def crop_group_stats(fragments: DataFrame, zone: str = "sector_id") -> DataFrame
     group = F.when(F.trim(F.coalesce("crop_group", F.lit(""))) == "", M.OTHER_CROPS).otherwise(F.trim("crop_group"))
     rows = fragments.groupBy(zone, group.alias("crop_group")).agg(F.sum("area_ha").alias("area_ha"))
     whole = rows.groupBy(zone).agg(F.sum("area_ha").alias("parcel_ha"))
-    return rows.join(whole, zone).withColumn("group_pct", percentage(F.col("area_ha"), F.col("parcel_ha"))).drop("parcel_ha")
+    area, total = F.col("area_ha").cast("double"), F.col("parcel_ha").cast("double")
+    return rows.join(whole, zone).select(zone, "crop_group", area.alias("area_ha"), percentage(area, total).alias("group_pct"))
 
 
 def count_checks(df: DataFrame, keys: list[str], expected: DataFrame) -> DataFrame:

@@ -300,13 +300,14 @@ def calibration_samples(px: DataFrame, dominant: DataFrame, min_votes: int = 8)
     return px.where("valid AND ndvi IS NOT NULL").join(cells.select("row_i", "col_i", "sample"), ["row_i", "col_i"])
 
 
-def calibrate_threshold(samples: DataFrame, keys: tuple[str, ...] = (), minimum: int = 0) -> DataFrame:
+def calibrate_threshold(samples: DataFrame, keys: tuple[str, ...] = (), minimum: int = M.MIN_SAMPLES) -> DataFrame:
     """Youden threshold between positive and negative samples on 0.001 bins.
 
     Fewer than ``minimum`` samples of a label are an error when the result is read.
 
     Works on the two histograms (at most 2001 bins). The best J is taken with a 1e-12 tolerance; the
-    lower middle one of the tied bins wins. AUC counts ties half.
+    lower middle one of the tied bins wins. AUC counts ties half. ``positive`` and ``negative``
+    describe the two samples: count and the first bins whose cumulative count reaches each of ``M.SAMPLE_QUANTILES``.
     """
     key_list = list(keys) or ["all_rows"]
     rows = samples if keys else samples.withColumn("all_rows", F.lit(1))
@@ -324,7 +325,11 @@ def calibrate_threshold(samples: DataFrame, keys: tuple[str, ...] = (), minimum:
     scored = running.withColumn("sens", sensitivity).withColumn("spec", specificity).withColumn("j", F.col("sens") + F.col("spec") - 1.0)
     top = scored.withColumn("best_j", F.max("j").over(whole))
     tied = F.sort_array(F.collect_list(F.when(F.col("j") >= F.col("best_j") - 1e-12, F.struct("b", "sens", "spec"))))
+    def reached(kind: str, p: float) -> Column:
+        return F.min(F.when(F.col(f"{kind}_below") + F.col(kind) >= F.greatest(F.lit(1.0), F.ceil(F.col(f"n_{kind}") * F.lit(p))), F.col("b")))
+
     out = top.groupBy(*key_list).agg(
+        *[reached(kind, p).alias(f"{kind}_{name}") for kind in ("pos", "neg") for name, p in M.SAMPLE_QUANTILES.items()],
         F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg"), F.max("j").alias("youden_j"), tied.alias("tied"),
         F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") * 0.5)).alias("pairs"))
     best = out.withColumn("pick", F.element_at("tied", (F.floor((F.size("tied") - 1) / 2) + 1).cast("int")))
@@ -335,7 +340,8 @@ def calibrate_threshold(samples: DataFrame, keys: tuple[str, ...] = (), minimum:
                        F.col("pick.sens").alias("sensitivity"), F.col("pick.spec").alias("specificity"),
                        ((F.col("pick.sens") + F.col("pick.spec")) / 2).alias("balanced_accuracy"),
                        (1 - F.col("pick.spec")).alias("false_positive_rate"), auc.alias("auc"),
-                       (auc < M.AUC_WARNING).alias("overlap_warning"))
+                       (auc < M.AUC_WARNING).alias("overlap_warning"), *[F.struct(F.col(f"n_{kind}").alias("count"), *[P.bin_value(F.col(f"{kind}_{q}")).alias(q) for q in M.SAMPLE_QUANTILES]).alias(name)
+                         for kind, name in (("pos", "positive"), ("neg", "negative"))])
 
 
 # --- Distributions by scope -----------------------------------------------------------------------

@@ -375,20 +375,20 @@ def a16(spark, d):
 # --- Parcels --------------------------------------------------------------------------------------
 
 FRAGMENTS = """SELECT c_nationkey AS sector_id, o_custkey AS parcel_id, CASE WHEN c_custkey % 4 = 0 THEN '  ' WHEN c_custkey % 4 = 1 THEN NULL ELSE c_mktsegment END AS crop_group,
-  floor(o_totalprice) / 100000.0E0 AS area_ha FROM orders JOIN customer ON o_custkey = c_custkey"""
+  CAST(round(o_totalprice * 100) AS BIGINT) AS cents, round(o_totalprice * 100) / 10000000.0E0 AS area_ha FROM orders JOIN customer ON o_custkey = c_custkey"""
 
 
 def fragments(spark, d):
-    """Areas in whole units of the fifth decimal, so that sums have no ties at the sixth."""
+    """Areas as decimals, whose sums are exact in any order."""
     k = F.col("c_custkey") % 4
     group = F.when(k == 0, "  ").when(k != 1, F.col("c_mktsegment"))
     return (V.table(spark, d, "orders").join(V.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
             .select(F.col("c_nationkey").alias("sector_id"), F.col("o_custkey").alias("parcel_id"), group.alias("crop_group"),
-                    (F.floor("o_totalprice") / 100000.0).alias("area_ha")))
+                    (F.col("o_totalprice").cast("decimal(18,2)") / 100000).cast("decimal(18,7)").alias("area_ha")))
 
 
 @query("a17_parcel_stats", sql("zone", f"""
-WITH f AS ({FRAGMENTS}), s AS (SELECT sector_id, sum(area_ha) AS a, count(DISTINCT parcel_id) AS n FROM f GROUP BY sector_id)
+WITH f AS ({FRAGMENTS}), s AS (SELECT sector_id, CAST(sum(cents) AS DOUBLE) / 10000000.0E0 AS a, count(DISTINCT parcel_id) AS n FROM f GROUP BY sector_id)
 SELECT z.sector_id, {COMPLETE.replace('sector_id', 'z.sector_id')} AS complete_ha, {r6('coalesce(a, 0)')} AS parcel_ha, coalesce(n, 0) AS n_parcels,
   {r6('coalesce(a, 0) / ' + COMPLETE.replace('sector_id', 'z.sector_id') + ' * 100')} AS parcel_pct FROM zone z LEFT JOIN s USING (sector_id)"""))
 def a17(spark, d):
@@ -396,8 +396,9 @@ def a17(spark, d):
 
 
 @query("a17_crop_groups", f"""
-WITH f AS ({FRAGMENTS}), s AS (SELECT sector_id, CASE WHEN trim(coalesce(crop_group, '')) = '' THEN 'Overige gewassen' ELSE crop_group END AS crop_group, sum(area_ha) AS a FROM f GROUP BY ALL)
-SELECT sector_id, crop_group, {r6('a')} AS area_ha, {r6('a / sum(a) OVER (PARTITION BY sector_id) * 100')} AS group_pct FROM s""")
+WITH f AS ({FRAGMENTS}), s AS (SELECT sector_id, CASE WHEN trim(coalesce(crop_group, '')) = '' THEN 'Overige gewassen' ELSE crop_group END AS crop_group, sum(cents) AS c FROM f GROUP BY ALL),
+d AS (SELECT *, CAST(c AS DOUBLE) / 10000000.0E0 AS a, CAST(sum(c) OVER (PARTITION BY sector_id) AS DOUBLE) / 10000000.0E0 AS whole FROM s)
+SELECT sector_id, crop_group, {r6('a')} AS area_ha, {r6('a / whole * 100')} AS group_pct FROM d""")
 def a17b(spark, d):
     return R.crop_group_stats(fragments(spark, d))
 
@@ -477,6 +478,11 @@ def a25(spark, d):
     return Q.histogram_quantiles(hist, ["code"], "b", "n", names).select("code", "n", *[P.bin_value(F.col(c)).alias(c) for c in names])
 
 
+QUANTILES = ", ".join(f"floor((min(CASE WHEN {k}b + {kind} >= greatest(1, ceil(n{k} * {p}E0)) THEN b END) * 0.001E0 - 1) * 1000.0E0 + 0.5E0) / 1000.0E0 AS {name}_{q}"
+                      for name, kind, k in (("positive", "pos", "p"), ("negative", "neg", "n")) for q, p in M.SAMPLE_QUANTILES.items())
+QUANTILE_NAMES = ", ".join(f"{name}_{q}" for name in ("positive", "negative") for q in M.SAMPLE_QUANTILES)
+
+
 @query("a26_calibrate_threshold", sql("px", f"""
 WITH h AS (SELECT obs_id, {BIN} AS b, count(*) FILTER (code = 1) AS pos, count(*) FILTER (code = 2) AS neg FROM
   (SELECT *, CASE WHEN code = 1 THEN least(1, n0 + 0.2E0) ELSE n0 END AS ndvi FROM (SELECT *, {NDVI} AS n0 FROM px) WHERE n0 IS NOT NULL) WHERE code IN (1, 2) GROUP BY ALL),
@@ -487,8 +493,8 @@ r AS (SELECT *, sum(pos) OVER (PARTITION BY obs_id) AS np, sum(neg) OVER (PARTIT
 j AS (SELECT *, CAST(np - pb AS DOUBLE) / np AS se, CAST(nb AS DOUBLE) / nn AS sp FROM r),
 m AS (SELECT *, se + sp - 1.0E0 AS y, max(se + sp - 1.0E0) OVER (PARTITION BY obs_id) AS best FROM j),
 t AS (SELECT *, row_number() OVER (PARTITION BY obs_id ORDER BY b) AS rn, count(*) OVER (PARTITION BY obs_id) AS k FROM m WHERE y >= best - 1e-12),
-u AS (SELECT obs_id, sum(pos * (nb + neg * 0.5E0)) / (max(np) * max(nn)) AS auc FROM r GROUP BY obs_id)
-SELECT obs_id, CAST(np AS BIGINT) AS n_pos, CAST(nn AS BIGINT) AS n_neg, floor((b * 0.001E0 - 1) * 1000.0E0 + 0.5E0) / 1000.0E0 AS threshold, {r6('best')} AS youden_j,
+u AS (SELECT obs_id, sum(pos * (nb + neg * 0.5E0)) / (max(np) * max(nn)) AS auc, {QUANTILES} FROM r GROUP BY obs_id)
+SELECT obs_id, {QUANTILE_NAMES}, CAST(np AS BIGINT) AS n_pos, CAST(nn AS BIGINT) AS n_neg, floor((b * 0.001E0 - 1) * 1000.0E0 + 0.5E0) / 1000.0E0 AS threshold, {r6('best')} AS youden_j,
   {r6('se')} AS sensitivity, {r6('sp')} AS specificity, {r6('(se + sp) / 2')} AS balanced_accuracy, {r6('1 - sp')} AS false_positive_rate, {r6('auc')} AS auc, auc < 0.7 AS overlap_warning
 FROM t JOIN u USING (obs_id) WHERE rn = floor((k - 1) / 2.0E0) + 1""".replace("ON h.obs_id = h.obs_id AND h.b = t.i)", "ON h.b = t.i AND h.obs_id = o.obs_id)").replace(
     "FROM (SELECT DISTINCT obs_id FROM h), generate_series", "FROM (SELECT DISTINCT obs_id FROM h) o CROSS JOIN generate_series").replace("SELECT obs_id, i AS b", "SELECT o.obs_id, i AS b")))
@@ -496,7 +502,10 @@ def a26(spark, d):
     index = P.ndvi(F.col("b04"), F.col("b08"))
     px = V.pixels(spark, d).where("code IN (1, 2)").withColumn("ndvi", F.when(F.col("code") == 1, F.least(F.lit(1.0), index + 0.2)).otherwise(index))
     samples = px.where(index.isNotNull()).withColumn("sample", F.when(F.col("code") == 1, "positive").otherwise("negative"))
-    return Z.calibrate_threshold(samples, ("obs_id",))
+    # the smallest stand-in tables have less than the usual minimum of samples
+    found = Z.calibrate_threshold(samples, ("obs_id",), minimum=100)
+    flat = [F.col(f"{name}.{q}").alias(f"{name}_{q}") for name in ("positive", "negative") for q in M.SAMPLE_QUANTILES]
+    return found.select("*", *flat).drop("positive", "negative")
 
 
 @query("a28_profile", sql("px", f"""
