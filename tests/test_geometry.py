@@ -182,3 +182,18 @@ def test_each_cell_belongs_to_one_feature(spark):
     assert GE.span_cells(GE.rasterize(one, ["k"], grid)).count() == 16
     weights = GE.fractional_weights(one, ["k"], grid, 2).collect()
     assert sum(w.w for w in weights) == 64 and max(w.w for w in weights) == 4
+
+
+def test_cells_hold_their_own_edges_only(spark):
+    """A polygon of 4 000 edges over about 1 000 cells: entries grow with edges plus cells, and points on its vertices' heights are right."""
+    ring = star(50, 50, [45 + 3 * math.sin(0.37 * i) for i in range(4000)], .01)
+    df = geoms(spark, {1: [[ring, list(reversed(star(50, 50, [20 + (i % 7) for i in range(300)])))]]}, "id")
+    cells = GE.polygon_cells(df, "id", 3.0)
+    n, stored = cells.agg(F.count("*"), F.sum(F.size("cell_edges") + F.size("turns") + 1)).first()
+    assert n < 1200 and stored < 3 * (4300 + n)
+    rng = np.random.default_rng(3)
+    spots = [(float(a), float(b)) for a, b in rng.uniform(0, 100, (1500, 2))] + [(float(a), y) for a, (_, y) in zip(rng.uniform(0, 100, 200), ring[::20])] + ring[::50] + [(3.0 * i, 3.0 * j) for i in range(34) for j in range(34)]
+    points = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(spots)], "p int, x double, y double")
+    got = {r["p"] for r in GE.points_in_polygons(points, df, "id", 3.0).collect()}
+    shape = [ring, list(reversed(star(50, 50, [20 + (i % 7) for i in range(300)])))]
+    assert got == {i for i, (x, y) in enumerate(spots) if inside(x, y, shape)}

@@ -259,35 +259,52 @@ def cell_combos(zone_subcells: DataFrame, class_subcells: DataFrame, scale: int)
 # --- Points in polygons ---------------------------------------------------------------------------
 
 
-def polygon_strips(polys: DataFrame, key: str, cell: float, geom: str = "geom") -> DataFrame:
-    """Polygons cut into horizontal strips: the edges that cross a strip, listed for every cell they may concern.
+def polygon_cells(polys: DataFrame, key: str, cell: float, geom: str = "geom") -> DataFrame:
+    """Polygons as square cells (cx, cy): the edges that reach into a cell, and what the edges to its right add up to.
 
-    A list holds the edges of one polygon within one strip of height ``cell``, not those of the whole polygon.
+    Whether an edge crosses the line of a point is decided by its two ends, so only the ends of the edges to the right count,
+    in pairs: those above the strip as one parity (``odd``), those inside it by their height (``turns``). Equal heights
+    cancel, and both edges at a vertex have the same, so turns are left only where an edge of the cell itself begins.
+    Cells that no edge reaches and that lie outside have no row.
     """
+    margin = 1e-9 * cell
     e = edges(polys, [key], geom).where("y1 <> y2")
-    strip = F.sequence(F.floor(F.least("y1", "y2") / cell), F.floor(F.greatest("y1", "y2") / cell))
-    cut = e.withColumn("cy", F.explode(strip))
-    grouped = cut.groupBy(key, "cy").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("strip_edges"),
-                                         F.min(F.least("x1", "x2")).alias("lo"), F.max(F.greatest("x1", "x2")).alias("hi"),
-                                         F.min(F.least("y1", "y2")).alias("bottom"), F.max(F.greatest("y1", "y2")).alias("top"))
-    return grouped.withColumn("cx", F.explode(F.sequence(F.floor(F.col("lo") / cell), F.floor(F.col("hi") / cell))))
+    cut = e.withColumn("cy", F.explode(F.sequence(F.floor(F.least("y1", "y2") / cell), F.floor(F.greatest("y1", "y2") / cell))))
+
+    def x_at(y: Column) -> Column:
+        return F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
+
+    low, high = F.greatest(F.least("y1", "y2"), F.col("cy") * cell), F.least(F.greatest("y1", "y2"), (F.col("cy") + 1) * cell)
+    left = F.greatest(F.least(x_at(low), x_at(high)), F.least("x1", "x2")) - margin
+    right = F.least(F.greatest(x_at(low), x_at(high)), F.greatest("x1", "x2")) + margin
+    item = F.struct("x1", "y1", "x2", "y2", F.floor(left / cell).alias("c0"), F.floor(right / cell).alias("c1"))
+    strips = cut.groupBy(key, "cy").agg(F.collect_list(item).alias("strip"))  # the edges of one polygon in one strip
+    cells = strips.withColumn("cx", F.explode(F.sequence(F.array_min(F.transform("strip", lambda s: s["c0"])), F.array_max(F.transform("strip", lambda s: s["c1"])))))
+    beyond = F.flatten(F.transform(F.filter("strip", lambda s: s["c0"] > F.col("cx")), lambda s: F.array(s["y1"], s["y2"])))
+    cells = cells.select(key, "cx", "cy", F.transform(F.filter("strip", lambda s: F.col("cx").between(s["c0"], s["c1"])), lambda s: F.struct(s["x1"].alias("x1"), s["y1"].alias("y1"), s["x2"].alias("x2"), s["y2"].alias("y2"))).alias("cell_edges"),
+                         beyond.alias("beyond"))
+    top, bottom = (F.col("cy") + 1) * cell + margin, F.col("cy") * cell - margin
+    odd = F.size(F.filter("beyond", lambda y: y > top)) % 2
+    inside = F.array_sort(F.filter("beyond", lambda y: y.between(bottom, top)))
+    turns = F.aggregate(inside, F.array().cast("array<double>"), lambda kept, y: F.when(F.try_element_at(kept, F.lit(-1)) == y, F.slice(kept, 1, F.size(kept) - 1)).otherwise(F.array_append(kept, y)))
+    return cells.select(key, "cx", "cy", "cell_edges", odd.alias("odd"), turns.alias("turns")).where("size(cell_edges) > 0 or odd = 1 or size(turns) > 0")
 
 
 def points_in_polygons(points: DataFrame, polys: DataFrame, key: str, cell: float, x: str = "x", y: str = "y",
                        geom: str = "geom") -> DataFrame:
     """Points joined to every polygon that contains them, even-odd, holes excluded.
 
-    Equi-join on the point's cell, then a parity test on the few edges of that strip. Points are not
+    Equi-join on the point's cell, then a parity test on the few edges of that cell. Points are not
     shuffled again afterwards.
     """
-    strips = polygon_strips(polys, key, cell, geom)
+    cells = polygon_cells(polys, key, cell, geom)
     px, py = F.col(x), F.col(y)
-    hits = F.filter("strip_edges", lambda e: ((e["y1"] > py) != (e["y2"] > py)) & (
+    hits = F.filter("cell_edges", lambda e: ((e["y1"] > py) != (e["y2"] > py)) & (
         px < (e["x2"] - e["x1"]) * (py - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]))
+    above = F.filter("turns", lambda height: height > py)
     placed = points.withColumn("cx", F.floor(px / cell)).withColumn("cy", F.floor(py / cell))
-    near = px.between(F.col("lo"), F.col("hi")) & py.between(F.col("bottom"), F.col("top"))
-    return (placed.join(strips, ["cx", "cy"]).where(near).where(F.size(hits) % 2 == 1)
-            .drop("cx", "cy", "strip_edges", "lo", "hi", "bottom", "top"))
+    return (placed.join(cells, ["cx", "cy"]).where((F.size(hits) + F.size(above) + F.col("odd")) % 2 == 1)
+            .drop("cx", "cy", "cell_edges", "turns", "odd"))
 
 
 # --- Exact overlay areas --------------------------------------------------------------------------
