@@ -197,3 +197,20 @@ def test_cells_hold_their_own_edges_only(spark):
     got = {r["p"] for r in GE.points_in_polygons(points, df, "id", 3.0).collect()}
     shape = [ring, list(reversed(star(50, 50, [20 + (i % 7) for i in range(300)])))]
     assert got == {i for i, (x, y) in enumerate(spots) if inside(x, y, shape)}
+
+
+@pytest.mark.parametrize("block", [2, 5, 64])
+def test_stretches_vote_like_sub_cells(polys, block):
+    grid = Grid(0, 0, 1, 1, 41, 41)
+    shapes = polys.withColumn("v", F.col("id") % 3)
+    stretches = GE.last_intervals(shapes, grid, 3, "v", "id", block)
+    want = {(r["sub_row"], r["sub_col"]): r["v"] for r in GE.last_feature(shapes, grid, 3, "v", "id").collect()}
+    got = {}
+    for r in stretches.collect():
+        for c in range(r["c0"], r["c1"] + 1):
+            assert (r["row_i"], c) not in got
+            got[(r["row_i"], c)] = r["v"]
+    assert got == want
+    votes = [{tuple(r) for r in df.select("row_i", "col_i", "v", "votes").collect()} for df in (
+        GE.interval_votes(stretches, 3, "v"), GE.subpixel_votes(GE.last_feature(shapes, grid, 3, "v", "id"), 3, "v"))]
+    assert votes[0] == votes[1]

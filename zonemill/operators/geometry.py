@@ -213,6 +213,32 @@ def last_feature(polys: DataFrame, grid: Grid, scale: int, value: str, order: st
             .agg(F.max_by(value, order).alias(value)))
 
 
+def last_intervals(polys: DataFrame, grid: Grid, scale: int, value: str, order: str, block: int = 64) -> DataFrame:
+    """Stretches of sub-cells with the value of the last polygon that covers them: row_i (sub-row), c0, c1, value.
+
+    Spans are cut at borders of ``block`` cells. The spans of one sub-row and block split each other into stretches between
+    their ends, and each stretch takes the last span over it; no sub-cell ever becomes a row.
+    """
+    width = block * scale
+    spans = rasterize(polys, list(dict.fromkeys([value, order])), grid, scale)
+    cut = spans.withColumn("blk", F.explode(F.sequence(F.floor(F.col("c0") / width), F.floor(F.col("c1") / width))))
+    item = F.struct(F.col(order).alias("o"), F.col(value).alias("v"), F.greatest("c0", F.col("blk") * width).alias("c0"), F.least("c1", F.col("blk") * width + width - 1).alias("c1"))
+    groups = cut.groupBy("row_i", "blk").agg(F.array_sort(F.collect_list(item)).alias("s"))
+    ends = F.array_sort(F.array_distinct(F.flatten(F.transform("s", lambda x: F.array(x["c0"], x["c1"] + 1)))))
+    pieces = F.zip_with(F.slice("ends", 1, F.size("ends") - 1), F.slice("ends", 2, F.size("ends") - 1), lambda a, b: F.struct(a.alias("c0"), (b - 1).alias("c1")))
+    split = groups.withColumn("ends", ends).select("row_i", "s", F.inline(pieces))
+    over = F.filter("s", lambda x: (x["c0"] <= F.col("c0")) & (x["c1"] >= F.col("c1")))
+    return split.withColumn("last", F.try_element_at(over, F.lit(-1))).where("last is not null").select("row_i", "c0", "c1", F.col("last.v").alias(value))
+
+
+def interval_votes(intervals: DataFrame, scale: int, value: str) -> DataFrame:
+    """Votes per cell and value from stretches of sub-cells, by the overlap of stretch and cell; 0 and null do not vote."""
+    cells = (intervals.where(F.col(value).isNotNull() & (F.col(value).cast("string") != "0"))
+             .withColumn("col_i", F.explode(F.sequence(F.floor(F.col("c0") / scale), F.floor(F.col("c1") / scale)))))
+    inside = F.least(F.col("c1"), F.col("col_i") * scale + (scale - 1)) - F.greatest(F.col("c0"), F.col("col_i") * scale) + 1
+    return cells.groupBy(F.floor(F.col("row_i") / scale).alias("row_i"), "col_i", value).agg(F.sum(inside).alias("votes"))
+
+
 def subpixel_votes(subcells: DataFrame, scale: int, value: str) -> DataFrame:
     """Votes per cell and value; 0 and null do not vote."""
     return (subcells.where(F.col(value).isNotNull() & (F.col(value).cast("string") != "0"))
@@ -245,7 +271,8 @@ def unique_majority(votes: DataFrame, value: str, min_votes: int) -> DataFrame:
 
 
 def grid_majority(polys: DataFrame, grid: Grid, value: str, order: str, scale: int = 6, min_votes: int = 18) -> DataFrame:
-    return unique_majority(subpixel_votes(last_feature(polys, grid, scale, value, order), scale, value), value, min_votes)
+    """Value that a clear majority of a cell's sub-cells has, of the last polygon each."""
+    return unique_majority(interval_votes(last_intervals(polys, grid, scale, value, order), scale, value), value, min_votes)
 
 
 def cell_combos(zone_subcells: DataFrame, class_subcells: DataFrame, scale: int) -> DataFrame:
