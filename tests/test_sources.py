@@ -135,3 +135,16 @@ def test_incremental_refresh(spark, tmp_path):
     assert computed == [[("a", 2019), ("a", 2020)], [("a", 2020), ("b", 2020)]]
     got = {(r["dataset"], r["year"], r["sector_id"]): r["n"] for r in spark.read.parquet(target).collect()}
     assert got == {("a", 2019, "S"): 1, ("a", 2020, "S"): 2, ("b", 2020, "T"): 1}
+
+
+def test_large_manifest_is_written_by_several_tasks(spark, tmp_path):
+    rows = spark.range(200_000).select(F.lit("a").alias("k"), F.col("id"), (F.col("id") % 7).alias("n"), F.concat(F.lit('q"{},'), F.col("id")).alias("s"))
+    rows = rows.unionByName(spark.createDataFrame([("b", 5, 1, "x")], "k string, id long, n long, s string"))
+    SK.write_manifests(rows, ["k"], "id", ["n", "s"], f"{tmp_path}/m", parts=4)
+    files = sorted(p for p in (tmp_path / "m" / "k=a").iterdir() if p.suffix == ".txt")
+    assert len(files) >= 3 and max(p.stat().st_size for p in files) < 0.5 * sum(p.stat().st_size for p in files)
+    document = json.loads("".join(p.read_text() for p in files))
+    assert list(document) == sorted(map(str, range(200_000))) and document["77777"] == {"n": 77777 % 7, "s": 'q"{},77777'}
+    assert json.loads("".join(p.read_text() for p in (tmp_path / "m" / "k=b").iterdir() if p.suffix == ".txt")) == {"5": {"n": 1, "s": "x"}}
+    back = SK.read_manifests(spark, f"{tmp_path}/m", "bigint", "struct<n: bigint, s: string>").select("k", "id", "record.*")
+    assert back.exceptAll(rows).count() == 0 and back.count() == 200_001

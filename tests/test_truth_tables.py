@@ -391,3 +391,18 @@ def test_too_few_samples_are_an_error(spark):
         Z.calibrate_threshold(rows, minimum=3).collect()
     with pytest.raises(Exception, match="fewer than 1000 samples"):
         Z.calibrate_threshold(rows).collect()
+
+
+@pytest.mark.parametrize("block", [1, 3, 10, 10_000])
+def test_timeline_blocks_carry_the_last_observation(spark, block):
+    import random
+    rng = random.Random(2)
+    rows = [(s, p, rng.randrange(40), 100.0) for s in ("a", "b", None) for p in rng.sample(range(0, 400, 3), 60)]
+    df = spark.createDataFrame(rows, "series string, position long, acquired_at long, coverage_pct double").repartition(8, "position")
+    want = set()
+    for s in ("a", "b", None):
+        part = sorted((p, t) for x, p, t, _ in rows if x == s)
+        for (_, before), (p, t) in zip(part, part[1:]):
+            if before >= t:
+                want.add((s, p, "repeated" if before == t else "out-of-order"))
+    assert {tuple(r) for r in SC.check_timeline(df, 50.0, block=block).collect()} == want

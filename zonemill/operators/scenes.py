@@ -126,16 +126,23 @@ def mosaic(px: DataFrame, keys: list[str]) -> DataFrame:
                     F.col("best.v.scene_rank").alias("scene_rank")))
 
 
-def check_timeline(obs: DataFrame, minimum: float, group: str = "series") -> DataFrame:
+def check_timeline(obs: DataFrame, minimum: float, group: str = "series", block: int = 10_000) -> DataFrame:
     """Violations per observation: out of order, a repeated day, or too little coverage.
 
-    ``position`` is the published order within a series of observations.
+    ``position`` is the published order within a series of observations, a number. A series is compared in blocks of
+    ``block`` positions side by side; the last observation of each block is carried to the next block that has any.
     """
-    before = F.lag("acquired_at").over(W.partitionBy(group).orderBy("position"))
+    rows = obs.withColumn("blk", F.floor(F.col("position") / block))
+    inside = W.partitionBy(group, "blk").orderBy("position")
+    rows = rows.withColumn("before", F.lag("acquired_at").over(inside)).withColumn("first", F.row_number().over(inside) == 1)
+    lasts = obs.groupBy(F.col(group).alias("of_group"), F.floor(F.col("position") / block).alias("of_blk")).agg(F.max_by("acquired_at", "position").alias("last"))
+    carried = lasts.withColumn("carried", F.lag("last").over(W.partitionBy("of_group").orderBy("of_blk"))).drop("last")
+    same = F.col(group).eqNullSafe(F.col("of_group")) & F.col("blk").eqNullSafe(F.col("of_blk"))
+    before = F.when(F.col("first"), F.col("carried")).otherwise(F.col("before"))
     problem = F.array_compact(F.array(
         F.when(before > F.col("acquired_at"), "out-of-order"), F.when(before == F.col("acquired_at"), "repeated"),
         F.when(F.col("coverage_pct") < minimum, "insufficient-coverage")))
-    return obs.withColumn("p", problem).select(group, "position", F.explode("p").alias("problem"))
+    return rows.join(carried, same).withColumn("p", problem).select(group, "position", F.explode("p").alias("problem"))
 
 
 def spatial_split(df: DataFrame, x: str, bounds: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,7 +10,7 @@ from zonemill.plans import standins as V
 from zonemill.plans.pixels import zoned
 from zonemill.plans.registry import query
 from zonemill.plans.standins import r6, sql
-from zonemill.session import shared_folder
+from zonemill.session import scratch
 from zonemill.sources import provenance as PR
 from zonemill.sources import readers as RD
 from zonemill.sources import sinks as SK
@@ -62,7 +61,7 @@ def s08(spark, d):
 SELECT o_orderpriority AS dataset, year(o_orderdate)::INT AS year, o_orderstatus AS sector_id, count(*) AS n, max(o_totalprice) AS highest FROM orders GROUP BY ALL""")
 def s09(spark, d):
     """Statistics written by dataset and year, one year replaced by a second write, and read back."""
-    path = f"{shared_folder(spark)}/stats-{uuid.uuid4().hex}"
+    path = scratch(spark, "stats")
     stats = V.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("dataset"), F.year("o_orderdate").alias("year"),
                                                 F.col("o_orderstatus").alias("sector_id")).agg(F.count("*").alias("n"), F.max("o_totalprice").alias("highest"))
     SK.write_stats(stats.withColumn("n", F.when(F.col("year") == 1998, -1).otherwise(F.col("n"))), path)
@@ -71,6 +70,18 @@ def s09(spark, d):
     return spark.read.schema(schema).parquet(path).select("dataset", "year", "sector_id", "n", "highest")
 
 
+@query("s10_manifest_files", sql("pz", """
+SELECT obs_id, municipality, sector_id, count(*) AS n, sum(code)::BIGINT AS code_sum, max(code)::VARCHAR AS best FROM pz GROUP BY ALL"""))
+def s10c(spark, d):
+    """The same documents written as files by ranges of records, and read back."""
+    path = scratch(spark, "manifests")
+    stats = zoned(spark, d).groupBy("obs_id", "municipality", "sector_id").agg(
+        F.count("*").alias("n"), F.sum("code").alias("code_sum"), F.max("code").cast("string").alias("best"))
+    SK.write_manifests(stats, ["obs_id", "municipality"], "sector_id", ["n", "code_sum", "best"], path)
+    back = SK.read_manifests(spark, path, "bigint", "struct<n: bigint, code_sum: bigint, best: string>")
+    return back.select(F.col("obs_id").cast("bigint").alias("obs_id"), "municipality", F.col("id").alias("sector_id"), "record.*")
+
+
 @query("s10_manifest", sql("pz", """
 SELECT obs_id, municipality, '{' || string_agg('"' || sector_id || '":{"n":' || n || ',"code_sum":' || code_sum || ',"best":"' || best || '"}', ',' ORDER BY CAST(sector_id AS VARCHAR)) || '}' AS manifest
 FROM (SELECT obs_id, municipality, sector_id, count(*) AS n, sum(code)::BIGINT AS code_sum, max(code)::VARCHAR AS best FROM pz GROUP BY ALL) GROUP BY obs_id, municipality"""))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,13 +26,39 @@ def to_manifest(df: DataFrame, keys: list[str], id_column: str, columns: list[st
     """One JSON document per key: id → record, ids in order.
 
     A document holds the records of one key (a dataset, year and municipality); choose the keys so that
-    this is bounded, and use ``record_json`` for open-ended lists.
+    this is bounded, and use ``write_manifests`` or ``record_json`` for open-ended lists.
     """
     entry = F.struct(F.col(id_column).cast("string").alias("key"), F.struct(*finite_columns(df, columns)).alias("value"))
     document = F.map_from_entries(F.array_sort(F.collect_list(entry)))
     return df.groupBy(*keys).agg(F.to_json(document).alias("manifest"))
 
 
+def write_manifests(df: DataFrame, keys: list[str], id_column: str, columns: list[str], path: str, parts: int | None = None) -> None:
+    """The documents of ``to_manifest`` as files, of any size: below ``path``, one folder per key.
+
+    Records are dealt out by ranges of (keys, id), so a large document is written by several tasks at once; its part
+    files, in the order of their names, are the document. Ids are unique within a key. No record list is ever collected.
+    """
+    ident = F.col(id_column).cast("string")
+    ends = df.groupBy(*[F.col(k).alias(f"of_{k}") for k in keys]).agg(F.min(ident).alias("first_id"), F.max(ident).alias("last_id"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys])
+    name = F.regexp_extract(F.to_json(F.struct(ident.alias("k"))), r'^\{"k":(.*)\}$', 1)  # quoted and escaped
+    line = F.concat(F.when(ident == F.col("first_id"), "{").otherwise(","), name, F.lit(":"), F.to_json(F.struct(*finite_columns(df, columns))),
+                    F.when(ident == F.col("last_id"), "}").otherwise(""))
+    rows = df.join(ends, same).select(*keys, ident.alias("ident"), line.alias("value"))
+    dealt = rows.repartitionByRange(parts, *keys, "ident") if parts else rows.repartitionByRange(*keys, "ident")
+    dealt.sortWithinPartitions(*keys, "ident").drop("ident").write.mode("overwrite").partitionBy(*keys).text(path)
+
+
+def read_manifests(spark: SparkSession, path: str, id_type: str, record: str) -> DataFrame:
+    """The records of ``write_manifests``, a row each: keys, ``id``, ``record`` (a struct of the given type)."""
+    lines = spark.read.text(path)
+    body = F.regexp_replace(F.col("value"), r"^,", "{")
+    closed = F.when(body.endswith("}}"), body).otherwise(F.concat(body, F.lit("}")))
+    entry = F.from_json(closed, f"map<string,{record}>")
+    return lines.select(*[c for c in lines.columns if c != "value"], F.explode(entry).alias("id", "record")).withColumn("id", F.col("id").cast(id_type))
+
+
 def nest_classes(df: DataFrame, keys: list[str], columns: list[str], order: str) -> DataFrame:
     """Class rows of a record as one array, ordered; a record has at most as many as there are classes."""
     item = F.struct(F.col(order).alias("_o"), F.struct(*columns).alias("_c"))
