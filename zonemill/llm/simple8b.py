@@ -26,6 +26,13 @@ FEWER = [max([s for s in range(2, 16) if COUNTS[s] > k], default=1) + 1 for k in
 FILES = "shard int, part long, before long, doc_ids array<long>, lengths array<long>, blocks array<long>, words binary"
 
 
+def _levels(ids: np.ndarray) -> np.ndarray:
+    return (np.searchsorted(np.uint64(1) << BITS[2:].astype(np.uint64), ids, "right") + 2).astype(np.int8)
+
+
+LEVELS = _levels(np.arange(1 << 16, dtype=np.uint64))
+
+
 def _choices(level: np.ndarray, zeros: np.ndarray | None, spot: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """The selector of the word that begins at each spot: the one of most ids that all fit. A word ends at ``stop``."""
     choice = np.zeros(len(spot), np.int8)  # escape, if nothing else fits
@@ -58,7 +65,7 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     # the first selector whose ids are wide enough; 16 for none
-    level = (np.searchsorted(np.uint64(1) << BITS[2:].astype(np.uint64), ids, "right") + 2).astype(np.int8)
+    level = LEVELS[ids] if ids.max() < len(LEVELS) else _levels(ids)
     nothing = ids != 0
     zeros = np.concatenate([np.zeros(1, np.int64), np.cumsum(nothing)]) if n - np.count_nonzero(nothing) >= COUNTS[1] else None
     # all blocks walk from word to word together
@@ -85,12 +92,16 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if selector == 0:
             words[place[mine] + 1] = ids[start[mine]]
             continue
+        bits, first, ends = int(BITS[selector]), start[mine], stop[mine]
         word = np.full(len(mine), np.uint64(int(selector) << 60))
+        short = np.flatnonzero(first + COUNTS[selector] > ends)  # the last words of blocks
         if selector > 1:
+            rest, rest_first, rest_ends = word[short], first[short], ends[short]
             for k in range(COUNTS[selector]):
-                source = start[mine] + k
-                inside = source < stop[mine]
-                word |= np.where(inside, ids[np.minimum(source, n - 1)], np.uint64(0)) << np.uint64(k * int(BITS[selector]))
+                word |= ids.take(first + k, mode="clip") << np.uint64(k * bits)
+                inside = rest_first + k < rest_ends
+                rest |= np.where(inside, ids.take(rest_first + k, mode="clip"), np.uint64(0)) << np.uint64(k * bits)
+            word[short] = rest
         words[place[mine]] = word
     firsts = np.searchsorted(start, np.arange(0, n, BLOCK))
     return words, place[firsts]

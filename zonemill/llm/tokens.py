@@ -117,7 +117,7 @@ class Encoder:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         odd, words = self._split(texts)
         numbered = words.flatten().dictionary_encode()
-        distinct = numbered.dictionary.to_pylist()
+        distinct = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
         known = self.known
         new = [w for w in distinct if w not in known]
         if len(known) + len(new) > CACHED or self.characters > CACHED_CHARACTERS:
