@@ -258,3 +258,21 @@ def test_small_cache_keeps_ids_right(monkeypatch):
     for texts in (["a b c d e", "a b c"], ["a f g h i j k", "b c"], ["a b", "x y z q w e r t"], ["a b c"]):
         assert encoder.encode_each(texts) == [ids_of(BYTES, t) for t in texts]
         assert len(encoder.known) <= 16
+
+
+def test_many_matches_take_linear_time(spark):
+    """A megabyte of matches, valid and not, in seconds; a list of addresses is masked whole."""
+    import time
+    texts = ["12," * 350_000, "a@b.cd " * 20_000, "1.2.3.4 " * 20_000, "x" * 100_000 + " a@b.cd", "é😀a@b.cd\u0301 +32 475 12 34 56, 1.2.3.4 "]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    start = time.perf_counter()
+    got = {r.doc_id: r for r in df.select("doc_id", F.size(pii.base_spans(F.col("text"))).alias("n"), F.get(pii.base_spans(F.col("text")), F.lit(0)).alias("first")).collect()}
+    assert time.perf_counter() - start < 60
+    assert [got[i].n for i in range(5)] == [0, 20_000, 20_000, 1, 3] and (got[3]["first"]["from"], got[3]["first"]["to"]) == (100_001, 100_007)
+    clean = {r.doc_id: r.text for r in pii.sanitised(df).collect()}
+    assert clean[0] == texts[0] and clean[1] == "<email> " * 20_000 and clean[2] == "<ip> " * 20_000 and clean[4] == "é😀<email>\u0301 <phone>, <ip> "
+
+
+def test_long_terms_are_whole(spark):
+    df = spark.createDataFrame([("x" * 500 + " y",)], "text string")
+    assert df.select(F.array_sort(pii._terms(F.col("text")))).first()[0] == ["x" * 500, "y"]

@@ -26,9 +26,10 @@ PATTERNS = {
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-WORD = r"[\p{L}\p{N}][\p{L}\p{M}\p{N}]{0,63}+"
+WORD = r"[\p{L}\p{N}][\p{L}\p{M}\p{N}]*+"
 SPAN = "struct<kind:string,from:int,to:int,value:string>"
 ISSUER = 6  # leading digits of a card that name its issuer
+TOGETHER = 256  # matches whose list grows together
 LINE = 4  # last digits of a phone number, without which it is a number range
 LEAST = 2  # documents of different words without which nothing is told from chance
 EVIDENCE = 6.6  # bits: by chance, fewer than one in a hundred terms stands in documents of the entity only
@@ -38,23 +39,36 @@ def _apply(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def found(text: Column, pattern: str, wanted=lambda v: F.lit(True)) -> Column:
-    """All matches that are ``wanted``, with code-point positions: what lies between them, by ``split``, gives where they are.
+def _folded(items: Column, start: Column, step, empty: Column) -> Column:
+    """``aggregate`` over a list with a growing result (``at``, ``out``): ``step`` gives the next ``at`` and a list to add.
 
-    Every result copies the list, so among many matches (words) few should be wanted.
+    A list is copied whenever it grows, so results grow within blocks of ``TOGETHER`` items and blocks are joined at the end:
+    linear in the number of items for any text that fits into a row.
     """
+    def inner(s: Column, x: Column) -> Column:
+        at, more = step(s["at"], x)
+        return F.struct(at.alias("at"), F.concat(s["out"], more).alias("out"))
+
+    def outer(s: Column, b: Column) -> Column:
+        part = F.slice(items, b * TOGETHER + 1, F.lit(TOGETHER))
+        return F.aggregate(part, F.struct(s["at"].alias("at"), empty.alias("out")), inner, lambda r: F.struct(r["at"].alias("at"), F.concat(s["out"], F.array(r["out"])).alias("out")))
+    blocks = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / TOGETHER).cast("int"))
+    return F.aggregate(blocks, F.struct(start.alias("at"), F.array(empty).alias("out")), outer)
+
+
+def found(text: Column, pattern: str, wanted=lambda v: F.lit(True)) -> Column:
+    """All matches that are ``wanted``, with code-point positions: what lies between them, by ``split``, gives where they are."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
+    empty = F.array().cast("array<struct<from:int,to:int,value:string>>")
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        span = F.array(F.struct((at + x["g"]).alias("from"), (at + x["g"] + x["n"]).alias("to"), x["v"].alias("value")))
+        return at + x["g"] + F.coalesce(x["n"], F.lit(0)), F.when(x["v"].isNull() | ~wanted(x["v"]), empty).otherwise(span)
 
     def placed(pair: Column) -> Column:
-        h, g = pair["h"], pair["g"]
-        ends = F.aggregate(F.zip_with(g, h, lambda a, b: F.struct(a.alias("g"), F.length(b).alias("n"), b.alias("v"))),
-                           F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<from:int,to:int,value:string>>").alias("out")),
-                           lambda s, x: F.struct((s["at"] + x["g"] + F.coalesce(x["n"], F.lit(0))).alias("at"),
-                                                 F.when(x["v"].isNull() | ~wanted(x["v"]), s["out"]).otherwise(F.concat(s["out"], F.array(F.struct((s["at"] + x["g"]).alias("from"), (s["at"] + x["g"] + x["n"]).alias("to"), x["v"].alias("value"))))).alias("out")),
-                           lambda s: s["out"])
-        return F.when(F.size(h) > 0, ends)
-    empty = F.array().cast("array<struct<from:int,to:int,value:string>>")
+        zipped = F.zip_with(pair["g"], pair["h"], lambda a, b: F.struct(a.alias("g"), F.length(b).alias("n"), b.alias("v")))
+        return F.when(F.size(pair["h"]) > 0, _apply(zipped, lambda z: F.flatten(_folded(z, F.lit(0), step, empty)["out"])))
     return F.coalesce(_apply(F.struct(hits.alias("h"), gaps.alias("g")), placed), empty)
 
 
@@ -83,8 +97,7 @@ def _valid(kind: str, value: Column) -> Column:
 
 
 def _labelled(matches: Column, kind: str) -> Column:
-    return F.transform(F.filter(matches, lambda s: _valid(kind, s["value"])),
-                       lambda s: F.struct(F.lit(kind).alias("kind"), s["from"].alias("from"), s["to"].alias("to"), s["value"].alias("value")))
+    return F.transform(matches, lambda s: F.struct(F.lit(kind).alias("kind"), s["from"].alias("from"), s["to"].alias("to"), s["value"].alias("value")))
 
 
 def base_spans(text: Column) -> Column:
@@ -93,7 +106,7 @@ def base_spans(text: Column) -> Column:
     cheap = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+")), "ip": F.contains(text, F.lit("."))}
     parts = []
     for kind in KINDS:
-        spans = _labelled(found(text, PATTERNS[kind]), kind)
+        spans = _labelled(found(text, PATTERNS[kind], lambda v, kind=kind: _valid(kind, v)), kind)
         ahead = cheap.get(kind, F.lit(True)) & (F.lit(True) if kind == "email" else text.rlike("[0-9]"))
         parts.append(F.when(ahead, spans).otherwise(F.array().cast(f"array<{SPAN}>")))
     return F.concat(*parts)
@@ -178,13 +191,17 @@ def sanitised(docs: DataFrame, **options) -> DataFrame:
     """
     whole = F.col("doc").getField("text")
     marks = F.array_sort(F.concat(*[F.transform(c, lambda s: F.struct(s["from"].alias("from"), s["to"].alias("to"), s["kind"].alias("kind"))) for c in ("base", "extra")]))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    def step(s: Column, m: Column) -> Column:
-        shown = F.when(m["kind"] == "removed", F.lit("")).otherwise(F.concat(F.lit("<"), m["kind"], F.lit(">")))
-        ahead = F.concat(s["out"], F.substring(whole, s["at"] + 1, m["from"] - s["at"]), shown)
-        return F.when(m["from"] >= s["at"], F.struct(m["to"].alias("at"), ahead.alias("out"))).otherwise(
-            F.struct(F.greatest(s["at"], m["to"]).alias("at"), s["out"].alias("out")))
-    text = F.when(F.size(marks) > 0, F.aggregate(marks, start, step, lambda s: F.concat(s["out"], F.substring(whole, s["at"] + 1, F.length(whole))))).otherwise(whole)
+
+    def replaced(chars: Column) -> Column:
+        def step(at: Column, m: Column) -> tuple[Column, Column]:
+            shown = F.when(m["kind"] == "removed", F.lit("")).otherwise(F.concat(F.lit("<"), m["kind"], F.lit(">")))
+            ahead = F.array(F.array_join(F.slice(chars, at + 1, F.greatest(m["from"] - at, F.lit(0))), ""), shown)
+            return F.greatest(at, m["to"]), F.when(m["from"] >= at, ahead).otherwise(none)
+        none = F.array().cast("array<string>")
+        done = _folded(marks, F.lit(0), step, none)
+        return _apply(done, lambda s: F.concat(F.array_join(F.flatten(s["out"]), ""), F.array_join(F.slice(chars, s["at"] + 1, F.size(chars)), "")))
+    # by characters: cutting a long string at a place reads it from the beginning each time
+    text = F.when(F.size(marks) > 0, _apply(F.split(whole, ""), replaced)).otherwise(whole)
     out = _marked(docs, **options).select("doc", text.alias("clean"))
     return out.select([F.col("clean").alias(c) if c == "text" else F.length("clean").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("doc").getField(c).alias(c) for c in docs.columns])
 
