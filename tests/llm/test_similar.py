@@ -158,3 +158,18 @@ def test_radius_search_is_complete():
     for radius in (0, 90, 110, 128, 256):
         query = codes[5] ^ np.uint16(1)
         assert set(index.within(query, radius)) == set(np.flatnonzero(mih.distances(codes, query) <= radius))
+
+
+def test_rows_of_one_id_are_candidates_each(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(60)] + [(7, [9.0] * 8), (7, [-9.0] * 8), (20, [1.0, -2.0, 3.0, 0.5, 1.0, 1.0, 0.0, 4.0])]
+    rows.append(rows[40])
+    found = {}
+    for r in mih.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=5).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, round(r.score, 9)))
+    want = {}
+    for q, (i, v) in enumerate(rows):
+        if i % 20 == 0 and (i, v) not in rows[:q]:
+            best = sorted((-float(np.dot(v, w)), j) for k, (j, w) in enumerate(rows) if k != q)[:5]
+            want.setdefault(i, []).extend((n + 1, j, round(-s, 9)) for n, (s, j) in enumerate(best))
+    assert {i: sorted(r) for i, r in found.items()} == {i: sorted(r) for i, r in want.items()}

@@ -26,7 +26,7 @@ PARTS = 16
 RECALL = 0.985  # share of sample neighbours that the radius has to reach
 INDEX_ROWS = 8192
 QUERY_ROWS = 1024
-FOUND = "query_id long, vec_id long, score double"
+FOUND = "query_id long, query_key long, vec_id long, score double"
 
 
 def rotations(x: np.ndarray, bits: int = BITS, rounds: int = 25, seed: int = 7) -> np.ndarray:
@@ -111,15 +111,16 @@ class Index:
 
 def _search(block: pd.DataFrame, asked: pd.DataFrame, codes: Codes, radius: int, k: int) -> pd.DataFrame:
     if block.empty or asked.empty:
-        return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "query_key": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
     block = block.sort_values("vec_id", kind="stable")
-    ids, x = block["vec_id"].to_numpy(), np.stack(block["vector"].to_numpy())
+    ids, keys, x = block["vec_id"].to_numpy(), block["row_key"].to_numpy(), np.stack(block["vector"].to_numpy())
     index = Index(codes.of(x))
-    q_ids, q = asked["vec_id"].to_numpy(), np.stack(asked["vector"].to_numpy())
+    q_ids, q_keys, q = asked["vec_id"].to_numpy(), asked["row_key"].to_numpy(), np.stack(asked["vector"].to_numpy())
     q_codes = codes.of_query(q)
     out = []
     for i in range(len(q)):
-        own = ids == q_ids[i]
+        own = np.zeros(len(ids), bool)
+        own[np.flatnonzero((ids == q_ids[i]) & (keys == q_keys[i]) & (x == q[i]).all(axis=1))[:1]] = True  # all rows of an id lie in one block
         need, r = min(k, int((~own).sum())), radius
         while True:
             rows = index.within(q_codes[i], r)
@@ -129,9 +130,9 @@ def _search(block: pd.DataFrame, asked: pd.DataFrame, codes: Codes, radius: int,
             r = min(BITS, r + PARTS)
         score = (x[rows] * q[i]).sum(axis=1)  # equal vectors have equal sums, wherever they lie
         best = np.lexsort((ids[rows], -score))[:k]
-        out.append((np.full(len(best), q_ids[i]), ids[rows[best]], score[best]))
+        out.append((np.full(len(best), q_ids[i]), np.full(len(best), q_keys[i]), ids[rows[best]], score[best]))
     parts = [np.concatenate(c) for c in zip(*out)]
-    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), parts)))
+    return pd.DataFrame(dict(zip(("query_id", "query_key", "vec_id", "score"), parts)))
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -145,15 +146,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """The ``k`` nearest other vectors by inner product of every row where ``is_query`` holds.
 
     ``query_id``, ``rank`` (from 1, ties by smaller vec_id), ``vec_id``, ``score`` (exact, in double precision). Vectors
-    of another length than most, and those that :func:`usable` leaves out, take no part. Rows of one vec_id are one vector, any of them.
+    of another length than most, and those that :func:`usable` leaves out, take no part. Rows of one vec_id are candidates each, and
+    queries each where their vectors differ; a query that repeats exactly is answered once, and its copies are candidates.
     """
-    rows = usable(vectors).dropDuplicates(["vec_id"])
+    rows = usable(vectors).withColumn("row_key", F.xxhash64("vector"))
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v * v))
     shapes = rows.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n"), F.max(norm).alias("longest")).orderBy(F.desc("n"), "d").first()
     d, n, longest = (shapes["d"], shapes["n"], shapes["longest"]) if shapes else (1, 0, 0.0)
     rows = rows.where(F.size("vector") == d)
     share = min(1.0, SAMPLE / max(n, 1))
-    sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(share * 1_000_000)).orderBy("vec_id").limit(2 * SAMPLE).collect()
+    sample = rows.where(F.shiftrightunsigned(F.xxhash64("vec_id"), 1) <= min(int(share * 2**63), 2**63 - 1)).orderBy("vec_id", "row_key").limit(2 * SAMPLE).collect()
     x = np.array([r["vector"] for r in sample]).reshape(len(sample), d)
     codes = Codes(rotations(lifted(x, longest)), longest)
     radius = learned_radius(x, codes, k)
@@ -161,10 +163,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     parts = max(1, -(-n // (20 * QUERY_ROWS)))
     place = lambda count: F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    index = rows.select(place(blocks).alias("block"), every(parts).alias("part"), "vec_id", "vector")
-    asked = rows.where(is_query).select(place(parts).alias("part"), every(blocks).alias("block"), "vec_id", "vector")
+    index = rows.select(place(blocks).alias("block"), every(parts).alias("part"), "vec_id", "row_key", "vector")
+    queries = rows.where(is_query).dropDuplicates(["vec_id", "vector"])
+    asked = queries.select(place(parts).alias("part"), every(blocks).alias("block"), "vec_id", "row_key", "vector")
     found = (index.groupBy("block", "part").cogroup(asked.groupBy("block", "part"))
              .applyInPandas(lambda a, b: _search(a, b, codes, radius, k), FOUND))
     # k rows of a query from each block: ranked within limits, block by block first
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

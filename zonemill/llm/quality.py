@@ -181,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
     part = F.lit(False)
     for label, n in sizes.items():
         share = min(1.0, sample / 2 / n)
-        part = part | ((F.col("label") == label) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)))
+        part = part | ((F.col("label") == label) & (F.shiftrightunsigned(F.xxhash64("doc_id"), 1) <= min(int(share * 2**63), 2**63 - 1)))
     chosen = known.where(part)  # about ``sample`` rows of two numbers: small for certain
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("label").cast("double")).mapInArrow(_measured, "label double, x array<double>").toPandas()
     # the order of rows must not change the model
