@@ -1,8 +1,9 @@
 """SentencePiece BPE as a relational lattice.
 
 Texts are cut into units (a run of space marks with the word after it) at places no piece reaches over. Every distinct
-unit is exploded into its substrings of bounded length, these are equi-joined with the piece table, the edges are grouped
-by unit and folded with a Spark higher-order aggregate into the one path that the model takes.
+unit is exploded into its substrings of bounded length, these are equi-joined with the piece table, the edges are gathered
+by unit (they come one unit after the other, so no sorting by unit is needed) and folded with a Spark higher-order aggregate
+into the one path that the model takes. Its ids are those of the lattice's edges.
 
 The model is BPE, so the best path is not the one of largest summed score: pieces are merged in the order of their
 scores, the leftmost first. The fold does that in one pass: it visits the edges in order of score and place and keeps an
@@ -16,7 +17,6 @@ compressed.
 
 from __future__ import annotations
 
-import pickle
 import re
 import zlib
 from collections.abc import Iterator
@@ -36,7 +36,6 @@ MARK = "▁"
 UNIT = re.compile(f"{MARK}*[^{MARK}\n\t]+|{MARK}+|[\n\t]")
 CHUNK = 8192  # documents (range of doc_ids) that share a dictionary
 SHORT = 62  # characters of a unit whose borders fit into one long
-EDGE = "struct<key:long,from:int,to:int,id:int>"
 
 
 @dataclass
@@ -82,6 +81,8 @@ def load(path: str) -> Model:
     shown = [spm.id_to_piece(i).replace(MARK, " ").encode() if i in known else b"" for i in ids]
     for b, i in enumerate(bytes_from):
         shown[i] = bytes([b])
+    if max(map(len, plain)) > 31 or max(r[1] for r in rows) >= CODE or max(r[4] for r in rows) > 255:
+        raise ValueError("an edge does not fit")
     return Model(rows, bytes_from, shown, max(len(p) for p in plain))
 
 
@@ -91,20 +92,47 @@ def units(text: str) -> list[str]:
 
 
 # ---- the lattice ----
+# An edge is two longs: when it comes up, and what it is (place, length, id).
+FROM, SIZE, CODE = 27, 22, 1 << 21  # bits below the place and the length; ids from CODE on are characters without a piece
 
 def edges(words: DataFrame, model: Model) -> DataFrame:
-    """(unit, edges): every substring of at most the longest piece that is a piece; single characters always."""
+    """(number, unit, turn, edge), unit after unit: every substring that is a piece; single characters always, those come first."""
     spark = words.sparkSession
-    table = spark.createDataFrame(model.pieces, "piece string, id int, turn int, shift int, depth int")  # as large as the model: fixed
-    n = F.length("unit")
-    starts = words.select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("from"))
-    spans = starts.select("unit", "from", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - F.col("from")))).alias("size"))
-    spans = spans.select("unit", "from", "size", F.col("unit").substr(F.col("from") + 1, F.col("size")).alias("piece"))
+    table = spark.createDataFrame(model.pieces, "piece string, id int, late int, shift int, depth int")  # as large as the model: fixed
+    words = words.select("unit", F.monotonically_increasing_id().alias("number"), F.length("unit").alias("n"))
+    starts = words.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("from"))
+    spans = starts.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.col("n") - F.col("from")))).alias("size"))
+    spans = spans.select("number", "unit", "from", "size", F.col("unit").substr(F.col("from") + 1, F.col("size")).alias("piece"))
     found = spans.join(F.broadcast(table), "piece", "left").where("id is not null or size = 1")
-    late = F.coalesce("turn", F.lit(1 << 20))
-    key = late.cast("long") * (1 << 40) + (F.col("from") + F.coalesce("shift", F.lit(0))).cast("long") * 256 + F.coalesce("depth", F.lit(0))
-    edge = F.struct(key.alias("key"), F.col("from").alias("from"), (F.col("from") + F.col("size")).alias("to"), F.coalesce("id", F.lit(-1)).alias("id"))
-    return found.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    turn = F.coalesce("late", F.lit(1 << 20)).cast("long") * (1 << 40) + (F.col("from") + F.coalesce("shift", F.lit(0))).cast("long") * 256 + F.coalesce("depth", F.lit(0))
+    value = F.coalesce("id", F.ascii("piece") + CODE)
+    edge = F.col("from").cast("long") * (1 << FROM) + F.col("size") * (1 << SIZE) + value
+    return found.select("number", F.when((F.col("from") == 0) & (F.col("size") == 1), F.col("unit")).alias("unit"), turn.alias("turn"), edge.alias("edge"))
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(unit, edges in the order of their turns). The edges of a unit follow one another; its name stands at the first."""
+    rest: pa.RecordBatch | None = None
+
+    def out(rows: pa.RecordBatch) -> pa.RecordBatch:
+        first = np.flatnonzero(rows.column("unit").is_valid().to_numpy(zero_copy_only=False))
+        number = rows.column("number").to_numpy()
+        group = np.cumsum(np.concatenate([[0], number[1:] != number[:-1]]))
+        if len(first) != group[-1] + 1 or (number[first[1:]] == number[first[1:] - 1]).any() or first[0]:
+            raise RuntimeError("the edges of a unit do not follow one another")
+        order = np.lexsort((rows.column("turn").to_numpy(), group))
+        borders = pa.array(np.append(first, len(group)), pa.int32())
+        return pa.RecordBatch.from_arrays([rows.column("unit").drop_null(), pa.ListArray.from_arrays(borders, rows.column("edge").take(pa.array(order)))], ["unit", "edges"])
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = batch if rest is None else pa.concat_batches([rest, batch])
+        starts = np.flatnonzero(rows.column("unit").is_valid().to_numpy(zero_copy_only=False))
+        if starts[-1]:
+            yield out(rows.slice(0, starts[-1]))
+        rest = rows.slice(starts[-1])
+    if rest is not None:
+        yield out(rest)
 
 
 def _bit(at):
@@ -112,39 +140,67 @@ def _bit(at):
 
 
 def borders(lattice: DataFrame) -> DataFrame:
-    """(unit, mask): the fold. Bit p of ``mask`` is set where a segment begins or ends; null for units over ``SHORT``."""
+    """(unit, edges, mask): the fold. Bit p of ``mask`` is set where a segment begins or ends; null for units over ``SHORT``."""
     n = F.length("unit")
     whole = _bit(n + 1) - 1
 
     def step(mask, e):
-        inner = (_bit(e["to"]) - 1).bitwiseXOR(_bit(e["from"] + 1) - 1)
-        ends = _bit(e["from"]).bitwiseOR(_bit(e["to"]))
+        start = F.shiftright(e, FROM).cast("int")
+        size = F.shiftright(e, SIZE).bitwiseAND(F.lit(31)).cast("int")
+        inner = (_bit(start + size) - 1).bitwiseXOR(_bit(start + 1) - 1)
+        ends = _bit(start).bitwiseOR(_bit(start + size))
         joins_two = (mask.bitwiseAND(ends) == ends) & (F.bit_count(mask.bitwiseAND(inner)) == 1)
         return F.when(joins_two, mask.bitwiseAND(F.bitwise_not(inner))).otherwise(mask)
-    folded = F.aggregate(F.filter("edges", lambda e: e["to"] - e["from"] > 1), whole, step)
-    return lattice.select("unit", F.when(n <= SHORT, folded).alias("mask"), F.when(n > SHORT, F.col("edges")).alias("edges"))
+    longer = F.filter("edges", lambda e: F.shiftright(e, SIZE).bitwiseAND(F.lit(31)) > 1)
+    return lattice.select("unit", "edges", F.when(n <= SHORT, F.aggregate(longer, whole, step)).alias("mask"))
+
 
+def _kept(edge: np.ndarray) -> np.ndarray:
+    """The same fold for a unit whose borders do not fit into a long: which of its edges are segments at the end."""
+    start, size = (edge >> FROM).tolist(), (edge >> SIZE & 31).tolist()
+    at = bytearray(b"\x01") * (max(a + n for a, n in zip(start, size)) + 1)
+    for low, n in zip(start, size):
+        if n > 1 and at[low] and at[low + n] and sum(at[low + 1:low + n]) == 1:
+            at[low + 1:low + n] = bytes(n - 1)
+    return np.array([bool(at[low] and at[low + n] and not any(at[low + 1:low + n])) for low, n in zip(start, size)])
 
-def _all_borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same fold for units whose borders do not fit into a long; borders as bytes. Other rows pass."""
+
+def _piece_ids(batches: Iterator[pa.RecordBatch], bytes_from: list[int]) -> Iterator[pa.RecordBatch]:
+    """(unit, ids): the ids of the edges between neighbouring borders, in order; characters without a piece as bytes."""
     for batch in batches:
-        out = []
-        for unit, steps in zip(batch.column("unit").to_pylist(), batch.column("edges").to_pylist()):
-            if steps is None:
-                out.append(None)
-                continue
-            at = bytearray(b"\x01") * (len(unit) + 1)
-            for e in steps:
-                low, high = e["from"], e["to"]
-                if high - low > 1 and at[low] and at[high] and sum(at[low + 1:high]) == 1:
-                    at[low + 1:high] = bytes(high - low - 1)
-            out.append(bytes(at))
-        yield pa.RecordBatch.from_arrays([batch.column("unit"), batch.column("mask"), pa.array(out, pa.binary())], ["unit", "mask", "wide"])
+        lists, masks = batch.column("edges"), batch.column("mask")
+        offsets = lists.offsets.to_numpy()
+        edge = lists.values.to_numpy()[offsets[0]:offsets[-1]]
+        offsets = offsets - offsets[0]
+        group = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+        mask = masks.fill_null(0).to_numpy().astype(np.uint64)[group]
+        start, size = edge >> FROM, edge >> SIZE & 31
+        low, high = (np.uint64(1) << np.minimum(x, 63).astype(np.uint64) for x in (start, start + size))
+        own = (mask & low > 0) & (mask & high > 0) & (mask & ((high - np.uint64(1)) ^ ((low << np.uint64(1)) - np.uint64(1))) == 0)
+        for i in np.flatnonzero(masks.is_null().to_numpy(zero_copy_only=False)):
+            own[offsets[i]:offsets[i + 1]] = _kept(edge[offsets[i]:offsets[i + 1]])
+        group, start, value = group[own], start[own], edge[own] & (2 * CODE - 1)
+        order = np.lexsort((start, group))
+        group, value = group[order], value[order]
+        bare = np.flatnonzero(value >= CODE)
+        if len(bare):
+            own_bytes = [[bytes_from[b] for b in chr(c).encode()] for c in (value[bare] - CODE).tolist()]
+            times = np.ones(len(value), np.int64)
+            times[bare] = [len(x) for x in own_bytes]
+            first = np.cumsum(times) - times
+            group, value = np.repeat(group, times), np.repeat(value, times)
+            for i, x in zip(first[bare].tolist(), own_bytes):
+                value[i:i + len(x)] = x
+        ends = np.searchsorted(group, np.arange(batch.num_rows + 1)) * 4
+        ids = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(value.astype("<u4"))])
+        yield pa.RecordBatch.from_arrays([batch.column("unit"), ids.cast(pa.binary())], ["unit", "ids"])
 
 
 def segmented(words: DataFrame, model: Model) -> DataFrame:
-    """Distinct units → (unit, mask, wide): where their segments lie."""
-    return borders(edges(words, model)).mapInArrow(_all_borders, "unit string, mask long, wide binary")
+    """Distinct units → (unit, ids)."""
+    bytes_from = model.bytes_from
+    lattice = edges(words, model).mapInArrow(_gathered, "unit string, edges array<long>")
+    return borders(lattice).mapInArrow(lambda b: _piece_ids(b, bytes_from), "unit string, ids binary")
 
 
 # ---- documents ----
@@ -187,15 +243,14 @@ def _distinct(lists: pd.DataFrame) -> pd.DataFrame:
 
 
 def _attach(lists: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-    """Lists of units with the masks of their units; what is too long for a mask is listed beside."""
-    place = dict(zip(words["unit"], range(len(words))))
-    mask, wide = words["mask"].to_numpy("int64"), words["wide"].to_list()
+    """Lists of units with the ids of their units, one after the other behind their numbers."""
+    known = dict(zip(words["unit"], words["ids"]))
     out = []
     for chunk, data in zip(lists["chunk"], lists["units"]):
-        own = [place[u] for u in _unpack(data)]
-        more = {i: bytes(wide[k]) for i, k in enumerate(own) if wide[k] is not None}
-        out.append((chunk, data, zstandard.compress(pickle.dumps((mask[own].tobytes(), more)), 3)))
-    return pd.DataFrame(out, columns=["chunk", "units", "masks"])
+        own = [known[u] for u in _unpack(data)]
+        sizes = np.array([len(x) // 4 for x in own], "<u4")
+        out.append((chunk, data, zstandard.compress(sizes.tobytes() + b"".join(own), 3)))
+    return pd.DataFrame(out, columns=["chunk", "units", "ids"])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,29 +259,20 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("doc_id"), pa.array([press.compress((t or "").encode()) for t in batch.column("text").to_pylist()], pa.binary())], ["chunk", "doc_id", "text"])
 
 
-def _ids(unit: str, at: list[int], piece_ids: dict[str, int], bytes_from: list[int]) -> list[int]:
-    out = []
-    for low, high in zip(at[:-1], at[1:]):
-        piece = unit[low:high]
-        own = piece_ids.get(piece)
-        out += [own] if own is not None else [bytes_from[b] for b in piece.encode()]
-    return out
-
-
 def _assemble(docs: pd.DataFrame, lists: pd.DataFrame, piece_ids: dict[str, int], bytes_from: list[int]) -> pd.DataFrame:
     class Known(dict):
         def __missing__(self, unit: str) -> bytes:
             if len(unit) > 1:
                 raise KeyError(unit)
-            self[unit] = np.array(_ids(unit, [0, 1], piece_ids, bytes_from), "<u4").tobytes()
+            own = piece_ids.get(unit)
+            self[unit] = np.array([own] if own is not None else [bytes_from[b] for b in unit.encode()], "<u4").tobytes()
             return self[unit]
     known = Known()
-    for data, masks in zip(lists["units"], lists["masks"]):
-        flat, wide = pickle.loads(zstandard.decompress(masks))
-        for i, (unit, mask) in enumerate(zip(_unpack(data), np.frombuffer(flat, "<i8").tolist())):
-            if unit not in known:
-                bits = "".join(map(str, wide[i])) if i in wide else bin(mask)[:1:-1]
-                known[unit] = np.array(_ids(unit, [k for k, c in enumerate(bits) if c == "1"], piece_ids, bytes_from), "<u4").tobytes()
+    for data, packed in zip(lists["units"], lists["ids"]):
+        names = _unpack(data)
+        flat = zstandard.decompress(packed)
+        ends = (np.cumsum(np.frombuffer(flat, "<u4", len(names)), dtype=np.int64) + len(names)) * 4
+        known.update(zip(names, (flat[a:b] for a, b in zip([len(names) * 4, *ends[:-1].tolist()], ends.tolist()))))
     ids = [b"".join(map(known.__getitem__, units(zstandard.decompress(t).decode()))) for t in docs["text"]]
     return pd.DataFrame({"doc_id": docs["doc_id"], "n_pieces": [len(x) // 4 for x in ids], "ids": ids})
 
@@ -240,13 +286,13 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     model = load(path)
     piece_ids = {p: i for p, i, *_ in model.pieces}
     bytes_from = model.bytes_from
-    rows = docs.select(F.coalesce(F.floor(F.col("doc_id") / CHUNK).cast("long"), F.lit(-1).cast("long")).alias("chunk"), F.col("doc_id").cast("long"), F.col("text"))
+    rows = docs.select(F.coalesce(F.floor(F.col("doc_id") / CHUNK).cast("long"), -1 - F.pmod(F.xxhash64("text"), F.lit(64))).alias("chunk"), F.col("doc_id").cast("long"), F.col("text"))
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lists = rows.select("chunk", "text").mapInArrow(lambda b: _units_of(b, buckets), "chunk long, bucket long, units binary")
     lists = stored(lists, "units")
-    words = segmented(lists.groupBy("bucket").applyInPandas(_distinct, "unit string").repartition("unit"), model)
-    words = words.withColumn("mask", F.coalesce("mask", F.lit(0).cast("long"))).withColumn("bucket", F.crc32(F.col("unit").cast("binary")) % buckets)
-    given = lists.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInPandas(_attach, "chunk long, units binary, masks binary")
+    words = segmented(lists.groupBy("bucket").applyInPandas(_distinct, "unit string"), model)
+    words = words.withColumn("bucket", F.crc32(F.col("unit").cast("binary")) % buckets)
+    given = lists.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInPandas(_attach, "chunk long, units binary, ids binary")
     packed = rows.mapInArrow(_packed, "chunk long, doc_id long, text binary")
     return (packed.groupBy("chunk").cogroup(given.groupBy("chunk"))
             .applyInPandas(lambda d, w: _assemble(d, w, piece_ids, bytes_from), "doc_id long, n_pieces long, ids binary"))
