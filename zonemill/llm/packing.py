@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from zonemill.llm.store import small_batches, stored
 from zonemill.llm.tokens import encoder, parts, with_end
 
+BASES = 100_000  # rows of (task, queue) that are broadcast
 TOKENISED = "task int, queue string, before long, doc_id long, doc_tokens long, ids binary"
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, window long, ids binary"
 
@@ -140,4 +141,6 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 2, length: int = 4096, wind
     mixture = (totals, {f"={k}": v for k, v in weights.items() if f"={k}" in totals} if weights else None, window)
     ahead = Window.partitionBy("queue").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = shares.select("task", "queue", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
+    # a few numbers per task and queue; where there are too many to send around, the join shuffles
+    base = F.broadcast(base) if shares.count() <= BASES else base
     return rows.join(base, ["task", "queue"]).mapInArrow(lambda b: _cut(b, mixture, length), PIECES)
