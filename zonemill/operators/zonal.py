@@ -457,12 +457,13 @@ def complete_series(px: DataFrame, n_dates: int | Column, value: str, time: str
 def observation_profile(px: DataFrame, value: str, valid: Column, n_bins: int, keys: list[str]) -> DataFrame:
     """Valid share, median of the valid values and their density histogram with equal bins, one row per bin."""
     v = F.when(valid & finite(F.col(value)), F.col(value))
-    rows = px.withColumn("v", v)
-    share = rows.groupBy(*keys).agg(F.avg(v.isNotNull().cast("double")).alias("valid_share"))
-    spread = Q.interpolated_summary(rows, keys, F.col("v"), {"median": 0.5}).join(share, keys)
+    # pixels are counted by value first; all figures come from these counts
+    rows = px.groupBy(*keys, v.alias("v")).agg(F.count("*").alias("c"))
+    share = rows.groupBy(*keys).agg((_sum_if(F.col("v").isNotNull(), F.col("c")) / F.sum("c")).alias("valid_share"))
+    spread = Q.interpolated_summary(rows, keys, F.col("v"), {"median": 0.5}, F.col("c")).join(share, keys)
     width = (F.col("hi") - F.col("lo")) / n_bins
     b = F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(n_bins - 1)).cast("int")
-    counts = rows.where("v IS NOT NULL").join(spread.select(*keys, "lo", "hi"), keys).groupBy(*keys, b.alias("bin")).agg(F.count("*").alias("n"))
+    counts = rows.where("v IS NOT NULL").join(spread.select(*keys, "lo", "hi"), keys).groupBy(*keys, b.alias("bin")).agg(F.sum("c").alias("n"))
     return counts.join(spread, keys).select(*keys, "bin", "n", "valid_share", "median", (F.col("n") / (F.col("w") * width)).alias("density"))
 
 
