@@ -275,5 +275,8 @@ def page_of() -> Column:
 def page_digests(archived: DataFrame) -> DataFrame:
     """Per page: payload bytes and digest, record type and the page a revisit refers to, all from the archives."""
     meta = stored(archived.select("record_id", page_of().alias("page_id"), F.coalesce(F.length("payload").cast("long"), _http("Content-Length").cast("long")).alias("payload_bytes"), "payload_digest", F.col("kind").alias("record_type"), "refers_id"), "archived")
-    target = meta.select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to"))
-    return meta.join(target, "refers_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type"]
+    # only revisits refer to a record: the others, nearly all, take no part in the join
+    target = meta.where("refers_id is null").select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to"))
+    revisits = meta.where("refers_id is not null").join(target, "refers_id", "left").select(*columns, "refers_to")
+    return meta.where("refers_id is null").select(*columns, F.lit(None).cast("long").alias("refers_to")).unionByName(revisits)
