@@ -78,8 +78,10 @@ def _for_every(frame: DataFrame, rows: DataFrame, on: list[str], keys: list[str]
         both = rows.withColumn("is_key", F.lit(False)).unionByName(marks.select(*keys, *bare, F.lit(True).alias("is_key")))
     salted = frame.select(*[F.col(c).alias(f"every_{c}") for c in on], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     both = both.withColumn("salt", F.when(F.col("is_key"), F.pmod(F.hash(*keys), F.lit(SALTS)))).join(salted, "salt", "left")
-    whole = both.select(*keys, *[F.when(F.col("is_key"), F.col(f"every_{c}")).otherwise(F.col(c)).alias(c) for c in on], *values)
-    return whole.groupBy(*keys, *on).agg(*[F.max(c).alias(c) for c in values])
+    whole = both.select(*keys, *[F.when(F.col("is_key"), F.col(f"every_{c}")).otherwise(F.col(c)).alias(c) for c in on], *values, "is_key")
+    # pairs without a key row are those of keys that are not expected
+    whole = whole.groupBy(*keys, *on).agg(*[F.max(c).alias(c) for c in values], F.max("is_key").alias("is_key"))
+    return whole.where("is_key").drop("is_key")
 
 
 def _records(zones: DataFrame, columns: list[str], rows: DataFrame, zone: str, keys: tuple[str, ...],
