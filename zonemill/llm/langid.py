@@ -138,7 +138,10 @@ def train(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Machines | No
     tasks += [(s := np.flatnonzero((labels == a) | (labels == b)), np.where(labels[s] == a, 1.0, -1.0)) for a, b in pairs]
     for subset, y in tasks:
         dual = machine(gram[np.ix_(subset, subset)], y) if len(set(y)) > 1 else np.zeros(len(y))
-        columns.append((dual @ x[subset]) * scale / size)
+        weight = np.zeros(SLOTS)
+        for low in range(0, len(subset), 256):  # a copy of all rows in double precision would be the largest thing here
+            weight += dual[low:low + 256] @ x[subset[low:low + 256]]
+        columns.append(weight * scale / size)
         bias.append(dual.sum())
     return Machines(languages, families, pairs, np.array(columns, np.float32).T.copy(), np.array(bias))
 
