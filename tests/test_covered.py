@@ -39,7 +39,7 @@ def test_weights_apart_give_the_rows_of_the_join(spark, tables, name, listed):
     assert _rows(apart) == _rows(joined)
 
 
-@pytest.mark.parametrize("name", ["a03_density_stats", "a04_temperature_stats"])
+@pytest.mark.parametrize("name", ["a03_density_stats", "a04_temperature_stats", "q01_density_rules"])
 def test_no_row_per_pixel_and_zone(spark, name):
     """Before, every pixel met every diamond over it ahead of an exchange: 750 rows per pixel at sixty times the tables."""
     import __spark_entry__ as entrypoint

@@ -33,9 +33,10 @@ t AS (SELECT obs_id, poly_id, whole / 2 AS whole, valid, present, vw FROM a)
 SELECT obs_id, poly_id, 'areas' AS rule FROM t WHERE NOT abs(valid + greatest(0, whole - valid) - whole) <= greatest(0.01E0, whole * 0.005E0)
 UNION ALL SELECT obs_id, poly_id, 'crown' FROM t WHERE NOT vw / 100.0E0 * 0.0025E0 <= present + 1e-9"""))
 def q01b(spark, d):
-    px = Z.with_weights(*weighted_pixels(spark, d)).withColumn("value", F.col("dn") % 128)
+    px, weights = weighted_pixels(spark, d)
+    px = px.withColumn("value", F.col("dn") % 128)
     zones = diamond_zones(spark, d).withColumn("complete_ha", F.col("complete_ha") / 2)
-    stats = Z.density_stats(px, zones, CELL_HA / 100, zone="poly_id", keys=("obs_id",), expected=observations(spark, d))
+    stats = Z.density_stats(px, zones, CELL_HA / 100, zone="poly_id", keys=("obs_id",), expected=observations(spark, d), weights=weights)
     return QU.density_violations(stats, ["obs_id", "poly_id"])
 
 
