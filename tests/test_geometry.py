@@ -214,3 +214,25 @@ def test_stretches_vote_like_sub_cells(polys, block):
     votes = [{tuple(r) for r in df.select("row_i", "col_i", "v", "votes").collect()} for df in (
         GE.interval_votes(stretches, 3, "v"), GE.subpixel_votes(GE.last_feature(shapes, grid, 3, "v", "id"), 3, "v"))]
     assert votes[0] == votes[1]
+
+
+def test_points_meet_few_polygons_they_are_not_in(spark):
+    """Before, a cell as large as the polygons brought every polygon of the neighbourhood to every point."""
+    shapes = [(i, [[[(3.0 * i + x, float(y)) for x, y in ((2, 0), (4, 2), (2, 4), (0, 2), (2, 0))]]]) for i in range(4)]
+    polys = spark.createDataFrame(shapes, "id int, geom array<array<array<struct<x:double,y:double>>>>")
+    points = spark.createDataFrame([(40 * r + c, c * 0.35 + 0.0137, r * 0.11) for r in range(40) for c in range(40)], "p int, x double, y double")
+    got = {(r["p"], r["id"]) for r in GE.points_in_polygons(points, polys, "id", 4.0).collect()}
+    assert got == {(p, i) for p, x, y in points.collect() for i in range(4) if abs(x - 3 * i - 2) + abs(y - 2) < 2}
+
+    def met(cell):
+        cells = GE.polygon_cells(polys, "id", cell)
+        return points.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell)).join(cells, ["cx", "cy"]).count()
+    assert len(got) < met(4.0 / GE.FINER) < met(4.0) * 3 / 4
+
+
+def test_points_and_cells_keep_their_partitions(spark):
+    polys = spark.createDataFrame([(1, [[[(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 0.0)]]])], "id int, geom array<array<array<struct<x:double,y:double>>>>")
+    points = spark.createDataFrame([(1, 3.0, 1.0), (2, None, 1.0), (3, 1.0, 3.0)], "p int, x double, y double")
+    found = GE.points_in_polygons(points, polys, "id", 2.0)
+    assert [r["p"] for r in found.collect()] == [1]
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
