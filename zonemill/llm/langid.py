@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from zonemill.llm import text as kernel
 from zonemill.llm.store import extended, small_batches
+from zonemill.llm.worker import lean
 
 SAMPLE = 500  # documents a language that the machines are fitted on, at most
 SLOTS = 1 << 14
@@ -116,7 +117,7 @@ def train(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Machines | No
         chosen = part if chosen is None else chosen.unionByName(part)
     ids = [r["doc_id"] for r in chosen.collect()]
     rows = known.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in sorted({i for i in ids if i is not None})] or [(None,)], "doc_id long")), "doc_id", "left_semi")
-    rows = rows.select("lang", "text").mapInArrow(_sparse, "lang string, slots binary, counts binary").collect()
+    rows = rows.select("lang", "text").mapInArrow(lean(_sparse), "lang string, slots binary, counts binary").collect()
     rows.sort(key=lambda r: (r["lang"], r["slots"], r["counts"]))
     if not rows:
         return None
@@ -176,4 +177,4 @@ def _identified(batches: Iterator[pa.RecordBatch], model: Machines | None) -> It
 def identified(docs: DataFrame, model: Machines | None) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``lang_score``; ``und`` with score 0 for null texts, texts without letters, or without a model."""
     schema = extended(docs, lang_pred="string", lang_score="double")
-    return small_batches(docs).mapInArrow(lambda b: _identified(b, model), schema)
+    return small_batches(docs).mapInArrow(lean(lambda b: _identified(b, model)), schema)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from zonemill.llm import text as kernel
 from zonemill.llm.components import components
 from zonemill.llm.store import stored
+from zonemill.llm.worker import lean
 from zonemill.session import checkpointed
 
 TOKENS = 64  # minwise functions of a signature
@@ -61,7 +62,7 @@ def _signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
 
 def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
     """Per document: a hash of its text, size of its shingle set, a digest of the set (null if empty), minwise tokens."""
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.col("text")).mapInArrow(lambda b: _signed(b, width), SIGNED)
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.col("text")).mapInArrow(lean(lambda b: _signed(b, width)), SIGNED)
 
 
 def _children(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
@@ -185,7 +186,7 @@ def _shingles(docs: DataFrame, classes: DataFrame, near: DataFrame, width: int)
     """Whole shingle sets of the classes in ``near``; of repeated doc_ids the text is found by its own digest."""
     wanted = classes.join(near.select("class").distinct(), "class", "left_semi").select("class", F.col("first_id").alias("doc_id"))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text")).join(wanted, "doc_id").select("class", "text")
-    return stored(texts.mapInArrow(lambda b: _sets(b, width), "class binary, set binary").dropDuplicates(["class"]), "shingles")
+    return stored(texts.mapInArrow(lean(lambda b: _sets(b, width)), "class binary, set binary").dropDuplicates(["class"]), "shingles")
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -221,19 +222,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, keyed: b
             leaves.append(_blocks(rows.where(F.col("count") > NODE)))
             break
         below = rows.where(F.col("count") > NODE).select("node", "class", "n", "sig").mapInArrow(
-            lambda b: _children(b, 100 / percent), "node long, class binary, n long, sig binary")
+            lean(lambda b: _children(b, 100 / percent)), "node long, class binary, n long, sig binary")
         rows = below.join(below.groupBy("node").count().where("count > 1"), "node")
     every = leaves[0]
     for part in leaves[1:]:
         every = every.unionByName(part)
-    near = checkpointed(every.repartition("node").sortWithinPartitions("node").mapInArrow(lambda b: _candidates(b, percent), "node long, class binary"))
+    near = checkpointed(every.repartition("node").sortWithinPartitions("node").mapInArrow(lean(lambda b: _candidates(b, percent)), "node long, class binary"))
 
     # the same classes met in several trees are compared once
     met = near.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.xxhash64("class").cast("decimal(30,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "class")).alias("x"))
     once = met.groupBy("n", "s", "x").agg(F.min("node").alias("node")).select("node")
     sets = _shingles(docs, classes, near, width)
     links = (near.join(once, "node").join(sets, "class").repartition("node").sortWithinPartitions("node")
-             .mapInArrow(lambda b: _forest(b, percent), "a binary, b binary").distinct())
+             .mapInArrow(lean(lambda b: _forest(b, percent)), "a binary, b binary").distinct())
     roots = components(links)
 
     labels = classes.select("class", "first_id").join(roots.withColumnRenamed("a", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))

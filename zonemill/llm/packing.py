@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from zonemill.llm.store import small_batches, stored
 from zonemill.llm.tokens import encoder, parts, with_end
+from zonemill.llm.worker import lean
 
 BASES = 100_000  # rows of (task, queue) that are broadcast
 TOKENISED = "task int, queue string, before long, doc_id long, doc_tokens long, ids binary"
@@ -134,7 +135,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 2, length: int = 4096, wind
     often as they occur, an empty table gives no pieces. Other columns are ignored.
     """
     queue = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("queue")
-    rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text"), queue).mapInArrow(lambda b: _tokenise(b, tokenizer, end), TOKENISED)
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text"), queue).mapInArrow(lean(lambda b: _tokenise(b, tokenizer, end), encodes=True), TOKENISED)
     rows = stored(rows, "tokenised")
     shares = rows.groupBy("task", "queue").agg(F.sum("doc_tokens").alias("n"))
     totals = {r["queue"]: r["n"] for r in shares.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
@@ -143,4 +144,4 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 2, length: int = 4096, wind
     base = shares.select("task", "queue", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
     # a few numbers per task and queue; where there are too many to send around, the join shuffles
     base = F.broadcast(base) if shares.count() <= BASES else base
-    return rows.join(base, ["task", "queue"]).mapInArrow(lambda b: _cut(b, mixture, length), PIECES)
+    return rows.join(base, ["task", "queue"]).mapInArrow(lean(lambda b: _cut(b, mixture, length)), PIECES)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from zonemill.llm import text as kernel
 from zonemill.llm.store import extended, small_batches
+from zonemill.llm.worker import lean
 
 SAMPLE = 12_000  # labelled rows that a model is fitted on, at most (about)
 BINS = 64
@@ -183,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
         share = min(1.0, sample / 2 / n)
         part = part | ((F.col("label") == label) & (F.shiftrightunsigned(F.xxhash64("doc_id"), 1) <= min(int(share * 2**63), 2**63 - 1)))
     chosen = known.where(part)  # about ``sample`` rows of two numbers: small for certain
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("label").cast("double")).mapInArrow(_measured, "label double, x array<double>").toPandas()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("label").cast("double")).mapInArrow(lean(_measured), "label double, x array<double>").toPandas()
     # the order of rows must not change the model
     x = np.array(rows["x"].tolist()).reshape(len(rows), len(STATISTICS))
     y = rows["label"].to_numpy(float)
@@ -203,4 +204,4 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Trees) -> Iterator[pa.Reco
 def scored(docs: DataFrame, model: Trees) -> DataFrame:
     """``docs`` with ``quality_score`` (0 to 1, higher is better). Null and empty texts are scored by zero statistics."""
     schema = extended(docs, quality_score="double")
-    return small_batches(docs).mapInArrow(lambda b: _scored(b, model), schema)
+    return small_batches(docs).mapInArrow(lean(lambda b: _scored(b, model)), schema)
