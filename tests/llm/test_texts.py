@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -276,3 +277,15 @@ def test_many_matches_take_linear_time(spark):
 def test_long_terms_are_whole(spark):
     df = spark.createDataFrame([("x" * 500 + " y",)], "text string")
     assert df.select(F.array_sort(pii._terms(F.col("text")))).first()[0] == ["x" * 500, "y"]
+
+
+def test_texts_of_a_chunk_travel_together():
+    batch = pa.RecordBatch.from_pydict({"chunk": [4, -1, 4], "doc_id": [7, None, 5], "text": ["é" * 300, None, "ab"]}).slice(0)
+    (got,) = lattice._packed(iter([batch]))
+    rows = {c: (ids, list(lattice._texts_of(len(ids), data))) for c, ids, data in zip(*(got.column(i).to_pylist() for i in range(3)))}
+    assert rows == {4: ([7, 5], ["é" * 300, "ab"]), -1: ([None], [""])}
+    (none,) = lattice._packed(iter([batch.slice(0, 0)]))
+    assert none.num_rows == 0
+    alike = pa.RecordBatch.from_pydict({"chunk": [1] * 100, "doc_id": list(range(100)), "text": [f"{i} " + "".join(f"w{j} " for j in range(100)) for i in range(100)]})
+    (one,) = lattice._packed(iter([alike]))
+    assert sum(map(len, one.column("texts").to_pylist())) < 4000  # alone, each takes more than 100 bytes

@@ -30,7 +30,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonemill.llm.store import extended, stored
+from zonemill.llm.store import extended, small_batches, stored
+from zonemill.llm.text import buffers
+from zonemill.llm.worker import give_back, lean
 
 MARK = "▁"
 UNIT = re.compile(f"{MARK}*[^{MARK}\n\t]+|{MARK}+|[\n\t]")
@@ -199,8 +201,8 @@ def _piece_ids(batches: Iterator[pa.RecordBatch], bytes_from: list[int]) -> Iter
 def segmented(words: DataFrame, model: Model) -> DataFrame:
     """Distinct units → (unit, ids)."""
     bytes_from = model.bytes_from
-    lattice = edges(words, model).mapInArrow(_gathered, "unit string, edges array<long>")
-    return borders(lattice).mapInArrow(lambda b: _piece_ids(b, bytes_from), "unit string, ids binary")
+    lattice = edges(words, model).mapInArrow(lean(_gathered), "unit string, edges array<long>")
+    return borders(lattice).mapInArrow(lean(lambda b: _piece_ids(b, bytes_from)), "unit string, ids binary")
 
 
 # ---- documents ----
@@ -239,7 +241,9 @@ def _units_of(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
 
 
 def _distinct(lists: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"unit": sorted(set().union(*map(_unpack, lists["units"])))})
+    found = pd.DataFrame({"unit": sorted(set().union(*map(_unpack, lists["units"])))})
+    give_back()
+    return found
 
 
 def _attach(lists: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
@@ -250,16 +254,38 @@ def _attach(lists: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         own = [known[u] for u in _unpack(data)]
         sizes = np.array([len(x) // 4 for x in own], "<u4")
         out.append((chunk, data, zstandard.compress(sizes.tobytes() + b"".join(own), 3)))
+    del known
+    give_back()
     return pd.DataFrame(out, columns=["chunk", "units", "ids"])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of a chunk within a batch compressed together, behind their lengths in bytes."""
     press = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("doc_id"), pa.array([press.compress((t or "").encode()) for t in batch.column("text").to_pylist()], pa.binary())], ["chunk", "doc_id", "text"])
+        data, offsets = buffers(batch.column("text"))
+        chunk = batch.column("chunk").to_numpy()
+        order = np.argsort(chunk, kind="stable")
+        first = np.flatnonzero(np.diff(chunk[order], prepend=chunk[order[:1]] - 1))
+        numbers, lists, texts = chunk[order[first]], [], []
+        ids = batch.column("doc_id")
+        for own in np.split(order, first[1:]) if len(order) else []:
+            lists.append(ids.take(pa.array(own)).to_pylist())
+            sizes = (offsets[own + 1] - offsets[own]).astype("<i8").tobytes()
+            texts.append(press.compress(sizes + b"".join(data[offsets[i]:offsets[i + 1]].tobytes() for i in own)))
+        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array(texts, pa.binary())], ["chunk", "doc_ids", "texts"])
 
 
-def _assemble(docs: pd.DataFrame, lists: pd.DataFrame, piece_ids: dict[str, int], bytes_from: list[int]) -> pd.DataFrame:
+def _texts_of(n: int, data: bytes) -> Iterator[str]:
+    flat = zstandard.decompress(data)
+    ends = (np.cumsum(np.frombuffer(flat, "<i8", n)) + 8 * n).tolist()
+    return (flat[a:b].decode() for a, b in zip([8 * n, *ends[:-1]], ends))
+
+
+CODED = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids", pa.binary())])
+
+
+def _assemble(docs: pa.Table, lists: pa.Table, piece_ids: dict[str, int], bytes_from: list[int]) -> pa.Table:
     class Known(dict):
         def __missing__(self, unit: str) -> bytes:
             if len(unit) > 1:
@@ -268,13 +294,18 @@ def _assemble(docs: pd.DataFrame, lists: pd.DataFrame, piece_ids: dict[str, int]
             self[unit] = np.array([own] if own is not None else [bytes_from[b] for b in unit.encode()], "<u4").tobytes()
             return self[unit]
     known = Known()
-    for data, packed in zip(lists["units"], lists["ids"]):
-        names = _unpack(data)
-        flat = zstandard.decompress(packed)
+    for data, packed in zip(lists.column("units"), lists.column("ids")):
+        names = _unpack(data.as_py())
+        flat = zstandard.decompress(packed.as_py())
         ends = (np.cumsum(np.frombuffer(flat, "<u4", len(names)), dtype=np.int64) + len(names)) * 4
         known.update(zip(names, (flat[a:b] for a, b in zip([len(names) * 4, *ends[:-1].tolist()], ends.tolist()))))
-    ids = [b"".join(map(known.__getitem__, units(zstandard.decompress(t).decode()))) for t in docs["text"]]
-    return pd.DataFrame({"doc_id": docs["doc_id"], "n_pieces": [len(x) // 4 for x in ids], "ids": ids})
+    out = []
+    for numbers, data in zip(docs.column("doc_ids"), docs.column("texts")):
+        ids = [b"".join(map(known.__getitem__, units(t))) for t in _texts_of(len(numbers), data.as_py())]
+        out.append(pa.RecordBatch.from_arrays([numbers.values.cast(pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], schema=CODED))
+    known.clear()
+    give_back()
+    return pa.Table.from_batches(out, CODED)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -286,20 +317,20 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     model = load(path)
     piece_ids = {p: i for p, i, *_ in model.pieces}
     bytes_from = model.bytes_from
-    rows = docs.select(F.coalesce(F.floor(F.col("doc_id") / CHUNK).cast("long"), -1 - F.pmod(F.xxhash64("text"), F.lit(64))).alias("chunk"), F.col("doc_id").cast("long"), F.col("text"))
+    rows = small_batches(docs).select(F.coalesce(F.floor(F.col("doc_id") / CHUNK).cast("long"), -1 - F.pmod(F.xxhash64("text"), F.lit(64))).alias("chunk"), F.col("doc_id").cast("long"), F.col("text"))
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lists = rows.select("chunk", "text").mapInArrow(lambda b: _units_of(b, buckets), "chunk long, bucket long, units binary")
+    lists = rows.select("chunk", "text").mapInArrow(lean(lambda b: _units_of(b, buckets)), "chunk long, bucket long, units binary")
     lists = stored(lists, "units")
     words = segmented(lists.groupBy("bucket").applyInPandas(_distinct, "unit string"), model)
     words = words.withColumn("bucket", F.crc32(F.col("unit").cast("binary")) % buckets)
     given = lists.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInPandas(_attach, "chunk long, units binary, ids binary")
-    packed = rows.mapInArrow(_packed, "chunk long, doc_id long, text binary")
+    packed = rows.mapInArrow(lean(_packed), "chunk long, doc_ids array<long>, texts binary")
     return (packed.groupBy("chunk").cogroup(given.groupBy("chunk"))
-            .applyInPandas(lambda d, w: _assemble(d, w, piece_ids, bytes_from), "doc_id long, n_pieces long, ids binary"))
+            .applyInArrow(lambda d, w: _assemble(d, w, piece_ids, bytes_from), "doc_id long, n_pieces long, ids binary"))
 
 
 def _texts(batches: Iterator[pa.RecordBatch], shown: list[bytes]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.slice(low, 500) for b in batches for low in range(0, b.num_rows, 500)):
         out = []
         for data in batch.column("ids").to_pylist():
             text = b"".join(map(shown.__getitem__, np.frombuffer(data or b"", "<u4").tolist()))
@@ -310,4 +341,4 @@ def _texts(batches: Iterator[pa.RecordBatch], shown: list[bytes]) -> Iterator[pa
 def decode(coded: DataFrame, path: str) -> DataFrame:
     """Adds ``decoded``: the text of ``ids`` (space marks are spaces, the leading one goes, byte pieces are bytes)."""
     shown = load(path).shown
-    return coded.mapInArrow(lambda b: _texts(b, shown), extended(coded, decoded="string"))
+    return coded.mapInArrow(lean(lambda b: _texts(b, shown)), extended(coded, decoded="string"))
