@@ -11,6 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import sentencepiece
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -289,3 +290,35 @@ def test_texts_of_a_chunk_travel_together():
     alike = pa.RecordBatch.from_pydict({"chunk": [1] * 100, "doc_id": list(range(100)), "text": [f"{i} " + "".join(f"w{j} " for j in range(100)) for i in range(100)]})
     (one,) = lattice._packed(iter([alike]))
     assert sum(map(len, one.column("texts").to_pylist())) < 4000  # alone, each takes more than 100 bytes
+
+
+def test_units_end_where_no_piece_reaches():
+    pairs = lattice.load(PIECES).pairs
+    texts = ["the,the;the\tthe  thé▁the", None, "", " \n", "thé"]
+    batch = pa.RecordBatch.from_pydict({"chunk": [3, 3, 9, 9, 3], "text": texts})
+    got = [r for b in lattice._units_of(iter([batch]), 1, pairs) for r in b.to_pylist()]
+    assert {r["chunk"]: set(lattice._unpack(r["units"])) for r in got} == {3: {"▁the", "the", "▁▁thé", "▁thé"}, 9: {"▁▁"}}  # none again for what follows a word
+    rows, words = lattice.words_of(pa.array(texts))
+    assert rows.tolist() == [0, 5, 5, 5, 7, 8] and words.to_pylist() == [" the,the;the", "\t", "the", "  thé", " the", "  ", "\n", " thé"]
+    borders, units = lattice.units_of(words.dictionary, pairs)
+    cut = [units.to_pylist()[a:b] for a, b in zip(borders[:-1], borders[1:])]
+    assert ["".join(x) for x in cut] == [w.replace(" ", lattice.MARK) for w in words.dictionary.to_pylist()] and cut[0] == ["▁the", ",", "the", ";", "the"]
+
+
+def test_units_of_a_chunk_are_no_python_objects():
+    """A chunk holds hundreds of thousands of units; a dictionary of them filled the executor's memory."""
+    import tracemalloc
+    pairs = lattice.load(PIECES).pairs
+    names = ["▁" + "".join("aeinorst"[i >> 3 * k & 7] for k in range(6)) for i in range(200_000)]
+    parts = [sorted(names[k::40]) for k in range(40)]
+    number = {u: i for i, u in enumerate(names)}
+    ids = [zstandard.compress(np.concatenate([np.full(len(p), 2, "<u4"), np.repeat(np.array([number[u] for u in p], "<u4"), 2)]).tobytes()) for p in parts]
+    lists = pa.table([pa.array([0] * 40, pa.int64()), pa.array([lattice._pack(p) for p in parts], pa.binary()), pa.array(ids, pa.binary())], schema=lattice.GIVEN)
+    docs = pa.Table.from_batches(lattice._packed(iter([pa.RecordBatch.from_pydict({"chunk": [0, 0, 0], "doc_id": [5, None, 6], "text": [names[7][1:] + " " + names[199_999][1:] + "\n", None, "é" + chr(0x10FFFD)]})])))
+    tracemalloc.start()
+    got = lattice._assemble(docs, lists, {"\n": 13}, list(range(1000, 1256)), np.setdiff1d(pairs, [ord(" ") << 21 | ord("é")])).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    bytes_of = [1000 + b for b in ("▁é" + chr(0x10FFFD)).encode()]
+    assert [(r["doc_id"], r["n_pieces"], np.frombuffer(r["ids"], "<u4").tolist()) for r in got] == [(5, 5, [7, 7, 199_999, 199_999, 13]), (None, 0, []), (6, 9, bytes_of)]
+    assert peak < 20, peak  # the dictionary alone took 32

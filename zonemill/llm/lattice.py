@@ -1,7 +1,7 @@
 """SentencePiece BPE as a relational lattice.
 
-Texts are cut into units (a run of space marks with the word after it) at places no piece reaches over. Every distinct
-unit is exploded into its substrings of bounded length, these are equi-joined with the piece table, the edges are gathered
+Texts are cut into units at places no piece reaches over: ahead of a run of space marks, and between two characters that
+stand side by side in no piece. Every distinct unit is exploded into its substrings of bounded length, these are equi-joined with the piece table, the edges are gathered
 by unit (they come one unit after the other, so no sorting by unit is needed) and folded with a Spark higher-order aggregate
 into the one path that the model takes. Its ids are those of the lattice's edges.
 
@@ -23,20 +23,21 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonemill.llm.store import extended, small_batches, stored
-from zonemill.llm.text import buffers
+from zonemill.llm.text import buffers, gathered, slices
 from zonemill.llm.worker import give_back, lean
 
 MARK = "▁"
-UNIT = re.compile(f"{MARK}*[^{MARK}\n\t]+|{MARK}+|[\n\t]")
 CHUNK = 8192  # documents (range of doc_ids) that share a dictionary
+PART = 1 << 22  # bytes of texts that are put together at once
+LISTED = 1 << 25  # bytes of distinct words that a task holds before it lists their units
 SHORT = 62  # characters of a unit whose borders fit into one long
 
 
@@ -46,6 +47,7 @@ class Model:
     bytes_from: list[int]
     shown: list[bytes]
     longest: int
+    pairs: np.ndarray  # of characters side by side in a piece: the first shifted by 21 bits, and the second; ascending
 
 
 def _late(piece: str, ranks: dict[str, int]) -> tuple[int, int, int] | None:
@@ -85,12 +87,47 @@ def load(path: str) -> Model:
         shown[i] = bytes([b])
     if max(map(len, plain)) > 31 or max(r[1] for r in rows) >= CODE or max(r[4] for r in rows) > 255:
         raise ValueError("an edge does not fit")
-    return Model(rows, bytes_from, shown, max(len(p) for p in plain))
-
-
-def units(text: str) -> list[str]:
-    """A text's units; an empty text has none. The text gets a leading space mark."""
-    return UNIT.findall(MARK + text.replace(" ", MARK)) if text else []
+    pairs = {ord(a) << 21 | ord(b) for p in plain for a, b in zip(p.replace(MARK, " "), p.replace(MARK, " ")[1:])}
+    return Model(rows, bytes_from, shown, max(len(p) for p in plain), np.array(sorted(pairs), np.int64))
+
+
+def _strings(data: np.ndarray, first: np.ndarray) -> pa.Array:
+    """The bytes from each place to the next; they are not copied."""
+    return pa.Array.from_buffers(pa.large_string(), len(first) - 1, [None, pa.py_buffer(np.ascontiguousarray(first, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """A text's words: a run of spaces with what follows it; line ends and tabs stand alone. Where the words of each row begin
+    (one border more than rows), and the words, distinct ones in a dictionary. Space marks are spaces here, and a text that
+    is not empty gets a leading one."""
+    texts = pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), MARK, " ")
+    lead = pc.if_else(pc.equal(texts, pa.scalar("", pa.large_string())), pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string()))
+    data, at = buffers(pc.binary_join_element_wise(lead, texts, pa.scalar("", pa.large_string())))
+    data, at = data[at[0]:at[-1]], at - at[0]
+    space, alone = data == 32, (data == 10) | (data == 9)
+    first = space | alone
+    first[1:] &= ~(space[1:] & space[:-1])
+    first[1:] |= alone[:-1]
+    first[at[:-1][at[:-1] < at[1:]]] = True
+    place = np.flatnonzero(first)
+    return np.searchsorted(place, at), _strings(data, np.append(place, len(data))).dictionary_encode()
+
+
+def units_of(words: pa.Array, pairs: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The words cut between characters that no piece has side by side: where the units of each begin, and the units, with
+    space marks."""
+    data, at = buffers(words)
+    data, at = data[at[0]:at[-1]], at - at[0]
+    place = np.flatnonzero(data & 0xC0 != 0x80)  # of characters
+    code = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4").astype(np.int64)
+    first = np.zeros(len(data) + 1, bool)
+    pair = code[:-1] << 21 | code[1:]
+    near = np.searchsorted(pairs, pair)
+    first[place[1:]] = np.append(pairs, -1)[near] != pair
+    first[at] = True
+    first[-1] = False
+    place = np.flatnonzero(first)
+    return np.searchsorted(place, at), pc.replace_substring(_strings(data, np.append(place, len(data))), " ", MARK)
 
 
 # ---- the lattice ----
@@ -209,54 +246,71 @@ def segmented(words: DataFrame, model: Model) -> DataFrame:
 # Units travel as compressed lists, one for a chunk of documents and a bucket of units. Units of one character need no
 # lattice; the others hold no line end, which separates them in a list.
 
-def _pack(units_: list[str]) -> bytes:
-    return zstandard.compress("\n".join(sorted(units_)).encode(), 3)
+def _pack(units: list[str]) -> bytes:
+    return zstandard.compress("\n".join(sorted(units)).encode(), 3)
 
 
 def _unpack(data: bytes) -> list[str]:
     return zstandard.decompress(data).decode().split("\n")
 
 
-def _units_of(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+def _by_chunk(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """The rows of every chunk."""
+    chunk = batch.column("chunk").to_numpy()
+    order = np.argsort(chunk, kind="stable")
+    first = np.flatnonzero(np.diff(chunk[order], prepend=chunk[order[:1]] - 1))
+    return zip(chunk[order[first]].tolist(), np.split(order, first[1:]) if len(order) else [])
+
+
+def _units_of(batches: Iterator[pa.RecordBatch], buckets: int, pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The distinct units of every chunk, as far as this task sees it, by bucket."""
-    seen: dict[int, set[str]] = {}
+    seen: dict[int, list[pa.Array]] = {}
+    size = 0
 
     def out() -> Iterator[pa.RecordBatch]:
-        rows = []
         for chunk, words in seen.items():
+            _, units = units_of(pa.concat_arrays(words).unique(), pairs)
             lists: dict[int, list[str]] = {}
-            for word in words:
-                if len(word) > 1:
-                    lists.setdefault(zlib.crc32(word.encode()) % buckets, []).append(word)
-            rows += [(chunk, bucket, _pack(part)) for bucket, part in lists.items()]
+            for unit in units.unique().to_pylist():
+                if len(unit) > 1:
+                    lists.setdefault(zlib.crc32(unit.encode()) % buckets, []).append(unit)
+            columns = [pa.array([chunk] * len(lists), pa.int64()), pa.array(list(lists), pa.int64()), pa.array([_pack(x) for x in lists.values()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["chunk", "bucket", "units"])
         seen.clear()
-        columns = list(zip(*rows)) if rows else [[]] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], ["chunk", "bucket", "units"])
     for batch in batches:
-        for chunk, text in zip(batch.column("chunk").to_pylist(), batch.column("text").to_pylist()):
-            seen.setdefault(chunk, set()).update(units(text or ""))
-        if sum(map(len, seen.values())) > 800_000:
+        texts = batch.column("text")
+        for chunk, rows in _by_chunk(batch):
+            own = texts.take(pa.array(rows))
+            for low, high in slices(buffers(own)[1], PART):
+                words = words_of(own.slice(low, high - low))[1].dictionary
+                seen.setdefault(chunk, []).append(words)
+                size += words.nbytes
+        if size > LISTED:
             yield from out()
+            size = 0
     yield from out()
 
 
-def _distinct(lists: pd.DataFrame) -> pd.DataFrame:
-    found = pd.DataFrame({"unit": sorted(set().union(*map(_unpack, lists["units"])))})
+def _distinct(lists: pa.Table) -> pa.Table:
+    found = pa.table({"unit": pa.array(sorted(set().union(*(_unpack(x.as_py()) for x in lists.column("units")))), pa.string())})
     give_back()
     return found
 
 
-def _attach(lists: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+GIVEN = pa.schema([("chunk", pa.int64()), ("units", pa.binary()), ("ids", pa.binary())])
+
+
+def _attach(lists: pa.Table, words: pa.Table) -> pa.Table:
     """Lists of units with the ids of their units, one after the other behind their numbers."""
-    known = dict(zip(words["unit"], words["ids"]))
+    known = dict(zip(words.column("unit").to_pylist(), words.column("ids").to_pylist()))
     out = []
-    for chunk, data in zip(lists["chunk"], lists["units"]):
+    for data in lists.column("units").to_pylist():
         own = [known[u] for u in _unpack(data)]
         sizes = np.array([len(x) // 4 for x in own], "<u4")
-        out.append((chunk, data, zstandard.compress(sizes.tobytes() + b"".join(own), 3)))
+        out.append(zstandard.compress(sizes.tobytes() + b"".join(own), 3))
     del known
     give_back()
-    return pd.DataFrame(out, columns=["chunk", "units", "ids"])
+    return pa.table([lists.column("chunk"), lists.column("units"), pa.array(out, pa.binary())], schema=GIVEN)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,12 +318,10 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         data, offsets = buffers(batch.column("text"))
-        chunk = batch.column("chunk").to_numpy()
-        order = np.argsort(chunk, kind="stable")
-        first = np.flatnonzero(np.diff(chunk[order], prepend=chunk[order[:1]] - 1))
-        numbers, lists, texts = chunk[order[first]], [], []
+        numbers, lists, texts = [], [], []
         ids = batch.column("doc_id")
-        for own in np.split(order, first[1:]) if len(order) else []:
+        for chunk, own in _by_chunk(batch):
+            numbers.append(chunk)
             lists.append(ids.take(pa.array(own)).to_pylist())
             sizes = (offsets[own + 1] - offsets[own]).astype("<i8").tobytes()
             texts.append(press.compress(sizes + b"".join(data[offsets[i]:offsets[i + 1]].tobytes() for i in own)))
@@ -285,25 +337,54 @@ def _texts_of(n: int, data: bytes) -> Iterator[str]:
 CODED = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids", pa.binary())])
 
 
-def _assemble(docs: pa.Table, lists: pa.Table, piece_ids: dict[str, int], bytes_from: list[int]) -> pa.Table:
-    class Known(dict):
-        def __missing__(self, unit: str) -> bytes:
+class _Known:
+    """Units with their ids. Units of one character are not in the lists; their ids come from the model's table."""
+
+    def __init__(self, lists: pa.Table, piece_ids: dict[str, int], bytes_from: list[int]):
+        self.piece_ids, self.bytes_from = piece_ids, bytes_from
+        names, sizes, flat = [], [np.zeros(0, np.int64)], [np.zeros(0, "<u4")]
+        for data, packed in zip(lists.column("units"), lists.column("ids")):
+            names.append(pa.array(_unpack(data.as_py()), pa.large_string()))
+            numbers = np.frombuffer(zstandard.decompress(packed.as_py()), "<u4")
+            sizes.append(numbers[:len(names[-1])].astype(np.int64))
+            flat.append(numbers[len(names[-1]):])
+        self.names = pa.chunked_array(names, pa.large_string())
+        self.sizes, self.flat = np.concatenate(sizes), np.concatenate(flat)
+        self.first = np.cumsum(self.sizes) - self.sizes
+
+    def ids(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units, one after the other, and where each unit's begin (one border more than units)."""
+        distinct = units.dictionary_encode()
+        at = pc.index_in(distinct.dictionary, self.names).fill_null(-1).to_numpy()
+        bare = np.flatnonzero(at < 0)
+        own = []
+        for unit in distinct.dictionary.take(pa.array(bare)).to_pylist():
             if len(unit) > 1:
                 raise KeyError(unit)
-            own = piece_ids.get(unit)
-            self[unit] = np.array([own] if own is not None else [bytes_from[b] for b in unit.encode()], "<u4").tobytes()
-            return self[unit]
-    known = Known()
-    for data, packed in zip(lists.column("units"), lists.column("ids")):
-        names = _unpack(data.as_py())
-        flat = zstandard.decompress(packed.as_py())
-        ends = (np.cumsum(np.frombuffer(flat, "<u4", len(names)), dtype=np.int64) + len(names)) * 4
-        known.update(zip(names, (flat[a:b] for a, b in zip([len(names) * 4, *ends[:-1].tolist()], ends.tolist()))))
+            known = self.piece_ids.get(unit)
+            own.append([known] if known is not None else [self.bytes_from[b] for b in unit.encode()])
+        more = np.array([len(x) for x in own], np.int64)
+        first, size = (x[np.maximum(at, 0)] if len(x) else np.zeros(len(at), np.int64) for x in (self.first, self.sizes))
+        first[bare], size[bare] = len(self.flat) + np.cumsum(more) - more, more
+        number = distinct.indices.to_numpy()
+        return gathered(np.append(self.flat, np.array([i for x in own for i in x], "<u4")), first[number], size[number])
+
+
+def _assemble(docs: pa.Table, lists: pa.Table, piece_ids: dict[str, int], bytes_from: list[int], pairs: np.ndarray) -> pa.Table:
+    known = _Known(lists, piece_ids, bytes_from)
     out = []
     for numbers, data in zip(docs.column("doc_ids"), docs.column("texts")):
-        ids = [b"".join(map(known.__getitem__, units(t))) for t in _texts_of(len(numbers), data.as_py())]
-        out.append(pa.RecordBatch.from_arrays([numbers.values.cast(pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], schema=CODED))
-    known.clear()
+        texts, numbers = pa.array(_texts_of(len(numbers), data.as_py()), pa.large_string()), numbers.values.cast(pa.int64())
+        for low, high in slices(buffers(texts)[1], PART):
+            rows, words = words_of(texts.slice(low, high - low))
+            borders, units = units_of(words.dictionary, pairs)
+            flat, place = known.ids(units)
+            first, word = place[borders], words.indices.to_numpy()
+            flat, place = gathered(flat, first[word], np.diff(first)[word])
+            ends = place[rows]
+            ids = pa.Array.from_buffers(pa.large_binary(), high - low, [None, pa.py_buffer(ends * 4), pa.py_buffer(flat.astype("<u4"))])
+            out.append(pa.RecordBatch.from_arrays([numbers.slice(low, high - low), pa.array(np.diff(ends), pa.int64()), ids.cast(pa.binary())], schema=CODED))
+    del known
     give_back()
     return pa.Table.from_batches(out, CODED)
 
@@ -316,17 +397,17 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """
     model = load(path)
     piece_ids = {p: i for p, i, *_ in model.pieces}
-    bytes_from = model.bytes_from
+    bytes_from, pairs = model.bytes_from, model.pairs
     rows = small_batches(docs).select(F.coalesce(F.floor(F.col("doc_id") / CHUNK).cast("long"), -1 - F.pmod(F.xxhash64("text"), F.lit(64))).alias("chunk"), F.col("doc_id").cast("long"), F.col("text"))
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lists = rows.select("chunk", "text").mapInArrow(lean(lambda b: _units_of(b, buckets)), "chunk long, bucket long, units binary")
+    lists = rows.select("chunk", "text").mapInArrow(lean(lambda b: _units_of(b, buckets, pairs)), "chunk long, bucket long, units binary")
     lists = stored(lists, "units")
-    words = segmented(lists.groupBy("bucket").applyInPandas(_distinct, "unit string"), model)
+    words = segmented(lists.groupBy("bucket").applyInArrow(_distinct, "unit string"), model)
     words = words.withColumn("bucket", F.crc32(F.col("unit").cast("binary")) % buckets)
-    given = lists.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInPandas(_attach, "chunk long, units binary, ids binary")
+    given = lists.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(_attach, "chunk long, units binary, ids binary")
     packed = rows.mapInArrow(lean(_packed), "chunk long, doc_ids array<long>, texts binary")
     return (packed.groupBy("chunk").cogroup(given.groupBy("chunk"))
-            .applyInArrow(lambda d, w: _assemble(d, w, piece_ids, bytes_from), "doc_id long, n_pieces long, ids binary"))
+            .applyInArrow(lambda d, w: _assemble(d, w, piece_ids, bytes_from, pairs), "doc_id long, n_pieces long, ids binary"))
 
 
 def _texts(batches: Iterator[pa.RecordBatch], shown: list[bytes]) -> Iterator[pa.RecordBatch]:
