@@ -236,3 +236,21 @@ def test_points_and_cells_keep_their_partitions(spark):
     found = GE.points_in_polygons(points, polys, "id", 2.0)
     assert [r["p"] for r in found.collect()] == [1]
     assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cells_of_polygons_are_broadcast_by_their_real_size(spark):
+    """Before, the size of the polygon table decided: sixty times the given tables sent 3 million cells through the driver."""
+    i = F.col("id") % 20 * 4.0
+    corner = [F.struct((i + x).alias("x"), (F.floor(F.col("id") / 20) * 4.0 + y).alias("y")) for x, y in ((3, 0), (6, 3), (3, 6), (0, 3), (3, 0))]
+    polys = spark.range(400).select("id", F.array(F.array(F.array(*corner))).alias("geom"))
+    points = spark.range(10000).select(F.col("id").alias("p"), (F.col("id") % 100 * 0.8713 + 0.0137).alias("x"), (F.floor(F.col("id") / 100) * 0.8319 + 0.0071).alias("y"))
+    want = {(p, 20 * b + a) for p, x, y in points.collect() for a in range(20) for b in range(20) if abs(x - 4 * a - 3) + abs(y - 4 * b - 3) < 3}
+    for limit, joined in (("200000", "SortMergeJoin"), ("100000000", "BroadcastHashJoin")):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            found = GE.points_in_polygons(points, polys, "id", 2.0)
+            assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()  # as planned ahead of the run
+            assert sorted((r["p"], r["id"]) for r in found.collect()) == sorted(want)
+            assert joined in found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
