@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,6 +48,20 @@ def test_no_row_per_pixel_and_zone(spark, name):
     assert "FlatMapCoGroupsInArrow" in df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["density", "temperature"])
+def test_tables_made_of_weights_are_not_broadcast(tables, name):
+    """Before, the size of the zones' table decided, and lists of all cells went through the driver."""
+    px, weights, zones = tables
+    stats = Z.density_stats if name == "density" else Z.temperature_stats
+    df = stats(px, zones, 0.0025, zone="poly_id", keys=("obs_id",), weights=weights)
+    df.collect()
+    final = re.sub(r"#\d+L?", "", df._jdf.queryExecution().executedPlan().toString()).split("Initial Plan")
+    for plan in final:
+        joins = re.findall(r"BroadcastHashJoin \[([^]]*)\], \[([^]]*)\], (\w+)", plan)
+        assert not {right for _, right, _ in joins} & {"cell", "key"} and not {kind for _, right, kind in joins if right == "poly_id"} & {"LeftOuter", "LeftAnti", "LeftSemi"}
+    assert "SortMergeJoin [at], [cell]" in final[0]
+
+
 def test_zones_of_many_cells_are_not_listed(tables):
     few, more = CO.split_zones(tables[1], "poly_id")
     assert sorted(r.poly_id for r in few.collect()) == list(range(6))
